@@ -4,31 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-PAGES = T.StructType.fromDDL("page_id bigint, url string, html string")
+STRING, LONG = T.StringType(), T.LongType()
 
-BLOCK_DDL = "struct<type:string, content:string, content_caption:string, src:string>"
 
-LISTING = T.StructType.fromDDL(
-    "listing_url string, source string, category string, position int, article_url string, title string, thumbnail string"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+BLOCK = _struct(type=STRING, content=STRING, content_caption=STRING, src=STRING)
+
+PAGES = _struct(page_id=LONG, url=STRING, html=STRING)
+
+LISTING = _struct(
+    listing_url=STRING,
+    source=STRING,
+    category=STRING,
+    position=T.IntegerType(),
+    article_url=STRING,
+    title=STRING,
+    thumbnail=STRING,
 )
 
-ARTICLES = T.StructType.fromDDL(
-    "source string, article_id string, article_title string, article_url string, article_thumbnail string, "
-    f"article_image string, article_content array<{BLOCK_DDL}>, article_published_date bigint, "
-    "article_category string, article_summary string, article_embeddings array<float>, cluster_id string"
+ARTICLES = _struct(
+    source=STRING,
+    article_id=STRING,
+    article_title=STRING,
+    article_url=STRING,
+    article_thumbnail=STRING,
+    article_image=STRING,
+    article_content=T.ArrayType(BLOCK),
+    article_published_date=LONG,
+    article_category=STRING,
+    article_summary=STRING,
+    article_embeddings=T.ArrayType(T.FloatType()),
+    cluster_id=STRING,
 )
 
-LEDGER = T.StructType.fromDDL("source string, day bigint, category string, url string")
+LEDGER = _struct(source=STRING, day=LONG, category=STRING, url=STRING)
 
-STATS = T.StructType.fromDDL("source string, metric string, value bigint")
+STATS = _struct(source=STRING, metric=STRING, value=LONG)
 
 # `lead_words`, `lead_id` and `text_counts` are what a refresh needs from the old
 # members, so that it does not have to read their articles again.
-CLUSTERS = T.StructType.fromDDL(
-    "cluster_id string, cluster_title string, cluster_content string, cluster_embedding array<float>, "
-    "last_updated bigint, n_members bigint, lead_words bigint, lead_id string, text_counts array<bigint>"
+CLUSTERS = _struct(
+    cluster_id=STRING,
+    cluster_title=STRING,
+    cluster_content=STRING,
+    cluster_embedding=T.ArrayType(T.FloatType()),
+    last_updated=LONG,
+    n_members=LONG,
+    lead_words=LONG,
+    lead_id=STRING,
+    text_counts=T.ArrayType(LONG),
 )
 
-CLUSTER_MEMBERS = T.StructType.fromDDL("cluster_id string, source string, article_id string, added_at bigint")
+CLUSTER_MEMBERS = _struct(cluster_id=STRING, source=STRING, article_id=STRING, added_at=LONG)
 
-ASSIGNMENTS = T.StructType.fromDDL("source string, article_id string, cluster_id string")
+ASSIGNMENTS = _struct(source=STRING, article_id=STRING, cluster_id=STRING)
