@@ -47,9 +47,9 @@ def stored_form(articles: DataFrame, as_of: int) -> DataFrame:
     return keyed.select(ARTICLES.fieldNames())
 
 
-def requested(pages: DataFrame, ledger: DataFrame, as_of: int, params: Params = Params(), profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
+def to_follow(listing: DataFrame, ledger: DataFrame, as_of: int, params: Params = Params()) -> DataFrame:
     """Listing entries to follow: not seen that day, within the quota, each URL once."""
-    fresh = unseen_urls(extract_listing(pages, profiles), ledger_of_day(ledger, as_of, params))
+    fresh = unseen_urls(listing, ledger_of_day(ledger, as_of, params))
     return first_requests(listing_quota(fresh, params))
 
 
@@ -70,7 +70,20 @@ def ingest_run(
     profiles: Sequence[SiteProfile] = PROFILES,
 ) -> Ingested:
     """What one crawl adds: articles, rejects, ledger rows and counter deltas."""
-    records = article_records(requested(pages, ledger, as_of, params, profiles), pages, profiles)
+    return ingest_listing(extract_listing(pages, profiles), pages, ledger, as_of, params, models, profiles)
+
+
+def ingest_listing(
+    listing: DataFrame,
+    pages: DataFrame,
+    ledger: DataFrame,
+    as_of: int,
+    params: Params = Params(),
+    models: Models = Models(),
+    profiles: Sequence[SiteProfile] = PROFILES,
+) -> Ingested:
+    """The same from listing entries that are already there."""
+    records = article_records(to_follow(listing, ledger, as_of, params), pages, profiles)
     stored = stored_form(enrich(valid_articles(records), models, params), as_of)
     return with_side_tables(stored, rejected_articles(records), as_of)
 
