@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import paragraphs, refresh_text, short_text, token_count
-from storygraph.operators.embed import text_counts, unit_vector
+from storygraph.functions.vectors import let, unit_vector
+from storygraph.operators.embed import text_counts
 from storygraph.operators.summarize import lead_sentences
 from storygraph.params import Params
 
@@ -85,7 +86,7 @@ def cluster_text(passages: DataFrame, params: Params = Params()) -> DataFrame:
 def sum_counts(rows: DataFrame, keys: list[str], counts: str) -> DataFrame:
     """Element-wise sum of count arrays per key, combined before the shuffle."""
     return (
-        rows.select(*keys, F.posexplode(counts).alias("_pos", "_n"))
+        rows.select(*keys, F.posexplode_outer(counts).alias("_pos", "_n"))
         .filter("_n <> 0")
         .groupBy(*keys, "_pos")
         .agg(F.sum("_n").alias("_n"))
@@ -96,8 +97,10 @@ def sum_counts(rows: DataFrame, keys: list[str], counts: str) -> DataFrame:
 
 def dense(by_pos: Column, dim: int) -> Column:
     """Map bucket -> count as an array of fixed length."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(by_pos, i), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return let(
+        by_pos,
+        lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), zero)),
     )
 
 

@@ -53,12 +53,6 @@ def text_counts(text: Column, dim: int) -> Column:
     return counts(text)
 
 
-def unit_vector(counts: Column) -> Column:
-    """Counts scaled to length 1 as array<float>; all-zero counts stay zero."""
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)).cast("float"))
-
-
 def hashed_vectors(dim: int) -> EmbedFn:
     """The built-in model as a batch function."""
 

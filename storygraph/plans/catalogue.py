@@ -57,7 +57,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _long(df: DataFrame, key: str, vector: str, name: str = "bucket") -> DataFrame:
     """Non-zero components of a vector column as rows."""
-    return df.select(key, F.posexplode(vector).alias(name, "value")).filter("value <> 0").withColumn("value", F.col("value").cast("double"))
+    return df.select(key, F.posexplode_outer(vector).alias(name, "value")).filter("value <> 0").withColumn("value", F.col("value").cast("double"))
 
 
 # -- selection ---------------------------------------------------------------
@@ -479,7 +479,7 @@ def _run(spark, sf_dir) -> ClusterRun:
     """History: copies published before the cut. Run: everything published since, at the default thresholds."""
     articles = embed_articles(A.with_summary(_articles(spark, sf_dir)))
     old = articles.filter(F.col("article_published_date") < A.CUT)
-    clusters = C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT)
+    clusters = C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT).checkpoint()
     return cluster_run(articles.drop("doc_id", "copy_id"), clusters, A.AS_OF, RUN)
 
 
@@ -533,8 +533,7 @@ def joined_text_blocks(spark, sf_dir):
 
 @query
 def gallery_blocks(spark, sf_dir):
-    site = replace(A.WEB, hosts=("http",), gallery=("nav a", "@href"))
-    return _blocks(spark, sf_dir, site)
+    return _blocks(spark, sf_dir, replace(A.WEB, gallery=("nav a", "@href")))
 
 
 @query
