@@ -3,43 +3,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storygraph.session import materialize
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
     Nodes without an edge do not appear. A step takes the minimum per node as a
     combining aggregate and joins it back, so the star around a hot centre is
-    never one group in one task; lineage is cut by a checkpoint per round.
+    never one group in one task; each round is written out, which cuts the lineage.
     """
-    current, before = _kept(_clean(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
+    current = _written(_clean(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
     for _ in range(max_rounds):
-        current, after = _kept(_small_star(_large_star(current)))
-        if after == before:
+        if _are_stars(current):
             break
-        before = after
+        current = _written(_small_star(_large_star(current)))
     else:
         raise RuntimeError(f"no stable components after {max_rounds} rounds")
-    # Stable edges run from each node to the smallest node of its component.
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node has one smaller neighbour at most, and that one has none: its component's smallest node."""
+    up = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
+def _written(edges: DataFrame) -> DataFrame:
+    return materialize(edges)[0]
+
+
 def _clean(edges: DataFrame) -> DataFrame:
     """Edges from the larger to the smaller node, each once."""
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """Checkpoint the edges; the same job counts and hashes them for the stop test."""
-    seen = Observation()
-    digest = F.bit_xor(F.xxhash64("u", "v"))
-    kept = edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("h")).checkpoint(eager=True)
-    return kept, (seen.get["n"], seen.get["h"])
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

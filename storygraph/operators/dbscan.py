@@ -14,6 +14,7 @@ from storygraph.operators.block_join import block_count, matrix_of, self_grid
 from storygraph.operators.components import connected_components
 from storygraph.operators.vector_blocks import Forest, exact_dots, similar_tiles
 from storygraph.params import Params
+from storygraph.session import materialize
 
 # Float distance of vectors that are equal but for rounding may exceed a zero eps.
 ROUNDING = 1e-12
@@ -32,12 +33,10 @@ def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFram
         F.sha2(F.col(vec_col).cast("string"), 256).alias("vec_key"),
         F.col(vec_col).cast("array<float>").alias("vec"),
     )
-    nodes = (
-        rows.groupBy("vec_key")
-        .agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-        .checkpoint(eager=True)
+    nodes, seen = materialize(
+        rows.groupBy("vec_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     )
-    return nodes, rows.drop("vec"), nodes.count()
+    return nodes, rows.drop("vec"), seen["rows"]
 
 
 def _blocks(df: DataFrame, rows: int, params: Params, blocks: int | None) -> int:
@@ -156,11 +155,10 @@ def _general(nodes: DataFrame, blocks: int, bar: float, min_samples: int, id_typ
         .groupBy("node")
         .agg(F.sum("weight").alias("weight"))
     )
-    flagged = (
+    flagged, _ = materialize(
         nodes.join(degree, "node", "left")
         .withColumn("core", F.col("copies") + F.coalesce("weight", F.lit(0)) >= min_samples)
         .select("vec_key", "node", "vec", "core")
-        .checkpoint(eager=True)
     )
 
     def links(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
@@ -194,7 +192,7 @@ def _general(nodes: DataFrame, blocks: int, bar: float, min_samples: int, id_typ
         )
 
     schema = f"src {id_type}, dst {id_type}, border boolean"
-    found = self_grid(flagged.drop("vec_key"), "node", blocks, links, schema).checkpoint(eager=True)
+    found, _ = materialize(self_grid(flagged.drop("vec_key"), "node", blocks, links, schema))
     parts = connected_components(found.filter("not border"))
     cores = (
         flagged.filter("core")

@@ -57,9 +57,7 @@ def hashed_vectors(dim: int) -> EmbedFn:
     """The built-in model as a batch function."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        def one(text: str | None):
-            if text is None:
-                return None
+        def one(text: str):
             counts = ngram_counts(text, dim).astype(np.float64)
             length = np.linalg.norm(counts)
             return (counts / length if length else counts).astype(np.float32)
@@ -70,13 +68,18 @@ def hashed_vectors(dim: int) -> EmbedFn:
 
 
 def embed_text(text: Column, fn: EmbedFn | None = None, params: Params = Params()) -> Column:
-    """Vector of a text column by ``fn``, or by the built-in model."""
+    """Vector of a text column by ``fn``, or by the built-in model. NULL texts never reach the model."""
     model = fn or hashed_vectors(params.embed_dim)
 
     @F.pandas_udf("array<float>")
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield model(batch)
+            found = np.full(len(batch), None, dtype=object)
+            given = np.flatnonzero(batch.notna())
+            if len(given):
+                for at, vector in zip(given, model(batch.iloc[given])):
+                    found[at] = vector
+            yield pd.Series(found)
 
     return embed(text)
 
@@ -93,7 +96,6 @@ def embed_articles(articles: DataFrame, fn: EmbedFn | None = None, params: Param
 
 def fill_embeddings(articles: DataFrame, fn: EmbedFn | None = None, params: Params = Params()) -> DataFrame:
     """Keep stored embeddings; embed title and summary (or paragraphs) only where there is none."""
-    present = articles.filter("article_embeddings is not null")
     text = short_text(F.col("article_title"), F.col("article_summary"), F.col("article_content"))
-    missing = articles.filter("article_embeddings is null").withColumn("article_embeddings", embed_text(text, fn, params))
-    return present.unionByName(missing)
+    missing = F.when(F.col("article_embeddings").isNull(), text)
+    return articles.withColumn("article_embeddings", F.coalesce("article_embeddings", embed_text(missing, fn, params)))

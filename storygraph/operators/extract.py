@@ -19,6 +19,9 @@ from storygraph.functions.urls import absolute_url, strip_quotes, style_url, url
 from storygraph.operators.markup import Page, compile_selector, pick, read_page, select
 from storygraph.operators.profiles import PROFILES, BlockRule, SiteProfile
 from storygraph.schemas import BLOCK
+from storygraph.session import materialize
+
+BROADCAST_URLS = 200_000
 
 CARD_PICKS = ("link", "title", "image", "image_style")
 ELEMENT_PICKS = ("text", "iframe", "image", "caption", "video")
@@ -240,13 +243,16 @@ def extract_articles(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILE
 def article_records(listing: DataFrame, pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
     """Article rows: listing metadata joined with what the article page holds, not yet clustered.
 
-    The raw pages meet the few wanted URLs first, so only those are parsed.
+    The raw pages meet the wanted URLs first, so only those are parsed. Up to
+    ``BROADCAST_URLS`` of them go to the pages; beyond that the pages are shuffled.
     """
     asked = listing.withColumn(
         "request_url",
         _by_source(profiles, lambda p: absolute_url(F.col("article_url"), p.hosts[0].rstrip("/"))),
     )
-    wanted = pages.join(asked.select(F.col("request_url").alias("url")).distinct(), "url", "left_semi")
+    asked, seen = materialize(asked)
+    urls = asked.select(F.col("request_url").alias("url")).distinct()
+    wanted = pages.join(F.broadcast(urls) if seen["rows"] <= BROADCAST_URLS else urls, "url", "left_semi")
     found = extract_articles(wanted, profiles)
     return (
         asked.join(found.withColumnRenamed("url", "request_url"), ["source", "request_url"])

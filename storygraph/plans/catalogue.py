@@ -32,7 +32,7 @@ from storygraph.params import DAY_S, Params
 from storygraph.plans import adapters as A
 from storygraph.plans.cluster import ClusterRun, cluster_run
 from storygraph.plans.ingest import enrich, ingest_listing, stored_form
-from storygraph.session import prepare
+from storygraph.session import materialize, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -57,7 +57,9 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _long(df: DataFrame, key: str, vector: str, name: str = "bucket") -> DataFrame:
     """Non-zero components of a vector column as rows."""
-    return df.select(key, F.posexplode_outer(vector).alias(name, "value")).filter("value <> 0").withColumn("value", F.col("value").cast("double"))
+    return df.select(key, F.posexplode_outer(vector).alias(name, "value")).filter("value <> 0").select(
+        key, F.col(name).cast("bigint").alias(name), F.col("value").cast("double").alias("value")
+    )
 
 
 # -- selection ---------------------------------------------------------------
@@ -479,7 +481,7 @@ def _run(spark, sf_dir) -> ClusterRun:
     """History: copies published before the cut. Run: everything published since, at the default thresholds."""
     articles = embed_articles(A.with_summary(_articles(spark, sf_dir)))
     old = articles.filter(F.col("article_published_date") < A.CUT)
-    clusters = C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT).checkpoint()
+    clusters, _ = materialize(C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT))
     return cluster_run(articles.drop("doc_id", "copy_id"), clusters, A.AS_OF, RUN)
 
 

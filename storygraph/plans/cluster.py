@@ -13,6 +13,7 @@ from storygraph.operators.embed import EmbedFn, fill_embeddings
 from storygraph.operators.nearest import assign_to_clusters
 from storygraph.operators.selection import new_articles, recent_clusters
 from storygraph.params import Params
+from storygraph.session import materialize, scratch
 from storygraph.sources.tables import Store
 
 
@@ -35,24 +36,24 @@ def cluster_run(
 ) -> ClusterRun:
     """One run over tables as they stand. All articles meet the cluster vectors of the run's start.
 
-    ``article_id`` is unique over all sources. Decisions are checkpointed once; texts and contents are read only for the
-    articles that join a cluster.
+    ``article_id`` is unique over all sources. Vectors, decisions and the texts of
+    the articles that join a cluster are each written out once.
     """
     pending = new_articles(articles, as_of, params)
     state = recent_clusters(clusters, as_of, params)
-    vectors = (
-        fill_embeddings(pending.drop("cluster_id"), embed, params)
-        .select("article_id", "source", "article_published_date", "article_embeddings")
-        .checkpoint(eager=True)
+    vectors, _ = materialize(
+        fill_embeddings(pending.drop("cluster_id"), embed, params).select(
+            "article_id", "source", "article_published_date", "article_embeddings"
+        )
+    )
+    near, _ = materialize(
+        assign_to_clusters(vectors, state, "article_id", "article_embeddings", params.assign_threshold, params)
     )
-    near = assign_to_clusters(
-        vectors, state, "article_id", "article_embeddings", params.assign_threshold, params
-    ).checkpoint(eager=True)
     taken = near.filter("cluster_id is not null")
     rest = vectors.select("article_id", "article_embeddings").join(taken, "article_id", "left_anti")
     labels = dbscan(rest, "article_id", "article_embeddings", params.eps, params.min_samples, params)
     grouped = labels.filter("label is not null").select("article_id", new_cluster_id(F.col("label"), as_of).alias("new_id"))
-    decisions = (
+    decisions, _ = materialize(
         vectors.drop("article_embeddings")
         .join(near, "article_id", "left")
         .join(grouped, "article_id", "left")
@@ -67,19 +68,18 @@ def cluster_run(
             .alias("stage"),
             "similarity",
         )
-        .checkpoint(eager=True)
     )
     members = decisions.filter("cluster_id is not null").select(
         "cluster_id", "source", "article_id", F.lit(as_of).cast("bigint").alias("added_at")
     )
     texts = pending.select("source", "article_id", "article_title", "article_summary", "article_content")
-
-    def joined(stage: str) -> DataFrame:
-        keys = decisions.filter(F.col("stage") == stage).select("cluster_id", "source", "article_id")
-        return keys.join(texts, ["source", "article_id"])
-
-    changed = extend_clusters(state, joined("assigned"), as_of, params).unionByName(
-        build_clusters(joined("grouped"), as_of, params)
+    joining, _ = materialize(
+        decisions.filter("cluster_id is not null")
+        .select("cluster_id", "source", "article_id", "stage")
+        .join(texts, ["source", "article_id"])
+    )
+    changed = extend_clusters(state, joining.filter("stage = 'assigned'"), as_of, params).unionByName(
+        build_clusters(joining.filter("stage = 'grouped'"), as_of, params)
     )
     return ClusterRun(decisions, changed, members, run_metrics(decisions, state))
 
@@ -97,8 +97,8 @@ def run_metrics(decisions: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(), embed: EmbedFn | None = None) -> ClusterRun:
-    """Run one cluster batch against the stored tables. Running it again changes nothing.
+def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(), embed: EmbedFn | None = None) -> dict:
+    """Run one cluster batch against the stored tables; gives its metrics. Running it again changes nothing.
 
     Reads the publication days of the lookback and the clusters updated within
     theirs; writes only additions.
@@ -106,9 +106,11 @@ def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(),
     as_of, upto = store.open_run("cluster", batch, now)
     articles = store.pending_articles(batch, upto, as_of - params.article_lookback_s)
     clusters = store.clusters(before=batch, since=as_of - params.cluster_lookback_s)
-    run = cluster_run(articles, clusters, as_of, params, embed)
-    store.add_clusters(run.changed, batch)
-    store.add_members(run.members, batch)
-    store.add_assignments(run.decisions.filter("cluster_id is not null"), batch)
+    with scratch(store.spark):
+        run = cluster_run(articles, clusters, as_of, params, embed)
+        store.add_clusters(run.changed, batch)
+        store.add_members(run.members, batch)
+        store.add_assignments(run.decisions.filter("cluster_id is not null"), batch)
+        metrics = run.metrics.first().asDict()
     store.close_run("cluster", batch)
-    return run
+    return metrics

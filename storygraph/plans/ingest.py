@@ -18,6 +18,7 @@ from storygraph.operators.stats import article_stats
 from storygraph.operators.summarize import SummaryFn, summarize_articles
 from storygraph.params import Params
 from storygraph.schemas import ARTICLES
+from storygraph.session import scratch
 from storygraph.sources.tables import Store
 
 
@@ -106,10 +107,11 @@ def ingest_batch(
 ) -> None:
     """Run one ingest batch against the stored tables. Running it again changes nothing."""
     as_of, _ = store.open_run("ingest", batch, now)
-    run = ingest_run(pages, store.ledger(before=batch), as_of, params, models, profiles)
-    store.add_articles(run.articles, batch)
-    # Ledger and counters come from the stored rows: pages are not parsed again.
-    side = with_side_tables(store.articles_of(batch), run.rejected, as_of)
-    store.add_ledger(side.ledger, batch)
-    store.add_stats(side.stats, batch)
+    with scratch(store.spark):
+        run = ingest_run(pages, store.ledger(before=batch), as_of, params, models, profiles)
+        store.add_articles(run.articles, batch)
+        # Ledger and counters come from the stored rows: pages are not parsed again.
+        side = with_side_tables(store.articles_of(batch), run.rejected, as_of)
+        store.add_ledger(side.ledger, batch)
+        store.add_stats(side.stats, batch)
     store.close_run("ingest", batch)

@@ -277,7 +277,7 @@ SELECT cluster_id, (('0x' || substr(article_id, 1, 8))::BIGINT * parts) // 42949
 FROM p JOIN z USING (cluster_id) GROUP BY 1, 2""",
     "cluster_embedding_text": f"""
 WITH {ART}
-SELECT cluster_id, 0 AS part, string_agg({SHORT_TEXT}, chr(10) || chr(10) ORDER BY article_id) AS text FROM members GROUP BY 1""",
+SELECT cluster_id, 0::BIGINT AS part, string_agg({SHORT_TEXT}, chr(10) || chr(10) ORDER BY article_id) AS text FROM members GROUP BY 1""",
     "cluster_embedding": f"""
 WITH {ART}, {counts("x", f"SELECT cluster_id AS k, {SHORT_TEXT} AS t FROM members")}
 SELECT k AS cluster_id, bucket, value FROM x_v""",
@@ -285,7 +285,7 @@ SELECT k AS cluster_id, bucket, value FROM x_v""",
     "cluster_members": f"""
 WITH {ART},
 m AS (SELECT cluster_id, source || '/' || article_id AS ref, ceil(count(*) OVER (PARTITION BY cluster_id) / 2)::BIGINT AS chunks FROM members)
-SELECT cluster_id, {AS_OF} AS added_at, {SPOT.format("ref")} % chunks AS chunk, string_agg(ref, ' ' ORDER BY ref) AS articles
+SELECT cluster_id, {AS_OF}::BIGINT AS added_at, {SPOT.format("ref")} % chunks AS chunk, string_agg(ref, ' ' ORDER BY ref) AS articles
 FROM m GROUP BY 1, 2, 3""",
     "member_additions": f"""
 WITH {ART} SELECT cluster_id, source, article_id, published AS added_at FROM members WHERE published >= {CUT}""",
@@ -293,23 +293,23 @@ WITH {ART} SELECT cluster_id, source, article_id, published AS added_at FROM mem
 WITH {ART}
 SELECT cluster_id, source, article_id, published AS added_at, title AS article_title,
        coalesce(summary, '') AS article_summary, n_blocks FROM members WHERE n_blocks > 0""",
-    "new_clusters": f"WITH {ART}, l AS ({LEAD_MEMBER.format(rows='members')}) SELECT *, {AS_OF} AS last_updated FROM l",
-    "updated_clusters": f"WITH {UPDATED}, l AS ({LEAD_MEMBER.format(rows='everyone')}) SELECT *, {AS_OF} AS last_updated FROM l",
+    "new_clusters": f"WITH {ART}, l AS ({LEAD_MEMBER.format(rows='members')}) SELECT *, {AS_OF}::BIGINT AS last_updated FROM l",
+    "updated_clusters": f"WITH {UPDATED}, l AS ({LEAD_MEMBER.format(rows='everyone')}) SELECT *, {AS_OF}::BIGINT AS last_updated FROM l",
     "updated_cluster_embedding": f"""
 WITH {UPDATED}, {counts("x", f"SELECT cluster_id AS k, {REFRESH_TEXT} AS t FROM everyone")}
 SELECT k AS cluster_id, bucket, value FROM x_v""",
     "upserted_clusters": f"""
 WITH {UPDATED}
-SELECT cluster_id, {AS_OF} AS last_updated, count(*) AS n_members FROM everyone GROUP BY 1
+SELECT cluster_id, {AS_OF}::BIGINT AS last_updated, count(*) AS n_members FROM everyone GROUP BY 1
 UNION ALL
-SELECT cluster_id, {HISTORY_AT}, count(*) FROM old_members WHERE cluster_id NOT IN (SELECT copy_id FROM touched) GROUP BY 1""",
+SELECT cluster_id, {HISTORY_AT}::BIGINT, count(*) FROM old_members WHERE cluster_id NOT IN (SELECT copy_id FROM touched) GROUP BY 1""",
     "articles_with_cluster": f"""
 WITH {ART} SELECT a.source, a.article_id, m.cluster_id FROM art a LEFT JOIN members m USING (article_id)""",
     "cluster_run_decisions": f"WITH RECURSIVE {RUN} SELECT * FROM decided",
     "cluster_run_changes": f"""
 WITH RECURSIVE {RUN},
 had AS (SELECT cluster_id, count(*) AS n FROM old_members GROUP BY 1)
-SELECT cluster_id, count(*) + coalesce(any_value(n), 0) AS n_members, {AS_OF} AS last_updated
+SELECT cluster_id, count(*) + coalesce(any_value(n), 0) AS n_members, {AS_OF}::BIGINT AS last_updated
 FROM decided LEFT JOIN had USING (cluster_id) WHERE cluster_id IS NOT NULL GROUP BY 1""",
     "run_metrics": f"""
 WITH RECURSIVE {RUN}

@@ -1,11 +1,16 @@
-"""Spark session set-up shared by tests, bench and the query catalogue."""
+"""Spark session set-up, and tables in the shared checkpoint folder that cut lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # SQL settings the operators are designed for; all can be set on a live session.
 SQL_SETTINGS = {
@@ -14,8 +19,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when the split costs an extra shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Vectors are wide: keep the Arrow batches handed to Python small.
+    # Vectors and pages are wide: keep the Arrow batches handed to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
@@ -32,30 +38,63 @@ def build_session(app_name: str = "storygraph", master: str | None = None, shuff
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session somebody else made, and make checkpoints possible."""
+    """Apply the SQL settings to a session somebody else made, and make sure lineage can be cut."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
+    checkpoint_folder(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
     driver and executors share one disk, falls back to a temporary folder.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
-        if current is None:
-            sc.setCheckpointDir(configured)
         return configured
-    if current is not None:
-        return current
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="storygraph-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder
+
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def materialize(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` as a table in the checkpoint folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, keeps columns prunable and
+    gives the planner real sizes. ``rows`` and any further aggregates are
+    measured by the same job.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/storygraph-{uuid.uuid4().hex}"
+    seen = Observation()
+    measured = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()])
+    measured.write.parquet(path)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` wrote inside the block when it ends."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        sc = spark.sparkContext
+        for name in paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
