@@ -30,9 +30,11 @@ def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFram
     """
     rows = df.filter(usable(F.col(vec_col))).select(
         F.col(id_col).alias("id"),
-        F.sha2(F.col(vec_col).cast("string"), 256).alias("vec_key"),
         F.col(vec_col).cast("array<float>").alias("vec"),
     )
+    # Two 64-bit hashes under different seeds, cheaper to shuffle and compare than the vector.
+    key = F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))
+    rows = rows.select("id", key.cast("struct<a:bigint,b:bigint>").alias("vec_key"), "vec")
     nodes, seen = materialize(
         rows.groupBy("vec_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     )

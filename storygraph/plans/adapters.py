@@ -21,7 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents_as_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same for work in Python: a table in fewer files than there are cores is dealt out to all of them.
+
+    Stored data in many files is left as it is, without a shuffle.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+
+
+def documents_as_articles(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Articles: first line as title, further lines as blocks (short lines as images)."""
     lines = F.split("text", "\n")
     none = F.lit(None).cast("string")
@@ -31,7 +41,7 @@ def documents_as_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(kind.alias("type"), line.alias("content"), none.alias("content_caption"), none.alias("src"))
 
     rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return table(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents").select(
         "doc_id",
         "source",
         F.sha2(F.col("doc_id").cast("string"), 256).alias("article_id"),

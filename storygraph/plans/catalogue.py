@@ -55,6 +55,10 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.documents_as_articles(spark, sf_dir)
 
 
+def _spread_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.documents_as_articles(spark, sf_dir, A.spread_table)
+
+
 def _long(df: DataFrame, key: str, vector: str, name: str = "bucket") -> DataFrame:
     """Non-zero components of a vector column as rows."""
     return df.select(key, F.posexplode_outer(vector).alias(name, "value")).filter("value <> 0").select(
@@ -279,13 +283,13 @@ def parse_summary_json(spark, sf_dir):
 
 @query
 def embed_documents(spark, sf_dir):
-    return _long(embed_articles(_articles(spark, sf_dir)), "article_id", "article_embeddings")
+    return _long(embed_articles(_spread_articles(spark, sf_dir)), "article_id", "article_embeddings")
 
 
 @query
 def embedding_fill(spark, sf_dir):
     stored = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("article_embeddings"))
-    articles = A.with_summary(_articles(spark, sf_dir)).drop("article_embeddings").join(stored, "doc_id", "left")
+    articles = A.with_summary(_spread_articles(spark, sf_dir)).drop("article_embeddings").join(stored, "doc_id", "left")
     return _long(fill_embeddings(articles, params=Params(embed_dim=64)), "article_id", "article_embeddings")
 
 
@@ -296,7 +300,7 @@ def summarize_documents(spark, sf_dir):
 
 @query
 def enrich_articles(spark, sf_dir):
-    rows = enrich(valid_articles(_articles(spark, sf_dir)))
+    rows = enrich(valid_articles(_spread_articles(spark, sf_dir)))
     used = F.size(F.filter("article_embeddings", lambda x: x != 0)).cast("bigint")
     return rows.select("article_id", "article_summary", used.alias("n_buckets"))
 
@@ -397,7 +401,7 @@ def cluster_embedding_text(spark, sf_dir):
 
 @query
 def cluster_embedding(spark, sf_dir):
-    members = A.copy_member_articles(A.with_summary(_articles(spark, sf_dir)))
+    members = A.copy_member_articles(A.with_summary(_spread_articles(spark, sf_dir)))
     return _long(C.cluster_embedding(members), "cluster_id", "cluster_embedding")
 
 
@@ -439,13 +443,13 @@ TEXT_FIELDS = ["cluster_id", "cluster_title", "cluster_content", "last_updated",
 
 @query
 def new_clusters(spark, sf_dir):
-    members = A.copy_member_articles(A.with_summary(_articles(spark, sf_dir)))
+    members = A.copy_member_articles(A.with_summary(_spread_articles(spark, sf_dir)))
     return C.build_clusters(members, A.AS_OF).select(TEXT_FIELDS)
 
 
 def _history_and_additions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Clusters of the copies published before the cut, and the copies published after it."""
-    articles = A.with_summary(_articles(spark, sf_dir))
+    articles = A.with_summary(_spread_articles(spark, sf_dir))
     old = articles.filter(F.col("article_published_date") < A.CUT)
     history = C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT)
     fresh = articles.filter(F.col("article_published_date") >= A.CUT).withColumn("cluster_id", F.col("copy_id"))
@@ -479,7 +483,7 @@ def articles_with_cluster(spark, sf_dir):
 
 def _run(spark, sf_dir) -> ClusterRun:
     """History: copies published before the cut. Run: everything published since, at the default thresholds."""
-    articles = embed_articles(A.with_summary(_articles(spark, sf_dir)))
+    articles = embed_articles(A.with_summary(_spread_articles(spark, sf_dir)))
     old = articles.filter(F.col("article_published_date") < A.CUT)
     clusters, _ = materialize(C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT))
     return cluster_run(articles.drop("doc_id", "copy_id"), clusters, A.AS_OF, RUN)
@@ -504,7 +508,7 @@ def run_metrics(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir, profile) -> DataFrame:
-    pages = A.table(spark, sf_dir, "pages")
+    pages = A.spread_table(spark, sf_dir, "pages")
     return extract_articles(pages, [profile]).select("url", F.posexplode("article_content").alias("position", "b")).select(
         "url", F.col("position").cast("bigint").alias("position"), F.col("b.type").alias("type"), F.col("b.content").alias("content")
     )
@@ -512,7 +516,7 @@ def _blocks(spark, sf_dir, profile) -> DataFrame:
 
 @query
 def extract_listing(spark, sf_dir):
-    rows = listing_rows(shred_listings(A.table(spark, sf_dir, "pages"), [A.WEB]), [A.WEB])
+    rows = listing_rows(shred_listings(A.spread_table(spark, sf_dir, "pages"), [A.WEB]), [A.WEB])
     return rows.select(
         "listing_url", "category", F.col("position").cast("bigint").alias("position"), "article_url", "title", "thumbnail"
     )
@@ -540,12 +544,12 @@ def gallery_blocks(spark, sf_dir):
 
 @query
 def article_image(spark, sf_dir):
-    return extract_articles(A.table(spark, sf_dir, "pages"), [A.WEB]).select("url", "article_image")
+    return extract_articles(A.spread_table(spark, sf_dir, "pages"), [A.WEB]).select("url", "article_image")
 
 
 @query
 def article_page_records(spark, sf_dir):
-    pages = A.table(spark, sf_dir, "pages")
+    pages = A.spread_table(spark, sf_dir, "pages")
     rows = article_records(A.page_listing(pages), pages, [A.WEB])
     return rows.select(
         "article_url", "article_title", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "cluster_id"
@@ -554,7 +558,7 @@ def article_page_records(spark, sf_dir):
 
 @query
 def ingest_run(spark, sf_dir):
-    pages = A.table(spark, sf_dir, "pages")
+    pages = A.spread_table(spark, sf_dir, "pages")
     listing = A.page_listing(pages)
     seen = listing.filter(F.col("article_url").startswith("http:")).select(
         "source", "category", F.col("article_url").alias("url"), F.lit(A.AS_OF).cast("bigint").alias("ts_s")

@@ -45,14 +45,15 @@ SHORT_TEXT = strip("title || ' ' || coalesce(summary, body)")
 REFRESH_TEXT = strip("title || ' ' || coalesce(summary, '')")
 
 
-def counts(name: str, rows: str, dim: int = 512) -> str:
-    """CTEs: signed 3-gram counts of ``rows`` (k, t) as ``name`` (k, bucket, n) and scaled as ``name``_v."""
+def counts(name: str, rows: str, dim: int = 512, words: int | None = None) -> str:
+    """CTEs: signed 3-gram counts of the first ``words`` of ``rows`` (k, t) as ``name`` (k, bucket, n), scaled as ``name``_v."""
+    cut = f"[1:{words}]" if words else ""
     return f"""
 {name}_w AS (
   SELECT k, d, w, p, count(*) OVER (PARTITION BY d) AS m,
          lead(w, 1) OVER (PARTITION BY d ORDER BY p) AS w1, lead(w, 2) OVER (PARTITION BY d ORDER BY p) AS w2
   FROM (SELECT k, d, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
-        FROM (SELECT k, row_number() OVER () AS d, regexp_extract_all(lower(t), '\\S+') AS ws FROM ({rows})))),
+        FROM (SELECT k, row_number() OVER () AS d, regexp_extract_all(lower(t), '\\S+'){cut} AS ws FROM ({rows})))),
 {name}_g AS (
   SELECT k, CASE WHEN m < 3 THEN w ELSE w || ' ' || w1 || ' ' || w2 END AS g FROM {name}_w WHERE m < 3 OR w2 IS NOT NULL),
 {name}_h AS (SELECT k, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM {name}_g),
@@ -113,7 +114,7 @@ old_members AS (
   SELECT copy_id AS cluster_id, a.* FROM art a WHERE published < {CUT}
   AND copy_id IN (SELECT copy_id FROM art WHERE published < {CUT} GROUP BY copy_id HAVING count(*) >= 2)),
 fresh AS (SELECT * FROM art WHERE published >= {CUT}),
-{counts("av", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM fresh")},
+{counts("av", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM fresh", words=8000)},
 {dense("av")},
 {counts("cv", f"SELECT cluster_id AS k, {SHORT_TEXT} AS t FROM old_members")},
 {dense("cv")},
@@ -231,7 +232,7 @@ SELECT doc_id, CASE WHEN len(ws) > 50 THEN array_to_string(ws[1:50], ' ') ELSE t
 WITH {ART} SELECT article_id, CASE WHEN n_blocks > 0 THEN title END AS cluster_title,
        CASE WHEN n_blocks > 0 THEN category END AS cluster_content FROM art""",
     "embed_documents": f"""
-WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art")}
+WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art", words=8000)}
 SELECT k AS article_id, bucket, value FROM x_v""",
     "embedding_fill": f"""
 WITH {ART},
@@ -243,7 +244,7 @@ SELECT article_id, i - 1, v FROM (
   FROM art JOIN embeddings ON vec_id = doc_id) WHERE v <> 0""",
     "summarize_documents": f"WITH {ART} SELECT article_id, summary AS article_summary FROM art",
     "enrich_articles": f"""
-WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art WHERE n_blocks > 0")}
+WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art WHERE n_blocks > 0", words=8000)}
 SELECT article_id, any_value(summary) AS article_summary, count(*) AS n_buckets FROM art JOIN x ON k = article_id GROUP BY 1""",
     "cosine_pairs": f"""
 WITH {EMB}, c AS (SELECT label, arg_min(v, vec_id) AS cv FROM e GROUP BY label)
