@@ -26,16 +26,16 @@ QUERIES = [
     "enrich_articles",
     "cluster_embedding",
     "updated_cluster_embedding",
-    "cluster_run_decisions",
+    "cluster_run",
     "cluster_run_changes",
     "extract_listing",
     "extract_blocks",
     "ingest_run",
     "ledger_sets",
     "daily_url_dedup",
-    "listing_quota_5",
-    "unseen_feed_urls",
-    "feed_counters",
+    "listing_quota",
+    "unseen_urls",
+    "feed_stats",
     "parse_date_named_month",
 ]
 

@@ -1,5 +1,6 @@
 """Connected components of an edge table: alternating large-star and small-star steps
-(Kiveris et al., Connected Components in MapReduce and Beyond, 2014)."""
+(Kiveris et al., Connected Components in MapReduce and Beyond, 2014), finished by pointer
+jumping once every node has a single parent."""
 
 from __future__ import annotations
 
@@ -14,25 +15,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Nodes without an edge do not appear. A step takes the minimum per node as a
     combining aggregate and joins it back, so the star around a hot centre is
-    never one group in one task; each round is written out, which cuts the lineage.
+    never one group in one task; every step is written out, which cuts the lineage and
+    keeps its two readers from computing it twice.
     """
     current = _written(_clean(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
     for _ in range(max_rounds):
-        if _are_stars(current):
+        parents, deep = _shape(current)
+        if parents <= 1 and not deep:
             break
-        current = _written(_small_star(_large_star(current)))
+        current = _written(_jump(current) if parents <= 1 else _small_star(_written(_large_star(current))))
     else:
         raise RuntimeError(f"no stable components after {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Every node has one smaller neighbour at most, and that one has none: its component's smallest node."""
+def _shape(edges: DataFrame) -> tuple[int, int]:
+    """Most smaller neighbours of any node, and whether one of those has a smaller neighbour itself.
+
+    One and no: each component is a star around its smallest node.
+    """
     up = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     down = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     ends = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return ends.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+    row = ends.agg(F.max("up").alias("up"), F.max(F.least("up", "down")).alias("deep")).first()
+    return row.up or 0, row.deep or 0
+
+
+def _jump(edges: DataFrame) -> DataFrame:
+    """In a forest of parent links, link each node to its parent's parent."""
+    parent = edges.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    return edges.join(parent, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
 
 
 def _written(edges: DataFrame) -> DataFrame:
@@ -54,5 +67,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _clean(moved.unionByName(least.select("u", F.col("m").alias("v"))))
+    # The row of the smallest neighbour itself stands for the node.
+    moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return _clean(edges.join(least, "u").select(moved.alias("u"), F.col("m").alias("v")))

@@ -83,9 +83,13 @@ def copy_member_articles(articles: DataFrame) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing entries: events of three sources; a listing is one source, category and UTC day."""
+    return feed_columns(table(spark, sf_dir, "events"))
+
+
+def feed_columns(events: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     source = F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         source.alias("source"),
         F.col("event_type").alias("category"),

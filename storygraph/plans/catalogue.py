@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storygraph.functions.dates import MONTHS_SQ, local_to_epoch, parse_day_month_year, parse_iso, parse_named_month, utc_day
@@ -25,6 +25,7 @@ from storygraph.operators.ledger import (
     unseen_urls,
 )
 from storygraph.operators.nearest import assign_to_clusters
+from storygraph.operators.profiles import BlockRule
 from storygraph.operators.selection import new_articles, recent_clusters, rejected_articles, valid_articles
 from storygraph.operators.stats import article_stats, stats_increment
 from storygraph.operators.summarize import parse_summary, summarize_articles
@@ -32,7 +33,9 @@ from storygraph.params import DAY_S, Params
 from storygraph.plans import adapters as A
 from storygraph.plans.cluster import ClusterRun, cluster_run
 from storygraph.plans.ingest import enrich, ingest_listing, stored_form
-from storygraph.session import materialize, prepare
+from storygraph.session import materialize, prepare, scratch_path
+from storygraph.streaming.jobs import daily_url_dedup as daily_url_dedup_stream
+from storygraph.streaming.jobs import running_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -43,12 +46,17 @@ PART_CHARS = 2000
 RUN = Params(article_lookback_s=10 * DAY_S)
 
 
-def query(fn: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a query under a name; it gets a session with this package's settings."""
 
-    REGISTRY[fn.__name__] = run
-    return run
+    def register(fn: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(prepare(spark), sf_dir)
+
+        REGISTRY[name] = run
+        return fn
+
+    return register
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +77,7 @@ def _long(df: DataFrame, key: str, vector: str, name: str = "bucket") -> DataFra
 # -- selection ---------------------------------------------------------------
 
 
-@query
+@query("new_articles")
 def new_articles_24h(spark, sf_dir):
     marked = _articles(spark, sf_dir).drop("cluster_id").join(
         A.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit("old").alias("cluster_id")), "doc_id", "left"
@@ -77,7 +85,7 @@ def new_articles_24h(spark, sf_dir):
     return new_articles(marked, A.AS_OF).select("article_id", "source", "article_published_date")
 
 
-@query
+@query("recent_clusters")
 def recent_clusters_7d(spark, sf_dir):
     clusters = _articles(spark, sf_dir).groupBy(F.col("copy_id").alias("cluster_id")).agg(
         F.max("article_published_date").alias("last_updated")
@@ -85,14 +93,14 @@ def recent_clusters_7d(spark, sf_dir):
     return recent_clusters(clusters, A.AS_OF)
 
 
-@query
+@query("valid_articles")
 def valid_article_rows(spark, sf_dir):
     articles = _articles(spark, sf_dir)
     kept = valid_articles(articles).select("article_id", F.lit("ok").alias("reason"))
     return kept.unionByName(rejected_articles(articles).select("article_id", "reason"))
 
 
-@query
+@query("store_articles")
 def store_articles(spark, sf_dir):
     stored = stored_form(valid_articles(A.with_summary(_articles(spark, sf_dir))), A.AS_OF)
     return stored.select(
@@ -111,54 +119,54 @@ def store_articles(spark, sf_dir):
 # -- ledger, quota, counters ---------------------------------------------------
 
 
-@query
+@query("ledger_today")
 def ledger_today(spark, sf_dir):
     at = A.START + 14 * DAY_S + 3600
     return ledger_of_day(ledger_rows(A.feed(spark, sf_dir)), at, source="s1")
 
 
-@query
+@query("ledger_sets")
 def ledger_sets(spark, sf_dir):
     docs = ledger_documents(ledger_rows(A.feed(spark, sf_dir)), urls_per_chunk=20)
     return docs.withColumn("urls", F.array_join("urls", " "))
 
 
-@query
+@query("ledger_upsert")
 def ledger_upsert(spark, sf_dir):
     feed = A.feed(spark, sf_dir)
     stored = ledger_rows(feed.filter("value > 20"))
     return ledger_additions(ledger_rows(feed), stored)
 
 
-@query
+@query("unseen_urls")
 def unseen_feed_urls(spark, sf_dir):
     feed = A.feed(spark, sf_dir)
     today = ledger_of_day(ledger_rows(feed.filter("value > 20")), A.START + 29 * DAY_S)
     return unseen_urls(feed.withColumnRenamed("url", "article_url"), today).select("event_id", "source", "category")
 
 
-@query
+@query("listing_quota")
 def listing_quota_5(spark, sf_dir):
     entries = A.feed(spark, sf_dir).withColumnRenamed("url", "article_url")
     return listing_quota(entries).select("listing_url", "event_id")
 
 
-@query
+@query("daily_url_dedup")
 def daily_url_dedup(spark, sf_dir):
     return ledger_rows(A.feed(spark, sf_dir))
 
 
-@query
+@query("article_stats")
 def article_counters(spark, sf_dir):
     return article_stats(_articles(spark, sf_dir).select("source", "article_category"))
 
 
-@query
+@query("feed_stats")
 def feed_counters(spark, sf_dir):
     return article_stats(A.feed(spark, sf_dir).select("source", "category"), "category")
 
 
-@query
+@query("stats_increment")
 def stats_upsert(spark, sf_dir):
     rows = _articles(spark, sf_dir).select("source", "article_category", "article_published_date")
     stored = article_stats(rows.filter(F.col("article_published_date") < A.CUT))
@@ -168,7 +176,7 @@ def stats_upsert(spark, sf_dir):
 # -- scalar functions ----------------------------------------------------------
 
 
-@query
+@query("url_category")
 def url_categories(spark, sf_dir):
     url = F.col("url")
     return A.table(spark, sf_dir, "pages").select(
@@ -176,7 +184,7 @@ def url_categories(spark, sf_dir):
     )
 
 
-@query
+@query("absolute_url")
 def absolute_urls(spark, sf_dir):
     path = F.regexp_replace("url", "^https:", "")
     return A.table(spark, sf_dir, "pages").select(
@@ -186,14 +194,14 @@ def absolute_urls(spark, sf_dir):
     )
 
 
-@query
+@query("style_image_url")
 def style_image_url(spark, sf_dir):
     quoted = F.concat(F.lit("background:url('"), F.col("url"), F.lit("') center, url(b)"))
     style = F.when(F.col("url").startswith("https"), quoted).otherwise(F.col("url"))
     return A.table(spark, sf_dir, "pages").select("page_id", strip_quotes(style_url(style)).alias("image"))
 
 
-@query
+@query("source_name")
 def source_names(spark, sf_dir):
     name = F.concat_ws("_", F.upper("source"), "lang")
     return A.table(spark, sf_dir, "documents").select("doc_id", source_name(name).alias("source"))
@@ -205,13 +213,13 @@ def _wall(spark, sf_dir) -> DataFrame:
     )
 
 
-@query
+@query("parse_date_iso")
 def parse_date_iso(spark, sf_dir):
     text = F.concat(F.date_format("wall", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
     return _wall(spark, sf_dir).select("event_id", parse_iso(text).alias("epoch_s"))
 
 
-@query
+@query("parse_date_named_month")
 def parse_date_named_month(spark, sf_dir):
     names = F.array(*[F.lit(m) for m in MONTHS_SQ])
     text = F.concat_ws(
@@ -223,13 +231,13 @@ def parse_date_named_month(spark, sf_dir):
     return _wall(spark, sf_dir).select("event_id", parse_named_month(text).alias("epoch_s"))
 
 
-@query
+@query("parse_date_dmy")
 def parse_date_dmy(spark, sf_dir):
     date, time = F.date_format("wall", " dd/MM/yyyy"), F.date_format("wall", "HH:mm ")
     return _wall(spark, sf_dir).select("event_id", parse_day_month_year(date, time).alias("epoch_s"))
 
 
-@query
+@query("local_to_epoch")
 def local_time_to_epoch(spark, sf_dir):
     return _wall(spark, sf_dir).select(
         "event_id",
@@ -238,7 +246,7 @@ def local_time_to_epoch(spark, sf_dir):
     )
 
 
-@query
+@query("article_text")
 def article_texts(spark, sf_dir):
     title, content = F.col("article_title"), F.col("article_content")
     return _articles(spark, sf_dir).select(
@@ -246,24 +254,24 @@ def article_texts(spark, sf_dir):
     )
 
 
-@query
+@query("article_text_short")
 def article_text_short(spark, sf_dir):
     rows = A.with_summary(_articles(spark, sf_dir))
     text = short_text(F.col("article_title"), F.col("article_summary"), F.col("article_content"))
     return rows.select("article_id", text.alias("short_text"))
 
 
-@query
+@query("token_count")
 def token_counts(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).cast("bigint").alias("n_tokens"))
 
 
-@query
+@query("truncate_tokens")
 def truncated_texts(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", truncate_tokens(F.col("text"), 50).alias("text"))
 
 
-@query
+@query("summary_gate")
 def summary_gate(spark, sf_dir):
     words = token_count(paragraphs(F.col("article_content")))
     return _articles(spark, sf_dir).select(
@@ -271,7 +279,7 @@ def summary_gate(spark, sf_dir):
     )
 
 
-@query
+@query("parse_summary_json")
 def parse_summary_json(spark, sf_dir):
     text = F.to_json(F.struct(F.col("article_title").alias("cluster_title"), F.col("article_category").alias("cluster_content")))
     broken = F.when(F.size("article_content") == 0, F.left(text, F.lit(12))).otherwise(text)
@@ -281,24 +289,24 @@ def parse_summary_json(spark, sf_dir):
 # -- models --------------------------------------------------------------------
 
 
-@query
+@query("embed_documents")
 def embed_documents(spark, sf_dir):
     return _long(embed_articles(_spread_articles(spark, sf_dir)), "article_id", "article_embeddings")
 
 
-@query
+@query("embedding_fill")
 def embedding_fill(spark, sf_dir):
     stored = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("article_embeddings"))
     articles = A.with_summary(_spread_articles(spark, sf_dir)).drop("article_embeddings").join(stored, "doc_id", "left")
     return _long(fill_embeddings(articles, params=Params(embed_dim=64)), "article_id", "article_embeddings")
 
 
-@query
+@query("summarize_documents")
 def summarize_documents(spark, sf_dir):
     return summarize_articles(_articles(spark, sf_dir)).select("article_id", "article_summary")
 
 
-@query
+@query("enrich_articles")
 def enrich_articles(spark, sf_dir):
     rows = enrich(valid_articles(_spread_articles(spark, sf_dir)))
     used = F.size(F.filter("article_embeddings", lambda x: x != 0)).cast("bigint")
@@ -321,7 +329,7 @@ def _vector_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return vectors, clusters
 
 
-@query
+@query("cosine_pairs")
 def cosine_pairs(spark, sf_dir):
     vectors, clusters = _vector_clusters(spark, sf_dir)
     both = vectors.join(clusters.select(F.col("cluster_id").alias("label"), "cluster_embedding"), "label")
@@ -335,45 +343,45 @@ def _assigned(spark, sf_dir, mode=None) -> DataFrame:
     return assign_to_clusters(articles, clusters, "vec_id", "embedding", NEAR, mode=mode)
 
 
-@query
+@query("assign_nearest")
 def assign_nearest(spark, sf_dir):
     rows = _assigned(spark, sf_dir).filter("cluster_id is not null")
     return rows.select("vec_id", "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query
+@query("assign_nearest_blocks")
 def assign_nearest_blocks(spark, sf_dir):
     """The same by block pairs, the way taken when clusters are too many to broadcast."""
     rows = _assigned(spark, sf_dir, mode="blocks").filter("cluster_id is not null")
     return rows.select("vec_id", "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query
+@query("unassigned_articles")
 def unassigned_articles(spark, sf_dir):
     rows = _assigned(spark, sf_dir).filter("cluster_id is null")
     return rows.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query
+@query("similar_pairs")
 def similar_pairs(spark, sf_dir):
     pairs = eps_join(A.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-@query
+@query("dbscan_labels")
 def dbscan_labels(spark, sf_dir):
     labels = dbscan(A.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS, 2)
     return labels.select("vec_id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 
-@query
+@query("dbscan_core_border")
 def dbscan_core_border(spark, sf_dir):
     """Three samples per core point: border points exist and join the lowest cluster."""
     labels = dbscan(A.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS, 3)
     return labels.select("vec_id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 
-@query
+@query("cluster_labels")
 def cluster_labels(spark, sf_dir):
     vectors = A.table(spark, sf_dir, "embeddings")
     labels = dbscan(vectors, "vec_id", "embedding", EPS, 2).filter("label is not null")
@@ -383,7 +391,7 @@ def cluster_labels(spark, sf_dir):
 # -- cluster upkeep ------------------------------------------------------------
 
 
-@query
+@query("cluster_text")
 def cluster_text(spark, sf_dir):
     members = A.copy_member_articles(_articles(spark, sf_dir))
     passage = C.summary_passage(F.col("article_title"), F.col("article_content"))
@@ -392,38 +400,38 @@ def cluster_text(spark, sf_dir):
     )
 
 
-@query
+@query("cluster_embedding_text")
 def cluster_embedding_text(spark, sf_dir):
     members = A.copy_member_articles(A.with_summary(_articles(spark, sf_dir)))
     passage = C.embedding_passage(F.col("article_title"), F.col("article_summary"), F.col("article_content"))
     return C.cluster_text(members.select("cluster_id", "article_id", passage.alias("passage")))
 
 
-@query
+@query("cluster_embedding")
 def cluster_embedding(spark, sf_dir):
     members = A.copy_member_articles(A.with_summary(_spread_articles(spark, sf_dir)))
     return _long(C.cluster_embedding(members), "cluster_id", "cluster_embedding")
 
 
-@query
+@query("cluster_summary")
 def cluster_summary(spark, sf_dir):
     return C.lead_member(A.copy_member_articles(_articles(spark, sf_dir)))
 
 
-@query
+@query("cluster_members")
 def cluster_members(spark, sf_dir):
     members = A.copy_members(_articles(spark, sf_dir)).withColumn("added_at", F.lit(A.AS_OF).cast("bigint"))
     lists = C.member_lists(members, per_chunk=2)
     return lists.withColumn("articles", F.array_join("articles", " "))
 
 
-@query
+@query("member_additions")
 def member_additions(spark, sf_dir):
     members = A.copy_members(_articles(spark, sf_dir))
     return C.member_additions(members, members.filter(F.col("added_at") < A.CUT))
 
 
-@query
+@query("cluster_member_articles")
 def cluster_member_articles(spark, sf_dir):
     articles = A.with_summary(_articles(spark, sf_dir))
     rows = C.member_articles(A.copy_members(articles), valid_articles(articles))
@@ -441,7 +449,7 @@ def cluster_member_articles(spark, sf_dir):
 TEXT_FIELDS = ["cluster_id", "cluster_title", "cluster_content", "last_updated", "n_members", "lead_words", "lead_id"]
 
 
-@query
+@query("new_clusters")
 def new_clusters(spark, sf_dir):
     members = A.copy_member_articles(A.with_summary(_spread_articles(spark, sf_dir)))
     return C.build_clusters(members, A.AS_OF).select(TEXT_FIELDS)
@@ -456,25 +464,25 @@ def _history_and_additions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return history, fresh
 
 
-@query
+@query("updated_clusters")
 def updated_clusters(spark, sf_dir):
     history, fresh = _history_and_additions(spark, sf_dir)
     return C.extend_clusters(history, fresh, A.AS_OF).select(TEXT_FIELDS)
 
 
-@query
+@query("updated_cluster_embedding")
 def updated_cluster_embedding(spark, sf_dir):
     history, fresh = _history_and_additions(spark, sf_dir)
     return _long(C.extend_clusters(history, fresh, A.AS_OF), "cluster_id", "cluster_embedding")
 
 
-@query
+@query("upserted_clusters")
 def upserted_clusters(spark, sf_dir):
     history, fresh = _history_and_additions(spark, sf_dir)
     return C.upsert_clusters(history, C.extend_clusters(history, fresh, A.AS_OF)).select("cluster_id", "last_updated", "n_members")
 
 
-@query
+@query("articles_with_cluster")
 def articles_with_cluster(spark, sf_dir):
     articles = _articles(spark, sf_dir)
     rows = C.with_cluster(articles.drop("doc_id", "copy_id"), A.copy_members(articles))
@@ -489,17 +497,17 @@ def _run(spark, sf_dir) -> ClusterRun:
     return cluster_run(articles.drop("doc_id", "copy_id"), clusters, A.AS_OF, RUN)
 
 
-@query
+@query("cluster_run")
 def cluster_run_decisions(spark, sf_dir):
     return _run(spark, sf_dir).decisions.select("article_id", "stage", "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query
+@query("cluster_run_changes")
 def cluster_run_changes(spark, sf_dir):
     return _run(spark, sf_dir).changed.select("cluster_id", "n_members", "last_updated")
 
 
-@query
+@query("run_metrics")
 def run_metrics(spark, sf_dir):
     return _run(spark, sf_dir).metrics
 
@@ -514,7 +522,7 @@ def _blocks(spark, sf_dir, profile) -> DataFrame:
     )
 
 
-@query
+@query("extract_listing")
 def extract_listing(spark, sf_dir):
     rows = listing_rows(shred_listings(A.spread_table(spark, sf_dir, "pages"), [A.WEB]), [A.WEB])
     return rows.select(
@@ -522,32 +530,54 @@ def extract_listing(spark, sf_dir):
     )
 
 
-@query
+@query("extract_blocks")
 def extract_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir, A.WEB)
 
 
-@query
+@query("first_text_blocks")
 def first_text_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir, replace(A.WEB, text_mode="first"))
 
 
-@query
+@query("joined_text_blocks")
 def joined_text_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir, replace(A.WEB, text_mode="join"))
 
 
-@query
+@query("classify_blocks")
+def classify_blocks(spark, sf_dir):
+    """Rules by tag and class part, link before text in list items, unmatched elements dropped."""
+    site = replace(
+        A.WEB,
+        content="nav li, div.ad, article > h1, article p, footer",
+        element_picks=A.WEB.element_picks | {"iframe": ("a", "@href")},
+        rules=(
+            BlockRule("p", "text", "paragraph"),
+            BlockRule("p", "iframe", "iframe"),
+            BlockRule("li", "iframe", "iframe"),
+            BlockRule("li", "text", "paragraph"),
+            BlockRule("h1", "image", "image", required=False),
+            BlockRule("div", "text", "video", class_part="ad", key="src"),
+        ),
+    )
+    rows = extract_articles(A.spread_table(spark, sf_dir, "pages"), [site])
+    return rows.select("url", F.posexplode("article_content").alias("position", "b")).select(
+        "url", F.col("position").cast("bigint").alias("position"), "b.type", "b.content", "b.src"
+    )
+
+
+@query("gallery_blocks")
 def gallery_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir, replace(A.WEB, gallery=("nav a", "@href")))
 
 
-@query
+@query("article_image")
 def article_image(spark, sf_dir):
     return extract_articles(A.spread_table(spark, sf_dir, "pages"), [A.WEB]).select("url", "article_image")
 
 
-@query
+@query("article_records")
 def article_page_records(spark, sf_dir):
     pages = A.spread_table(spark, sf_dir, "pages")
     rows = article_records(A.page_listing(pages), pages, [A.WEB])
@@ -556,7 +586,7 @@ def article_page_records(spark, sf_dir):
     )
 
 
-@query
+@query("ingest_run")
 def ingest_run(spark, sf_dir):
     pages = A.spread_table(spark, sf_dir, "pages")
     listing = A.page_listing(pages)
@@ -567,3 +597,37 @@ def ingest_run(spark, sf_dir):
     return run.articles.select(
         "source", "article_id", "article_url", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "article_summary"
     )
+
+
+# -- streams -------------------------------------------------------------------
+
+
+def _streamed_feed(spark, sf_dir) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return A.feed_columns(stream)
+
+
+def _drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is there and read back everything it gave out."""
+    spark, folder = stream.sparkSession, scratch_path(stream.sparkSession)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(stream.columns)
+
+
+@query("stream_url_dedup")
+def stream_url_dedup(spark, sf_dir):
+    rows = _drain(daily_url_dedup_stream(_streamed_feed(spark, sf_dir)), "append")
+    return rows.select("source", F.unix_seconds(F.col("day").cast("timestamp")).alias("day"), "category", "url")
+
+
+@query("stream_stats")
+def stream_stats(spark, sf_dir):
+    """Running counters; the newest value of each is the largest."""
+    rows = _drain(running_stats(_streamed_feed(spark, sf_dir)), "update")
+    return rows.groupBy("source", "category").agg(F.max("value").alias("value"))

@@ -167,14 +167,14 @@ WALL = f"ts + INTERVAL {SHIFT_DAYS} DAY"
 SPOT = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 ORACLE: dict[str, str] = {
-    "new_articles_24h": f"""
+    "new_articles": f"""
 WITH {ART}
 SELECT article_id, source, published AS article_published_date FROM art
 WHERE published >= {AS_OF - DAY_S} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-    "recent_clusters_7d": f"""
+    "recent_clusters": f"""
 WITH {ART}
 SELECT copy_id AS cluster_id, max(published) AS last_updated FROM art GROUP BY 1 HAVING max(published) >= {AS_OF - 7 * DAY_S}""",
-    "valid_article_rows": f"""
+    "valid_articles": f"""
 WITH {ART} SELECT article_id, CASE WHEN n_blocks = 0 THEN 'empty_content' ELSE 'ok' END AS reason FROM art""",
     "store_articles": f"""
 WITH {ART}
@@ -191,40 +191,40 @@ FROM sized GROUP BY ALL""",
     "ledger_upsert": f"""
 WITH {FEED}
 SELECT * FROM ledger EXCEPT SELECT source, ts_s - ts_s % 86400 AS day, category, url FROM feed WHERE value > 20""",
-    "unseen_feed_urls": f"""
+    "unseen_urls": f"""
 WITH {FEED}
 SELECT event_id, source, category FROM feed f WHERE NOT EXISTS (
   SELECT 1 FROM feed l WHERE l.value > 20 AND l.ts_s - l.ts_s % 86400 = {START + 29 * DAY_S}
   AND l.source = f.source AND l.category = f.category AND l.url = f.url)""",
-    "listing_quota_5": f"""
+    "listing_quota": f"""
 WITH {FEED}
 SELECT listing_url, event_id FROM feed QUALIFY row_number() OVER (PARTITION BY listing_url ORDER BY position) <= 5""",
     "daily_url_dedup": f"WITH {FEED} SELECT * FROM ledger",
-    "article_counters": """
+    "article_stats": """
 SELECT source, CASE WHEN grouping(lang) = 1 THEN 'total_articles' ELSE 'category_' || lang END AS metric, count(*) AS value
 FROM documents GROUP BY GROUPING SETS ((source), (source, lang))""",
-    "feed_counters": f"""
+    "feed_stats": f"""
 WITH {FEED}
 SELECT source, CASE WHEN grouping(category) = 1 THEN 'total_articles' ELSE 'category_' || category END AS metric, count(*) AS value
 FROM feed GROUP BY GROUPING SETS ((source), (source, category))""",
-    "url_categories": """
+    "url_category": """
 SELECT page_id, split_part(url, '/', -2) AS next_to_last, split_part(url, '/', -1) AS last FROM pages""",
-    "absolute_urls": """
+    "absolute_url": """
 WITH p AS (SELECT page_id, regexp_replace(url, '^https:', '') AS u FROM pages)
 SELECT page_id, CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://syri.net' || u END AS if_relative,
        'https://pamfleti.net' || u AS always FROM p""",
     "style_image_url": "SELECT page_id, CASE WHEN starts_with(url, 'https') THEN url END AS image FROM pages",
-    "source_names": "SELECT doc_id, lower(split_part(upper(source) || '_' || lang, '_', 1)) AS source FROM documents",
+    "source_name": "SELECT doc_id, lower(split_part(upper(source) || '_' || lang, '_', 1)) AS source FROM documents",
     "parse_date_iso": f"SELECT event_id, floor(epoch({WALL}))::BIGINT - 7200 AS epoch_s FROM events",
     "parse_date_named_month": f"""
 SELECT event_id, epoch(timezone('Europe/Tirane', date_trunc('minute', {WALL})))::BIGINT AS epoch_s FROM events""",
-    "local_time_to_epoch": f"""
+    "local_to_epoch": f"""
 WITH t AS (SELECT event_id, epoch(timezone('Europe/Tirane', date_trunc('second', {WALL})))::BIGINT AS epoch_s FROM events)
 SELECT event_id, epoch_s, epoch_s - epoch_s % 86400 AS day FROM t""",
-    "article_texts": f"WITH {ART} SELECT article_id, {FULL_TEXT} AS full_text, body AS paragraphs FROM art",
+    "article_text": f"WITH {ART} SELECT article_id, {FULL_TEXT} AS full_text, body AS paragraphs FROM art",
     "article_text_short": f"WITH {ART} SELECT article_id, {SHORT_TEXT} AS short_text FROM art",
-    "token_counts": "SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n_tokens FROM documents",
-    "truncated_texts": """
+    "token_count": "SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n_tokens FROM documents",
+    "truncate_tokens": """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS ws FROM documents)
 SELECT doc_id, CASE WHEN len(ws) > 50 THEN array_to_string(ws[1:50], ' ') ELSE text END AS text FROM w""",
     "summary_gate": f"WITH {ART} SELECT article_id, words AS n_tokens, words > 300 AS summarised FROM art",
@@ -306,7 +306,7 @@ UNION ALL
 SELECT cluster_id, {HISTORY_AT}::BIGINT, count(*) FROM old_members WHERE cluster_id NOT IN (SELECT copy_id FROM touched) GROUP BY 1""",
     "articles_with_cluster": f"""
 WITH {ART} SELECT a.source, a.article_id, m.cluster_id FROM art a LEFT JOIN members m USING (article_id)""",
-    "cluster_run_decisions": f"WITH RECURSIVE {RUN} SELECT * FROM decided",
+    "cluster_run": f"WITH RECURSIVE {RUN} SELECT * FROM decided",
     "cluster_run_changes": f"""
 WITH RECURSIVE {RUN},
 had AS (SELECT cluster_id, count(*) AS n FROM old_members GROUP BY 1)
@@ -328,6 +328,18 @@ SELECT url AS listing_url, split_part(url, '/', -2) AS category, i - 1 AS positi
         "array_to_string(list_filter(list_transform(regexp_extract_all('>' || p, '>([^<]+)', 1), "
         f"lambda x: {strip('x')}), lambda x: x <> ''), ' ')"
     ),
+    "classify_blocks": f"""
+WITH {PIECES}, {NAV},
+parts AS (
+  SELECT url, 0 AS g, i, 'iframe' AS type, {UNESCAPED.format("href")} AS content, NULL::VARCHAR AS src FROM nav
+  UNION ALL
+  SELECT url, 1, 1, 'video', NULL, {UNESCAPED.format("regexp_extract(html, '<div class=.ad.>([^<]+)</div>', 1)")} FROM pages
+  UNION ALL
+  SELECT url, 2, 1, 'image', NULL, NULL FROM pages
+  UNION ALL
+  SELECT url, 3, i, 'paragraph', {UNESCAPED.format("regexp_replace(p, '<[^>]*>', '', 'g')")}, NULL FROM piece)
+SELECT url, row_number() OVER (PARTITION BY url ORDER BY g, i) - 1 AS position, type, content, src FROM parts
+WHERE coalesce(content, src, type) <> '' AND (g = 2 OR coalesce(content, src) <> '')""",
     "gallery_blocks": f"""
 WITH {PIECES}, {NAV},
 texts AS (SELECT url, 0 AS g, i, 'paragraph' AS type, {UNESCAPED.format("regexp_replace(p, '<[^>]*>', '', 'g')")} AS content FROM piece),
@@ -338,7 +350,7 @@ SELECT url, row_number() OVER (PARTITION BY url ORDER BY g, i) - 1 AS position,
 WITH {NAV}
 SELECT p.url, 'https://site.example' || {UNESCAPED.format("n.href")} AS article_image
 FROM pages p LEFT JOIN nav n ON n.page_id = p.page_id AND n.i = 1""",
-    "article_page_records": f"""
+    "article_records": f"""
 WITH {PIECES}
 SELECT url AS article_url, 'Page ' || page_id AS article_title, split_part(url, '/', 4) AS article_category,
        len(list_filter(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g') <> '')) AS n_blocks, NULL::VARCHAR AS cluster_id FROM pieces""",
@@ -352,6 +364,8 @@ SELECT 'web' AS source, sha256('web#' || url || '#{AS_OF}') AS article_id, url A
        n_blocks, CASE WHEN len(regexp_extract_all(body, '\\S+')) > 300 THEN {LEAD} END AS article_summary
 FROM t WHERE n_blocks > 0""",
 }
-ORACLE["stats_upsert"] = ORACLE["article_counters"]
+ORACLE["stats_increment"] = ORACLE["article_stats"]
 ORACLE["parse_date_dmy"] = ORACLE["parse_date_named_month"]
 ORACLE["assign_nearest_blocks"] = ORACLE["assign_nearest"]
+ORACLE["stream_url_dedup"] = ORACLE["daily_url_dedup"]
+ORACLE["stream_stats"] = f"WITH {FEED} SELECT source, category, count(*) AS value FROM feed GROUP BY 1, 2"

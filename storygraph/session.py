@@ -67,6 +67,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name below the checkpoint folder."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/storygraph-{uuid.uuid4().hex}"
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
@@ -75,13 +84,10 @@ def materialize(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     measured by the same job.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/storygraph-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     seen = Observation()
     measured = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()])
     measured.write.parquet(path)
-    paths = _written.get()
-    if paths is not None:
-        paths.append(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
