@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from storygraph.functions.text import paragraphs, refresh_text, short_text, token_count
 from storygraph.functions.vectors import let, unit_vector
-from storygraph.operators.embed import text_counts
-from storygraph.operators.summarize import lead_sentences
+from storygraph.operators.embed import embed_text, text_counts
+from storygraph.operators.models import EmbedFn, Models, SummaryFn
+from storygraph.operators.summarize import lead_sentences, parse_summary, summarize_text
 from storygraph.params import Params
+from storygraph.session import materialize
 
 MEMBER_KEY = ["source", "article_id"]
 
@@ -232,6 +234,73 @@ def extend_clusters(clusters: DataFrame, additions: DataFrame, as_of: int, param
     )
 
 
+def embed_clusters(members: DataFrame, fn: EmbedFn, update_text: str, params: Params = Params()) -> DataFrame:
+    """(cluster_id, cluster_embedding): the model's vector of the joined member texts.
+
+    A text too long for one part gets the mean of its parts' vectors, weighted by length.
+    """
+    passage = embedding_passage(F.col("article_title"), F.col("article_summary"), F.col("article_content"), update_text)
+    texts = cluster_text(members.select("cluster_id", "article_id", passage.alias("passage")), params)
+    parts = texts.select("cluster_id", F.length("text").alias("size"), embed_text(F.col("text"), fn, params).alias("vector"))
+    summed = (
+        parts.select("cluster_id", "size", F.posexplode_outer("vector").alias("pos", "x"))
+        .filter("pos is not null")
+        .groupBy("cluster_id", "pos")
+        .agg((F.sum(F.col("x").cast("double") * F.col("size")) / F.sum("size")).alias("x"))
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("pos", F.col("x").cast("float").alias("x"))))
+    return summed.groupBy("cluster_id").agg(F.transform(ordered, lambda e: e["x"]).alias("cluster_embedding"))
+
+
+def summarize_clusters(members: DataFrame, fn: SummaryFn, params: Params = Params(), max_levels: int = 20) -> DataFrame:
+    """(cluster_id, cluster_title, cluster_content) by the model from the joined member texts.
+
+    Where a text has several parts, the answers to the parts become the text of
+    the next level until one part is left.
+    """
+    passage = summary_passage(F.col("article_title"), F.col("article_content"))
+    passages = members.select("cluster_id", "article_id", passage.alias("passage"))
+    done = None
+    for _ in range(max_levels):
+        texts = cluster_text(passages, params)
+        answers, seen = materialize(
+            texts.select("cluster_id", "part", parse_summary(summarize_text(F.col("text"), fn)).alias("answer")).select(
+                "cluster_id", "part", "answer.*"
+            ),
+            later=F.max("part"),
+        )
+        parts = answers.groupBy("cluster_id").agg((F.max("part") + 1).alias("parts"))
+        level = answers.join(parts, "cluster_id")
+        single = level.filter("parts = 1").select("cluster_id", "cluster_title", "cluster_content")
+        done = single if done is None else done.unionByName(single)
+        if not seen["later"]:
+            return done
+        # A digest that keeps the order of the parts, as article ids do.
+        spot = F.lpad(F.hex(F.shiftleft("part", 32) / F.col("parts")), 8, "0")
+        text = F.concat_ws("\n", "cluster_title", "cluster_content")
+        passages = level.filter("parts > 1").select("cluster_id", spot.alias("article_id"), text.alias("passage"))
+    raise RuntimeError(f"cluster texts do not shrink to one part in {max_levels} levels")
+
+
+def apply_models(changed: DataFrame, members: DataFrame, models: Models, update_text: str, params: Params = Params()) -> DataFrame:
+    """Cluster rows with vector and summary by the given models, from all members' articles.
+
+    Where a model gives nothing, the built-in summary stays.
+    """
+    out = changed
+    if models.embed is not None:
+        vectors = embed_clusters(members, models.embed, update_text, params)
+        out = out.drop("cluster_embedding").join(vectors, "cluster_id", "left")
+    if models.summarize_cluster is not None:
+        names = ("cluster_title", "cluster_content")
+        told = summarize_clusters(members, models.summarize_cluster, params)
+        told = told.select("cluster_id", *[F.col(n).alias(f"_{n}") for n in names])
+        out = out.join(told, "cluster_id", "left")
+        for n in names:
+            out = out.withColumn(n, F.coalesce(f"_{n}", n))
+    return out.select(changed.columns)
+
+
 def upsert_clusters(stored: DataFrame, changed: DataFrame) -> DataFrame:
     """Stored clusters with the changed ones replaced or added."""
     return stored.join(changed.select("cluster_id"), "cluster_id", "left_anti").unionByName(changed)

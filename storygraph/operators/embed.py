@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import article_text, short_text, truncate_tokens
+from storygraph.operators.models import EmbedFn
 from storygraph.params import Params
 
-EmbedFn = Callable[[pd.Series], "pd.Series"]
-
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import paragraphs, strip, token_count
+from storygraph.operators.models import SummaryFn
 from storygraph.params import Params
 
-SummaryFn = Callable[[str], str]
-
 LEAD_SENTENCES = 3
 SENTENCE = r"([^.!?]+[.!?]*)"
 SUMMARY_DDL = "cluster_title string, cluster_content string"

@@ -50,7 +50,7 @@ def documents_as_articles(spark: SparkSession, sf_dir: str, read=table) -> DataF
         none.alias("article_thumbnail"),
         none.alias("article_image"),
         F.transform(rest, block).alias("article_content"),
-        (F.lit(START) + (F.col("doc_id") * 7919) % 2592000).alias("article_published_date"),
+        (F.lit(START) + (F.col("doc_id") * 1000003) % 2592000).alias("article_published_date"),
         F.col("lang").alias("article_category"),
         none.alias("article_summary"),
         F.lit(None).cast("array<float>").alias("article_embeddings"),

@@ -14,7 +14,7 @@ from storygraph.functions.urls import absolute_url, source_name, strip_quotes, s
 from storygraph.functions.vectors import cosine_similarity
 from storygraph.operators import clusters as C
 from storygraph.operators.dbscan import dbscan, eps_join
-from storygraph.operators.embed import embed_articles, fill_embeddings
+from storygraph.operators.embed import embed_articles, fill_embeddings, hashed_vectors
 from storygraph.operators.extract import article_records, extract_articles, listing_rows, shred_listings
 from storygraph.operators.ledger import (
     ledger_additions,
@@ -413,6 +413,13 @@ def cluster_embedding(spark, sf_dir):
     return _long(C.cluster_embedding(members), "cluster_id", "cluster_embedding")
 
 
+@query("cluster_embedding_by_model")
+def cluster_embedding_by_model(spark, sf_dir):
+    """The way of a model passed in: vectors of the joined texts instead of summed counts."""
+    members = A.copy_member_articles(A.with_summary(_spread_articles(spark, sf_dir)))
+    return _long(C.embed_clusters(members, hashed_vectors(Params().embed_dim), "full"), "cluster_id", "cluster_embedding")
+
+
 @query("cluster_summary")
 def cluster_summary(spark, sf_dir):
     return C.lead_member(A.copy_member_articles(_articles(spark, sf_dir)))
@@ -457,7 +464,7 @@ def new_clusters(spark, sf_dir):
 
 def _history_and_additions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Clusters of the copies published before the cut, and the copies published after it."""
-    articles = A.with_summary(_spread_articles(spark, sf_dir))
+    articles, _ = materialize(A.with_summary(_spread_articles(spark, sf_dir)))
     old = articles.filter(F.col("article_published_date") < A.CUT)
     history = C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT)
     fresh = articles.filter(F.col("article_published_date") >= A.CUT).withColumn("cluster_id", F.col("copy_id"))
@@ -491,7 +498,7 @@ def articles_with_cluster(spark, sf_dir):
 
 def _run(spark, sf_dir) -> ClusterRun:
     """History: copies published before the cut. Run: everything published since, at the default thresholds."""
-    articles = embed_articles(A.with_summary(_spread_articles(spark, sf_dir)))
+    articles, _ = materialize(embed_articles(A.with_summary(_spread_articles(spark, sf_dir))))
     old = articles.filter(F.col("article_published_date") < A.CUT)
     clusters, _ = materialize(C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT))
     return cluster_run(articles.drop("doc_id", "copy_id"), clusters, A.AS_OF, RUN)

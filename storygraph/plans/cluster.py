@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storygraph.operators.clusters import build_clusters, extend_clusters, new_cluster_id
+from storygraph.operators.clusters import apply_models, build_clusters, extend_clusters, member_articles, new_cluster_id
 from storygraph.operators.dbscan import dbscan
-from storygraph.operators.embed import EmbedFn, fill_embeddings
+from storygraph.operators.embed import fill_embeddings
+from storygraph.operators.models import Models
 from storygraph.operators.nearest import assign_to_clusters
 from storygraph.operators.selection import new_articles, recent_clusters
 from storygraph.params import Params
@@ -32,17 +34,25 @@ class ClusterRun:
 
 
 def cluster_run(
-    articles: DataFrame, clusters: DataFrame, as_of: int, params: Params = Params(), embed: EmbedFn | None = None
+    articles: DataFrame,
+    clusters: DataFrame,
+    as_of: int,
+    params: Params = Params(),
+    models: Models = Models(),
+    members: DataFrame | None = None,
+    all_articles: Callable[[int], DataFrame] | None = None,
 ) -> ClusterRun:
     """One run over tables as they stand. All articles meet the cluster vectors of the run's start.
 
     ``article_id`` is unique over all sources. Vectors, decisions and the texts of
-    the articles that join a cluster are each written out once.
+    the articles that join a cluster are each written out once. With models of
+    your own a refreshed cluster is built from all of its members: ``members`` is
+    their table and ``all_articles(since)`` gives the articles published from then on.
     """
     pending = new_articles(articles, as_of, params)
     state = recent_clusters(clusters, as_of, params)
     vectors, _ = materialize(
-        fill_embeddings(pending.drop("cluster_id"), embed, params).select(
+        fill_embeddings(pending.drop("cluster_id"), models.embed, params).select(
             "article_id", "source", "article_published_date", "article_embeddings"
         )
     )
@@ -69,7 +79,7 @@ def cluster_run(
             "similarity",
         )
     )
-    members = decisions.filter("cluster_id is not null").select(
+    added = decisions.filter("cluster_id is not null").select(
         "cluster_id", "source", "article_id", F.lit(as_of).cast("bigint").alias("added_at")
     )
     texts = pending.select("source", "article_id", "article_title", "article_summary", "article_content")
@@ -78,10 +88,22 @@ def cluster_run(
         .select("cluster_id", "source", "article_id", "stage")
         .join(texts, ["source", "article_id"])
     )
-    changed = extend_clusters(state, joining.filter("stage = 'assigned'"), as_of, params).unionByName(
-        build_clusters(joining.filter("stage = 'grouped'"), as_of, params)
-    )
-    return ClusterRun(decisions, changed, members, run_metrics(decisions, state))
+    assigned, grouped = joining.filter("stage = 'assigned'"), joining.filter("stage = 'grouped'")
+    grown = extend_clusters(state, assigned, as_of, params)
+    fresh = build_clusters(grouped, as_of, params)
+    if models.embed is not None or models.summarize_cluster is not None:
+        if members is None or all_articles is None:
+            raise ValueError("models of your own need the members and their articles")
+        touched = members.join(assigned.select("cluster_id").distinct(), "cluster_id", "left_semi").select(added.columns)
+        once, seen = materialize(
+            touched.unionByName(added.join(assigned.select("article_id"), "article_id", "left_semi").select(added.columns)),
+            first=F.min("added_at"),
+        )
+        # An article joins a cluster within the lookback after its publication.
+        since = (seen["first"] or as_of) - params.article_lookback_s
+        grown = apply_models(grown, member_articles(once, all_articles(since)), models, params.update_text, params)
+        fresh = apply_models(fresh, grouped, models, "full", params)
+    return ClusterRun(decisions, grown.unionByName(fresh), added, run_metrics(decisions, state))
 
 
 def run_metrics(decisions: DataFrame, state: DataFrame) -> DataFrame:
@@ -97,7 +119,7 @@ def run_metrics(decisions: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(), embed: EmbedFn | None = None) -> dict:
+def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(), models: Models = Models()) -> dict:
     """Run one cluster batch against the stored tables; gives its metrics. Running it again changes nothing.
 
     Reads the publication days of the lookback and the clusters updated within
@@ -107,7 +129,9 @@ def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(),
     articles = store.pending_articles(batch, upto, as_of - params.article_lookback_s)
     clusters = store.clusters(before=batch, since=as_of - params.cluster_lookback_s)
     with scratch(store.spark):
-        run = cluster_run(articles, clusters, as_of, params, embed)
+        run = cluster_run(
+            articles, clusters, as_of, params, models, store.members(before=batch), lambda since: store.stored_articles(upto, since)
+        )
         store.add_clusters(run.changed, batch)
         store.add_members(run.members, batch)
         store.add_assignments(run.decisions.filter("cluster_id is not null"), batch)

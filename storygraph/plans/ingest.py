@@ -9,27 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.dates import utc_day
-from storygraph.operators.embed import EmbedFn, embed_articles
+from storygraph.operators.embed import embed_articles
 from storygraph.operators.extract import article_records, extract_listing
 from storygraph.operators.ledger import first_requests, ledger_of_day, ledger_rows, listing_quota, unseen_urls
+from storygraph.operators.models import Models
 from storygraph.operators.profiles import PROFILES, SiteProfile
 from storygraph.operators.selection import rejected_articles, valid_articles
 from storygraph.operators.stats import article_stats
-from storygraph.operators.summarize import SummaryFn, summarize_articles
+from storygraph.operators.summarize import summarize_articles
 from storygraph.params import Params
 from storygraph.schemas import ARTICLES
 from storygraph.session import scratch
 from storygraph.sources.tables import Store
 
 
-@dataclass
-class Models:
-    """Batch functions that replace the built-in models."""
-
-    embed: EmbedFn | None = None
-    summarize: SummaryFn | None = None
-
-
 def article_id(as_of: int):
     """Key of an article stored at ``as_of``; the same again when a batch is replayed."""
     day = utc_day(F.lit(as_of).cast("bigint"))

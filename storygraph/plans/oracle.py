@@ -13,7 +13,7 @@ ART = f"""
 art0 AS (
   SELECT doc_id, source, lang AS category, text, md5(text) AS copy_id, sha256(doc_id::VARCHAR) AS article_id,
          'https://site.example/' || lang || '/' || doc_id AS url,
-         {START} + (doc_id * 7919) % 2592000 AS published,
+         {START} + (doc_id * 1000003) % 2592000 AS published,
          string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2:] AS lines
   FROM documents),
 art1 AS (
@@ -369,3 +369,4 @@ ORACLE["parse_date_dmy"] = ORACLE["parse_date_named_month"]
 ORACLE["assign_nearest_blocks"] = ORACLE["assign_nearest"]
 ORACLE["stream_url_dedup"] = ORACLE["daily_url_dedup"]
 ORACLE["stream_stats"] = f"WITH {FEED} SELECT source, category, count(*) AS value FROM feed GROUP BY 1, 2"
+ORACLE["cluster_embedding_by_model"] = ORACLE["cluster_embedding"]

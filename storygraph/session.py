@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +40,28 @@ def build_session(app_name: str = "storygraph", master: str | None = None, shuff
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session somebody else made, and make sure lineage can be cut."""
+    """Make a session somebody else made ready: SQL settings, a folder to cut lineage, code on the workers."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     checkpoint_folder(spark)
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver imported it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_storygraph_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="storygraph-code-")) / "storygraph.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._storygraph_shipped = True
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 

@@ -70,10 +70,14 @@ class Store:
         Both tables are pruned to the publication days from ``since`` on.
         """
         first_day = since - since % DAY_S
-        rows = self._read("articles", schemas.ARTICLES, upto + 1).filter(F.col("day") >= first_day)
+        rows = self.stored_articles(upto, since)
         taken = self._read("assignments", schemas.ASSIGNMENTS, batch).filter(F.col("day") >= first_day)
         return rows.join(taken.select(MEMBER_KEY), MEMBER_KEY, "left_anti").select(schemas.ARTICLES.fieldNames())
 
+    def stored_articles(self, upto: int, since: int) -> DataFrame:
+        """Articles as stored up to ingest batch ``upto``, pruned to publication days from ``since`` on."""
+        return self._read("articles", schemas.ARTICLES, upto + 1).filter(F.col("day") >= since - since % DAY_S)
+
     def articles_of(self, batch: int) -> DataFrame:
         """The articles one batch stored."""
         return self._read("articles", schemas.ARTICLES, None).filter(F.col("batch") == batch)
@@ -103,6 +107,9 @@ class Store:
         out = df.withColumn("batch", F.lit(batch).cast("bigint"))
         if day is not None:
             out = out.withColumn("day", day)
+        if day is not None:
+            # Few files per day, and a busy day still in several.
+            out = out.hint("rebalance", "day")
         (
             out.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from storygraph.operators.embed import EmbedFn
+from storygraph.operators.models import Models
 from storygraph.operators.profiles import PROFILES, SiteProfile
 from storygraph.params import Params
 from storygraph.plans.cluster import cluster_batch
-from storygraph.plans.ingest import Models, ingest_batch
+from storygraph.plans.ingest import ingest_batch
 from storygraph.sources.tables import Store
 
 INTERVAL = "10 seconds"
@@ -48,7 +48,7 @@ def cluster_stream(
     store: Store,
     checkpoint: str,
     params: Params = Params(),
-    embed: EmbedFn | None = None,
+    models: Models = Models(),
     clock: Callable[[], float] = time.time,
     once: bool = False,
 ) -> StreamingQuery:
@@ -59,7 +59,7 @@ def cluster_stream(
     """
 
     def body(_: DataFrame, batch: int) -> None:
-        cluster_batch(store, batch, int(clock()), params, embed)
+        cluster_batch(store, batch, int(clock()), params, models)
 
     return _start(ticks, body, checkpoint, once)
 

@@ -1,9 +1,11 @@
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from storygraph.operators import clusters as C
+from storygraph.operators.models import Models
 from storygraph.params import DAY_S, Params
 from storygraph.plans.cluster import cluster_batch, cluster_run
 from storygraph.plans.ingest import ingest_batch, stored_form
@@ -191,3 +193,55 @@ def test_reads_are_pruned_by_partition(spark, tmp_path, table, column):
     df = store.pending_articles(0, 0, NOW) if table == "articles" else store.ledger().filter(f"day = {NOW - NOW % DAY_S}")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert f"PartitionFilters: [isnotnull({column}" in plan or f"PartitionFilters: [isnotnull(batch" in plan
+
+
+def letter_model():
+    """A model of its own: counts of a few letters, so the dimension differs from the built-in one."""
+
+    def letters(texts):
+        return texts.map(lambda t: [float(t.lower().count(c)) + 0.01 for c in "abdeg"])
+
+    return letters
+
+
+letters = letter_model()
+
+
+def test_own_models_make_cluster_vectors_and_summaries_from_all_members(spark, tmp_path):
+    import json
+
+    def tell(cluster_text):
+        return json.dumps({"cluster_title": f"{cluster_text.count('Title: ')} articles", "cluster_content": cluster_text[:20]})
+
+    models = Models(embed=letters, summarize_cluster=tell)
+    store = Store(spark, str(tmp_path))
+    twin = "water rose over the bridge"
+    save(store, articles(spark, [article("a1", "Flood", text(twin)), article("a2", "Flood", text(twin), summary="rain again")]), 0)
+    params = Params(eps=0.9, assign_threshold=0.1)
+    assert cluster_batch(store, 0, NOW, params, models)["new_clusters"] == 1
+    first = store.clusters().first()
+    assert first.cluster_title == "2 articles"
+    joined = f"Flood {twin}\n\nFlood rain again"
+    assert first.cluster_embedding == pytest.approx(letters(pd.Series([joined]))[0])
+
+    save(store, articles(spark, [article("b1", "Bridge", text(twin))]), 1)
+    assert cluster_batch(store, 1, NOW + 10, params, models)["assigned"] == 1
+    second = store.clusters().first()
+    assert second.cluster_title == "3 articles" and second.n_members == 3
+    joined = "Flood\n\nFlood rain again\n\nBridge"
+    assert second.cluster_embedding == pytest.approx(letters(pd.Series([joined]))[0])
+
+
+def test_long_cluster_texts_are_summarised_level_by_level(spark):
+    import json
+
+    def tell(cluster_text):
+        return json.dumps({"cluster_title": "t", "cluster_content": str(len(cluster_text) // 100)})
+
+    ids = [f"{i * 2**26:08x}" + "0" * 56 for i in range(60)]
+    df = articles(spark, [article(i, "T", text("w " * 50)) for i in ids]).drop("cluster_id").withColumn("cluster_id", F.lit("k"))
+    small = articles(spark, [article("0" * 64, "T", text("w"))]).drop("cluster_id").withColumn("cluster_id", F.lit("one"))
+    got = C.summarize_clusters(df.unionByName(small), tell, Params(text_part_chars=600)).collect()
+    assert sorted((r.cluster_id, r.cluster_title) for r in got) == [("k", "t"), ("one", "t")]
+    vectors = C.embed_clusters(df, letters, "full", Params(text_part_chars=600)).first()
+    assert len(vectors.cluster_embedding) == 5
