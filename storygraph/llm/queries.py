@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from storygraph.llm.columns import word_count
 from storygraph.llm.exact_dedup import exact_duplicates
 from storygraph.llm.mixing import with_copies
+from storygraph.llm.pii import KINDS as PII_KINDS
+from storygraph.llm.pii import sanitisation_spans
+from storygraph.llm.secret_scan import KINDS as SECRET_KINDS
+from storygraph.llm.secret_scan import scan_secrets
 from storygraph.llm.sharding import assign_shards, number_slots
 from storygraph.session import prepare
 
@@ -35,6 +39,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def listed(spans):
+    """kind:start:end of an array of spans, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def counted(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query("op2_pii")
+def op2_pii(spark, sf_dir):
+    found = sanitisation_spans(documents(spark, sf_dir))
+    counts = [counted("spans", k) for k in PII_KINDS]
+    base, terms = listed(F.col("spans")), listed(F.col("terms"))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(base, 256).alias("base_sha256"),
+        F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(terms, F.lit(""))).alias("spans"),
+        F.size(F.filter("terms", lambda s: s["kind"] == "generalise")).cast("long").alias("n_generalised"),
+        F.size(F.filter("terms", lambda s: s["kind"] == "remove")).cast("long").alias("n_removed"),
+    )
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf_dir):
+    found = scan_secrets(documents(spark, sf_dir))
+    plain = F.filter("findings", lambda f: f["layers"] == "")
+    named = F.transform(
+        "findings",
+        lambda f: F.struct(
+            F.when(f["layers"] == "", f["kind"]).otherwise(F.concat(f["kind"], F.lit("~"), f["layers"])).alias("kind"),
+            f["start"].alias("start"),
+            f["end"].alias("end"),
+        ),
+    )
+    counts = [counted(plain, k) for k in SECRET_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(listed(plain), 256).alias("base_sha256"),
+        listed(named).alias("spans"),
+        (F.size("findings") - F.size(plain)).cast("long").alias("n_nested"),
+    )
+
+
 @query("op3_sharding")
 def op3_sharding(spark, sf_dir):
     docs = documents(spark, sf_dir)
