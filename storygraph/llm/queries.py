@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storygraph.llm.columns import word_count
 from storygraph.llm.exact_dedup import exact_duplicates
 from storygraph.llm.mixing import with_copies
+from storygraph.llm.near_dedup import near_duplicates
 from storygraph.llm.pii import KINDS as PII_KINDS
 from storygraph.llm.pii import sanitisation_spans
 from storygraph.llm.secret_scan import KINDS as SECRET_KINDS
@@ -98,6 +99,12 @@ def op3_sharding(spark, sf_dir):
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op7_near_dedup")
+def op7_near_dedup(spark, sf_dir):
+    found = near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op9_exact_dedup")
 def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir), keep="largest")
