@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storygraph.llm.columns import word_count
+from storygraph.llm.decontaminate import leaks
 from storygraph.llm.exact_dedup import exact_duplicates
 from storygraph.llm.mixing import with_copies
 from storygraph.llm.near_dedup import near_duplicates
@@ -40,6 +41,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = leaks(documents(spark, sf_dir), benchmark)
+    return found.select("doc_id", "item_id", "similarity", "start", "shingles")
+
+
 def listed(spans):
     """kind:start:end of an array of spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
