@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storygraph.llm.columns import word_count
 from storygraph.llm.decontaminate import leaks
 from storygraph.llm.exact_dedup import exact_duplicates
+from storygraph.llm.lm_score import lm_scores
 from storygraph.llm.mixing import with_copies
 from storygraph.llm.near_dedup import near_duplicates
 from storygraph.llm.pii import KINDS as PII_KINDS
@@ -72,6 +73,11 @@ def op2_pii(spark, sf_dir):
     )
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark, sf_dir):
+    return lm_scores(documents(spark, sf_dir))
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf_dir):
     found = scan_secrets(documents(spark, sf_dir))
