@@ -15,9 +15,11 @@ from storygraph.llm.mixing import with_copies
 from storygraph.llm.near_dedup import near_duplicates
 from storygraph.llm.pii import KINDS as PII_KINDS
 from storygraph.llm.pii import sanitisation_spans
+from storygraph.llm.quality import quality_scores
 from storygraph.llm.secret_scan import KINDS as SECRET_KINDS
 from storygraph.llm.secret_scan import scan_secrets
 from storygraph.llm.sharding import assign_shards, number_slots
+from storygraph.llm.toxicity import toxicity_scores
 from storygraph.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,12 +115,22 @@ def op3_sharding(spark, sf_dir):
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op7_near_dedup")
 def op7_near_dedup(spark, sf_dir):
     found = near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op9_exact_dedup")
 def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir), keep="largest")
