@@ -1,7 +1,7 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents.
 
 A word is a sequence of characters from its start to its end; each model gives the next
-character from the four before it, with the counts of its own class. What a class has
+character from the five before it, with the counts of its own class. What a class has
 not seen is left to lower orders that both share: continuation counts over the pooled
 material. So rare and new forms of an expression are judged by the stem they begin with, and
 where neither class knows anything the difference is zero. A document is compared by the
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storygraph.llm.columns import digest_number, fold
+from storygraph.llm.decontaminate import shingle_hashes
+from storygraph.session import materialize
 
-ORDER = 5
-DISCOUNT = 0.75  # of the shared continuation counts
-# Of a class's own counts of 1, 2, and more: what only one document has is no evidence for its class.
-DISCOUNTS = (0.0, 1.0, 1.2, 1.4)
-PARTS = 4
+ORDER = 6
+DISCOUNT = 0.75
+PARTS = 3  # of the sample, each measured by models of the others
 PASSAGE = 20  # words
 FLOOR = -0.02  # toxic documents are ordinary ones but for a few words, so no word speaks against toxicity by more
 SAMPLE = 2000  # labelled documents of each class that are learned from at most
@@ -78,41 +79,27 @@ def fit_ratios(ordinary: dict[str, int], toxic: dict[str, int]) -> Ratios:
     if not ordinary or not toxic:
         return Ratios({}, {})
     below = shared_backoff(known)
-    pooled = _whole_and_spared({g: ordinary.get(g, 0) + toxic.get(g, 0) for g in known})
-    classes = [(counts, *_whole_and_spared(counts)) for counts in (ordinary, toxic)]
-
-    def shared(g: str) -> float:
-        n = ordinary.get(g, 0) + toxic.get(g, 0)
-        whole, spared = pooled
-        return (_discounted(n) + spared[g[:-1]] * below[g[1:]]) / whole[g[:-1]]
-
-    def probability(c: int, g: str, p: float) -> float:
-        counts, whole, spared = classes[c]
-        h = g[:-1]
-        return (_discounted(counts.get(g, 0)) + spared[h] * p) / whole[h] if whole[h] else p
-
-    def share(c: int, h: str) -> float:
-        _, whole, spared = classes[c]
-        return spared[h] / whole[h] if whole[h] else 1.0
-
-    gram = {}
-    for g in known:
-        p = shared(g)
-        gram[g] = float(np.log(probability(1, g, p) / probability(0, g, p)))
-    return Ratios(gram, {h: float(np.log(share(1, h) / share(0, h))) for h in {g[:-1] for g in known}})
-
+    classes = []
+    for counts in (ordinary, toxic):
+        whole, kinds = Counter(), Counter()
+        for g, n in counts.items():
+            whole[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        classes.append((counts, whole, kinds))
 
-def _discounted(n: int) -> float:
-    return n - DISCOUNTS[min(n, 3)]
+    def probability(c: int, g: str) -> float:
+        counts, whole, kinds = classes[c]
+        h, shared = g[:-1], below[g[1:]]
+        if h not in whole:
+            return shared
+        return (max(counts.get(g, 0) - DISCOUNT, 0.0) + DISCOUNT * kinds[h] * shared) / whole[h]
 
+    def spared(c: int, h: str) -> float:
+        _, whole, kinds = classes[c]
+        return DISCOUNT * kinds[h] / whole[h] if h in whole else 1.0
 
-def _whole_and_spared(counts: dict[str, int]) -> tuple[Counter, Counter]:
-    """Per context: all counts, and the discounts taken from them, which go to the shared order below."""
-    whole, spared = Counter(), Counter()
-    for g, n in counts.items():
-        whole[g[:-1]] += n
-        spared[g[:-1]] += DISCOUNTS[min(n, 3)]
-    return whole, spared
+    gram = {g: log(probability(1, g) / probability(0, g)) for g in known}
+    return Ratios(gram, {h: log(spared(1, h) / spared(0, h)) for h in {g[:-1] for g in known}})
 
 
 class WordRatios(dict):
@@ -172,12 +159,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int =
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, folds: int, sample: int) -> DataFrame:
-    """(id, label, part): up to ``sample`` rows of each class in the order of a hash; dealt into parts."""
+    """(id, label, order): up to ``sample`` rows of each class in the order of a hash."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label"))
     known = known.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id"), folds) != 0))
     known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label")).withColumn("order", digest_number(F.lit("toxic"), F.col("id")))
     picked = [known.filter(F.col("label") == c).orderBy("order", "id").limit(sample) for c in (0, 1)]
-    return picked[0].unionByName(picked[1]).select("id", "label", (F.col("order") % PARTS).cast("int").alias("part"))
+    return picked[0].unionByName(picked[1])
 
 
 def _measured(rows: DataFrame, ratios: list[Ratios], logistic: Logistic | None = None, probabilities: bool = True) -> DataFrame:
@@ -208,12 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """The two models, from a sample of bounded size; grams are counted where the documents are."""
     picked = labelled_sample(labels, id_col, label_col, folds, sample)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id")
+    # Copies are no further evidence: of texts with the same smallest shingle one stands for all.
+    texts = texts.withColumn("key", F.coalesce(F.array_min(shingle_hashes(F.col("text"))), F.lit(0)))
+    texts = texts.groupBy("label", "key").agg(F.min(F.struct("order", "id", "text")).alias("one"))
+    texts, _ = materialize(texts.select("one.id", "label", F.pmod("key", F.lit(PARTS)).cast("int").alias("part"), "one.text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for batch in batches:
             for label, part, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seen[label, part].update(set(words_of(text)))
+                seen[label, part].update(words_of(text))
         for (label, part), words in seen.items():
             total: Counter = Counter()
             for word, n in words.items():
@@ -232,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     # Each part is measured by models of the others.
     others = [fit_ratios(*(sum((c for i, c in enumerate(parts) if i != p), Counter()) for parts in counts)) for p in range(PARTS)]
     measured = _measured(texts.select("id", "label", "part", "text"), others, probabilities=False)
-    measured = measured.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("id").toArrow()
+    measured = measured.orderBy("id", "label").toArrow()
     x = np.array(measured["x"].to_pylist()).reshape(-1, len(FEATURES))
     logistic = fit_logistic(x, measured["label"].to_numpy().astype(float))
     return fit_ratios(*(sum(parts, Counter()) for parts in counts)), logistic
