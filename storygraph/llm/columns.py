@@ -25,6 +25,14 @@ def fold(key: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds, F.lit(-1)).cast("int")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

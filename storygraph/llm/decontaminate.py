@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storygraph.llm.columns import fresh
 from storygraph.session import materialize
 
 SHINGLE = 5
@@ -165,6 +166,6 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, columns unchanged."""
     bad, seen = materialize(leaks(docs, benchmark, id_col, text_col, **options).select("row_key").distinct())
-    keyed = docs.withColumn("_row_key", _row_key(docs, id_col, text_col))
-    bad = bad.withColumnRenamed("row_key", "_row_key")
-    return keyed.join(_small(bad, seen["rows"]), "_row_key", "left_anti").select(*docs.columns)
+    key = fresh("row_key", docs.columns)
+    keyed = docs.withColumn(key, _row_key(docs, id_col, text_col))
+    return keyed.join(_small(bad.withColumnRenamed("row_key", key), seen["rows"]), key, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storygraph.llm.columns import hash_unit
+from storygraph.llm.columns import fresh, hash_unit
 from storygraph.session import materialize
 
 BROADCAST_SOURCES = 100_000  # rate tables up to so many rows are broadcast
@@ -57,35 +57,43 @@ def with_copies(
     share: float = 1.5,
     limit: float = 2.0,
     seed: str = "mix",
+    into: str = "mix",
 ) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies, the number of times a document is emitted.
+    """``docs`` with a struct ``into``: size, source_size, target, copies (how often a document is emitted).
 
-    _copies is floor(rate) plus one more with the probability of the fraction, drawn from a
-    hash of ``seed`` and ``key``: reruns agree, and repeated rows draw alike. The rates are
+    copies is floor(rate) plus one more with the probability of the fraction, drawn from a
+    hash of ``seed`` and ``key``: reruns agree, and repeated rows draw alike. Null sources are
+    one source, null and empty texts have the size that ``size`` gives them. The rates are
     broadcast only while the table of sources is counted small; otherwise they are joined
     on source and a salt, which splits a source that holds most rows.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("_size", size)
-    rates, seen = materialize(source_targets(sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), weights, share, limit))
-    rates = rates.select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate")
-    )
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    size_col, salt = fresh("_size", docs.columns), fresh("_salt", docs.columns)
+    sized = docs.withColumn(size_col, size)
+    rates, seen = materialize(source_targets(sized.select(F.col(source_col).alias("source"), F.col(size_col).alias("size")), weights, share, limit))
+    rated = fresh("_rates", docs.columns)
+    rates = rates.select(F.struct("source", "source_size", "target", "rate").alias(rated))
+    same = F.col(source_col).eqNullSafe(F.col(rated)["source"])
     if seen["rows"] <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(rates), same)
     else:
-        salts = spark.range(SALTS).select(F.col("id").cast("int").alias("_s"))
-        salted = rates.join(F.broadcast(salts))
-        sized = sized.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-        joined = sized.join(salted, same & (F.col("_salt") == F.col("_s"))).drop("_salt", "_s")
-    whole = F.floor("_rate")
-    more = (hash_unit(F.lit(seed), *key) < F.col("_rate") - whole).cast("long")
-    return joined.withColumn("_copies", whole + more).drop("_source", "_rate")
+        salts = spark.range(SALTS).select(F.col("id").cast("int").alias(f"{salt}_other"))
+        salted = sized.withColumn(salt, F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+        joined = salted.join(rates.join(F.broadcast(salts)), same & (F.col(salt) == F.col(f"{salt}_other")))
+    rate = F.col(rated)["rate"]
+    more = (hash_unit(F.lit(seed), *key) < rate - F.floor(rate)).cast("long")
+    drawn = F.struct(
+        F.col(size_col).alias("size"),
+        F.col(rated)["source_size"].alias("source_size"),
+        F.col(rated)["target"].alias("target"),
+        (F.floor(rate) + more).alias("copies"),
+    )
+    return joined.select(*docs.columns, drawn.alias(into))
 
 
 def mixed(docs: DataFrame, size: Column, key: Sequence[Column], **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it was drawn, columns unchanged."""
-    drawn = with_copies(docs, size, key, **options).filter("_copies > 0")
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return drawn.withColumn("_copy", copy).select(*docs.columns)
+    into = fresh("mix", docs.columns)
+    drawn = with_copies(docs, size, key, into=into, **options).filter(F.col(into)["copies"] > 0)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col(into)["copies"]))
+    return drawn.select(*docs.columns, copy.alias(into)).drop(into)

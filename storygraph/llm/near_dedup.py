@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.llm import golay
+from storygraph.llm.columns import fresh
 from storygraph.operators.components import connected_components
 from storygraph.session import materialize
 
@@ -251,9 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, columns unchanged."""
     marked = near_duplicates(docs, id_col, text_col, **options).filter("kept")
-    keep, seen = materialize(marked.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_n")), most=F.max("_n"))
-    keyed = docs.withColumn("_digest", F.md5(F.coalesce(docs[text_col], F.lit("")))).withColumn("_id", docs[id_col])
-    left = keyed.join(keep, keyed["_id"].eqNullSafe(keep["_id"]) & (keyed["_digest"] == keep["_digest"]), "left_semi")
+    kept = marked.groupBy(F.col(id_col).alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count(F.lit(1)).alias("n"))
+    keep, seen = materialize(kept, most=F.max("n"))
+    digest = fresh("_digest", docs.columns)
+    keyed = docs.withColumn(digest, F.md5(F.coalesce(docs[text_col], F.lit(""))))
+    left = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_kept_id"]) & (keyed[digest] == keep["_kept_digest"]), "left_semi")
     if (seen["most"] or 0) > 1:
-        left = left.dropDuplicates(["_id", "_digest"])
+        left = left.dropDuplicates([id_col, digest])
     return left.select(*docs.columns)

@@ -142,8 +142,8 @@ def op10_mixing(spark, sf_dir):
     drawn = with_copies(docs.select("doc_id", "source", "text"), word_count(F.col("text")), [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))])
     return drawn.select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
+        "mix.size",
+        "mix.source_size",
+        "mix.target",
+        (F.col("mix.size") * F.col("mix.copies")).alias("taken"),
     )

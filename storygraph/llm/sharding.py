@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storygraph.llm.columns import digest_number, hash_unit
+from storygraph.llm.columns import digest_number, fresh, hash_unit
 
 BUCKET_DIGITS = 3  # hex digits: 4,096 buckets per shard
 
@@ -50,17 +50,16 @@ def number_slots(rows: DataFrame, shard_col: str = "shard", slot_col: str = "slo
     """
     columns = rows.columns
     order = [c for c in columns if c != shard_col]
+    copies, bucket_col, start, n = (fresh(c, columns) for c in ("_copies", "_bucket", "_start", "_n"))
     bucket = digest_number(*[F.col(c) for c in order], digits=BUCKET_DIGITS).cast("int")
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", bucket)
-    earlier = Window.partitionBy(shard_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(copies)).withColumn(bucket_col, bucket)
+    earlier = Window.partitionBy(shard_col).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        counted.groupBy(shard_col, "_bucket")
-        .agg(F.sum("_copies").alias("_n"))
-        .select(shard_col, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        counted.groupBy(shard_col, bucket_col)
+        .agg(F.sum(copies).alias(n))
+        .select(shard_col, bucket_col, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(start))
     )
-    inside = Window.partitionBy(shard_col, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.join(starts, [shard_col, "_bucket"]).withColumn(
-        "_start", F.col("_start") + F.coalesce(F.sum("_copies").over(inside), F.lit(0))
-    )
-    slot = F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1))
+    inside = Window.partitionBy(shard_col, bucket_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.join(starts, [shard_col, bucket_col]).withColumn(start, F.col(start) + F.coalesce(F.sum(copies).over(inside), F.lit(0)))
+    slot = F.explode(F.sequence(F.col(start), F.col(start) + F.col(copies) - 1))
     return placed.select(*columns, slot.alias(slot_col))

@@ -238,9 +238,8 @@ def toxicity_scores(
     folds: int = 5,
     sample: int = SAMPLE,
     threshold: float = 0.5,
-    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``, or its columns ``keep`` and the last two.
+    """(id, held_out, score, predicted) for every row of ``docs``.
 
     Learns from labelled rows whose fold is not 0, up to ``sample`` of each class by a hash of
     their id; all else covers all rows and whole texts. Null labels and null ids teach nothing.
@@ -249,17 +248,25 @@ def toxicity_scores(
     input; an empty table gives an empty result.
     """
     ratios, logistic = fit(docs, labels, id_col, text_col, label_col, folds, sample)
-    names = [id_col] if keep is None else keep
-    measured = _measured(docs.select(*[docs[c] for c in names], docs[text_col].alias("_text")), [ratios], logistic)
-    scored = measured.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    if keep is not None:
-        return scored
-    return scored.select(id_col, (fold(F.col(id_col), folds) == 0).alias("held_out"), "score", "predicted")
+    scored = _measured(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), [ratios], logistic)
+    return scored.select(
+        F.col("id").alias(id_col), (fold(F.col("id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    folds: int = 5,
+    sample: int = SAMPLE,
+    threshold: float = 0.5,
+) -> DataFrame:
     """``docs`` without the rows predicted toxic, columns unchanged; no shuffle of texts."""
-    clash = {"score", "predicted", "_text"} & set(docs.columns)
-    plain = docs.toDF(*[f"{c}_" if c in clash else c for c in docs.columns])
-    scored = toxicity_scores(plain, labels, text_col=text_col, keep=plain.columns, **options)
-    return scored.filter("predicted = 0").select(*[F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns, strict=True)])
+    ratios, logistic = fit(docs, labels, id_col, text_col, label_col, folds, sample)
+    # Columns are known by their place, whatever they are called.
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    scored = _measured(docs.toDF(*places).select(*places, F.col(places[docs.columns.index(text_col)]).alias("text")), [ratios], logistic)
+    return scored.filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
