@@ -84,8 +84,11 @@ def embed_text(text: Column, fn: EmbedFn | None = None, params: Params = Params(
 
 
 def embed_articles(articles: DataFrame, fn: EmbedFn | None = None, params: Params = Params()) -> DataFrame:
-    """Set ``article_embeddings`` from title and paragraphs, cut to ``max_tokens`` words."""
-    text = truncate_tokens(F.col("_text"), params.max_tokens)
+    """Set ``article_embeddings`` from title and paragraphs.
+
+    The built-in model reads whole texts; a model passed in gets the first ``max_tokens`` words.
+    """
+    text = F.col("_text") if fn is None else truncate_tokens(F.col("_text"), params.max_tokens)
     return (
         articles.withColumn("_text", article_text(F.col("article_title"), F.col("article_content")))
         .withColumn("article_embeddings", embed_text(text, fn, params))
@@ -94,7 +97,8 @@ def embed_articles(articles: DataFrame, fn: EmbedFn | None = None, params: Param
 
 
 def fill_embeddings(articles: DataFrame, fn: EmbedFn | None = None, params: Params = Params()) -> DataFrame:
-    """Keep stored embeddings; embed title and summary (or paragraphs) only where there is none."""
+    """Keep stored embeddings; only rows without one pass the model, with title and summary (or paragraphs)."""
     text = short_text(F.col("article_title"), F.col("article_summary"), F.col("article_content"))
-    missing = F.when(F.col("article_embeddings").isNull(), text)
-    return articles.withColumn("article_embeddings", F.coalesce("article_embeddings", embed_text(missing, fn, params)))
+    have = articles.filter(F.col("article_embeddings").isNotNull())
+    lack = articles.filter(F.col("article_embeddings").isNull()).withColumn("article_embeddings", embed_text(text, fn, params))
+    return have.unionByName(lack)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from storygraph.functions.dates import parse_day_month_year, parse_iso, parse_named_month
 from storygraph.functions.text import join_text_nodes
-from storygraph.functions.urls import absolute_url, strip_quotes, style_url, url_category
+from storygraph.functions.urls import absolute_url, resolve_url, strip_quotes, style_url, url_category
 from storygraph.operators.markup import Page, compile_selector, pick, read_page, select
 from storygraph.operators.profiles import PROFILES, BlockRule, SiteProfile
 from storygraph.schemas import BLOCK
@@ -36,14 +36,18 @@ _ELEMENT_DDL = "array<struct<tag: string, class: string, " + ", ".join(f"{n}: ar
 
 
 def _with_source(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
-    """Keep pages of known sites and name the site."""
+    """Keep pages of known sites and name the site, by the URL unless the pages have a ``source``."""
+    fetched = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("bigint")
+    if "source" in pages.columns:
+        return pages.select("url", "html", "source", fetched.alias("fetched_at")).filter("source is not null and html is not null")
     source = F.lit(None).cast("string")
     for p in reversed(profiles):
         own = F.lit(False)
         for host in p.hosts:
             own = own | F.col("url").startswith(host)
         source = F.when(own, F.lit(p.source)).otherwise(source)
-    return pages.select("url", "html", source.alias("source")).filter("source is not null and html is not null")
+    named = pages.select("url", "html", source.alias("source"), fetched.alias("fetched_at"))
+    return named.filter("source is not null and html is not null")
 
 
 def _by_source(profiles: Sequence[SiteProfile], make: Callable[[SiteProfile], Column]) -> Column:
@@ -68,7 +72,7 @@ def _take(page: Page, spec, root: int = 0) -> list[str]:
 
 
 def shred_listings(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
-    """(url, source, cards): the picked strings of every card of a listing page."""
+    """(url, source, fetched_at, cards): the picked strings of every card of a listing page."""
     plans = {
         p.source: (compile_selector(p.card), {n: _compile(getattr(p, n)) for n in CARD_PICKS}) for p in profiles
     }
@@ -87,9 +91,10 @@ def shred_listings(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFra
         for batch in batches:
             sources, html = batch.column("source").to_pylist(), batch.column("html").to_pylist()
             cards = pa.array([cards_of(s, h) for s, h in zip(sources, html)], type=_CARDS)
-            yield pa.RecordBatch.from_arrays([batch.column("url"), batch.column("source"), cards], names=["url", "source", "cards"])
+            kept = [batch.column(n) for n in ("url", "source", "fetched_at")]
+            yield pa.RecordBatch.from_arrays([*kept, cards], names=["url", "source", "fetched_at", "cards"])
 
-    return _with_source(pages, profiles).mapInArrow(run, f"url string, source string, cards {_CARD_DDL}")
+    return _with_source(pages, profiles).mapInArrow(run, f"url string, source string, fetched_at bigint, cards {_CARD_DDL}")
 
 
 def shred_articles(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
@@ -99,18 +104,30 @@ def shred_articles(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFra
             compile_selector(p.content),
             {n: _compile(p.element_picks.get(n)) for n in ELEMENT_PICKS},
             {n: _compile(getattr(p, n)) for n in PAGE_PICKS},
+            p.gallery_root and compile_selector(p.gallery_root),
         )
         for p in profiles
     }
 
+    def class_of(page: Page, root: int) -> str | None:
+        """The first class of a div, its own or of one inside it."""
+        if page.tag[root] != "div":
+            return page.attrs[root].get("class")
+        inside = range(root, page.last[root] + 1)
+        return next((page.attrs[n]["class"] for n in inside if page.tag[n] == "div" and "class" in page.attrs[n]), None)
+
     def article_of(source: str, html: str) -> tuple[list[dict], dict]:
-        content, specs, page_specs = plans[source]
+        content, specs, page_specs, gallery_root = plans[source]
         page = read_page(html)
         elements = [
-            {"tag": page.tag[root], "class": page.attrs[root].get("class")} | {n: _take(page, s, root) for n, s in specs.items()}
+            {"tag": page.tag[root], "class": class_of(page, root)} | {n: _take(page, s, root) for n, s in specs.items()}
             for root in select(page, content)
         ]
-        return elements, {n: _take(page, s) for n, s in page_specs.items()}
+        picks = {n: _take(page, s) for n, s in page_specs.items()}
+        if gallery_root:
+            first = select(page, gallery_root)[:1]
+            picks["gallery"] = _take(page, page_specs["gallery"], first[0]) if first else []
+        return elements, picks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +157,7 @@ def extract_listing(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES
 
 
 def listing_rows(shredded: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
-    rows = shredded.select("url", "source", F.posexplode("cards").alias("position", "card"))
+    rows = shredded.select("url", "source", "fetched_at", F.posexplode("cards").alias("position", "card"))
 
     def thumbnail(p: SiteProfile) -> Column:
         value = _first(F.col("card.image"))
@@ -163,6 +180,7 @@ def listing_rows(shredded: DataFrame, profiles: Sequence[SiteProfile]) -> DataFr
         _by_source(profiles, link).alias("article_url"),
         _first(F.col("card.title")).alias("title"),
         _by_source(profiles, thumbnail).alias("thumbnail"),
+        "fetched_at",
     ).filter("article_url is not null")
 
 
@@ -199,13 +217,12 @@ def article_blocks(p: SiteProfile) -> Column:
     kept = F.filter(F.transform("elements", lambda e: classify_block(e, p)), lambda b: b.isNotNull())
     if not p.gallery:
         return kept
-    site = p.hosts[0].rstrip("/")
     none = F.lit(None).cast("string")
     images = F.transform(
         "gallery",
         lambda g: F.struct(
             F.lit("image").alias("type"),
-            absolute_url(g, site).alias("content"),
+            resolve_url(F.col("url"), g).alias("content"),
             none.alias("content_caption"),
             none.alias("src"),
         ),
@@ -240,31 +257,42 @@ def extract_articles(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILE
     )
 
 
-def article_records(listing: DataFrame, pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
-    """Article rows: listing metadata joined with what the article page holds, not yet clustered.
+def requests(listing: DataFrame) -> DataFrame:
+    """Listing entries with the URL their link leads to (``request_url``), resolved against the listing."""
+    return listing.withColumn("request_url", resolve_url(F.col("listing_url"), F.col("article_url")))
+
+
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """(url, html) with one page per URL: the newest fetch, in a stable order where fetches tell nothing apart."""
+    order = [F.col(c) for c in ("fetched_at", "page_id") if c in pages.columns]
+    return pages.filter("html is not null").groupBy("url").agg(F.max(F.struct(*order, "html")).alias("newest")).select("url", "newest.html")
+
+
+def requested_records(asked: DataFrame, pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
+    """Article rows of the requests whose page is there: listing metadata joined with what the page holds.
 
-    The raw pages meet the wanted URLs first, so only those are parsed. Up to
-    ``BROADCAST_URLS`` of them go to the pages; beyond that the pages are shuffled.
+    The site is that of the listing, wherever the page lies. The raw pages meet the wanted URLs
+    first, so only those are parsed, once each. Up to ``BROADCAST_URLS`` of them go to the
+    pages; beyond that the pages are shuffled.
     """
-    asked = listing.withColumn(
-        "request_url",
-        _by_source(profiles, lambda p: absolute_url(F.col("article_url"), p.hosts[0].rstrip("/"))),
-    )
     asked, seen = materialize(asked)
-    urls = asked.select(F.col("request_url").alias("url")).distinct()
-    wanted = pages.join(F.broadcast(urls) if seen["rows"] <= BROADCAST_URLS else urls, "url", "left_semi")
-    found = extract_articles(wanted, profiles)
-    return (
-        asked.join(found.withColumnRenamed("url", "request_url"), ["source", "request_url"])
-        .select(
-            "source",
-            F.col("title").alias("article_title"),
-            "article_url",
-            F.col("thumbnail").alias("article_thumbnail"),
-            "article_image",
-            "article_content",
-            "article_published_date",
-            F.col("category").alias("article_category"),
-            F.lit(None).cast("string").alias("cluster_id"),
-        )
+    urls = asked.select("source", F.col("request_url").alias("url")).distinct()
+    known = urls.select("url").distinct()
+    wanted = pages.join(F.broadcast(known) if seen["rows"] <= BROADCAST_URLS else known, "url", "left_semi")
+    found = extract_articles(newest_pages(wanted).join(urls, "url"), profiles)
+    return asked.join(found.withColumnRenamed("url", "request_url"), ["source", "request_url"]).select(
+        "source",
+        F.col("title").alias("article_title"),
+        "article_url",
+        F.col("thumbnail").alias("article_thumbnail"),
+        "article_image",
+        "article_content",
+        "article_published_date",
+        F.col("category").alias("article_category"),
+        F.lit(None).cast("string").alias("cluster_id"),
     )
+
+
+def article_records(listing: DataFrame, pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
+    """The same from listing entries, not yet clustered."""
+    return requested_records(requests(listing), pages, profiles)

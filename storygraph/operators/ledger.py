@@ -55,14 +55,18 @@ def unseen_urls(listing: DataFrame, today: DataFrame) -> DataFrame:
 
 
 def listing_quota(unseen: DataFrame, params: Params = Params()) -> DataFrame:
-    """The first ``max_articles`` unseen entries of each listing in document order."""
-    order = Window.partitionBy("listing_url").orderBy("position", "article_url")
+    """The first ``max_articles`` unseen entries of each listing in document order.
+
+    Each crawl of a listing (``fetched_at``, where there is one) has places of its own.
+    """
+    crawl = [c for c in ("listing_url", "fetched_at") if c in unseen.columns]
+    order = Window.partitionBy(*crawl).orderBy("position", "article_url")
     return unseen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= params.max_articles).drop("_rank")
 
 
 def first_requests(entries: DataFrame) -> DataFrame:
-    """Each URL of a source once. Follows the quota: a repeated entry uses up its place in the listing."""
-    keys = ["source", "article_url"]
+    """Each URL of a source and category once. Follows the quota: a repeated entry uses up its place in the listing."""
+    keys = ["source", "category", "article_url"]
     others = [c for c in entries.columns if c not in keys]
     order = F.struct("listing_url", "position")
     first = F.min_by(F.struct(*others), order).alias("_entry")

@@ -40,6 +40,7 @@ class SiteProfile:
     image_style: Pick | None = None
     paragraph_image: Pick | None = None
     gallery: Pick | None = None
+    gallery_root: str | None = None  # the gallery is read within the first of these
     link_prefix: str | None = None  # put in front of every link
     image_prefix: str | None = None  # put in front of relative images
     zone: str = SITE_ZONE
@@ -106,10 +107,7 @@ SYRI = SiteProfile(
     hosts=("https://www.syri.net/", "https://syri.net/"),
     listings=("https://www.syri.net/politike",),
     category_piece=-1,
-    card=(
-        "div.categ-left, div.col-sm-6.col-xs-12.new-style, div.col-md-3.col-sm-6.col-xs-12.news-box.blue, "
-        "div.col-md-4.col-sm-4.col-xs-12.news-box.blue"
-    ),
+    card="div.categ-left, div.col-sm-6.col-xs-12.new-style, div.col-md-3.col-sm-6.col-xs-12.news-box.blue, div.col-md-4.col-sm-4.col-xs-12.news-box.blue",
     link=("a, a *", "@href"),
     title=("a h1, a h2", "text"),
     image_style=("div.categ-lg", "@style"),
@@ -125,7 +123,8 @@ SYRI = SiteProfile(
     lead_image=("div.prime-left.readmore iframe, div.prime-left.readmore img", "@src"),
     date=("span.date strong", "text"),
     date_form="time_date",
-    gallery=("div.fotogaleri img", "@src"),
+    gallery=("img", "@src"),
+    gallery_root="div.fotogaleri",
 )
 
 PROFILES = (LAPSI, PAMFLETI, SYRI)

@@ -16,8 +16,9 @@ class Params:
     article_lookback_s: int = DAY_S
     cluster_lookback_s: int = 7 * DAY_S
     embed_dim: int = 512
-    max_tokens: int = 8000  # longest text handed to the article embedder
+    max_tokens: int = 8000  # longest text handed to an article embedder that is passed in
     summary_min_tokens: int = 300  # texts up to this length get no summary
+    request_days: int = 7  # days a followed entry waits for its page
     dedup_days: int = 1  # days a URL stays in the ledger check
     # What a member without summary adds to the cluster text when an existing
     # cluster is refreshed: its title only, or title and paragraphs.

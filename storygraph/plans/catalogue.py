@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storygraph.functions.dates import MONTHS_SQ, local_to_epoch, parse_day_month_year, parse_iso, parse_named_month, utc_day
 from storygraph.functions.text import article_text, paragraphs, short_text, token_count, truncate_tokens
-from storygraph.functions.urls import absolute_url, source_name, strip_quotes, style_url, url_category
+from storygraph.functions.urls import absolute_url, resolve_url, source_name, strip_quotes, style_url, url_category
 from storygraph.functions.vectors import cosine_similarity
 from storygraph.operators import clusters as C
 from storygraph.operators.dbscan import dbscan, eps_join
@@ -34,8 +34,8 @@ from storygraph.plans import adapters as A
 from storygraph.plans.cluster import ClusterRun, cluster_run
 from storygraph.plans.ingest import enrich, ingest_listing, stored_form
 from storygraph.session import materialize, prepare, scratch_path
-from storygraph.streaming.jobs import daily_url_dedup as daily_url_dedup_stream
-from storygraph.streaming.jobs import running_stats
+from storygraph.sources.tables import Store
+from storygraph.streaming.jobs import ledger_stream, running_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -194,6 +194,19 @@ def absolute_urls(spark, sf_dir):
     )
 
 
+@query("resolve_url")
+def resolved_urls(spark, sf_dir):
+    links = {
+        "absolute": F.col("url"),
+        "host": F.lit("//cdn.example/x.jpg"),
+        "rooted": F.lit("/lajm/9?a=b"),
+        "beside": F.lit("lajm/9"),
+        "query": F.lit("?page=2"),
+        "above": F.lit("./../other"),
+    }
+    return A.table(spark, sf_dir, "pages").select("page_id", *[resolve_url(F.col("url"), link).alias(n) for n, link in links.items()])
+
+
 @query("style_image_url")
 def style_image_url(spark, sf_dir):
     quoted = F.concat(F.lit("background:url('"), F.col("url"), F.lit("') center, url(b)"))
@@ -496,12 +509,15 @@ def articles_with_cluster(spark, sf_dir):
     return rows.select("source", "article_id", "cluster_id")
 
 
-def _run(spark, sf_dir) -> ClusterRun:
+def _run(spark, sf_dir, copies: int = 1) -> ClusterRun:
     """History: copies published before the cut. Run: everything published since, at the default thresholds."""
     articles, _ = materialize(embed_articles(A.with_summary(_spread_articles(spark, sf_dir))))
     old = articles.filter(F.col("article_published_date") < A.CUT)
     clusters, _ = materialize(C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT))
-    return cluster_run(articles.drop("doc_id", "copy_id"), clusters, A.AS_OF, RUN)
+    stored = articles.drop("doc_id", "copy_id")
+    for _ in range(copies - 1):
+        stored = stored.unionByName(articles.drop("doc_id", "copy_id"))
+    return cluster_run(stored, clusters, A.AS_OF, RUN)
 
 
 @query("cluster_run")
@@ -509,6 +525,13 @@ def cluster_run_decisions(spark, sf_dir):
     return _run(spark, sf_dir).decisions.select("article_id", "stage", "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("cluster_run_repeated_keys")
+def cluster_run_repeated_keys(spark, sf_dir):
+    """Every article is stored twice: decisions and members are those of single rows."""
+    rows = _run(spark, sf_dir, copies=2).decisions
+    return rows.select("article_id", "stage", "cluster_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("cluster_run_changes")
 def cluster_run_changes(spark, sf_dir):
     return _run(spark, sf_dir).changed.select("cluster_id", "n_members", "last_updated")
@@ -593,14 +616,46 @@ def article_page_records(spark, sf_dir):
     )
 
 
+@query("article_records_recrawled")
+def recrawled_page_records(spark, sf_dir):
+    """Every page is there twice: an older copy without content must not count, nor make a second article."""
+    pages = A.spread_table(spark, sf_dir, "pages")
+    old = pages.withColumn("html", F.lit("<html><article><p>old</p></article></html>")).withColumn("fetched_at", F.lit(1).cast("bigint"))
+    both = old.unionByName(pages.withColumn("fetched_at", F.lit(2).cast("bigint")))
+    rows = article_records(A.page_listing(pages), both, [A.WEB])
+    return rows.select(
+        "article_url", "article_title", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "cluster_id"
+    )
+
+
+INGESTED = ["source", "article_id", "article_url", "article_category", "n_blocks", "article_summary"]
+
+
+def _seen_http(listing: DataFrame) -> DataFrame:
+    return ledger_rows(
+        listing.filter(F.col("article_url").startswith("http:")).select(
+            "source", "category", F.col("article_url").alias("url"), F.lit(A.AS_OF).cast("bigint").alias("ts_s")
+        )
+    )
+
+
+@query("ingest_two_batches")
+def ingest_two_batches(spark, sf_dir):
+    """The listing in one batch without any page, all pages in the next: the same articles as in one batch."""
+    pages = A.spread_table(spark, sf_dir, "pages")
+    listing = A.page_listing(pages)
+    ledger = _seen_http(listing)
+    first = ingest_listing(listing, pages.limit(0), ledger, A.AS_OF, profiles=[A.WEB])
+    second = ingest_listing(listing.limit(0), pages, ledger, A.AS_OF, profiles=[A.WEB], waiting=first.waiting)
+    rows = first.articles.unionByName(second.articles)
+    return rows.withColumn("n_blocks", F.size("article_content").cast("bigint")).select(INGESTED)
+
+
 @query("ingest_run")
 def ingest_run(spark, sf_dir):
     pages = A.spread_table(spark, sf_dir, "pages")
     listing = A.page_listing(pages)
-    seen = listing.filter(F.col("article_url").startswith("http:")).select(
-        "source", "category", F.col("article_url").alias("url"), F.lit(A.AS_OF).cast("bigint").alias("ts_s")
-    )
-    run = ingest_listing(listing, pages, ledger_rows(seen), A.AS_OF, profiles=[A.WEB])
+    run = ingest_listing(listing, pages, _seen_http(listing), A.AS_OF, profiles=[A.WEB])
     return run.articles.select(
         "source", "article_id", "article_url", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "article_summary"
     )
@@ -610,9 +665,11 @@ def ingest_run(spark, sf_dir):
 
 
 def _streamed_feed(spark, sf_dir) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return A.feed_columns(stream)
+    """Events in four files, each with rows of all days: most rows of the later ones come late."""
+    events, folder = A.table(spark, sf_dir, "events"), scratch_path(spark)
+    for k in range(4):
+        events.filter(F.col("event_id") % 4 == 3 - k).coalesce(1).write.mode("append").parquet(folder)
+    return A.feed_columns(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder))
 
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
@@ -629,12 +686,13 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
 
 @query("stream_url_dedup")
 def stream_url_dedup(spark, sf_dir):
-    rows = _drain(daily_url_dedup_stream(_streamed_feed(spark, sf_dir)), "append")
-    return rows.select("source", F.unix_seconds(F.col("day").cast("timestamp")).alias("day"), "category", "url")
+    store = Store(spark, scratch_path(spark))
+    ledger_stream(_streamed_feed(spark, sf_dir), store, scratch_path(spark), once=True).awaitTermination()
+    return store.ledger()
 
 
 @query("stream_stats")
 def stream_stats(spark, sf_dir):
     """Running counters; the newest value of each is the largest."""
     rows = _drain(running_stats(_streamed_feed(spark, sf_dir)), "update")
-    return rows.groupBy("source", "category").agg(F.max("value").alias("value"))
+    return rows.groupBy("source", "metric").agg(F.max("value").alias("value"))

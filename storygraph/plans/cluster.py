@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storygraph.operators.clusters import apply_models, build_clusters, extend_clusters, member_articles, new_cluster_id
+from storygraph.operators.clusters import apply_models, build_clusters, extend_clusters, member_additions, member_articles, new_cluster_id
 from storygraph.operators.dbscan import dbscan
 from storygraph.operators.embed import fill_embeddings
 from storygraph.operators.models import Models
@@ -41,6 +41,7 @@ def cluster_run(
     models: Models = Models(),
     members: DataFrame | None = None,
     all_articles: Callable[[int], DataFrame] | None = None,
+    recent_members: DataFrame | None = None,
 ) -> ClusterRun:
     """One run over tables as they stand. All articles meet the cluster vectors of the run's start.
 
@@ -48,12 +49,16 @@ def cluster_run(
     the articles that join a cluster are each written out once. With models of
     your own a refreshed cluster is built from all of its members: ``members`` is
     their table and ``all_articles(since)`` gives the articles published from then on.
+    Of rows repeated under one key the smallest counts. ``recent_members`` are the
+    memberships that an article of the lookback may have already; these are not added again.
     """
     pending = new_articles(articles, as_of, params)
     state = recent_clusters(clusters, as_of, params)
     vectors, _ = materialize(
-        fill_embeddings(pending.drop("cluster_id"), models.embed, params).select(
-            "article_id", "source", "article_published_date", "article_embeddings"
+        _one_per_article(
+            fill_embeddings(pending.drop("cluster_id"), models.embed, params).select(
+                "article_id", "source", "article_published_date", "article_embeddings"
+            )
         )
     )
     near, _ = materialize(
@@ -82,11 +87,13 @@ def cluster_run(
     added = decisions.filter("cluster_id is not null").select(
         "cluster_id", "source", "article_id", F.lit(as_of).cast("bigint").alias("added_at")
     )
+    if recent_members is not None:
+        added = member_additions(added, recent_members)
     texts = pending.select("source", "article_id", "article_title", "article_summary", "article_content")
     joining, _ = materialize(
         decisions.filter("cluster_id is not null")
         .select("cluster_id", "source", "article_id", "stage")
-        .join(texts, ["source", "article_id"])
+        .join(_one_per_article(texts), ["source", "article_id"])
     )
     assigned, grouped = joining.filter("stage = 'assigned'"), joining.filter("stage = 'grouped'")
     grown = extend_clusters(state, assigned, as_of, params)
@@ -106,6 +113,13 @@ def cluster_run(
     return ClusterRun(decisions, grown.unionByName(fresh), added, run_metrics(decisions, state))
 
 
+def _one_per_article(rows: DataFrame) -> DataFrame:
+    """One row per article id, the smallest by its other columns."""
+    others = [c for c in rows.columns if c != "article_id"]
+    one = rows.groupBy("article_id").agg(F.min(F.struct(*others)).alias("one"))
+    return one.select("article_id", "one.*").select(rows.columns)
+
+
 def run_metrics(decisions: DataFrame, state: DataFrame) -> DataFrame:
     """One row of counts: what was found, assigned, left over and newly grouped."""
     rows = decisions.select("stage", "cluster_id").unionByName(state.select(F.lit("cluster").alias("stage"), "cluster_id"))
@@ -130,7 +144,15 @@ def cluster_batch(store: Store, batch: int, now: int, params: Params = Params(),
     clusters = store.clusters(before=batch, since=as_of - params.cluster_lookback_s)
     with scratch(store.spark):
         run = cluster_run(
-            articles, clusters, as_of, params, models, store.members(before=batch), lambda since: store.stored_articles(upto, since)
+            articles,
+            clusters,
+            as_of,
+            params,
+            models,
+            store.members(before=batch),
+            lambda since: store.stored_articles(upto, since),
+            # An article joins a cluster within the lookback after its publication.
+            store.members(before=batch, since=as_of - params.article_lookback_s),
         )
         store.add_clusters(run.changed, batch)
         store.add_members(run.members, batch)

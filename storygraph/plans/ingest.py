@@ -10,23 +10,26 @@ from pyspark.sql import functions as F
 
 from storygraph.functions.dates import utc_day
 from storygraph.operators.embed import embed_articles
-from storygraph.operators.extract import article_records, extract_listing
+from storygraph.operators.extract import extract_listing, requested_records, requests
 from storygraph.operators.ledger import first_requests, ledger_of_day, ledger_rows, listing_quota, unseen_urls
 from storygraph.operators.models import Models
 from storygraph.operators.profiles import PROFILES, SiteProfile
 from storygraph.operators.selection import rejected_articles, valid_articles
 from storygraph.operators.stats import article_stats
 from storygraph.operators.summarize import summarize_articles
-from storygraph.params import Params
-from storygraph.schemas import ARTICLES
-from storygraph.session import scratch
+from storygraph.params import DAY_S, Params
+from storygraph.schemas import ARTICLES, REQUESTS
+from storygraph.session import materialize, scratch
 from storygraph.sources.tables import Store
 
 
+REQUEST_KEY = ["source", "category", "article_url"]
+
+
 def article_id(as_of: int):
     """Key of an article stored at ``as_of``; the same again when a batch is replayed."""
     day = utc_day(F.lit(as_of).cast("bigint"))
-    return F.sha2(F.concat_ws("#", "source", "article_url", day.cast("string")), 256)
+    return F.sha2(F.concat_ws("#", "source", F.coalesce("article_category", F.lit("")), "article_url", day.cast("string")), 256)
 
 
 def enrich(articles: DataFrame, models: Models = Models(), params: Params = Params()) -> DataFrame:
@@ -49,10 +52,13 @@ def to_follow(listing: DataFrame, ledger: DataFrame, as_of: int, params: Params
 
 @dataclass
 class Ingested:
+    """``waiting`` are the requests whose page has not come yet."""
+
     articles: DataFrame
     rejected: DataFrame
     ledger: DataFrame
     stats: DataFrame
+    waiting: DataFrame
 
 
 def ingest_run(
@@ -62,9 +68,10 @@ def ingest_run(
     params: Params = Params(),
     models: Models = Models(),
     profiles: Sequence[SiteProfile] = PROFILES,
+    waiting: DataFrame | None = None,
 ) -> Ingested:
-    """What one crawl adds: articles, rejects, ledger rows and counter deltas."""
-    return ingest_listing(extract_listing(pages, profiles), pages, ledger, as_of, params, models, profiles)
+    """What one crawl adds: articles, rejects, ledger rows, counter deltas, requests left open."""
+    return ingest_listing(extract_listing(pages, profiles), pages, ledger, as_of, params, models, profiles, waiting)
 
 
 def ingest_listing(
@@ -75,18 +82,32 @@ def ingest_listing(
     params: Params = Params(),
     models: Models = Models(),
     profiles: Sequence[SiteProfile] = PROFILES,
+    waiting: DataFrame | None = None,
 ) -> Ingested:
-    """The same from listing entries that are already there."""
-    records = article_records(to_follow(listing, ledger, as_of, params), pages, profiles)
+    """The same from listing entries that are already there.
+
+    ``waiting`` are requests of earlier runs: they meet the pages of this one, without a place
+    in the quota, and an entry that waits already takes no place either.
+    """
+    if waiting is not None:
+        listing = listing.join(waiting.select(REQUEST_KEY).distinct(), REQUEST_KEY, "left_anti").select(listing.columns)
+    followed = requests(to_follow(listing, ledger, as_of, params)).withColumn("asked_at", F.lit(as_of).cast("bigint"))
+    asked = followed.select(REQUESTS.fieldNames())
+    if waiting is not None:
+        asked = asked.unionByName(waiting.select(REQUESTS.fieldNames()))
+    asked, _ = materialize(asked)
+    records = requested_records(asked, pages, profiles)
     stored = stored_form(enrich(valid_articles(records), models, params), as_of)
-    return with_side_tables(stored, rejected_articles(records), as_of)
+    come = pages.filter("html is not null").select(F.col("url").alias("request_url")).distinct()
+    still = asked.filter(F.col("asked_at") >= as_of - params.request_days * DAY_S).join(come, "request_url", "left_anti")
+    return with_side_tables(stored, rejected_articles(records), as_of, still.select(REQUESTS.fieldNames()))
 
 
-def with_side_tables(stored: DataFrame, rejected: DataFrame, as_of: int) -> Ingested:
+def with_side_tables(stored: DataFrame, rejected: DataFrame, as_of: int, waiting: DataFrame) -> Ingested:
     seen = stored.select(
         "source", F.col("article_category").alias("category"), F.col("article_url").alias("url"), F.lit(as_of).cast("bigint").alias("ts_s")
     )
-    return Ingested(stored, rejected, ledger_rows(seen), article_stats(stored))
+    return Ingested(stored, rejected, ledger_rows(seen), article_stats(stored), waiting)
 
 
 def ingest_batch(
@@ -101,10 +122,12 @@ def ingest_batch(
     """Run one ingest batch against the stored tables. Running it again changes nothing."""
     as_of, _ = store.open_run("ingest", batch, now)
     with scratch(store.spark):
-        run = ingest_run(pages, store.ledger(before=batch), as_of, params, models, profiles)
+        waiting = store.requests(before=batch, since=as_of - params.request_days * DAY_S)
+        run = ingest_run(pages, store.ledger(before=batch), as_of, params, models, profiles, waiting)
         store.add_articles(run.articles, batch)
+        store.add_requests(run.waiting, batch, as_of)
         # Ledger and counters come from the stored rows: pages are not parsed again.
-        side = with_side_tables(store.articles_of(batch), run.rejected, as_of)
+        side = with_side_tables(store.articles_of(batch), run.rejected, as_of, run.waiting)
         store.add_ledger(side.ledger, batch)
         store.add_stats(side.stats, batch)
     store.close_run("ingest", batch)

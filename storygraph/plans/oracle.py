@@ -114,7 +114,7 @@ old_members AS (
   SELECT copy_id AS cluster_id, a.* FROM art a WHERE published < {CUT}
   AND copy_id IN (SELECT copy_id FROM art WHERE published < {CUT} GROUP BY copy_id HAVING count(*) >= 2)),
 fresh AS (SELECT * FROM art WHERE published >= {CUT}),
-{counts("av", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM fresh", words=8000)},
+{counts("av", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM fresh")},
 {dense("av")},
 {counts("cv", f"SELECT cluster_id AS k, {SHORT_TEXT} AS t FROM old_members")},
 {dense("cv")},
@@ -178,7 +178,7 @@ SELECT copy_id AS cluster_id, max(published) AS last_updated FROM art GROUP BY 1
 WITH {ART} SELECT article_id, CASE WHEN n_blocks = 0 THEN 'empty_content' ELSE 'ok' END AS reason FROM art""",
     "store_articles": f"""
 WITH {ART}
-SELECT source, sha256(source || '#' || url || '#{AS_OF}') AS article_id, title AS article_title, url AS article_url,
+SELECT source, sha256(source || '#' || category || '#' || url || '#{AS_OF}') AS article_id, title AS article_title, url AS article_url,
        n_blocks, published AS article_published_date, category AS article_category, summary AS article_summary,
        NULL::VARCHAR AS cluster_id
 FROM art WHERE n_blocks > 0""",
@@ -232,7 +232,7 @@ SELECT doc_id, CASE WHEN len(ws) > 50 THEN array_to_string(ws[1:50], ' ') ELSE t
 WITH {ART} SELECT article_id, CASE WHEN n_blocks > 0 THEN title END AS cluster_title,
        CASE WHEN n_blocks > 0 THEN category END AS cluster_content FROM art""",
     "embed_documents": f"""
-WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art", words=8000)}
+WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art")}
 SELECT k AS article_id, bucket, value FROM x_v""",
     "embedding_fill": f"""
 WITH {ART},
@@ -244,7 +244,7 @@ SELECT article_id, i - 1, v FROM (
   FROM art JOIN embeddings ON vec_id = doc_id) WHERE v <> 0""",
     "summarize_documents": f"WITH {ART} SELECT article_id, summary AS article_summary FROM art",
     "enrich_articles": f"""
-WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art WHERE n_blocks > 0", words=8000)}
+WITH {ART}, {counts("x", f"SELECT article_id AS k, {FULL_TEXT} AS t FROM art WHERE n_blocks > 0")}
 SELECT article_id, any_value(summary) AS article_summary, count(*) AS n_buckets FROM art JOIN x ON k = article_id GROUP BY 1""",
     "cosine_pairs": f"""
 WITH {EMB}, c AS (SELECT label, arg_min(v, vec_id) AS cv FROM e GROUP BY label)
@@ -344,7 +344,7 @@ WHERE coalesce(content, src, type) <> '' AND (g = 2 OR coalesce(content, src) <>
 WITH {PIECES}, {NAV},
 texts AS (SELECT url, 0 AS g, i, 'paragraph' AS type, {UNESCAPED.format("regexp_replace(p, '<[^>]*>', '', 'g')")} AS content FROM piece),
 both_kinds AS (SELECT * FROM texts WHERE content <> ''
-               UNION ALL SELECT url, 1, i, 'image', 'http:' || {UNESCAPED.format("href")} FROM nav)
+               UNION ALL SELECT url, 1, i, 'image', regexp_extract(url, '^https?://[^/?#]*') || {UNESCAPED.format("href")} FROM nav)
 SELECT url, row_number() OVER (PARTITION BY url ORDER BY g, i) - 1 AS position, type, content FROM both_kinds""",
     "article_image": f"""
 WITH {NAV}
@@ -360,7 +360,7 @@ asked AS (SELECT url, ps, split_part(url, '/', 4) AS category FROM pieces WHERE
           QUALIFY row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) <= 5),
 b AS (SELECT url, category, list_filter(list_transform(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), lambda x: x <> '') AS bs FROM asked),
 t AS (SELECT url, category, len(bs) AS n_blocks, {UNESCAPED.format("array_to_string(bs, ' ')")} AS body FROM b)
-SELECT 'web' AS source, sha256('web#' || url || '#{AS_OF}') AS article_id, url AS article_url, category AS article_category,
+SELECT 'web' AS source, sha256('web#' || category || '#' || url || '#{AS_OF}') AS article_id, url AS article_url, category AS article_category,
        n_blocks, CASE WHEN len(regexp_extract_all(body, '\\S+')) > 300 THEN {LEAD} END AS article_summary
 FROM t WHERE n_blocks > 0""",
 }
@@ -368,5 +368,16 @@ ORACLE["stats_increment"] = ORACLE["article_stats"]
 ORACLE["parse_date_dmy"] = ORACLE["parse_date_named_month"]
 ORACLE["assign_nearest_blocks"] = ORACLE["assign_nearest"]
 ORACLE["stream_url_dedup"] = ORACLE["daily_url_dedup"]
-ORACLE["stream_stats"] = f"WITH {FEED} SELECT source, category, count(*) AS value FROM feed GROUP BY 1, 2"
+ORACLE["stream_stats"] = ORACLE["feed_stats"]
+ORACLE["ingest_two_batches"] = ORACLE["ingest_run"]
+ORACLE["article_records_recrawled"] = ORACLE["article_records"]
+ORACLE["cluster_run_repeated_keys"] = ORACLE["cluster_run"]
+# Six forms of links on each page, resolved by taking its URL apart.
+ORACLE["resolve_url"] = """
+WITH cut AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*') AS site, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, url AS absolute, regexp_extract(url, '^https?:') || '//cdn.example/x.jpg' AS host, site || '/lajm/9?a=b' AS rooted,
+       site || regexp_replace(path, '[^/]*$', '') || 'lajm/9' AS beside, site || path || '?page=2' AS query,
+       site || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || 'other' AS above
+FROM cut
+"""
 ORACLE["cluster_embedding_by_model"] = ORACLE["cluster_embedding"]

@@ -13,7 +13,8 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 BLOCK = _struct(type=STRING, content=STRING, content_caption=STRING, src=STRING)
 
-PAGES = _struct(page_id=LONG, url=STRING, html=STRING)
+# `fetched_at` (epoch seconds) tells the copies of a page apart; it may be NULL or absent.
+PAGES = _struct(page_id=LONG, url=STRING, html=STRING, fetched_at=LONG)
 
 LISTING = _struct(
     listing_url=STRING,
@@ -25,6 +26,17 @@ LISTING = _struct(
     thumbnail=STRING,
 )
 
+# Entries that were followed and whose page has not come yet.
+REQUESTS = _struct(
+    source=STRING,
+    category=STRING,
+    article_url=STRING,
+    title=STRING,
+    thumbnail=STRING,
+    request_url=STRING,
+    asked_at=LONG,
+)
+
 ARTICLES = _struct(
     source=STRING,
     article_id=STRING,

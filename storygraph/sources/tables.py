@@ -10,6 +10,7 @@ its own files; nothing is applied twice, and no big table is ever rewritten.
     cluster_members  day (of addition) / batch
     ledger           day / batch
     stats            batch                          deltas, summed when read
+    requests         day / batch                    what a batch leaves waiting for its page
     runs             batch                          time a batch stands for
 """
 
@@ -90,12 +91,22 @@ class Store:
         newest = rows.groupBy("cluster_id").agg(F.max("batch").alias("batch"))
         return rows.join(newest, ["cluster_id", "batch"], "left_semi").select(schemas.CLUSTERS.fieldNames())
 
-    def members(self, before: int | None = None) -> DataFrame:
-        return self._read("cluster_members", schemas.CLUSTER_MEMBERS, before).select(schemas.CLUSTER_MEMBERS.fieldNames())
+    def members(self, before: int | None = None, since: int | None = None) -> DataFrame:
+        """Memberships; ``since`` prunes to those added from that day on."""
+        rows = self._read("cluster_members", schemas.CLUSTER_MEMBERS, before)
+        if since is not None:
+            rows = rows.filter(F.col("day") >= since - since % DAY_S)
+        return rows.select(schemas.CLUSTER_MEMBERS.fieldNames())
 
     def ledger(self, before: int | None = None) -> DataFrame:
         return self._read("ledger", schemas.LEDGER, before).select(schemas.LEDGER.fieldNames())
 
+    def requests(self, before: int, since: int) -> DataFrame:
+        """What the last batch before ``before`` left waiting; each batch carries on what still waits."""
+        rows = self._read("requests", schemas.REQUESTS, before).filter(F.col("day") >= since - since % DAY_S)
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch").filter("source is not null").select(schemas.REQUESTS.fieldNames())
+
     def stats(self, before: int | None = None) -> DataFrame:
         deltas = self._read("stats", schemas.STATS, before)
         return deltas.groupBy("source", "metric").agg(F.sum("value").alias("value"))
@@ -135,6 +146,11 @@ class Store:
     def add_ledger(self, rows: DataFrame, batch: int) -> None:
         self._write(rows.select("source", "category", "url", "day"), "ledger", batch, F.col("day"))
 
+    def add_requests(self, waiting: DataFrame, batch: int, as_of: int) -> None:
+        """Written with one empty row, so that a batch that leaves nothing open is seen to."""
+        mark = self.spark.createDataFrame([(None,) * len(schemas.REQUESTS)], schemas.REQUESTS)
+        self._write(waiting.unionByName(mark), "requests", batch, utc_day(F.lit(as_of).cast("bigint")))
+
     def add_stats(self, delta: DataFrame, batch: int) -> None:
         self._write(delta, "stats", batch, None)
 

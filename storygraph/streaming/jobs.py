@@ -1,4 +1,4 @@
-"""Streams: ingest and cluster runs per micro-batch, daily URL dedup, running counters."""
+"""Streams: ingest and cluster runs per micro-batch, the URL ledger, running counters."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from storygraph.operators.ledger import ledger_additions, ledger_rows
 from storygraph.operators.models import Models
 from storygraph.operators.profiles import PROFILES, SiteProfile
 from storygraph.params import Params
 from storygraph.plans.cluster import cluster_batch
 from storygraph.plans.ingest import ingest_batch
+from storygraph.session import materialize, scratch
 from storygraph.sources.tables import Store
 
 INTERVAL = "10 seconds"
@@ -64,19 +66,25 @@ def cluster_stream(
     return _start(ticks, body, checkpoint, once)
 
 
-def daily_url_dedup(feed: DataFrame) -> DataFrame:
-    """First row of each (source, category, url) and UTC day of a stream with a ``ts`` timestamp.
+def ledger_stream(feed: DataFrame, store: Store, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Add each (source, category, url) and UTC day of a stream with ``ts_s`` (epoch seconds) to the ledger once.
 
-    Two rows of one day are less than a day apart, so a one-day watermark keeps
-    the result complete and lets the state of past days go.
+    What was seen is looked up in the stored ledger, by the days of the batch, not in a state
+    with a watermark: a row may come any number of days late, and nothing is held in memory.
     """
-    return (
-        feed.withColumn("day", F.to_date("ts"))
-        .withWatermark("ts", "1 day")
-        .dropDuplicatesWithinWatermark(["source", "category", "url", "day"])
-    )
+
+    def body(rows: DataFrame, batch: int) -> None:
+        store.open_run("ledger", batch, 0)
+        with scratch(store.spark):
+            new, _ = materialize(ledger_rows(rows))
+            stored = store.ledger(before=batch).join(new.select("day").distinct(), "day", "left_semi")
+            store.add_ledger(ledger_additions(new, stored), batch)
+        store.close_run("ledger", batch)
+
+    return _start(feed, body, checkpoint, once)
 
 
 def running_stats(feed: DataFrame) -> DataFrame:
-    """Running article counts per source and category, for the update output mode."""
-    return feed.groupBy("source", "category").agg(F.count(F.lit(1)).alias("value"))
+    """Running counters (source, metric, value) of articles: in all and per category; for the update output mode."""
+    metrics = F.array(F.lit("total_articles"), F.concat(F.lit("category_"), "category"))
+    return feed.select("source", F.explode(metrics).alias("metric")).groupBy("source", "metric").agg(F.count(F.lit(1)).alias("value"))

@@ -5,7 +5,27 @@ from tests.fixtures import PAGES
 
 
 def pages(spark):
-    return spark.createDataFrame(PAGES, SCHEMA)
+    return spark.createDataFrame([(*r, None) for r in PAGES], SCHEMA)
+
+
+def test_nested_video_and_first_gallery(spark):
+    lapsi = '<div class="entry-content"><div><div class="wp-video"><video><source src="v"></video></div></div><div class="x"><div class="wp-video"><video><source src="w"></video></div></div></div>'
+    syri = '<div class="readmore-text-here"><p>t</p></div><div class="fotogaleri"><img src="g1.jpg"><img src="//cdn.x/g2.jpg"><img src="/g3.jpg"></div><div class="fotogaleri"><img src="/second.jpg"></div>'
+    rows = spark.createDataFrame([(1, "https://lapsi.al/v", lapsi, None), (2, "https://www.syri.net/lajm/7", syri, None)], SCHEMA)
+    got = {r.source: blocks(r) for r in extract_articles(rows).collect()}
+    assert got["lapsi"] == [("video", "v", None)]
+    assert [b[1] for b in got["syri"][1:]] == ["https://www.syri.net/lajm/g1.jpg", "https://cdn.x/g2.jpg", "https://www.syri.net/g3.jpg"]
+
+
+def test_links_are_followed_wherever_they_lead(spark):
+    card = '<div class="categ-left"><a href="{}"><h1>T</h1></a></div>'
+    links = ["lajm/9", "//www.syri.net/lajm/8", "/lajm/7", "https://elsewhere.example/w"]
+    urls = ["https://www.syri.net/lajm/9", "https://www.syri.net/lajm/8", "https://www.syri.net/lajm/7", "https://elsewhere.example/w"]
+    page = '<div class="readmore-text-here"><p>text</p></div>'
+    rows = [(0, "https://www.syri.net/politike", "".join(card.format(x) for x in links), None), *((i, u, page, None) for i, u in enumerate(urls, 1))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    records = article_records(extract_listing(df), df).collect()
+    assert sorted(r.article_url for r in records) == sorted(links) and {r.source for r in records} == {"syri"}
 
 
 def test_listing_of_each_site(spark):

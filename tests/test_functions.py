@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from storygraph.functions.dates import parse_day_month_year, parse_iso, parse_named_month, utc_day
 from storygraph.functions.text import article_text, paragraphs, refresh_text, short_text, token_count, truncate_tokens
-from storygraph.functions.urls import absolute_url, source_name, strip_quotes, style_url, url_category
+from storygraph.functions.urls import absolute_url, resolve_url, source_name, strip_quotes, style_url, url_category
 from storygraph.functions.vectors import cosine_similarity, unit_vector, usable
 from storygraph.operators.summarize import parse_summary
 
@@ -57,6 +57,17 @@ def test_urls(spark):
 BLOCKS = "title string, summary string, content array<struct<type:string, content:string>>"
 
 
+def test_links_resolve_as_urljoin_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://www.syri.net/politike", "https://a.b/c/d/e?x=1#y", "http://h.de", "http://h.de/", "https://h.de/a/b/"]
+    links = ["https://x.y/z", "mailto:a@b.c", "//cdn.x/g2.jpg", "/lajm/9", "lajm/9", "?q=1", "#top", "..", ".", "../x", "../../../x", "./x/./y/../z?u=/../v", "", "x/..", "/a/../b/."]
+    rows = [(b, link) for b in bases for link in links]
+    got = values(spark, "b string, l string", rows, resolve_url(F.col("b"), F.col("l")))
+    assert [g[0] for g in got] == [urljoin(b, link) for b, link in rows]
+    assert [g[0] for g in values(spark, "b string, l string", [(None, "x"), ("http://a/", None)], resolve_url(F.col("b"), F.col("l")))] == [None, None]
+
+
 def test_texts(spark):
     content = [("paragraph", "one"), ("image", "i"), ("paragraph", "two")]
     t, s, c = F.col("title"), F.col("summary"), F.col("content")

@@ -13,7 +13,7 @@ from storygraph.schemas import ARTICLES, CLUSTERS
 from storygraph.schemas import PAGES as PAGES_SCHEMA
 from storygraph.sources.pages import read_pages, stream_pages
 from storygraph.sources.tables import Store
-from storygraph.streaming.jobs import cluster_stream, daily_url_dedup, ingest_stream, running_stats
+from storygraph.streaming.jobs import cluster_stream, ingest_stream, ledger_stream, running_stats
 from tests.fixtures import PAGES
 from tests.test_tables import article
 
@@ -118,8 +118,9 @@ def test_empty_run(spark):
     assert run.decisions.isEmpty() and run.changed.isEmpty() and run.members.isEmpty()
 
 
-def pages(spark):
-    return spark.createDataFrame(PAGES, PAGES_SCHEMA)
+def pages(spark, rows=PAGES):
+    """Pages of (id, url, html), or with the time of their fetch."""
+    return spark.createDataFrame([(*r, None)[:4] for r in rows], PAGES_SCHEMA)
 
 
 def test_ingest_batches_fill_tables_once(spark, tmp_path):
@@ -139,6 +140,74 @@ def test_ingest_batches_fill_tables_once(spark, tmp_path):
     assert store.articles().count() == 6
 
 
+LISTING = """<div id="content">{}</div>"""
+CARD = """<article><div class="post-content-wrapper"><a href="{}">T {}</a></div></article>"""
+PAGE = """<div class="entry-meta"><time class="published" datetime="2024-10-21T14:30:00+02:00">x</time></div><div class="entry-content"><p>{}</p></div>"""
+LAPSI = "https://lapsi.al/kategoria/te-fundit/"
+
+
+def listing(*links):
+    return LISTING.format("".join(CARD.format(link, i) for i, link in enumerate(links)))
+
+
+def test_a_page_may_come_in_a_later_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    links = [f"https://lapsi.al/p{i}" for i in range(7)]
+    ingest_batch(store, pages(spark, [(1, LAPSI, listing(*links))]), 0, NOW, DIM)
+    assert store.articles().count() == 0
+    # What waits takes no place in the quota of the next crawl: the last two get theirs.
+    ingest_batch(store, pages(spark, [(2, LAPSI, listing(*links)), (3, links[0], PAGE.format("zero"))]), 1, NOW + 10, DIM)
+    assert [r.article_url for r in store.articles().collect()] == links[:1]
+    ingest_batch(store, pages(spark, [(4 + i, u, PAGE.format(u)) for i, u in enumerate(links)]), 2, NOW + 20, DIM)
+    ingest_batch(store, pages(spark, [(4 + i, u, PAGE.format(u)) for i, u in enumerate(links)]), 2, NOW + 30, DIM)
+    assert sorted(r.article_url for r in store.articles().collect()) == links
+    assert store.requests(before=3, since=0).count() == 0
+    # What does not come within `request_days` is given up.
+    ingest_batch(store, pages(spark, [(1, LAPSI, listing("https://lapsi.al/never"))]), 3, NOW + 40, DIM)
+    assert store.requests(before=4, since=0).count() == 1
+    ingest_batch(store, pages(spark, []), 4, NOW + 9 * DAY_S, DIM)
+    assert store.requests(before=5, since=0).count() == 0
+
+
+def test_a_page_crawled_twice_is_one_article_of_its_newest_copy(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    url = "https://lapsi.al/a"
+    rows = [(1, LAPSI, listing(url), 5), (2, url, PAGE.format("new " + FLOOD), 9), (3, url, PAGE.format("old"), 7), (4, url, PAGE.format("old"), None)]
+    ingest_batch(store, pages(spark, rows), 0, NOW, DIM)
+    (only,) = store.articles().collect()
+    assert only.article_content[0].content == "new " + FLOOD
+    assert cluster_batch(store, 0, NOW, DIM)["new_clusters"] == 0
+
+
+def test_each_crawl_of_a_listing_has_its_own_quota(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    first, second = [f"https://lapsi.al/f{i}" for i in range(6)], [f"https://lapsi.al/s{i}" for i in range(6)]
+    rows = [(1, LAPSI, listing(*first), 1), (2, LAPSI, listing(*second), 2)]
+    ingest_batch(store, pages(spark, rows + [(3 + i, u, PAGE.format(u), 3) for i, u in enumerate(first + second)]), 0, NOW, DIM)
+    assert sorted(r.article_url for r in store.articles().collect()) == first[:5] + second[:5]
+
+
+def test_one_url_in_two_categories_is_two_articles_with_keys_of_their_own(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    df = articles(spark, [article("a", "Flood", text(FLOOD), NOW - 10), article("b", "Flood", text(FLOOD), NOW - 10)])
+    same = df.drop("article_url", "article_category").withColumn("article_url", F.lit("u")).withColumn("article_category", F.col("article_id"))
+    stored = stored_form(same, NOW)
+    assert stored.select("article_id").distinct().count() == 2
+    save(store, stored, 0)
+    assert cluster_batch(store, 0, NOW, DIM)["new_clusters"] == 1
+    assert store.members().count() == 2 and store.clusters().first().n_members == 2
+
+
+def test_repeated_keys_count_once_in_a_cluster_run(spark):
+    rows = [article("a", "Flood", text(FLOOD), NOW), article("b", "Flood", text(FLOOD), NOW), article("c", "Vote", text(VOTE), NOW)]
+    once = cluster_run(articles(spark, rows), spark.createDataFrame([], CLUSTERS), NOW, DIM)
+    twice = cluster_run(articles(spark, rows + rows[:2]), spark.createDataFrame([], CLUSTERS), NOW, DIM)
+    for name in ("decisions", "changed", "members", "metrics"):
+        assert sorted(map(str, getattr(twice, name).collect())) == sorted(map(str, getattr(once, name).collect()))
+    again = cluster_run(articles(spark, rows), spark.createDataFrame([], CLUSTERS), NOW, DIM, recent_members=once.members)
+    assert again.members.count() == 0
+
+
 def test_streams_ingest_and_cluster(spark, tmp_path):
     source, store = str(tmp_path / "pages"), Store(spark, str(tmp_path / "store"))
     pages(spark).coalesce(1).write.parquet(source)
@@ -148,6 +217,9 @@ def test_streams_ingest_and_cluster(spark, tmp_path):
     ticks = stream_pages(spark, source)
     cluster_stream(ticks, store, str(tmp_path / "c2"), DIM, clock=lambda: NOW, once=True).awaitTermination()
     assert store.last_finished("cluster") == 0
+    # Dated weeks before the run, the three articles are outside its lookback.
+    cluster_stream(ticks, store, str(tmp_path / "c3"), Params(embed_dim=64, article_lookback_s=10**8), clock=lambda: NOW, once=True).awaitTermination()
+    assert store.members().count() == store.articles().filter("cluster_id is not null").count()
 
 
 def feed_files(spark, tmp_path, sf="sf0.001"):
@@ -168,15 +240,18 @@ def feed_files(spark, tmp_path, sf="sf0.001"):
 
 def test_streaming_dedup_and_counters_equal_batch(spark, tmp_path):
     feed, stream = feed_files(spark, tmp_path)
-    out = str(tmp_path / "out")
-    query = daily_url_dedup(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c3"))
-    query.trigger(availableNow=True).start(out).awaitTermination()
-    batch = feed.withColumn("day", F.to_date("ts")).select("source", "category", "url", "day").distinct()
-    assert spark.read.parquet(out).count() == batch.count()
+    store = Store(spark, str(tmp_path / "store"))
+    timed = stream.withColumn("ts_s", F.unix_timestamp("ts"))
+    ledger_stream(timed, store, str(tmp_path / "c3"), once=True).awaitTermination()
+    batch = feed.select("source", "category", "url", F.to_date("ts")).distinct()
+    assert store.ledger().count() == store.ledger().distinct().count() == batch.count()
+    # Run again from the start, every batch finds what it wrote.
+    ledger_stream(timed, store, str(tmp_path / "c3b"), once=True).awaitTermination()
+    assert store.ledger().count() == batch.count()
 
     query = running_stats(stream).writeStream.outputMode("update").format("memory").queryName("counts")
     query.option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.table("counts").groupBy("source", "category").agg(F.max("value").alias("value"))
+    last = spark.table("counts").groupBy("source", "metric").agg(F.max("value").alias("value"))
     assert sorted(last.collect()) == sorted(running_stats(feed).collect())
 
 
@@ -192,7 +267,8 @@ def test_reads_are_pruned_by_partition(spark, tmp_path, table, column):
     ingest_batch(store, pages(spark), 0, NOW, DIM)
     df = store.pending_articles(0, 0, NOW) if table == "articles" else store.ledger().filter(f"day = {NOW - NOW % DAY_S}")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert f"PartitionFilters: [isnotnull({column}" in plan or f"PartitionFilters: [isnotnull(batch" in plan
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert f"{column}#" in filters
 
 
 def letter_model():
