@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storygraph.functions.dates import MONTHS_SQ
 from storygraph.functions.text import paragraphs, token_count
-from storygraph.operators.profiles import BlockRule, SiteProfile
+from storygraph.operators.profiles import PROFILES, BlockRule, SiteProfile
 from storygraph.operators.summarize import lead_sentences
 from storygraph.params import DAY_S, Params
 
@@ -122,6 +123,59 @@ WEB = SiteProfile(
 )
 
 
+def site_pages(docs: DataFrame, site: str) -> DataFrame:
+    """Each document as a card of a listing of the site, and as an article page in the site's layout.
+
+    Lines after the first are paragraphs. Every document has a crawl of its own (``fetched_at``).
+    """
+
+    def escaped(text):
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(entity))
+        return text
+
+    def html(*parts):
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    key = F.col("doc_id").cast("string")
+    lines = F.split(escaped(F.col("text")), "\n")
+    title = F.element_at(lines, 1)
+    body = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: html("<p>", x, "</p>")), "")
+    at = F.timestamp_seconds(F.lit(START) + (F.col("doc_id") * 1000003) % 2592000)
+    if site == "lapsi":
+        link = html("https://lapsi.al/d", key)
+        url = link
+        card = html('<div id="content"><article><img src="/t', key, '.jpg"><div class="post-content-wrapper"><a href="', link, '">', title, "</a></div></article></div>")
+        page = html(
+            '<div class="post-preview"><img src="https://lapsi.al/i', key, '.jpg"></div><div class="entry-meta"><time class="published" datetime="',
+            F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), '+00:00">x</time></div><div class="entry-content">', body, "</div>",
+        )
+    elif site == "pamfleti":
+        url = html("https://pamfleti.net/d", key)
+        card = html(
+            '<div class="c-flexy shtoketu"><article class="a-card"><a href="/d', key, '"><img class="a-media_img" data-src="t', key,
+            '.jpg"></a><h3 class="a-head">', title, "</h3></article></div>",
+        )
+        page = html(
+            '<span class="a-date">', F.date_format(at, "dd"), f" {MONTHS_SQ[0]}, ", F.date_format(at, "yyyy HH:mm"),
+            '</span><div class="all-content"><div class="horizontal imazhiim"><img src="i', key, '.jpg"></div>', body, "</div>",
+        )
+    else:
+        url = html("https://www.syri.net/lajm/", key)
+        styled = html('<div class="categ-lg" style="background:url(\'/t', key, ".jpg') center\"></div>")
+        plain = html('<div class="img-cover" data-original="https://cdn.example/t', key, '.jpg"></div>')
+        card = html('<div class="categ-left"><a href="/lajm/', key, '"><h1>', title, "</h1></a>", F.when(F.col("doc_id") % 2 == 0, styled).otherwise(plain), "</div>")
+        page = html(
+            '<div class="prime-left readmore"><img src="/i', key, '.jpg"><span class="date"><strong> ', F.date_format(at, "HH:mm"), " </strong><strong>",
+            F.date_format(at, "dd/MM/yyyy"), '</strong></span><div class="readmore-text-here">', body,
+            '</div></div><div class="fotogaleri"><img src="g', key, '.jpg"></div>',
+        )
+    profile = next(p for p in PROFILES if p.source == site)
+    crawl = F.col("doc_id").alias("fetched_at")
+    cards = docs.select(F.lit(profile.listings[0]).alias("url"), card.alias("html"), crawl)
+    return cards.unionByName(docs.select(url.alias("url"), page.alias("html"), crawl))
+
+
 def page_listing(pages: DataFrame) -> DataFrame:
     """Every page as an entry of the listing of its host."""
     return pages.select(

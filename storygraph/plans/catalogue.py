@@ -16,6 +16,7 @@ from storygraph.operators import clusters as C
 from storygraph.operators.dbscan import dbscan, eps_join
 from storygraph.operators.embed import embed_articles, fill_embeddings, hashed_vectors
 from storygraph.operators.extract import article_records, extract_articles, listing_rows, shred_listings
+from storygraph.operators.extract import extract_listing as listed_articles
 from storygraph.operators.ledger import (
     ledger_additions,
     ledger_documents,
@@ -25,7 +26,7 @@ from storygraph.operators.ledger import (
     unseen_urls,
 )
 from storygraph.operators.nearest import assign_to_clusters
-from storygraph.operators.profiles import BlockRule
+from storygraph.operators.profiles import PROFILES, BlockRule
 from storygraph.operators.selection import new_articles, recent_clusters, rejected_articles, valid_articles
 from storygraph.operators.stats import article_stats, stats_increment
 from storygraph.operators.summarize import parse_summary, summarize_articles
@@ -616,6 +617,32 @@ def article_page_records(spark, sf_dir):
     )
 
 
+def _site(spark, sf_dir, site: str) -> DataFrame:
+    """Documents in the layout of a site, listed, followed and extracted back in full."""
+    profile = next(p for p in PROFILES if p.source == site)
+    pages = A.site_pages(A.spread_table(spark, sf_dir, "documents"), site)
+    rows = article_records(listed_articles(pages, [profile]), pages, [profile])
+    content = F.array_join(F.transform("article_content", lambda b: F.concat_ws(" ", b["type"], b["content"])), "\n")
+    return rows.select(
+        "article_url", "article_title", "article_thumbnail", "article_image", content.alias("content"), "article_published_date", "article_category"
+    )
+
+
+@query("site_lapsi")
+def site_lapsi(spark, sf_dir):
+    return _site(spark, sf_dir, "lapsi")
+
+
+@query("site_pamfleti")
+def site_pamfleti(spark, sf_dir):
+    return _site(spark, sf_dir, "pamfleti")
+
+
+@query("site_syri")
+def site_syri(spark, sf_dir):
+    return _site(spark, sf_dir, "syri")
+
+
 @query("article_records_recrawled")
 def recrawled_page_records(spark, sf_dir):
     """Every page is there twice: an older copy without content must not count, nor make a second article."""

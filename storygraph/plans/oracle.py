@@ -381,3 +381,27 @@ SELECT page_id, url AS absolute, regexp_extract(url, '^https?:') || '//cdn.examp
 FROM cut
 """
 ORACLE["cluster_embedding_by_model"] = ORACLE["cluster_embedding"]
+
+
+def _site(url: str, thumbnail: str, image: str, epoch: str, category: str, keep: str = "x", more: str = "") -> str:
+    """Documents as articles of a site: lines after the first as paragraphs, without the empty ones."""
+    return f"""
+SELECT {url} AS article_url, nullif(string_split(text, chr(10))[1], '') AS article_title, {thumbnail} AS article_thumbnail, {image} AS article_image,
+       array_to_string(list_concat(['paragraph ' || {keep} FOR x IN string_split(text, chr(10))[2:] IF {keep} <> ''], [{more}]::VARCHAR[]), chr(10)) AS content,
+       {epoch} AS article_published_date, '{category}' AS article_category
+FROM (SELECT *, {START} + (doc_id * 1000003) % 2592000 AS published FROM documents)"""
+
+
+# The two local forms have minutes only; all dates are in January, one hour before UTC.
+MINUTES = "published - published % 60 - 3600"
+ORACLE["site_lapsi"] = _site("'https://lapsi.al/d' || doc_id", "'/t' || doc_id || '.jpg'", "'https://lapsi.al/i' || doc_id || '.jpg'", "published", "te-fundit")
+ORACLE["site_pamfleti"] = _site("'https://pamfleti.net/d' || doc_id", "'t' || doc_id || '.jpg'", "'i' || doc_id || '.jpg'", MINUTES, "aktualitet")
+ORACLE["site_syri"] = _site(
+    "'/lajm/' || doc_id",
+    "CASE WHEN doc_id % 2 = 0 THEN 'https://syri.net' ELSE 'https://cdn.example' END || '/t' || doc_id || '.jpg'",
+    "'https://syri.net/i' || doc_id || '.jpg'",
+    MINUTES,
+    "politike",
+    strip("x"),
+    "'image https://www.syri.net/lajm/g' || doc_id || '.jpg'",
+)
