@@ -67,7 +67,7 @@ def _take(page: Page, spec, root: int = 0) -> list[str]:
     if spec is None:
         return []
     if spec[1] == "own texts":
-        return [t for owner, t in zip(page.text_owner, page.text) if root <= owner <= page.last[root]]
+        return page.text[page.text_from[root] : page.text_to[root]] if page.tag else []
     return pick(page, spec[0], spec[1], root)
 
 

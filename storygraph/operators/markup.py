@@ -31,12 +31,17 @@ P_SCOPE = frozenset({"table", "td", "th", "caption", "button", "object"})
 
 @dataclass
 class Page:
-    """Elements in document order; ``last`` is the last element inside each one."""
+    """Elements in document order; ``last`` is the last element inside each one.
+
+    ``text_from`` and ``text_to`` bound the text nodes inside an element, at any depth.
+    """
 
     tag: list[str] = field(default_factory=list)
     attrs: list[dict[str, str]] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     last: list[int] = field(default_factory=list)
+    text_from: list[int] = field(default_factory=list)
+    text_to: list[int] = field(default_factory=list)
     text_owner: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
 
@@ -60,6 +65,7 @@ class _Reader(HTMLParser):
     def _cut(self, depth: int) -> None:
         for node in self.stack[depth:]:
             self.page.last[node] = len(self.page.tag) - 1
+            self.page.text_to[node] = len(self.page.text)
         del self.stack[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -75,6 +81,8 @@ class _Reader(HTMLParser):
         page.attrs.append(known)
         page.parent.append(self.stack[-1] if self.stack else -1)
         page.last.append(len(page.tag) - 1)
+        page.text_from.append(len(page.text))
+        page.text_to.append(len(page.text))
         if tag not in VOID:
             self.stack.append(len(page.tag) - 1)
         self.fresh_text = True
@@ -169,6 +177,6 @@ def pick(page: Page, selector, what: str, root: int = 0) -> list[str]:
         return [page.attrs[n][what[1:]] for n in nodes if what[1:] in page.attrs[n]]
     if what == "text":
         chosen = set(nodes)
-        return [t for owner, t in zip(page.text_owner, page.text) if owner in chosen]
-    spans = [(n, page.last[n]) for n in nodes]
-    return [t for a, b in spans for owner, t in zip(page.text_owner, page.text) if a <= owner <= b]
+        lo, hi = (page.text_from[root], page.text_to[root]) if root else (0, len(page.text))
+        return [t for owner, t in zip(page.text_owner[lo:hi], page.text[lo:hi]) if owner in chosen]
+    return [t for n in nodes for t in page.text[page.text_from[n] : page.text_to[n]]]

@@ -1,7 +1,7 @@
 """NumPy kernels that run inside a Spark task on one bounded block of vectors.
 
 A block is a unit-length float32 matrix. Products are taken in float32; whatever
-lies within ``MARGIN`` of a decision is decided again in float64, so results are
+lies within ``margin`` of a decision is decided again in float64, so results are
 those of float64 arithmetic at float32 speed.
 """
 
@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MARGIN = 1e-4
 TILE = 2048
 
 
@@ -30,6 +29,11 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+def margin(width: int) -> float:
+    """Twice the error bound of a float32 product of unit vectors: one rounding per component, and those of the inputs."""
+    return 2 * (width + 4) * 2.0**-24
+
+
 def exact_dots(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
     for s in range(0, len(i), 65536):
@@ -46,16 +50,17 @@ def similar_tiles(
     With ``same`` the two sides are one block and only i < j is given.
     """
     left32, right32 = left.astype(np.float32), right.astype(np.float32)
+    doubt = margin(left.shape[1])
     for r in range(0, len(left), TILE):
         for c in range(r if same else 0, len(right), TILE):
             sims = left32[r : r + TILE] @ right32[c : c + TILE].T
-            i, j = np.nonzero(sims >= min_similarity - MARGIN)
+            i, j = np.nonzero(sims >= min_similarity - doubt)
             if same and r == c:
                 upper = i < j
                 i, j = i[upper], j[upper]
             if len(i) == 0:
                 continue
-            close = np.flatnonzero(sims[i, j] < min_similarity + MARGIN)
+            close = np.flatnonzero(sims[i, j] < min_similarity + doubt)
             i, j = i + r, j + c
             if len(close):
                 keep = np.ones(len(i), dtype=bool)
@@ -74,7 +79,7 @@ def best_match(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
         rows = left32[r : r + TILE]
         for c in range(0, len(right), TILE):
             sims = rows @ right32[c : c + TILE].T
-            bar = np.maximum(sims.max(axis=1), best[r : r + TILE]) - MARGIN
+            bar = np.maximum(sims.max(axis=1), best[r : r + TILE]) - margin(left.shape[1])
             i, j = np.nonzero(sims >= bar[:, None])
             if len(i) == 0:
                 continue

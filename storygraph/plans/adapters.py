@@ -23,13 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same for work in Python: a table in fewer files than there are cores is dealt out to all of them.
+    """The same for work in Python: a table that is read by fewer tasks than there are cores is dealt out to all of them.
 
-    Stored data in many files is left as it is, without a shuffle.
+    Larger data is left as the scan splits it, without a shuffle.
     """
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def documents_as_articles(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:

@@ -503,6 +503,52 @@ def upserted_clusters(spark, sf_dir):
     return C.upsert_clusters(history, C.extend_clusters(history, fresh, A.AS_OF)).select("cluster_id", "last_updated", "n_members")
 
 
+@query("stored_clusters")
+def stored_clusters(spark, sf_dir):
+    """Two batches of cluster rows written and read back: the newest row of each counts."""
+    history, fresh = _history_and_additions(spark, sf_dir)
+    store = Store(spark, scratch_path(spark))
+    history, _ = materialize(history)
+    store.add_clusters(history, 0)
+    store.add_clusters(C.extend_clusters(store.clusters(before=1), fresh, A.AS_OF), 1)
+    return store.clusters().select("cluster_id", "last_updated", "n_members")
+
+
+@query("stored_articles")
+def stored_articles(spark, sf_dir):
+    """Articles in one batch, what clusters they joined in another."""
+    articles, store = _articles(spark, sf_dir), Store(spark, scratch_path(spark))
+    store.add_articles(articles.drop("doc_id", "copy_id"), 0)
+    joined = A.copy_members(articles).withColumnRenamed("added_at", "article_published_date")
+    store.add_assignments(joined, 1)
+    return store.articles().select("source", "article_id", "cluster_id")
+
+
+@query("stored_members")
+def stored_members(spark, sf_dir):
+    """The second batch meets all candidates and adds only those that are not members yet."""
+    members, store = A.copy_members(_articles(spark, sf_dir)), Store(spark, scratch_path(spark))
+    store.add_members(members.filter(F.col("added_at") < A.CUT), 0)
+    store.add_members(C.member_additions(members, store.members(before=1)), 1)
+    return store.members()
+
+
+@query("stored_counters")
+def stored_counters(spark, sf_dir):
+    rows, store = _articles(spark, sf_dir).select("source", "article_category", "article_published_date"), Store(spark, scratch_path(spark))
+    store.add_stats(article_stats(rows.filter(F.col("article_published_date") < A.CUT)), 0)
+    store.add_stats(article_stats(rows.filter(F.col("article_published_date") >= A.CUT)), 1)
+    return store.stats()
+
+
+@query("stored_ledger")
+def stored_ledger(spark, sf_dir):
+    feed, store = A.feed(spark, sf_dir), Store(spark, scratch_path(spark))
+    store.add_ledger(ledger_rows(feed.filter("value > 20")), 0)
+    store.add_ledger(ledger_additions(ledger_rows(feed), store.ledger(before=1)), 1)
+    return store.ledger()
+
+
 @query("articles_with_cluster")
 def articles_with_cluster(spark, sf_dir):
     articles = _articles(spark, sf_dir)

@@ -405,3 +405,9 @@ ORACLE["site_syri"] = _site(
     strip("x"),
     "'image https://www.syri.net/lajm/g' || doc_id || '.jpg'",
 )
+
+ORACLE["stored_clusters"] = ORACLE["upserted_clusters"]
+ORACLE["stored_articles"] = ORACLE["articles_with_cluster"]
+ORACLE["stored_members"] = f"WITH {ART} SELECT cluster_id, source, article_id, published AS added_at FROM members"
+ORACLE["stored_counters"] = ORACLE["article_stats"]
+ORACLE["stored_ledger"] = ORACLE["daily_url_dedup"]
