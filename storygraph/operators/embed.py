@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import article_text, short_text, truncate_tokens
-from storygraph.operators.models import EmbedFn
+from storygraph.operators.models import EmbedFn, Tokenizer
 from storygraph.params import Params
 
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
@@ -83,12 +83,26 @@ def embed_text(text: Column, fn: EmbedFn | None = None, params: Params = Params(
     return embed(text)
 
 
-def embed_articles(articles: DataFrame, fn: EmbedFn | None = None, params: Params = Params()) -> DataFrame:
+def cut_text(text: Column, limit: int, tokenizer: Tokenizer | None = None) -> Column:
+    """The first ``limit`` tokens of a text, by the tokenizer or as blank-separated words."""
+    if tokenizer is None:
+        return truncate_tokens(text, limit)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(tokenizer.cut(texts.fillna(""), limit)), dtype=object).where(texts.notna(), None)
+
+    return cut(text)
+
+
+def embed_articles(
+    articles: DataFrame, fn: EmbedFn | None = None, params: Params = Params(), tokenizer: Tokenizer | None = None
+) -> DataFrame:
     """Set ``article_embeddings`` from title and paragraphs.
 
-    The built-in model reads whole texts; a model passed in gets the first ``max_tokens`` words.
+    The built-in model reads whole texts; a model passed in gets the first ``max_tokens`` tokens.
     """
-    text = F.col("_text") if fn is None else truncate_tokens(F.col("_text"), params.max_tokens)
+    text = F.col("_text") if fn is None else cut_text(F.col("_text"), params.max_tokens, tokenizer)
     return (
         articles.withColumn("_text", article_text(F.col("article_title"), F.col("article_content")))
         .withColumn("article_embeddings", embed_text(text, fn, params))

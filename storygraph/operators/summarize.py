@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import paragraphs, strip, token_count
-from storygraph.operators.models import SummaryFn
+from storygraph.operators.models import SummaryFn, Tokenizer
 from storygraph.params import Params
 
 LEAD_SENTENCES = 3
@@ -24,34 +24,59 @@ def lead_sentences(text: Column, n: int = LEAD_SENTENCES) -> Column:
 
 
 def summarize_text(text: Column, fn: SummaryFn | None = None) -> Column:
-    """Summary by ``fn`` or by lead sentences. A row whose summary fails gets NULL."""
+    """Summary by ``fn`` or by lead sentences. NULL texts never reach ``fn``.
+
+    ``fn`` gets whole batches. Where one fails, its rows are tried one by one, and a row that
+    fails by itself gets NULL.
+    """
     if fn is None:
         return lead_sentences(text)
 
-    def attempt(value: str | None) -> str | None:
-        if value is None:
-            return None
+    def attempt(given: pd.Series) -> list[str | None]:
         try:
-            return fn(value)
+            found = list(fn(given))
+            if len(found) != len(given):
+                raise ValueError(f"{len(found)} summaries of {len(given)} texts")
+            return found
         except Exception:
-            return None
+            if len(given) == 1:
+                return [None]
+            return [one for i in range(len(given)) for one in attempt(given.iloc[i : i + 1])]
 
     @F.pandas_udf("string")
     def summarize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(attempt).astype(object)
+            given = batch[batch.notna()]
+            found = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            if len(given):
+                found[given.index] = attempt(given)
+            yield found
 
     return summarize(text)
 
 
-def summarize_articles(articles: DataFrame, fn: SummaryFn | None = None, params: Params = Params()) -> DataFrame:
-    """Set ``article_summary`` for articles of more than ``summary_min_tokens`` words.
+def tokens_in(text: Column, tokenizer: Tokenizer | None = None) -> Column:
+    """Number of tokens, by the tokenizer or as blank-separated words."""
+    if tokenizer is None:
+        return token_count(text)
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(tokenizer.count(texts.fillna(""))), dtype="int32")
+
+    return count(text)
+
+
+def summarize_articles(
+    articles: DataFrame, fn: SummaryFn | None = None, params: Params = Params(), tokenizer: Tokenizer | None = None
+) -> DataFrame:
+    """Set ``article_summary`` for articles of more than ``summary_min_tokens`` tokens.
 
     Short articles never reach the model.
     """
     body = articles.withColumn("_body", paragraphs(F.col("article_content")))
     # Hand NULL to the model instead of the text: WHEN alone would still evaluate a Python column.
-    gated = F.when(token_count(F.col("_body")) > params.summary_min_tokens, F.col("_body"))
+    gated = F.when(tokens_in(F.col("_body"), tokenizer) > params.summary_min_tokens, F.col("_body"))
     summary = F.nullif(summarize_text(gated, fn), F.lit(""))
     return body.withColumn("article_summary", summary).drop("_body")
 

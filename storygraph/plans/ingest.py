@@ -34,8 +34,8 @@ def article_id(as_of: int):
 
 def enrich(articles: DataFrame, models: Models = Models(), params: Params = Params()) -> DataFrame:
     """Embedding for every article, summary for the long ones."""
-    embedded = embed_articles(articles, models.embed, params)
-    return summarize_articles(embedded, models.summarize, params)
+    embedded = embed_articles(articles, models.embed, params, models.tokenizer)
+    return summarize_articles(embedded, models.summarize, params, models.tokenizer)
 
 
 def stored_form(articles: DataFrame, as_of: int) -> DataFrame:

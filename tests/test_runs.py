@@ -286,8 +286,8 @@ letters = letter_model()
 def test_own_models_make_cluster_vectors_and_summaries_from_all_members(spark, tmp_path):
     import json
 
-    def tell(cluster_text):
-        return json.dumps({"cluster_title": f"{cluster_text.count('Title: ')} articles", "cluster_content": cluster_text[:20]})
+    def tell(cluster_texts):
+        return [json.dumps({"cluster_title": f"{t.count('Title: ')} articles", "cluster_content": t[:20]}) for t in cluster_texts]
 
     models = Models(embed=letters, summarize_cluster=tell)
     store = Store(spark, str(tmp_path))
@@ -311,8 +311,8 @@ def test_own_models_make_cluster_vectors_and_summaries_from_all_members(spark, t
 def test_long_cluster_texts_are_summarised_level_by_level(spark):
     import json
 
-    def tell(cluster_text):
-        return json.dumps({"cluster_title": "t", "cluster_content": str(len(cluster_text) // 100)})
+    def tell(cluster_texts):
+        return [json.dumps({"cluster_title": "t", "cluster_content": str(len(t) // 100)}) for t in cluster_texts]
 
     ids = [f"{i * 2**26:08x}" + "0" * 56 for i in range(60)]
     df = articles(spark, [article(i, "T", text("w " * 50)) for i in ids]).drop("cluster_id").withColumn("cluster_id", F.lit("k"))

@@ -1,6 +1,7 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
-from storygraph.operators.embed import fill_embeddings, ngram_counts
+from storygraph.operators.embed import embed_articles, fill_embeddings, ngram_counts
 from storygraph.operators.ledger import (
     first_requests,
     ledger_additions,
@@ -10,6 +11,7 @@ from storygraph.operators.ledger import (
     listing_quota,
     unseen_urls,
 )
+from storygraph.operators.models import PerWorker
 from storygraph.operators.selection import new_articles, recent_clusters, rejected_articles, valid_articles
 from storygraph.operators.stats import article_stats, stats_increment
 from storygraph.operators.summarize import summarize_articles
@@ -115,12 +117,37 @@ def test_only_long_texts_are_summarised_and_failures_are_null(spark):
 
     rows = [article("short", content=block(300)), article("long", content=block(301)), article("bad", content=block(400))]
 
-    def model(text):
-        if len(text) > 700:
+    def model(texts):
+        assert texts.notna().all()
+        if (texts.str.len() > 700).any():
             raise ValueError("no answer")
-        return f"{len(text.split())} words"
+        return [f"{len(t.split())} words" for t in texts]
 
-    got = summarize_articles(spark.createDataFrame(rows, ARTICLES), model)
+    got = summarize_articles(spark.createDataFrame(rows, ARTICLES).coalesce(1), model)
     assert {r.article_id: r.article_summary for r in got.collect()} == {"short": None, "long": "301 words", "bad": None}
     plain = summarize_articles(spark.createDataFrame(rows, ARTICLES)).filter(F.col("article_summary").isNotNull())
     assert plain.count() == 2
+
+
+def test_a_tokenizer_decides_gate_and_cut_and_models_are_set_up_once_per_worker(spark):
+    class Letters:
+        """A tokenizer of single letters; defined here so that workers get it with the function."""
+
+        def count(self, texts):
+            return [len(t.replace(" ", "")) for t in texts]
+
+        def cut(self, texts, limit):
+            return [t[:limit] for t in texts]
+
+    rows = [article("one", content=(("paragraph", "abc", None, None),)), article("two", content=(("paragraph", "abcdef", None, None),))]
+    df = spark.createDataFrame(rows, ARTICLES)
+
+    def factory():
+        return lambda texts: [t.upper() for t in texts]
+
+    model = PerWorker(factory)
+    got = summarize_articles(df, model, Params(summary_min_tokens=4), Letters())
+    assert {r.article_id: r.article_summary for r in got.collect()} == {"one": None, "two": "ABCDEF"}
+    assert list(model(pd.Series(["x"]))) == ["X"] and model._model is model._model is not None
+    lengths = embed_articles(df, lambda texts: texts.map(lambda t: [float(len(t))]), Params(max_tokens=3), Letters())
+    assert {tuple(r.article_embeddings) for r in lengths.collect()} == {(3.0,)}
