@@ -36,11 +36,6 @@ CHUNK = 20_000
 LN10 = float(np.log(10.0))
 
 
-def tokens(text: str | None) -> list[str]:
-    """The words of a text with A-Z in lower case."""
-    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
-
-
 def count_words(docs: DataFrame, text_col: str, training) -> tuple[DataFrame, dict]:
     """(word, c) of all words, c counted in training rows only, and the sums: tokens, types."""
     rows = docs.select(training.alias("training"), docs[text_col].alias("text"))
@@ -110,7 +105,7 @@ def word_scores(words: DataFrame, pieces: lattice.Vocabulary, n: int, v: int) ->
         for batch in batches:
             names, c = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            inside = np.concatenate([lattice.log_likelihoods([w for w in names[at : at + CHUNK]], shared.value) for at in range(0, len(names), CHUNK)])
+            inside = np.concatenate([lattice.log_likelihoods(names[at : at + CHUNK], shared.value) for at in range(0, len(names), CHUNK)])
             # The end of a document has no pieces.
             inside = np.where(np.array(names, dtype=object) == END, -np.inf, inside) + np.log(spared)
             with np.errstate(divide="ignore"):
