@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ PARTS = 3  # of the sample, each measured by models of the others
 PASSAGE = 20  # words
 FLOOR = -0.02  # toxic documents are ordinary ones but for a few words, so no word speaks against toxicity by more
 SAMPLE = 2000  # labelled documents of each class that are learned from at most
-CACHE = 400_000
+CACHE = 200_000
 OPEN, CLOSE = "\x02", "\x03"
 FEATURES = ("document", "evidence", "passage", "word", "length")
 
@@ -51,8 +50,14 @@ def words_of(text: str | None) -> list[bytes]:
 class Ratios:
     """Log ratio of the classes for each known gram, and for an unknown character after each known context."""
 
-    gram: dict[str, float]
-    context: dict[str, float]
+    grams: pa.Array
+    gram: np.ndarray
+    contexts: pa.Array
+    context: np.ndarray
+
+    def lookups(self) -> tuple[dict[str, float], dict[str, float]]:
+        gram = dict(zip(self.grams.to_pylist(), self.gram.tolist(), strict=True))
+        return gram, dict(zip(self.contexts.to_pylist(), self.context.tolist(), strict=True))
 
 
 def shared_backoff(known: set[str]) -> dict[str, float]:
@@ -73,33 +78,32 @@ def shared_backoff(known: set[str]) -> dict[str, float]:
     return p
 
 
-def fit_ratios(ordinary: dict[str, int], toxic: dict[str, int]) -> Ratios:
-    """Both models from their counts of grams, reduced to what is needed: the log ratios."""
-    known = set(ordinary) | set(toxic)
-    if not ordinary or not toxic:
-        return Ratios({}, {})
-    below = shared_backoff(known)
-    classes = []
-    for counts in (ordinary, toxic):
-        whole, kinds = Counter(), Counter()
-        for g, n in counts.items():
-            whole[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        classes.append((counts, whole, kinds))
-
-    def probability(c: int, g: str) -> float:
-        counts, whole, kinds = classes[c]
-        h, shared = g[:-1], below[g[1:]]
-        if h not in whole:
-            return shared
-        return (max(counts.get(g, 0) - DISCOUNT, 0.0) + DISCOUNT * kinds[h] * shared) / whole[h]
-
-    def spared(c: int, h: str) -> float:
-        _, whole, kinds = classes[c]
-        return DISCOUNT * kinds[h] / whole[h] if h in whole else 1.0
-
-    gram = {g: log(probability(1, g) / probability(0, g)) for g in known}
-    return Ratios(gram, {h: log(spared(1, h) / spared(0, h)) for h in {g[:-1] for g in known}})
+class Grams:
+    """The distinct grams of the sample with their contexts and shared backoff, as arrays."""
+
+    def __init__(self, grams: pa.Array):
+        names = grams.to_pylist()
+        contexts = pa.array([g[:-1] for g in names], pa.string()).dictionary_encode()
+        self.grams = grams
+        self.contexts = contexts.dictionary
+        self.context_of = contexts.indices.to_numpy()
+        below = shared_backoff(set(names)) if names else {}
+        self.below = np.array([below[g[1:]] for g in names])
+
+    def ratios(self, ordinary: np.ndarray, toxic: np.ndarray) -> Ratios:
+        """Both models from their counts of the grams, reduced to what is needed: the log ratios."""
+        at, size = self.context_of, len(self.contexts)
+        gram, context = np.zeros(len(at)), np.zeros(size)
+        if ordinary.sum() and toxic.sum():
+            for sign, n in ((-1, ordinary), (1, toxic)):
+                whole = np.bincount(at, n, size)
+                spared = DISCOUNT * np.bincount(at, n > 0, size)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    own = (np.maximum(n - DISCOUNT, 0.0) + spared[at] * self.below) / whole[at]
+                    left = spared / whole
+                gram += sign * np.log(np.where(whole[at] > 0, own, self.below))
+                context += sign * np.log(np.where(whole > 0, left, 1.0))
+        return Ratios(self.grams, gram, self.contexts, context)
 
 
 class WordRatios(dict):
@@ -107,10 +111,10 @@ class WordRatios(dict):
 
     def __init__(self, ratios: Ratios):
         super().__init__()
-        self.ratios = ratios
+        self.gram, self.context = ratios.lookups()
 
     def __missing__(self, word: bytes) -> float:
-        gram, context = self.ratios.gram, self.ratios.context
+        gram, context = self.gram, self.context
         value = 0.0
         for g in grams(word.decode("utf-8", "surrogatepass")):
             known = gram.get(g)
@@ -177,10 +181,12 @@ def _measured(rows: DataFrame, ratios: list[Ratios], logistic: Logistic | None =
     schema = rows.select(*names).schema.add(*(("score", T.DoubleType()) if probabilities else ("x", T.ArrayType(T.DoubleType()))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [WordRatios(r) for r in shared.value]
+        known: dict[int, WordRatios] = {}
         for batch in batches:
             texts = batch.columns[-1].to_pylist()
-            which = batch.columns[-2].to_pylist() if len(known) > 1 else [0] * len(texts)
+            which = batch.columns[-2].to_pylist() if len(shared.value) > 1 else [0] * len(texts)
+            for i in set(which) - set(known):
+                known[i] = WordRatios(shared.value[i])
             x = [features(t, known[i]) for t, i in zip(texts, which, strict=True)]
             if not probabilities:
                 out = pa.array(x, pa.list_(pa.float64()))
@@ -217,16 +223,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     counted = texts.select("label", "part", "text").mapInArrow(count, "label int, part int, gram string, n long")
     table = counted.groupBy("label", "part", "gram").agg(F.sum("n").alias("n")).toArrow()
-    counts = [[Counter() for _ in range(PARTS)] for _ in range(2)]
-    for label, part, gram, n in zip(*(table[c].to_pylist() for c in ("label", "part", "gram", "n")), strict=True):
-        counts[label][part][gram] = n
+    coded = table["gram"].combine_chunks().dictionary_encode()
+    known = Grams(coded.dictionary)
+    counts = np.zeros((2, PARTS, len(coded.dictionary)))
+    counts[table["label"].to_numpy(), table["part"].to_numpy(), coded.indices.to_numpy()] = table["n"].to_numpy()
+    del table, coded
     # Each part is measured by models of the others.
-    others = [fit_ratios(*(sum((c for i, c in enumerate(parts) if i != p), Counter()) for parts in counts)) for p in range(PARTS)]
+    whole = counts.sum(axis=1)
+    others = [known.ratios(*(whole - counts[:, p])) for p in range(PARTS)]
     measured = _measured(texts.select("id", "label", "part", "text"), others, probabilities=False)
     measured = measured.orderBy("id", "label").toArrow()
     x = np.array(measured["x"].to_pylist()).reshape(-1, len(FEATURES))
     logistic = fit_logistic(x, measured["label"].to_numpy().astype(float))
-    return fit_ratios(*(sum(parts, Counter()) for parts in counts)), logistic
+    return known.ratios(*whole), logistic
 
 
 def toxicity_scores(

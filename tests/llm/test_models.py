@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -179,9 +180,19 @@ def test_models_of_both_classes_are_distributions():
         sums[g[:-1]] += p
     # What a context lacks of 1 is what it leaves to characters never seen after it.
     assert all(0 < s <= 1 + 1e-9 for s in sums.values())
-    ratios = toxicity.WordRatios(toxicity.fit_ratios(ordinary, toxic))
+    names = sorted(set(ordinary) | set(toxic))
+    known = toxicity.Grams(pa.array(names))
+    counts = [np.array([c[g] for g in names], float) for c in (ordinary, toxic)]
+    ratios = toxicity.WordRatios(known.ratios(*counts))
     assert ratios[b"zzab"] > 1 and ratios[b"abba"] < 0.1
-    assert toxicity.fit_ratios({}, toxic).gram == {}
+    assert not known.ratios(counts[0] * 0, counts[1]).gram.any()
+    # The probabilities behind the ratios, spelled out for one gram of either class.
+    h = names[0][:-1]
+    p = []
+    for c in (ordinary, toxic):
+        whole, kinds = sum(n for g, n in c.items() if g[:-1] == h), sum(g[:-1] == h for g in c)
+        p.append((max(c[names[0]] - 0.75, 0) + 0.75 * kinds * below[names[0][1:]]) / whole if whole else below[names[0][1:]])
+    assert known.ratios(*counts).gram[0] == pytest.approx(np.log(p[1] / p[0]))
 
 
 def test_pipeline_stages_do_what_they_say(spark):
