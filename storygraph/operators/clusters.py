@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import paragraphs, refresh_text, short_text, token_count
 from storygraph.functions.vectors import let, unit_vector
 from storygraph.operators.embed import embed_text, text_counts
 from storygraph.operators.models import EmbedFn, Models, SummaryFn
-from storygraph.operators.summarize import lead_sentences, parse_summary, summarize_text
+from storygraph.operators.summarize import best_sentences, key_order, parse_summary, sentences_of, summarize_text
 from storygraph.params import Params
 from storygraph.session import materialize
 
@@ -86,10 +86,11 @@ def cluster_text(passages: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def sum_counts(rows: DataFrame, keys: list[str], counts: str) -> DataFrame:
-    """Element-wise sum of count arrays per key, combined before the shuffle."""
+    """Sum of ``text_counts`` per key and bucket, combined before the shuffle."""
+    each = F.explode(F.arrays_zip(F.col(counts)["pos"], F.col(counts)["n"])).alias("_e")
     return (
-        rows.select(*keys, F.posexplode_outer(counts).alias("_pos", "_n"))
-        .filter("_n <> 0")
+        rows.select(*keys, each)
+        .select(*keys, F.col("_e.pos").alias("_pos"), F.col("_e.n").alias("_n"))
         .groupBy(*keys, "_pos")
         .agg(F.sum("_n").alias("_n"))
         .groupBy(*keys)
@@ -126,21 +127,32 @@ def cluster_embedding(members: DataFrame, params: Params = Params(), update_text
     )
 
 
+def key_sentences(members: DataFrame, n: int) -> DataFrame:
+    """(cluster_id, key_sentences): the ``n`` different sentences of all members that tell most, the best first.
+
+    Members give their own best ones, equal ones fall together, and each task keeps ``n`` rows of a
+    cluster before the shuffle: no more than that of a cluster meets in one place.
+    """
+    own = best_sentences(sentences_of(paragraphs(F.col("article_content"))), n)
+    once = members.select("cluster_id", F.explode(own).alias("sentence")).distinct()
+    order = Window.partitionBy("cluster_id").orderBy("key")
+    top = once.withColumn("key", key_order(F.col("sentence"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    listed = F.sort_array(F.collect_list("key"))
+    return top.groupBy("cluster_id").agg(F.transform(listed, lambda k: k["sentence"]).alias("key_sentences"))
+
+
+def sentences_text(sentences: Column) -> Column:
+    return F.nullif(F.array_join(sentences, " "), F.lit(""))
+
+
 def lead_member(members: DataFrame) -> DataFrame:
-    """(cluster_id, n_members, lead_words, lead_id, cluster_title, cluster_content).
+    """(cluster_id, n_members, lead_words, lead_id, cluster_title).
 
-    The member with most words leads (the smallest id of equals); the built-in
-    cluster summary is its title and its first sentences.
+    The member with most words leads (the smallest id of equals) and gives the title.
     """
-    body = F.col("_body")
-    ranked = members.withColumn("_body", paragraphs(F.col("article_content"))).select(
-        "cluster_id",
-        "article_id",
-        token_count(body).cast("bigint").alias("words"),
-        "article_title",
-        lead_sentences(body).alias("content"),
-    )
-    best = F.min(F.struct((-F.col("words")).alias("minus"), "article_id", "article_title", "content")).alias("lead")
+    words = token_count(paragraphs(F.col("article_content"))).cast("bigint")
+    ranked = members.select("cluster_id", "article_id", words.alias("words"), "article_title")
+    best = F.min(F.struct((-F.col("words")).alias("minus"), "article_id", "article_title")).alias("lead")
     return (
         ranked.groupBy("cluster_id")
         .agg(F.count(F.lit(1)).alias("n_members"), best)
@@ -150,11 +162,17 @@ def lead_member(members: DataFrame) -> DataFrame:
             (-F.col("lead.minus")).alias("lead_words"),
             F.col("lead.article_id").alias("lead_id"),
             F.col("lead.article_title").alias("cluster_title"),
-            F.col("lead.content").alias("cluster_content"),
         )
     )
 
 
+def cluster_summary(members: DataFrame, params: Params = Params()) -> DataFrame:
+    """The built-in cluster summary, from all members: ``lead_member`` with key_sentences and cluster_content."""
+    told = lead_member(members).join(key_sentences(members, params.summary_sentences), "cluster_id", "left")
+    told = told.withColumn("key_sentences", F.coalesce("key_sentences", F.array().cast("array<string>")))
+    return told.withColumn("cluster_content", sentences_text(F.col("key_sentences")))
+
+
 def build_clusters(members: DataFrame, as_of: int, params: Params = Params(), stage: str = "create") -> DataFrame:
     """Cluster rows from all of their member articles.
 
@@ -184,7 +202,7 @@ def build_clusters(members: DataFrame, as_of: int, params: Params = Params(), st
         counts_of("kept").alias("text_counts"), counts_of("full" if differs else "kept").alias("_embed")
     )
     return (
-        lead_member(members)
+        cluster_summary(members, params)
         .join(vectors, "cluster_id", "left")
         .select(
             "cluster_id",
@@ -195,6 +213,7 @@ def build_clusters(members: DataFrame, as_of: int, params: Params = Params(), st
             "n_members",
             "lead_words",
             "lead_id",
+            "key_sentences",
             "text_counts",
         )
     )
@@ -217,18 +236,20 @@ def extend_clusters(clusters: DataFrame, additions: DataFrame, as_of: int, param
         return F.when(new_leads, d[name]).otherwise(o[name]).alias(name)
 
     summed = add_counts(o["text_counts"], d["text_counts"])
+    told = best_sentences(F.concat(o["key_sentences"], d["key_sentences"]), params.summary_sentences)
     return (
         delta.alias("d")
         .join(clusters.alias("o"), F.col("d.cluster_id") == F.col("o.cluster_id"))
         .select(
             d["cluster_id"],
             led("cluster_title"),
-            led("cluster_content"),
+            sentences_text(told).alias("cluster_content"),
             unit_vector(summed).alias("cluster_embedding"),
             F.lit(as_of).cast("bigint").alias("last_updated"),
             (o["n_members"] + d["n_members"]).alias("n_members"),
             led("lead_words"),
             led("lead_id"),
+            told.alias("key_sentences"),
             summed.alias("text_counts"),
         )
     )

@@ -42,12 +42,16 @@ def ngram_counts(text: str, dim: int) -> np.ndarray:
 
 
 def text_counts(text: Column, dim: int) -> Column:
-    """Bucket counts of a text column as array<bigint>; NULL text gives NULL."""
+    """Buckets of a text column that have a count, and these counts; NULL text gives two NULLs."""
 
-    @F.pandas_udf("array<bigint>")
-    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("pos array<int>, n array<bigint>")
+    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series([None if t is None else ngram_counts(t, dim) for t in batch], dtype=object)
+            all_of = [None if t is None else ngram_counts(t, dim) for t in batch]
+            at = [None if c is None else np.flatnonzero(c).astype(np.int32) for c in all_of]
+            yield pd.DataFrame(
+                {"pos": pd.Series(at, dtype=object), "n": pd.Series([None if c is None else c[i] for c, i in zip(all_of, at)], dtype=object)}
+            )
 
     return counts(text)
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storygraph.functions.text import paragraphs, strip, token_count
+from storygraph.functions.text import paragraphs, strip, token_count, tokens
 from storygraph.operators.models import SummaryFn, Tokenizer
 from storygraph.params import Params
 
@@ -23,6 +23,26 @@ def lead_sentences(text: Column, n: int = LEAD_SENTENCES) -> Column:
     return F.nullif(strip(F.array_join(F.slice(sentences, 1, n), "")), F.lit(""))
 
 
+def key_order(sentence: Column) -> Column:
+    """Sorts sentences by what they tell: different words less repeated ones, most first; equals by their text."""
+    words = tokens(sentence)
+    return F.struct((F.size(words) - 2 * F.size(F.array_distinct(words))).alias("place"), sentence.alias("sentence"))
+
+
+def best_sentences(sentences: Column, n: int) -> Column:
+    """The ``n`` different sentences of an array that come first by ``key_order``.
+
+    The best of several arrays are the best of their own best ones, so they can be merged.
+    """
+    ranked = F.slice(F.sort_array(F.transform(F.array_distinct(sentences), key_order)), 1, n)
+    return F.transform(ranked, lambda r: r["sentence"])
+
+
+def sentences_of(text: Column) -> Column:
+    """All sentences of a text, without those of white space alone."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1)), strip), lambda s: s != "")
+
+
 def summarize_text(text: Column, fn: SummaryFn | None = None) -> Column:
     """Summary by ``fn`` or by lead sentences. NULL texts never reach ``fn``.
 

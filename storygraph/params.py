@@ -18,6 +18,7 @@ class Params:
     embed_dim: int = 512
     max_tokens: int = 8000  # longest text handed to an article embedder that is passed in
     summary_min_tokens: int = 300  # texts up to this length get no summary
+    summary_sentences: int = 5  # length of the built-in cluster summary, which is chosen from all members
     request_days: int = 7  # days a followed entry waits for its page
     dedup_days: int = 1  # days a URL stays in the ledger check
     # What a member without summary adds to the cluster text when an existing

@@ -436,7 +436,7 @@ def cluster_embedding_by_model(spark, sf_dir):
 
 @query("cluster_summary")
 def cluster_summary(spark, sf_dir):
-    return C.lead_member(A.copy_member_articles(_articles(spark, sf_dir)))
+    return C.cluster_summary(A.copy_member_articles(_articles(spark, sf_dir))).drop("key_sentences")
 
 
 @query("cluster_members")

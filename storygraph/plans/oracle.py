@@ -74,11 +74,17 @@ def dense(name: str, dim: int = 512) -> str:
   LEFT JOIN {name}_v s ON s.k = a.k AND s.bucket = a.b GROUP BY a.k)"""
 
 
+# The title of the member with most words, and the five sentences of all members with most different words less repeated ones.
 LEAD_MEMBER = """
-SELECT cluster_id, count(*) AS n_members, arg_min(words, rnk) AS lead_words, arg_min(article_id, rnk) AS lead_id,
-       arg_min(title, rnk) AS cluster_title, first(lead ORDER BY rnk) AS cluster_content
-FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY words DESC, article_id) AS rnk FROM {rows})
-GROUP BY cluster_id"""
+SELECT l.*, string_agg(s, ' ' ORDER BY place, s) AS cluster_content
+FROM (SELECT cluster_id, count(*) AS n_members, arg_min(words, rnk) AS lead_words, arg_min(article_id, rnk) AS lead_id, arg_min(title, rnk) AS cluster_title
+      FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY words DESC, article_id) AS rnk FROM {rows}) GROUP BY cluster_id) l
+LEFT JOIN (
+  SELECT cluster_id, s, len(ws) - 2 * len(list_distinct(ws)) AS place
+  FROM (SELECT cluster_id, s, regexp_extract_all(s, '\\S+') AS ws
+        FROM (SELECT DISTINCT cluster_id, regexp_replace(unnest(regexp_extract_all(body, '[^.!?]+[.!?]*')), '^\\s+|\\s+$', '', 'g') AS s FROM {rows}) WHERE s <> '')
+  QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY place, s) <= 5) USING (cluster_id)
+GROUP BY ALL"""
 
 EMB = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 

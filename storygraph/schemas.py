@@ -56,7 +56,7 @@ LEDGER = _struct(source=STRING, day=LONG, category=STRING, url=STRING)
 
 STATS = _struct(source=STRING, metric=STRING, value=LONG)
 
-# `lead_words`, `lead_id` and `text_counts` are what a refresh needs from the old
+# `lead_words`, `lead_id`, `key_sentences` and `text_counts` are what a refresh needs from the old
 # members, so that it does not have to read their articles again.
 CLUSTERS = _struct(
     cluster_id=STRING,
@@ -67,6 +67,7 @@ CLUSTERS = _struct(
     n_members=LONG,
     lead_words=LONG,
     lead_id=STRING,
+    key_sentences=T.ArrayType(STRING),
     text_counts=T.ArrayType(LONG),
 )
 
