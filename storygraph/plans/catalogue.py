@@ -581,7 +581,7 @@ def cluster_run_repeated_keys(spark, sf_dir):
 
 @query("cluster_run_changes")
 def cluster_run_changes(spark, sf_dir):
-    return _run(spark, sf_dir).changed.select("cluster_id", "n_members", "last_updated")
+    return _run(spark, sf_dir).changed.select(TEXT_FIELDS)
 
 
 @query("run_metrics")
@@ -654,12 +654,17 @@ def article_image(spark, sf_dir):
     return extract_articles(A.spread_table(spark, sf_dir, "pages"), [A.WEB]).select("url", "article_image")
 
 
+def _content():
+    """The blocks of an article, one a line."""
+    return F.array_join(F.transform("article_content", lambda b: F.concat_ws(" ", b["type"], b["content"])), "\n")
+
+
 @query("article_records")
 def article_page_records(spark, sf_dir):
     pages = A.spread_table(spark, sf_dir, "pages")
     rows = article_records(A.page_listing(pages), pages, [A.WEB])
     return rows.select(
-        "article_url", "article_title", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "cluster_id"
+        "article_url", "article_title", "article_category", _content().alias("content"), "cluster_id"
     )
 
 
@@ -668,9 +673,8 @@ def _site(spark, sf_dir, site: str) -> DataFrame:
     profile = next(p for p in PROFILES if p.source == site)
     pages = A.site_pages(A.spread_table(spark, sf_dir, "documents"), site)
     rows = article_records(listed_articles(pages, [profile]), pages, [profile])
-    content = F.array_join(F.transform("article_content", lambda b: F.concat_ws(" ", b["type"], b["content"])), "\n")
     return rows.select(
-        "article_url", "article_title", "article_thumbnail", "article_image", content.alias("content"), "article_published_date", "article_category"
+        "article_url", "article_title", "article_thumbnail", "article_image", _content().alias("content"), "article_published_date", "article_category"
     )
 
 
@@ -697,11 +701,11 @@ def recrawled_page_records(spark, sf_dir):
     both = old.unionByName(pages.withColumn("fetched_at", F.lit(2).cast("bigint")))
     rows = article_records(A.page_listing(pages), both, [A.WEB])
     return rows.select(
-        "article_url", "article_title", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "cluster_id"
+        "article_url", "article_title", "article_category", _content().alias("content"), "cluster_id"
     )
 
 
-INGESTED = ["source", "article_id", "article_url", "article_category", "n_blocks", "article_summary"]
+INGESTED = ["source", "article_id", "article_url", "article_category", "content", "article_summary"]
 
 
 def _seen_http(listing: DataFrame) -> DataFrame:
@@ -721,7 +725,7 @@ def ingest_two_batches(spark, sf_dir):
     first = ingest_listing(listing, pages.limit(0), ledger, A.AS_OF, profiles=[A.WEB])
     second = ingest_listing(listing.limit(0), pages, ledger, A.AS_OF, profiles=[A.WEB], waiting=first.waiting)
     rows = first.articles.unionByName(second.articles)
-    return rows.withColumn("n_blocks", F.size("article_content").cast("bigint")).select(INGESTED)
+    return rows.withColumn("content", _content()).select(INGESTED)
 
 
 @query("ingest_run")
@@ -729,9 +733,7 @@ def ingest_run(spark, sf_dir):
     pages = A.spread_table(spark, sf_dir, "pages")
     listing = A.page_listing(pages)
     run = ingest_listing(listing, pages, _seen_http(listing), A.AS_OF, profiles=[A.WEB])
-    return run.articles.select(
-        "source", "article_id", "article_url", "article_category", F.size("article_content").cast("bigint").alias("n_blocks"), "article_summary"
-    )
+    return run.articles.withColumn("content", _content()).select(INGESTED)
 
 
 # -- streams -------------------------------------------------------------------

@@ -149,6 +149,12 @@ everyone AS (SELECT copy_id AS cluster_id, a.* FROM art a WHERE copy_id IN (SELE
 
 UNESCAPED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
+BLOCK_LINES = (
+    "array_to_string(list_transform(list_filter(list_transform({paragraphs}, lambda x: "
+    + UNESCAPED.format("regexp_replace(x, '<[^>]*>', '', 'g')")
+    + "), lambda x: x <> ''), lambda x: 'paragraph ' || x), chr(10))"
+)
+
 PIECES = """
 pieces AS (SELECT url, page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:] AS ps FROM pages),
 piece AS (SELECT url, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM pieces)
@@ -315,9 +321,13 @@ WITH {ART} SELECT a.source, a.article_id, m.cluster_id FROM art a LEFT JOIN memb
     "cluster_run": f"WITH RECURSIVE {RUN} SELECT * FROM decided",
     "cluster_run_changes": f"""
 WITH RECURSIVE {RUN},
-had AS (SELECT cluster_id, count(*) AS n FROM old_members GROUP BY 1)
-SELECT cluster_id, count(*) + coalesce(any_value(n), 0) AS n_members, {AS_OF}::BIGINT AS last_updated
-FROM decided LEFT JOIN had USING (cluster_id) WHERE cluster_id IS NOT NULL GROUP BY 1""",
+everyone AS (
+  SELECT d.cluster_id, a.article_id, a.title, a.body, a.words FROM decided d JOIN art a USING (article_id) WHERE d.cluster_id IS NOT NULL
+  UNION ALL
+  SELECT cluster_id, article_id, title, body, words FROM old_members
+  WHERE cluster_id IN (SELECT cluster_id FROM decided WHERE cluster_id IS NOT NULL)),
+l AS ({LEAD_MEMBER.format(rows='everyone')})
+SELECT *, {AS_OF}::BIGINT AS last_updated FROM l""",
     "run_metrics": f"""
 WITH RECURSIVE {RUN}
 SELECT count(*) AS found_new, (SELECT count(DISTINCT cluster_id) FROM old_members) AS found_clusters,
@@ -359,16 +369,16 @@ FROM pages p LEFT JOIN nav n ON n.page_id = p.page_id AND n.i = 1""",
     "article_records": f"""
 WITH {PIECES}
 SELECT url AS article_url, 'Page ' || page_id AS article_title, split_part(url, '/', 4) AS article_category,
-       len(list_filter(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g') <> '')) AS n_blocks, NULL::VARCHAR AS cluster_id FROM pieces""",
+       {BLOCK_LINES.format(paragraphs="ps")} AS content, NULL::VARCHAR AS cluster_id FROM pieces""",
     "ingest_run": f"""
 WITH {PIECES},
 asked AS (SELECT url, ps, split_part(url, '/', 4) AS category FROM pieces WHERE starts_with(url, 'https')
           QUALIFY row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) <= 5),
-b AS (SELECT url, category, list_filter(list_transform(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), lambda x: x <> '') AS bs FROM asked),
-t AS (SELECT url, category, len(bs) AS n_blocks, {UNESCAPED.format("array_to_string(bs, ' ')")} AS body FROM b)
+b AS (SELECT *, list_filter(list_transform(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), lambda x: x <> '') AS bs FROM asked),
+t AS (SELECT url, category, {BLOCK_LINES.format(paragraphs="ps")} AS content, {UNESCAPED.format("array_to_string(bs, ' ')")} AS body FROM b)
 SELECT 'web' AS source, sha256('web#' || category || '#' || url || '#{AS_OF}') AS article_id, url AS article_url, category AS article_category,
-       n_blocks, CASE WHEN len(regexp_extract_all(body, '\\S+')) > 300 THEN {LEAD} END AS article_summary
-FROM t WHERE n_blocks > 0""",
+       content, CASE WHEN len(regexp_extract_all(body, '\\S+')) > 300 THEN {LEAD} END AS article_summary
+FROM t WHERE content <> ''""",
 }
 ORACLE["stats_increment"] = ORACLE["article_stats"]
 ORACLE["parse_date_dmy"] = ORACLE["parse_date_named_month"]
