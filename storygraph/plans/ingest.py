@@ -123,7 +123,7 @@ def ingest_batch(
     as_of, _ = store.open_run("ingest", batch, now)
     with scratch(store.spark):
         waiting = store.requests(before=batch, since=as_of - params.request_days * DAY_S)
-        run = ingest_run(pages, store.ledger(before=batch), as_of, params, models, profiles, waiting)
+        run = ingest_run(pages, store.ledger(before=batch, since=as_of - params.dedup_days * DAY_S), as_of, params, models, profiles, waiting)
         store.add_articles(run.articles, batch)
         store.add_requests(run.waiting, batch, as_of)
         # Ledger and counters come from the stored rows: pages are not parsed again.

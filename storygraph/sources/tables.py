@@ -11,11 +11,16 @@ its own files; nothing is applied twice, and no big table is ever rewritten.
     ledger           day / batch
     stats            batch                          deltas, summed when read
     requests         day / batch                    what a batch leaves waiting for its page
-    runs             batch                          time a batch stands for
+    runs             batch                          time a batch stands for; finished ones in blocks of 1,000
+
+A read of the days since some time lists the folders of those days only, so a run costs the
+same however many batches lie behind it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +31,9 @@ from storygraph.operators.clusters import MEMBER_KEY
 from storygraph.params import DAY_S
 
 
+BATCHES = 1000  # finished batches in one folder
+
+
 class Store:
     """Tables below one folder on storage that all executors share."""
 
@@ -38,26 +46,40 @@ class Store:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _folder(self, table: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(table))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _read(self, table: str, schema: T.StructType, before: int | None) -> DataFrame:
+    def _exists(self, table: str) -> bool:
+        files, path = self._folder(table)
+        return files.exists(path)
+
+    def _numbers(self, table: str, name: str) -> list[int]:
+        """Values of the folders ``name=value`` right below a table, without a look into them."""
+        files, path = self._folder(table)
+        if not files.exists(path):
+            return []
+        found = [re.fullmatch(rf"{name}=(-?\d+)", one.getPath().getName()) for one in files.listStatus(path)]
+        return [int(m[1]) for m in found if m]
+
+    def _read(self, table: str, schema: T.StructType, before: int | None, since: int | None = None) -> DataFrame:
+        """Rows of the batches before ``before``, and of the days from that of ``since`` (epoch) on."""
         parts = [T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())]
         full = T.StructType(schema.fields + [f for f in parts if f.name not in schema.fieldNames()])
-        if not self._exists(table):
+        root = self._path(table)
+        if since is None:
+            paths = [root] if self._exists(table) else []
+        else:
+            paths = [f"{root}/day={d}" for d in self._numbers(table, "day") if d >= since - since % DAY_S]
+        if not paths:
             return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).parquet(self._path(table))
+        rows = self.spark.read.schema(full).option("basePath", root).parquet(*paths)
         return rows if before is None else rows.filter(F.col("batch") < before)
 
     def articles(self, before: int | None = None, since: int | None = None) -> DataFrame:
         """Articles with their cluster. ``since`` (epoch) prunes to publication days from then on."""
-        rows = self._read("articles", schemas.ARTICLES, before)
-        assigned = self._read("assignments", schemas.ASSIGNMENTS, before)
-        if since is not None:
-            first_day = since - since % DAY_S
-            rows, assigned = rows.filter(F.col("day") >= first_day), assigned.filter(F.col("day") >= first_day)
+        rows = self._read("articles", schemas.ARTICLES, before, since)
+        assigned = self._read("assignments", schemas.ASSIGNMENTS, before, since)
         new = assigned.select(*MEMBER_KEY, F.col("cluster_id").alias("_new"))
         return (
             rows.join(new, MEMBER_KEY, "left")
@@ -70,14 +92,13 @@ class Store:
 
         Both tables are pruned to the publication days from ``since`` on.
         """
-        first_day = since - since % DAY_S
         rows = self.stored_articles(upto, since)
-        taken = self._read("assignments", schemas.ASSIGNMENTS, batch).filter(F.col("day") >= first_day)
+        taken = self._read("assignments", schemas.ASSIGNMENTS, batch, since)
         return rows.join(taken.select(MEMBER_KEY), MEMBER_KEY, "left_anti").select(schemas.ARTICLES.fieldNames())
 
     def stored_articles(self, upto: int, since: int) -> DataFrame:
         """Articles as stored up to ingest batch ``upto``, pruned to publication days from ``since`` on."""
-        return self._read("articles", schemas.ARTICLES, upto + 1).filter(F.col("day") >= since - since % DAY_S)
+        return self._read("articles", schemas.ARTICLES, upto + 1, since)
 
     def articles_of(self, batch: int) -> DataFrame:
         """The articles one batch stored."""
@@ -85,25 +106,23 @@ class Store:
 
     def clusters(self, before: int | None = None, since: int | None = None) -> DataFrame:
         """Newest row of each cluster; ``since`` prunes to clusters updated from that time on."""
-        rows = self._read("clusters", schemas.CLUSTERS, before)
+        rows = self._read("clusters", schemas.CLUSTERS, before, since)
         if since is not None:
-            rows = rows.filter((F.col("day") >= since - since % DAY_S) & (F.col("last_updated") >= since))
+            rows = rows.filter(F.col("last_updated") >= since)
         newest = rows.groupBy("cluster_id").agg(F.max("batch").alias("batch"))
         return rows.join(newest, ["cluster_id", "batch"], "left_semi").select(schemas.CLUSTERS.fieldNames())
 
     def members(self, before: int | None = None, since: int | None = None) -> DataFrame:
         """Memberships; ``since`` prunes to those added from that day on."""
-        rows = self._read("cluster_members", schemas.CLUSTER_MEMBERS, before)
-        if since is not None:
-            rows = rows.filter(F.col("day") >= since - since % DAY_S)
+        rows = self._read("cluster_members", schemas.CLUSTER_MEMBERS, before, since)
         return rows.select(schemas.CLUSTER_MEMBERS.fieldNames())
 
-    def ledger(self, before: int | None = None) -> DataFrame:
-        return self._read("ledger", schemas.LEDGER, before).select(schemas.LEDGER.fieldNames())
+    def ledger(self, before: int | None = None, since: int | None = None) -> DataFrame:
+        return self._read("ledger", schemas.LEDGER, before, since).select(schemas.LEDGER.fieldNames())
 
     def requests(self, before: int, since: int) -> DataFrame:
         """What the last batch before ``before`` left waiting; each batch carries on what still waits."""
-        rows = self._read("requests", schemas.REQUESTS, before).filter(F.col("day") >= since - since % DAY_S)
+        rows = self._read("requests", schemas.REQUESTS, before, since)
         last = rows.agg(F.max("batch").alias("batch"))
         return rows.join(F.broadcast(last), "batch").filter("source is not null").select(schemas.REQUESTS.fieldNames())
 
@@ -175,9 +194,13 @@ class Store:
 
     def close_run(self, kind: str, batch: int) -> None:
         done = self.spark.createDataFrame([(batch,)], "number bigint")
-        done.coalesce(1).write.mode("overwrite").parquet(self._path(self._run_path(f"{kind}_done", batch)))
+        done.coalesce(1).write.mode("overwrite").parquet(self._path(f"runs/kind={kind}_done/block={batch // BATCHES}/batch={batch}"))
 
     def last_finished(self, kind: str) -> int:
-        if not self._exists(f"runs/kind={kind}_done"):
-            return -1
-        return self.spark.read.schema("number bigint").parquet(self._path(f"runs/kind={kind}_done")).agg(F.max("number")).first()[0]
+        """The largest number among the finished batches, -1 if there is none; only names are read."""
+        root = f"runs/kind={kind}_done"
+        for block in sorted(self._numbers(root, "block"), reverse=True):
+            for batch in sorted(self._numbers(f"{root}/block={block}", "batch"), reverse=True):
+                if self._exists(f"{root}/block={block}/batch={batch}/_SUCCESS"):
+                    return batch
+        return -1

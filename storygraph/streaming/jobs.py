@@ -76,8 +76,8 @@ def ledger_stream(feed: DataFrame, store: Store, checkpoint: str, once: bool = F
     def body(rows: DataFrame, batch: int) -> None:
         store.open_run("ledger", batch, 0)
         with scratch(store.spark):
-            new, _ = materialize(ledger_rows(rows))
-            stored = store.ledger(before=batch).join(new.select("day").distinct(), "day", "left_semi")
+            new, seen = materialize(ledger_rows(rows), first=F.min("day"))
+            stored = store.ledger(before=batch, since=seen["first"]).join(new.select("day").distinct(), "day", "left_semi")
             store.add_ledger(ledger_additions(new, stored), batch)
         store.close_run("ledger", batch)
 

@@ -261,14 +261,34 @@ def test_stored_form_is_replay_safe(spark):
     assert sorted(r.article_id for r in one.collect()) == sorted(r.article_id for r in two.collect())
 
 
-@pytest.mark.parametrize("table,column", [("articles", "day"), ("ledger", "day")])
-def test_reads_are_pruned_by_partition(spark, tmp_path, table, column):
+def test_reads_are_pruned_by_partition(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     ingest_batch(store, pages(spark), 0, NOW, DIM)
-    df = store.pending_articles(0, 0, NOW) if table == "articles" else store.ledger().filter(f"day = {NOW - NOW % DAY_S}")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert f"{column}#" in filters
+    plan = store.ledger().filter(f"day = {NOW - NOW % DAY_S}")._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # Where a time is given, the folders of its days are all that is opened.
+    assert all(f"/day={NOW - NOW % DAY_S}/" in f for f in store.pending_articles(0, 0, NOW).inputFiles())
+    assert store.articles().inputFiles() and not store.pending_articles(0, 0, NOW + DAY_S).inputFiles()
+
+
+def test_reads_of_recent_days_open_no_older_folder(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    days = [NOW - k * DAY_S for k in range(4)]
+    rows = [("s", "c", f"u{k}", d - d % DAY_S) for k, d in enumerate(days)]
+    store.add_ledger(spark.createDataFrame(rows, "source string, category string, url string, day bigint"), 0)
+    recent = store.ledger(since=days[1])
+    assert sorted(r.url for r in recent.collect()) == ["u0", "u1"]
+    assert len(recent.inputFiles()) == 2
+    assert store.ledger(since=NOW + DAY_S).isEmpty() and store.ledger().count() == 4
+
+
+def test_last_finished_batch_is_the_largest_that_was_written_whole(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.last_finished("ingest") == -1
+    for batch in (9, 10, 999, 1000, 1002):
+        store.close_run("ingest", batch)
+    (tmp_path / "runs/kind=ingest_done/block=1/batch=1002/_SUCCESS").unlink()
+    assert store.last_finished("ingest") == 1000
 
 
 def letter_model():
