@@ -2,8 +2,9 @@
 
 Every text is the first layer. Each layer is scanned, then searched for URL escapes,
 Unicode and character escapes, base64 and compressed data; what decodes becomes a layer of
-its own, until nothing new appears. A layer seen before is not entered again, which ends
-cycles (also of data that unpacks to itself). Every layer knows which code points of the
+its own, until nothing new appears. A layer seen before at the same place is not entered
+again, which ends cycles (also of data that unpacks to itself) but leaves repeated data its
+findings at every place. Every layer knows which code points of the
 text each of its own came from, so what is found deep inside is reported where it lies in
 the text.
 """
@@ -86,7 +87,8 @@ def base_matches(text: str) -> list[tuple[int, int, str]]:
 def scan_text(text: str) -> list[dict]:
     """All findings of one text, by start, then kind, then layer; ``layers`` is empty for plain ones."""
     found: dict[tuple, dict] = {}
-    work, seen = [Layer(text, (), None, None, (0, len(text)))], {text}
+    first = Layer(text, (), None, None, (0, len(text)))
+    work, seen = [first], {(first.text, first.range)}
     while work:
         layer = work.pop()
         hits = base_matches(layer.text)
@@ -95,8 +97,8 @@ def scan_text(text: str) -> list[dict]:
             path = ".".join(layer.names)
             found.setdefault((at[0], kind, path, at[1], layer.text[start:end]), {"kind": kind, "layers": path, "start": at[0], "end": at[1], "value": layer.text[start:end]})
         for inner in _decoded(layer, found):
-            if inner.text not in seen:
-                seen.add(inner.text)
+            if (inner.text, inner.range) not in seen:
+                seen.add((inner.text, inner.range))
                 work.append(inner)
     plain = [(f["kind"], f["start"], f["end"]) for f in found.values() if not f["layers"]]
     out = [f for f in found.values() if not f["layers"] or not _known(f, plain)]

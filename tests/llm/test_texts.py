@@ -102,6 +102,18 @@ def test_cycles_end_and_odd_texts_have_defined_results(spark):
     assert base_matches("AKIA0123456789ABC AKIA012345678") == [(0, 17, "access")]
 
 
+def places(text):
+    return [(f["kind"], f["layers"], text[f["start"] : f["end"]]) for f in scan_text(text)]
+
+
+def test_repeated_and_equal_encodings_are_found_at_every_place():
+    secret = "password=hunter2hunter2"
+    packed, escaped = b64(secret.encode()), secret.replace("=", "%3D")
+    text = f"{packed} {packed}\n{packed} {escaped} {escaped}"
+    assert places(text) == [("assign", "base64", packed)] * 3 + [("assign", "url", escaped)] * 2
+    assert len({f["start"] for f in scan_text(text)}) == 5
+
+
 def small_vocabulary():
     names = ["▁", "▁t", "▁th", "h", "e", "he", "t", "th", "▁the", "a", "b", "ab", "ba"]
     return lattice.make_vocabulary(names, list(range(len(names))))
