@@ -18,6 +18,7 @@ import html
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -56,17 +57,33 @@ ARROW_FINDINGS = pa.list_(
 )
 
 
+class Segment(NamedTuple):
+    """Code points from ``at`` on: either each comes from one of the range, or all from the whole range."""
+
+    at: int
+    start: int
+    end: int
+    each: bool
+
+
+def located(segments: list[Segment], start: int, end: int) -> tuple[int, int]:
+    first = segments[bisect_right(segments, start, key=lambda s: s.at) - 1]
+    last = segments[bisect_right(segments, end - 1, key=lambda s: s.at) - 1]
+    return first.start + (start - first.at) * first.each, last.start + end - last.at if last.each else last.end
+
+
 class Layer(NamedTuple):
     text: str
     names: tuple[str, ...]
-    starts: list[int] | None  # of each code point in the document; None: the whole range
-    ends: list[int] | None
+    origin: list[Segment] | None  # of its code points in the document; None: the whole range
     range: tuple[int, int]
+    steps: list[Segment] | None = None  # of a respelled layer: its code points in the layer it comes from,
+    known: frozenset = frozenset()  # and the matches (start, end, kind) there
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if not self.names:
             return start, end
-        return self.range if self.starts is None else (self.starts[start], self.ends[end - 1])
+        return self.range if self.origin is None else located(self.origin, start, end)
 
 
 class Oversized(Exception):
@@ -87,39 +104,35 @@ def base_matches(text: str) -> list[tuple[int, int, str]]:
 def scan_text(text: str) -> list[dict]:
     """All findings of one text, by start, then kind, then layer; ``layers`` is empty for plain ones."""
     found: dict[tuple, dict] = {}
-    first = Layer(text, (), None, None, (0, len(text)))
+    first = Layer(text, (), None, (0, len(text)))
     work, seen = [first], {(first.text, first.range)}
     while work:
         layer = work.pop()
         hits = base_matches(layer.text)
+        path = ".".join(layer.names)
         for start, end, kind in hits:
+            if layer.steps is not None and (*located(layer.steps, start, end), kind) in layer.known:
+                continue  # the same without this decoding, which changed other code points only
             at = layer.place(start, end)
-            path = ".".join(layer.names)
-            found.setdefault((at[0], kind, path, at[1], layer.text[start:end]), {"kind": kind, "layers": path, "start": at[0], "end": at[1], "value": layer.text[start:end]})
-        for inner in _decoded(layer, found):
+            value = layer.text[start:end]
+            found.setdefault((at[0], kind, path, at[1], value), {"kind": kind, "layers": path, "start": at[0], "end": at[1], "value": value})
+        for inner in _decoded(layer, frozenset(hits), found):
             if (inner.text, inner.range) not in seen:
                 seen.add((inner.text, inner.range))
                 work.append(inner)
-    plain = [(f["kind"], f["start"], f["end"]) for f in found.values() if not f["layers"]]
-    out = [f for f in found.values() if not f["layers"] or not _known(f, plain)]
     order = {k: i for i, k in enumerate(KINDS)}
-    return sorted(out, key=lambda f: (f["start"], order.get(f["kind"], 9), f["layers"], f["end"], f["value"]))
-
-
-def _known(finding: dict, plain: list[tuple[str, int, int]]) -> bool:
-    """A plain finding seen again through a decoding that changed other code points only."""
-    return set(finding["layers"].split(".")) <= {"url", "unicode"} and (finding["kind"], finding["start"], finding["end"]) in plain
+    return sorted(found.values(), key=lambda f: (f["start"], order.get(f["kind"], 9), f["layers"], f["end"], f["value"]))
 
 
-def _decoded(layer: Layer, found: dict) -> Iterator[Layer]:
+def _decoded(layer: Layer, hits: frozenset, found: dict) -> Iterator[Layer]:
     text = layer.text
-    if "%" in text:
-        for m in ESCAPED.finditer(text):
-            yield _respelled(layer, m, PERCENT, "url", lambda s: bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace"))
-    if "\\" in text or "&" in text:
-        for m in UNICODE_TOKEN.finditer(text):
-            if UNICODE.search(m[0]):
-                yield _respelled(layer, m, UNICODE, "unicode", _character)
+    # The whole layer, as a secret may be part escaped and part not, and each token, as a match of the whole may begin before one of its own.
+    if "%" in text and PERCENT.search(text):
+        for span in ((0, len(text)), *(m.span() for m in ESCAPED.finditer(text))):
+            yield _respelled(layer, span, PERCENT, "url", lambda s: bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace"), hits)
+    if ("\\" in text or "&" in text) and UNICODE.search(text):
+        for span in ((0, len(text)), *(m.span() for m in UNICODE_TOKEN.finditer(text) if UNICODE.search(m[0]))):
+            yield _respelled(layer, span, UNICODE, "unicode", _character, hits)
     for m in BASE64.finditer(text):
         at = layer.place(*m.span())
         try:
@@ -133,30 +146,41 @@ def _decoded(layer: Layer, found: dict) -> Iterator[Layer]:
         except Oversized:
             found.setdefault((at[0], "unread", "", at[1]), {"kind": "unread", "layers": "base64", "start": at[0], "end": at[1], "value": ""})
             continue
-        yield Layer(inner, (*layer.names, "base64", *names), None, None, at)
-
-
-def _respelled(layer: Layer, m: re.Match, escapes: re.Pattern, name: str, decode) -> Layer:
-    """A token with its escapes replaced, and the origin of each of its code points."""
-    parts, starts, ends, at = [], [], [], m.start()
-
-    def keep(until: int) -> None:
-        for i in range(at, until):
-            start, end = layer.place(i, i + 1)
-            starts.append(start)
-            ends.append(end)
-        parts.append(layer.text[at:until])
-
-    for e in escapes.finditer(layer.text, m.start(), m.end()):
-        keep(e.start())
-        piece = decode(e[0])
-        start, end = layer.place(*e.span())
-        starts.extend([start] * len(piece))
-        ends.extend([end] * len(piece))
-        parts.append(piece)
+        yield Layer(inner, (*layer.names, "base64", *names), None, at)
+
+
+def _respelled(layer: Layer, span: tuple[int, int], escapes: re.Pattern, name: str, decode, hits: frozenset) -> Layer:
+    """A part of a layer with its escapes replaced, and the origin of each of its code points."""
+    parts, steps, size, at = [], [], 0, span[0]
+
+    def add(piece: str, start: int, end: int, each: bool) -> None:
+        nonlocal size
+        if piece:
+            parts.append(piece)
+            steps.append(Segment(size, start, end, each))
+            size += len(piece)
+
+    for e in escapes.finditer(layer.text, *span):
+        add(layer.text[at : e.start()], at, e.start(), True)
+        add(decode(e[0]), *e.span(), False)
         at = e.end()
-    keep(m.end())
-    return Layer("".join(parts), (*layer.names, name), starts, ends, layer.place(*m.span()))
+    add(layer.text[at : span[1]], at, span[1], True)
+    origin = steps if not layer.names else layer.origin and list(_composed(steps, layer))
+    return Layer("".join(parts), (*layer.names, name), origin, layer.place(*span), steps, hits)
+
+
+def _composed(steps: list[Segment], layer: Layer) -> Iterator[Segment]:
+    """The segments of a respelled layer in the document instead of in the layer it comes from."""
+    for s in steps:
+        if not s.each:
+            yield Segment(s.at, *layer.place(s.start, s.end), False)
+            continue
+        i = bisect_right(layer.origin, s.start, key=lambda o: o.at) - 1
+        while i < len(layer.origin) and layer.origin[i].at < s.end:
+            o = layer.origin[i]
+            skipped = max(s.start - o.at, 0)
+            yield Segment(s.at + o.at + skipped - s.start, o.start + skipped * o.each, o.end, o.each)
+            i += 1
 
 
 def _character(escape: str) -> str:

@@ -114,6 +114,21 @@ def test_repeated_and_equal_encodings_are_found_at_every_place():
     assert len({f["start"] for f in scan_text(text)}) == 5
 
 
+def test_escapes_count_beyond_the_next_blank():
+    for text, layers, span in (
+        ("{&quot;password&quot;: &quot;hunter2hunter2&quot;}", "unicode", "password&quot;: &quot;hunter2hunter2"),
+        ("é password&#61; hunter2hunter2 end", "unicode", "password&#61; hunter2hunter2"),
+        ("%22token%22: %22abcdefghij%22", "url", "token%22: %22abcdefghij"),
+        ("%2522token%2522: %2522abcdefghij%2522", "url.url", "token%2522: %2522abcdefghij"),
+    ):
+        assert places(text) == [("assign", layers, span)]
+    # A plain or encoded secret beside an escape is reported once.
+    assert places("a%20b password=hunter2hunter2 &amp;") == [("assign", "", "password=hunter2hunter2")]
+    packed = b64(b"a%20b password=hunter2hunter2")
+    assert places(f"%41 {packed}") == [("assign", "base64", packed)]
+    assert places("secret%3A password%3Ahunter2hunter2")[-1] == ("assign", "url", "password%3Ahunter2hunter2")
+
+
 def small_vocabulary():
     names = ["▁", "▁t", "▁th", "h", "e", "he", "t", "th", "▁the", "a", "b", "ab", "ba"]
     return lattice.make_vocabulary(names, list(range(len(names))))
