@@ -12,14 +12,15 @@ the text.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import html
 import lzma
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,6 +39,13 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|equals|colon);")
 UNICODE_TOKEN = re.compile(r"\S*(?:\\[ux]|&[#a-z])\S*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(r"\r?\n[ \t]*")
+PIECE = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+# How the streams of PACKERS begin in base64.
+PACKED = re.compile(r"H4sI|Qlpo|/Td6WF|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+NOT_TEXT = re.compile(r"[^\t\n\r\x20-\x7e\x80-\U0010ffff]")
+SOME_TEXT = re.compile(rb"[\t\n\r\x20-\x7e]{14}")  # no secret and nothing that encodes one is shorter
 TO_STANDARD = str.maketrans("-_", "+/")
 MAX_LAYER = 64 << 20  # unpacked bytes of one layer; a larger one is reported as `unread`
 
@@ -104,24 +112,43 @@ def base_matches(text: str) -> list[tuple[int, int, str]]:
 def scan_text(text: str) -> list[dict]:
     """All findings of one text, by start, then kind, then layer; ``layers`` is empty for plain ones."""
     found: dict[tuple, dict] = {}
+    times: Counter = Counter()  # how often each is in one layer
     first = Layer(text, (), None, (0, len(text)))
     work, seen = [first], {(first.text, first.range)}
     while work:
         layer = work.pop()
         hits = base_matches(layer.text)
         path = ".".join(layer.names)
+        here: Counter = Counter()
         for start, end, kind in hits:
             if layer.steps is not None and (*located(layer.steps, start, end), kind) in layer.known:
                 continue  # the same without this decoding, which changed other code points only
             at = layer.place(start, end)
             value = layer.text[start:end]
-            found.setdefault((at[0], kind, path, at[1], value), {"kind": kind, "layers": path, "start": at[0], "end": at[1], "value": value})
+            key = (at[0], kind, path, at[1], value)
+            here[key] += 1
+            found.setdefault(key, {"kind": kind, "layers": path, "start": at[0], "end": at[1], "value": value})
+        for key, n in here.items():
+            times[key] = max(times[key], n)
         for inner in _decoded(layer, frozenset(hits), found):
             if (inner.text, inner.range) not in seen:
                 seen.add((inner.text, inner.range))
                 work.append(inner)
     order = {k: i for i, k in enumerate(KINDS)}
-    return sorted(found.values(), key=lambda f: (f["start"], order.get(f["kind"], 9), f["layers"], f["end"], f["value"]))
+    return sorted(_narrowest(found, times), key=lambda f: (f["start"], order.get(f["kind"], 9), f["layers"], f["end"], f["value"]))
+
+
+def _narrowest(found: dict[tuple, dict], times: Counter) -> Iterator[dict]:
+    """Findings without those that equal ones inside account for: the same read from a part and from more than that."""
+    equal: dict[tuple, list[tuple]] = defaultdict(list)
+    for key, f in found.items():
+        equal[f["kind"], f["layers"], f["value"]].append(key)
+    for keys in equal.values():
+        ends: list[int] = []  # of those given out, which start no earlier
+        for key in sorted(keys, key=lambda k: (-k[0], k[3])):
+            if bisect_right(ends, key[3]) < max(times[key], 1) or found[key]["kind"] == "unread":
+                insort(ends, key[3])
+                yield found[key]
 
 
 def _decoded(layer: Layer, hits: frozenset, found: dict) -> Iterator[Layer]:
@@ -133,20 +160,78 @@ def _decoded(layer: Layer, hits: frozenset, found: dict) -> Iterator[Layer]:
     if ("\\" in text or "&" in text) and UNICODE.search(text):
         for span in ((0, len(text)), *(m.span() for m in UNICODE_TOKEN.finditer(text) if UNICODE.search(m[0]))):
             yield _respelled(layer, span, UNICODE, "unicode", _character, hits)
+    opened: set[int] = set()  # where a stream begins that is read already
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            parts, at = [], m.start()
+            for gap in (*BREAK.finditer(text, *m.span()), None):
+                end = gap.start() if gap else m.end()
+                parts.append((at, end))
+                at = gap.end() if gap else end
+            yield from _unbased(layer, parts, opened, found)
     for m in BASE64.finditer(text):
-        at = layer.place(*m.span())
+        yield from _unbased(layer, [m.span()], opened, found)
+
+
+def _unbased(layer: Layer, parts: list[tuple[int, int]], opened: set[int], found: dict) -> Iterator[Layer]:
+    """What a run of base64 may stand for, given as the parts of its lines.
+
+    A run that is text as a whole is taken as that. Else it may begin before its base64 or end
+    after it: compressed streams are looked for at every place, text in the pieces
+    between / - _ and at all four alignments.
+    """
+    run = "".join(layer.text[s:e] for s, e in parts).rstrip("=")
+    if len(run) < 16:
+        return
+    firsts = list(accumulate((e - s for s, e in parts), initial=0))
+
+    def at(i: int) -> int:
+        """Place in the layer of a character of the run."""
+        k = bisect_right(firsts, i, hi=len(parts)) - 1
+        return parts[k][0] + i - firsts[k]
+
+    end = parts[-1][1]
+    base = run.translate(TO_STANDARD)
+
+    def inner(body: bytes, start: int, stop: int, names: tuple[str, ...] = ()) -> Layer:
         try:
-            body = _plain_bytes(m[0])
-            if body is None:
-                continue
-            names, body = _unpacked(body)
-            inner = body.decode("utf-8")
-        except (binascii.Error, ValueError):
+            text = body.decode("utf-8")
+        except UnicodeDecodeError:
+            text = body.decode("latin-1")
+        return Layer(text, (*layer.names, "base64", *names), None, layer.place(start, stop))
+
+    # Streams first: the first one of a run that can be read holds those that seem to begin inside of it.
+    for m in PACKED.finditer(base):
+        start = at(m.start())
+        if start in opened or not _opens(base[m.start() : m.start() + 4096]):
             continue
+        try:
+            names, body = _unpacked(_plain_bytes(base[m.start() :]))
         except Oversized:
-            found.setdefault((at[0], "unread", "", at[1]), {"kind": "unread", "layers": "base64", "start": at[0], "end": at[1], "value": ""})
+            span = layer.place(start, end)
+            found.setdefault((span[0], "unread", "", span[1]), {"kind": "unread", "layers": "base64", "start": span[0], "end": span[1], "value": ""})
+            opened.add(start)
             continue
-        yield Layer(inner, (*layer.names, "base64", *names), None, at)
+        if names:
+            opened.add(start)
+            yield inner(body, start, end, tuple(names))
+    body = _plain_bytes(base)
+    try:
+        if not NOT_TEXT.search(body.decode("utf-8")):
+            yield inner(body, parts[0][0], end)
+            return
+    except UnicodeDecodeError:
+        pass
+    if len(parts) == 1 and len(run) > 16:
+        for m in PIECE.finditer(layer.text, *parts[0]):
+            if m.end() - m.start() < end - parts[0][0]:
+                piece = _plain_bytes(m[0].rstrip("="))
+                if SOME_TEXT.search(piece):
+                    yield inner(piece, *m.span())
+    for skip in range(4):
+        body = _plain_bytes(base[skip:])
+        if SOME_TEXT.search(body):
+            yield inner(body, parts[0][0], end)
 
 
 def _respelled(layer: Layer, span: tuple[int, int], escapes: re.Pattern, name: str, decode, hits: frozenset) -> Layer:
@@ -190,11 +275,24 @@ def _character(escape: str) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def _plain_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=").translate(TO_STANDARD)
-    if len(body) % 4 == 1:
-        return None
-    return base64.b64decode(body + "=" * (-len(body) % 4))
+def _plain_bytes(base: str) -> bytes:
+    """The whole bytes of unpadded standard base64; a last character alone holds none."""
+    base = base.translate(TO_STANDARD)
+    base = base[: len(base) - (len(base) % 4 == 1)]
+    return base64.b64decode(base + "=" * (-len(base) % 4))
+
+
+def _opens(base: str) -> bool:
+    """Whether the beginning of a run can be that of a compressed stream."""
+    body = _plain_bytes(base)
+    for _, magic, opener in PACKERS:
+        if body.startswith(magic):
+            try:
+                opener().decompress(body, 1 << 16)
+            except BROKEN:
+                return False
+            return True
+    return False
 
 
 def _unpacked(body: bytes) -> tuple[list[str], bytes]:
@@ -205,7 +303,7 @@ def _unpacked(body: bytes) -> tuple[list[str], bytes]:
         seen.add(body)
         for name, magic, opener in PACKERS:
             if body.startswith(magic):
-                inner = _inflate(opener(), body)
+                inner = _inflate(opener, magic, body)
                 if inner is not None:
                     names.append(name)
                     body = inner
@@ -213,16 +311,24 @@ def _unpacked(body: bytes) -> tuple[list[str], bytes]:
     return names, body
 
 
-def _inflate(opener, body: bytes) -> bytes | None:
-    try:
-        out = opener.decompress(body, MAX_LAYER + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    if len(out) > MAX_LAYER:
-        raise Oversized
-    return out
-
-
+def _inflate(opener, magic: bytes, body: bytes) -> bytes | None:
+    """All members of a stream up to the first that cannot be read; None if that is the first one."""
+    parts, size = [], 0
+    while body.startswith(magic):
+        stream = opener()
+        try:
+            parts.append(stream.decompress(body, MAX_LAYER + 1 - size))
+        except BROKEN:
+            break
+        size += len(parts[-1])
+        if size > MAX_LAYER:
+            raise Oversized
+        # Null bytes may stand between members.
+        body = stream.unused_data.lstrip(b"\0")
+    return b"".join(parts) if parts else None
+
+
+BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
 PACKERS = (
     ("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)),
     ("zlib", b"\x78", lambda: zlib.decompressobj(15)),

@@ -1,6 +1,7 @@
 """Personal data, secrets and language-model scores against brute force."""
 
 import base64
+import bz2
 import gzip
 import math
 import random
@@ -129,6 +130,33 @@ def test_escapes_count_beyond_the_next_blank():
     assert places("secret%3A password%3Ahunter2hunter2")[-1] == ("assign", "url", "password%3Ahunter2hunter2")
 
 
+def test_base64_is_found_wrapped_misaligned_and_in_odd_bytes():
+    secret = b"password=hunter2hunter2"
+    filler = bytes(random.Random(3).choices(b"abcdefgh ", k=400))
+
+    def wrapped(body, width):
+        return "\n".join(b64(body)[i : i + width] for i in range(0, len(b64(body)), width))
+
+    def values(text, layers="base64"):
+        return {f["value"] for f in scan_text(text) if f["layers"] == layers}
+
+    plain = secret.decode()
+    assert plain in values(wrapped(b"x" * 40 + b" " + secret + b" " + b"y" * 40, 64))
+    for width in (64, 76):
+        body = wrapped(gzip.compress(filler + secret + b" " + filler), width)
+        assert "\n" in body and values(f"data:\n{body}\nend", "base64.gzip") == {plain}
+        assert values("data: " + body.replace("\n", "\r\n  "), "base64.gzip") == {plain}
+    token = b64(b"token=abcdefghij;")
+    for before in ("/cb/", "key-", "a/", "ab_", "x", "xy", "xyz"):
+        assert any(v.startswith("token=abcdefghij") for v in values(before + token)), before
+    assert places("/callback/" + token.rstrip("=") + "/next")[0][2] == token.rstrip("=")
+    assert values("/cb/" + b64(gzip.compress(secret)), "base64.gzip") == {plain}
+    assert values(b64(b"\xff\xfe " + secret + b" \x80")) == {plain}
+    both = gzip.compress(b"nothing here") + gzip.compress(secret)
+    assert values(b64(both), "base64.gzip") == {plain}
+    assert values(b64(bz2.compress(b"nothing") + bz2.compress(secret)), "base64.bz2") == {plain}
+
+
 def small_vocabulary():
     names = ["▁", "▁t", "▁th", "h", "e", "he", "t", "th", "▁the", "a", "b", "ab", "ba"]
     return lattice.make_vocabulary(names, list(range(len(names))))
