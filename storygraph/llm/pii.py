@@ -1,17 +1,23 @@
 """Personal data, and the words around it that give it away.
 
-E-mail, IP, card and phone numbers are the protected entities. A term near an entity reveals
-it as far as knowing the term makes the entity likely: over the corpus, the pointwise mutual
-information of term and entity, as a share of the entity's own information (after Sanchez
-and Batet's information-theoretic sanitisation). A term that reveals more than the threshold
-is generalised, one that gives the entity away all but fully is removed.
+E-mail, IP, card and phone numbers are the protected entities. A term in a document with an
+entity reveals it as far as knowing the term makes the entity likely: over the corpus, the
+pointwise mutual information of term and entity, as a share of the entity's own information
+(after Sanchez and Batet's information-theoretic sanitisation). A term that reveals more than
+the threshold is generalised, one that gives the entity away all but fully is removed, both
+wherever the term stands, also in documents without the entity.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +36,11 @@ TERM = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'()[]{}|*#%&$<>-_"
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
-NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+PLACE = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-ARROW_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+ARROW_PLACES = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 BROADCAST_TERMS = 200_000
+FLUSH = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -73,93 +80,108 @@ def entity_key(kind: str, value: str) -> str:
     return f"{kind} {value.lower() if kind in ('email', 'ip') else NOT_DIGIT.sub('', value)}"
 
 
-def nearby_terms(text: str, spans: list[tuple[str, int, int, str]], window: int) -> list[dict]:
-    """The words up to ``window`` before and after each entity, without those of an entity themselves."""
+def terms_of(text: str, spans: list[tuple[str, int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text without those of an entity: lower case, without punctuation around."""
     taken = sorted((s, e) for _, s, e, _ in spans)
-    near = []
-    for kind, start, end, value in spans:
-        before = list(TERM.finditer(text, _back(text, start, window), start))[-window:]
-        after = []
-        for m in TERM.finditer(text, end):
-            if len(after) == window:
-                break
-            after.append(m)
-        for m in before + after:
-            word = m[0].strip(EDGES)
-            if word and not any(s < m.end() and m.start() < e for s, e in taken):
-                at = m.start() + m[0].index(word)
-                near.append({"entity": entity_key(kind, value), "term": word.lower(), "start": at, "end": at + len(word)})
-    return near
-
-
-def _back(text: str, start: int, window: int) -> int:
-    """A place at the start of a word with at least ``window`` words between it and ``start``."""
-    at, step = start, 16 * window
-    while at > 0:
-        at = max(0, at - step)
-        while at > 0 and not text[at - 1].isspace():
-            at -= 1
-        if len(TERM.findall(text, at, start)) > window:
-            return at
-        step *= 2
-    return 0
-
-
-def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12) -> DataFrame:
-    """(row, id, spans, near) for every row of ``docs``, as a written table; ``row`` numbers the rows.
-
-    Null and empty texts have no spans. Texts stay where they are: only spans and the words
-    next to them are written.
-    """
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for m in TERM.finditer(text):
+        before = bisect_left(starts, m.end()) if taken else 0
+        if before and reach[before - 1] > m.start():
+            continue
+        word = m[0].strip(EDGES)
+        if word:
+            at = m.start() + m[0].index(word)
+            yield word.lower(), at, at + len(word)
+
+
+def distinct_terms(text: str, spans: list[tuple[str, int, int, str]]) -> set[str]:
+    if spans:
+        return {t for t, _, _ in terms_of(text, spans)}
+    return {w.strip(EDGES).lower() for w in TERM.findall(text)} - {""}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, near = [], []
-            for text in batch.column(1).to_pylist():
-                found = base_spans(text) if text else []
-                spans.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in found])
-                near.append(nearby_terms(text, found, window) if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, ARROW_SPANS), pa.array(near, ARROW_NEAR)], ["id", "spans", "near"])
 
-    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR))])
-    found = rows.mapInArrow(scan, out).select(F.monotonically_increasing_id().alias("row"), "id", "spans", "near")
-    return materialize(found)[0]
+def _counted(docs: DataFrame, text_col: str, keys: Callable[[str], Iterable[tuple]], schema: pa.Schema) -> DataFrame:
+    """Rows of ``docs`` with each of the keys that a text has once, added up before they leave a task as far as they fit."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", min_docs: int = 2) -> DataFrame:
-    """(entity, term, disclosure) of terms seen near an entity in at least ``min_docs`` rows.
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(zip(*seen, strict=True)) or [()] * (len(schema) - 1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(names, schema, strict=False)), pa.array(list(seen.values()), pa.int64())], schema=schema)
+            seen.clear()
 
-    disclosure = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), counted in rows: 1 if the
-    term occurs nowhere but near the entity. n(t) is counted over the whole corpus, for
-    candidate terms only: these are broadcast while they are counted few, else joined.
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(keys(text or ""))
+                if len(seen) > FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    types = ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'long'}" for f in schema)
+    return docs.select(F.col(text_col)).mapInArrow(count, types).groupBy(*schema.names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def _often(counted: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """Counts of the keys from a count on that at most ``most`` keys reach, and what all others have at most."""
+    level = F.floor(F.log2("n") * 8)
+    steps = sorted(((r.level, r.keys, r.top) for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("top")).collect()), reverse=True)
+    cut, total, rest = None, 0, 0
+    for step, n, top in steps:
+        if (total := total + n) > most:
+            rest = top
+            break
+        cut = step
+    if cut is None:
+        return {}, rest
+    table = counted.filter(level >= F.lit(cut)).select("key", "n").toArrow()
+    return dict(zip(table["key"].to_pylist(), table["n"].to_pylist(), strict=True)), rest
+
+
+def disclosures(docs: DataFrame, text_col: str = "text", min_docs: int = 2, least: float = 0.0) -> DataFrame:
+    """(entity, term, disclosure) of terms that share at least ``min_docs`` rows with an entity, from ``least`` on.
+
+    disclosure = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), all counted in whole rows: 1 if the
+    term occurs nowhere but beside the entity.
+    As n(e,t) is n(e) at most, a term with n(t) > n(e)^least N^(1 - least) cannot reach ``least``;
+    such pairs are left out where they would arise, as far as the counts are among the
+    largest ones, which are broadcast. So common terms do not meet every entity.
     """
-    n_rows = found.agg(F.count(F.lit(1)).alias("n_rows"))
-    entities = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-    n_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= min_docs)
-    together = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    together = together.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_docs)
-    pairs, _ = materialize(together)
-    terms, seen = materialize(pairs.select("term").distinct())
-    stripped = F.transform(F.split(F.lower(text_col), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES)))
-    words = docs.select(F.explode(F.array_distinct(stripped)).alias("term"))
-    if seen["rows"] <= BROADCAST_TERMS:
-        n_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    else:
-        n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
-    told = pairs.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(n_rows))
-    # A term is counted near an entity only where it occurs, so n_term is the larger; lower() of two engines may differ on rare letters.
-    n_term_safe = F.greatest("n_term", "n_both")
-    info = F.log(F.col("n_rows") / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * F.col("n_rows") / (F.col("n_entity") * n_term_safe))
-    return told.select("entity", "term", F.when(info > 0, mutual / info).otherwise(0.0).alias("disclosure"))
+
+    def keys(text: str) -> Iterator[tuple[str, str]]:
+        spans = base_spans(text)
+        yield "rows", ""
+        yield from (("term", t) for t in distinct_terms(text, spans))
+        yield from (("entity", e) for e in {entity_key(k, v) for k, _, _, v in spans})
+
+    counted, _ = materialize(_counted(docs, text_col, keys, pa.schema([("of", pa.string()), ("key", pa.string()), ("n", pa.int64())])))
+    head = counted.filter(F.col("of") == "rows").first()
+    n_rows = head.n if head else 0
+    n_term, n_entity = (counted.filter(F.col("of") == of).select("key", "n") for of in ("term", "entity"))
+    known = docs.sparkSession.sparkContext.broadcast((_often(n_term, BROADCAST_TERMS), _often(n_entity, BROADCAST_TERMS)))
+
+    def pairs(text: str) -> Iterator[tuple[str, str]]:
+        spans = base_spans(text)
+        if spans:
+            (terms, _), (entities, rest) = known.value
+            counts = [(t, terms.get(t, 0)) for t in distinct_terms(text, spans)]
+            for e in {entity_key(k, v) for k, _, _, v in spans}:
+                most = 1.000001 * entities.get(e, rest) ** least * n_rows ** (1 - least)
+                yield from ((e, t) for t, n in counts if n <= most)
+
+    together = _counted(docs, text_col, pairs, pa.schema([("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
+    told = together.filter(F.col("n") >= min_docs).withColumnRenamed("n", "n_both")
+    told = told.join(n_entity.toDF("entity", "n_entity"), "entity").join(n_term.toDF("term", "n_term"), "term")
+    info = F.log(F.lit(float(n_rows)) / F.col("n_entity"))
+    mutual = F.log(F.col("n_both") * F.lit(float(n_rows)) / (F.col("n_entity") * F.col("n_term")))
+    share = F.when(info > 0, mutual / info).otherwise(0.0)
+    return told.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= least)
 
 
 def sanitisation_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = 12,
     min_docs: int = 2,
     generalise_at: float = 0.6,
     remove_at: float = 0.9,
@@ -167,20 +189,60 @@ def sanitisation_spans(
     """(id, spans, terms) for every row of ``docs``.
 
     ``spans`` are the entities (kind, start, end, value); ``terms`` are further spans of kind
-    ``generalise`` or ``remove``, for words near an entity that disclose at least that share
-    of it. A null text counts as empty, repeated rows each have their own spans, other columns
-    play no part.
+    ``generalise`` or ``remove``, for all words of the corpus that disclose at least that share
+    of any entity. A null text counts as empty, repeated rows each have their own spans, other
+    columns play no part. Telling terms are broadcast while they are few, else joined.
     """
-    found = find_entities(docs, id_col, text_col, window)
-    told = disclosures(docs, found, text_col, min_docs).filter(F.col("disclosure") >= generalise_at)
-    near = found.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    marked = near.join(told, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= remove_at, "remove").otherwise("generalise")
-    per_row = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind.alias("kind"), F.col("term").alias("value")))).alias("t"))
+    kind = F.when(F.max("disclosure") >= remove_at, "remove").otherwise("generalise")
+    told, seen = materialize(disclosures(docs, text_col, min_docs, generalise_at).groupBy("term").agg(kind.alias("kind")))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    sc = docs.sparkSession.sparkContext
+    few = seen["rows"] <= BROADCAST_TERMS
+    if few:
+        table = told.toArrow()
+        marks = sc.broadcast(dict(zip(table["term"].to_pylist(), table["kind"].to_pylist(), strict=True)))
+    else:
+        marks = sc.broadcast(_bits(told, seen["rows"]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = marks.value
+        for batch in batches:
+            spans, terms = [], []
+            for text in batch.column(1).to_pylist():
+                found = base_spans(text) if text else []
+                spans.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in found])
+                places = terms_of(text or "", found)
+                if few:
+                    terms.append([{"kind": known[t], "start": s, "end": e, "value": t} for t, s, e in places if t in known])
+                else:
+                    terms.append([{"term": t, "start": s, "end": e} for t, s, e in places if _in_bits(known, t)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, ARROW_SPANS), pa.array(terms, ARROW_SPANS if few else ARROW_PLACES)], ["id", "spans", "terms"])
+
+    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("terms", T.ArrayType(SPAN if few else PLACE))])
+    found = rows.mapInArrow(scan, out)
+    if few:
+        return found.select(F.col("id").alias(id_col), "spans", "terms")
+    found, _ = materialize(found.select(F.monotonically_increasing_id().alias("row"), "id", "spans", "terms"))
+    marked = found.select("row", F.explode("terms").alias("t")).select("row", "t.*").join(told, "term")
+    per_row = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", F.col("term").alias("value")))).alias("t"))
     terms = F.transform(F.coalesce("t", F.array()), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     return found.select("row", "id", "spans").join(per_row, "row", "left").select(F.col("id").alias(id_col), "spans", terms.alias("terms"))
 
 
+def _bits(told: DataFrame, n: int) -> np.ndarray:
+    """One bit for the hash of each term, in 64 times as many bits, 32 MB at most: leaves out nearly all other terms before the join."""
+    size = 1 << min(28, max(10, (64 * n).bit_length()))
+    bits = np.zeros(size // 8, np.uint8)
+    at = told.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(size)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _in_bits(bits: np.ndarray, term: str) -> bool:
+    at = zlib.crc32(term.encode("utf-8", "replace")) & (8 * len(bits) - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
 
 

@@ -67,6 +67,18 @@ def test_terms_that_reveal_an_entity_are_found_and_cut(spark):
     assert sanitisation_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_telling_terms_are_marked_wherever_they_stand(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    far = " ".join(["filler"] * 40)
+    rows = [(i, f"Zacharias {far} ann@x.org") for i in range(6)] + [(10, f"{far} said (Zacharias) again zacharias")]
+    rows += [(20 + i, f"{far} said again") for i in range(60)]
+    by = {r.doc_id: r for r in sanitisation_spans(table(spark, rows)).collect()}
+    for i, text in rows[:7]:
+        assert [(t.start, t.end) for t in by[i].terms if t.value == "zacharias"] == [m.span() for m in re.finditer("(?i)zacharias", text)]
+    assert all(t.value == "zacharias" for r in by.values() for t in r.terms) and not by[20].terms
+
+
 def test_many_candidate_terms_are_joined_with_the_same_result(spark, monkeypatch):
     docs = table(spark, [(i, f"alpha ann@x.org beta {i % 2}") for i in range(4)] + [(9, "beta only")])
     few = sanitisation_spans(docs).orderBy("doc_id").collect()
