@@ -41,6 +41,7 @@ ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 ARROW_PLACES = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 BROADCAST_TERMS = 200_000
 FLUSH = 200_000
+DOUBT = 0.22  # a pair seen in n rows counts as n / (n + DOUBT) of its disclosure
 
 
 def luhn(digits: str) -> bool:
@@ -138,11 +139,12 @@ def _often(counted: DataFrame, most: int) -> tuple[dict[str, int], int]:
     return dict(zip(table["key"].to_pylist(), table["n"].to_pylist(), strict=True)), rest
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", min_docs: int = 2, least: float = 0.0) -> DataFrame:
+def disclosures(docs: DataFrame, text_col: str = "text", min_docs: int = 1, least: float = 0.0) -> DataFrame:
     """(entity, term, disclosure) of terms that share at least ``min_docs`` rows with an entity, from ``least`` on.
 
     disclosure = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), all counted in whole rows: 1 if the
-    term occurs nowhere but beside the entity.
+    term occurs nowhere but beside the entity. Few rows are weak evidence: the value is
+    multiplied by n(e,t) / (n(e,t) + DOUBT), so a pair seen once reaches 0.82, one seen twice 0.9.
     As n(e,t) is n(e) at most, a term with n(t) > n(e)^least N^(1 - least) cannot reach ``least``;
     such pairs are left out where they would arise, as far as the counts are among the
     largest ones, which are broadcast. So common terms do not meet every entity.
@@ -174,7 +176,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", min_docs: int = 2, leas
     told = told.join(n_entity.toDF("entity", "n_entity"), "entity").join(n_term.toDF("term", "n_term"), "term")
     info = F.log(F.lit(float(n_rows)) / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * F.lit(float(n_rows)) / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(info > 0, mutual / info).otherwise(0.0)
+    share = F.when(info > 0, mutual / info).otherwise(0.0) * F.col("n_both") / (F.col("n_both") + F.lit(DOUBT))
     return told.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= least)
 
 
@@ -182,7 +184,7 @@ def sanitisation_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_docs: int = 2,
+    min_docs: int = 1,
     generalise_at: float = 0.6,
     remove_at: float = 0.9,
 ) -> DataFrame:
@@ -212,7 +214,9 @@ def sanitisation_spans(
                 found = base_spans(text) if text else []
                 spans.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in found])
                 places = terms_of(text or "", found)
-                if few:
+                if few and not found and known.keys().isdisjoint(distinct_terms(text or "", found)):
+                    terms.append([])
+                elif few:
                     terms.append([{"kind": known[t], "start": s, "end": e, "value": t} for t, s, e in places if t in known])
                 else:
                     terms.append([{"term": t, "start": s, "end": e} for t, s, e in places if _in_bits(known, t)])

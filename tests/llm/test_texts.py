@@ -79,6 +79,13 @@ def test_telling_terms_are_marked_wherever_they_stand(spark, monkeypatch, most):
     assert all(t.value == "zacharias" for r in by.values() for t in r.terms) and not by[20].terms
 
 
+def test_entities_of_a_single_document_are_sanitised_too(spark):
+    rows = [(1, "Zacharias said hello to all, zach@x.org"), (2, "hello to Quirinus and all q@y.org"), (3, "Quirinus said q@y.org")]
+    rows += [(10 + i, "hello to all and said") for i in range(200)]
+    by = {r.doc_id: [(t.kind, t.value) for t in r.terms] for r in sanitisation_spans(table(spark, rows)).collect()}
+    assert by[1] == [("generalise", "zacharias")] and by[2] == by[3] == [("remove", "quirinus")] and by[10] == []
+
+
 def test_many_candidate_terms_are_joined_with_the_same_result(spark, monkeypatch):
     docs = table(spark, [(i, f"alpha ann@x.org beta {i % 2}") for i in range(4)] + [(9, "beta only")])
     few = sanitisation_spans(docs).orderBy("doc_id").collect()
