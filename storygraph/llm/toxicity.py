@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,15 +162,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int =
     return Logistic(mean, scale, b)
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, folds: int, sample: int) -> DataFrame:
-    """(id, label, order): up to ``sample`` rows of each class in the order of a hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, sample: int) -> DataFrame:
+    """(id, label, order, digest): up to ``sample`` different texts of each class in the order of a hash; copies count once."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label"))
     known = known.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id"), folds) != 0))
     known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label")).withColumn("order", digest_number(F.lit("toxic"), F.col("id")))
-    picked = [known.filter(F.col("label") == c).orderBy("order", "id").limit(sample) for c in (0, 1)]
+    # Only ids and digests meet the labels, no texts.
+    texts = docs.select(docs[id_col].alias("id"), _digest(docs[text_col]).alias("digest")).join(known, "id")
+    texts = texts.groupBy("label", "digest").agg(F.min(F.struct("order", "id")).alias("one")).select("one.id", "label", "one.order", "digest")
+    picked = [texts.filter(F.col("label") == c).orderBy("order", "id", "digest").limit(sample) for c in (0, 1)]
     return picked[0].unionByName(picked[1])
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _measured(rows: DataFrame, ratios: list[Ratios], logistic: Logistic | None = None, probabilities: bool = True) -> DataFrame:
     """``rows`` with their last column, the text, replaced by ``score``, or by the features ``x``.
 
@@ -199,12 +206,12 @@ def _measured(rows: DataFrame, ratios: list[Ratios], logistic: Logistic | None =
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, sample: int) -> tuple[Ratios, Logistic | None]:
     """The two models, from a sample of bounded size; grams are counted where the documents are."""
-    picked = labelled_sample(labels, id_col, label_col, folds, sample)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id")
-    # Copies are no further evidence: of texts with the same smallest shingle one stands for all.
-    texts = texts.withColumn("key", F.coalesce(F.array_min(shingle_hashes(F.col("text"))), F.lit(0)))
-    texts = texts.groupBy("label", "key").agg(F.min(F.struct("order", "id", "text")).alias("one"))
-    texts, _ = materialize(texts.select("one.id", "label", F.pmod("key", F.lit(PARTS)).cast("int").alias("part"), "one.text"))
+    picked, _ = materialize(labelled_sample(docs, labels, id_col, text_col, label_col, folds, sample))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("digest", _digest(F.col("text"))).join(F.broadcast(picked), ["id", "digest"])
+    texts = texts.groupBy("label", "digest").agg(F.min(F.struct("order", "id", "text")).alias("one"))
+    # Texts with the same smallest shingle are measured by models that saw none of them.
+    key = F.coalesce(F.array_min(shingle_hashes(F.col("one.text"))), F.lit(0))
+    texts, _ = materialize(texts.select("one.id", "label", F.pmod(key, F.lit(PARTS)).cast("int").alias("part"), "one.text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
@@ -250,8 +257,8 @@ def toxicity_scores(
 ) -> DataFrame:
     """(id, held_out, score, predicted) for every row of ``docs``.
 
-    Learns from labelled rows whose fold is not 0, up to ``sample`` of each class by a hash of
-    their id; all else covers all rows and whole texts. Null labels and null ids teach nothing.
+    Learns from labelled rows whose fold is not 0, up to ``sample`` different texts of each class by
+    a hash of their id; all else covers all rows and whole texts. Null labels and null ids teach nothing.
     ``score`` is the probability of label 1, also for null and empty texts; without a row
     of either class it is 0. Repeated rows score alike. Columns besides id and text are no
     input; an empty table gives an empty result.

@@ -233,3 +233,13 @@ def test_query_matches_sql(spark, name):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+
+
+def test_copies_take_no_places_of_the_toxicity_sample(spark):
+    from storygraph.llm.toxicity import labelled_sample
+
+    rows = [(i, "one text in many copies" if i < 300 else f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, toxic int")
+    picked = labelled_sample(docs, labels, "doc_id", "text", "toxic", 5, 50).collect()
+    assert len(picked) == 50 == len({r.digest for r in picked})
