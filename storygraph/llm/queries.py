@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,14 @@ from storygraph.llm.quality import quality_scores
 from storygraph.llm.secret_scan import KINDS as SECRET_KINDS
 from storygraph.llm.secret_scan import scan_secrets
 from storygraph.llm.sharding import assign_shards, number_slots
+from storygraph.llm.token_files import read_token_files, write_token_files
 from storygraph.llm.toxicity import toxicity_scores
 from storygraph.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 SHARDS = 24
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -147,3 +150,9 @@ def op10_mixing(spark, sf_dir):
         "mix.target",
         (F.col("mix.size") * F.col("mix.copies")).alias("taken"),
     )
+
+
+@query("op13_token_files")
+def op13_token_files(spark, sf_dir):
+    path = write_token_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
