@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from storygraph.llm.columns import word_count
 from storygraph.llm.decontaminate import leaks
 from storygraph.llm.exact_dedup import exact_duplicates
+from storygraph.llm.hard_negatives import hard_negatives
 from storygraph.llm.lm_score import lm_scores
 from storygraph.llm.mixing import with_copies
 from storygraph.llm.near_dedup import near_duplicates
@@ -156,3 +157,10 @@ def op10_mixing(spark, sf_dir):
 def op13_token_files(spark, sf_dir):
     path = write_token_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_hard_negatives")
+def op12_hard_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
