@@ -91,3 +91,30 @@ negatives AS (
     AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
 """
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _terms(table: str) -> str:
+    lowered = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+    return rf"SELECT *, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM {table}"
+
+
+ORACLE["op11_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, terms, len(terms) AS n FROM ({_terms("documents")})),
+totals AS (SELECT count_if(n > 0)::BIGINT AS nd, sum(n)::BIGINT AS l FROM docs),
+asked AS (SELECT DISTINCT item_id, text, unnest(terms) AS term FROM ({_terms("benchmark")})),
+tfs AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term),
+impacts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l))) AS impact
+  FROM tfs JOIN docs USING (r) JOIN weights USING (term), totals),
+scored AS (
+  SELECT item_id, text, doc_id, r, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""

@@ -12,6 +12,7 @@ from storygraph.llm.columns import word_count
 from storygraph.llm.decontaminate import leaks
 from storygraph.llm.exact_dedup import exact_duplicates
 from storygraph.llm.hard_negatives import hard_negatives
+from storygraph.llm.lexical_search import ranked_search
 from storygraph.llm.lm_score import lm_scores
 from storygraph.llm.mixing import with_copies
 from storygraph.llm.near_dedup import near_duplicates
@@ -164,3 +165,8 @@ def op12_hard_negatives(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_lexical_search")
+def op11_lexical_search(spark, sf_dir):
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
