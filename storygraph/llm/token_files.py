@@ -17,6 +17,8 @@ import json
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,6 +45,11 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LATIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
+# The characters that spell the 256 bytes in such a vocabulary; printable ones of
+# Latin-1 stand for themselves, the others in turn for those from 256 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLED = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
 
 def separable(config: str) -> bool:
     """Whether ids of a text are those of its pieces: byte-level, without normaliser, prefix blank or added tokens that take blanks."""
@@ -50,7 +57,8 @@ def separable(config: str) -> bool:
     pre = conf.get("pre_tokenizer") or {}
     plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in conf.get("added_tokens") or [])
     alone = conf.get("normalizer") is None and conf.get("truncation") is None and not (conf.get("model") or {}).get("dropout")
-    return alone and plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    bpe = (conf.get("model") or {}).get("type") == "BPE" and not (conf.get("model") or {}).get("ignore_merges")
+    return alone and plain and bpe and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
 
 class Encoder:
@@ -70,26 +78,42 @@ class Encoder:
         self.added = [t["content"] for t in json.loads(config).get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return _numbers(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer: bytes spelled as the vocabulary spells them, then merged."""
+        spelled = piece.encode().decode("latin-1").translate(SPELLED)
+        return _numbers([t.id for t in self.tokenizer.model.tokenize(spelled)])
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> tuple[list[str], bool]:
+        """Pieces that can be encoded apart, and whether they are those of the pre-tokenizer."""
         if not self.separable or any(t in text for t in self.added):
-            return [text]
-        return PIECE.findall(text) if LATIN.fullmatch(text) else CUT.split(text)
+            return [text], False
+        return (PIECE.findall(text), True) if LATIN.fullmatch(text) else (CUT.split(text), False)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         known = self.known
-        cut = [self._pieces(t) for t in texts]
-        new = list(set().union(*cut) - known.keys())
-        known.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
-            if len(piece) > LONG:
-                del known[piece]
-        if len(known) > HELD:
-            known.clear()
-        return out
+        pieces, final = self._pieces(text)
+        if not self.separable or len(pieces) == 1 and not final:
+            return self._whole(text)
+        found = list(map(known.get, pieces))
+        if None in found:
+            make = self._merged if final else self._whole
+            for i, body in enumerate(found):
+                if body is None:
+                    piece = pieces[i]
+                    # It may have come up earlier in this text.
+                    found[i] = known.get(piece) or make(piece)
+                    if len(piece) <= LONG:
+                        known[piece] = found[i]
+            if len(known) > HELD:
+                known.clear()
+        return b"".join(found)
+
+
+def _numbers(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -151,15 +175,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
         held: list[tuple[int | None, bytes]] = []
         size = 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                for name, body in zip(ids[at : at + 256], encoder.encode(texts), strict=True):
-                    held.append((name, body + stop))
-                    size += len(body) // 4 + 1
-                    if size >= file_ids:
-                        yield _image(held, task, number)
-                        held, size, number = [], 0, number + 1
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                body = encoder.encode(text.as_py())
+                held.append((name.as_py(), body + stop))
+                size += len(body) // 4 + 1
+                if size >= file_ids:
+                    yield _image(held, task, number)
+                    held, size, number = [], 0, number + 1
         if held:
             yield _image(held, task, number)
 

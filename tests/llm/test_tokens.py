@@ -48,7 +48,7 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     draw = random.Random(3)
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(5000)]
     encoder, whole = Encoder(open(PATH).read()), Tokenizer.from_file(PATH)
-    got = [b for at in range(0, len(texts), 64) for b in encoder.encode(texts[at : at + 64])]
+    got = [encoder.encode(t) for t in texts]
     want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert got == want
 
