@@ -1,23 +1,29 @@
-"""Exact all-against-all work on vectors, cut into a grid of block pairs.
-
-Every row gets a block by hash of its key, so blocks are even whatever the data
-looks like. A row is sent once to each block pair it takes part in, and one task
-holds just two blocks. What a task returns is up to the caller: matching pairs,
-per-row counts, or a spanning forest (at most one edge per row), so a dense
-neighbourhood does not turn into all of its pairs.
+"""Exact all-against-all work on vectors, cut into pairs of blocks.
+
+Up to ``index_rows`` rows a row's block is a hash of its key, so blocks are even whatever the
+data looks like, and every pair of blocks is a task. Beyond, blocks are neighbourhoods of
+pivots, and a pair of them is a task only if the triangle inequality leaves a match possible.
+A task holds just two blocks. Rows marked as known need not meet each other: what links them
+is on record, so only pairs of blocks with a new row are tasks. What a task returns is up to
+the caller: matching pairs, per-row counts, or a spanning forest (at most one edge per row),
+so a dense neighbourhood does not turn into all of its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storygraph.operators.vector_blocks import to_matrix
+from storygraph.operators.metric_index import MetricIndex, build_metric_index
+from storygraph.operators.vector_blocks import Segments, to_matrix
+
+Kernel = Callable[[pa.Table, pa.Table, bool, Segments], Iterator[pa.RecordBatch]]
 
 
 def block_count(rows: int, block_rows: int, parallelism: int) -> int:
@@ -31,42 +37,101 @@ def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def self_grid(rows: DataFrame, key: str, blocks: int, kernel: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``kernel(left, right, same)`` on each unordered pair of blocks of ``rows``."""
-    placed = rows.withColumn("_block", block_of(F.col(key), blocks))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = placed.withColumn("_other", other).select(
-        "*",
-        F.least("_block", "_other").alias("_bi"),
-        F.greatest("_block", "_other").alias("_bj"),
+@dataclass
+class Blocks:
+    """Rows with their block, and which blocks meet.
+
+    ``rows`` carry ``_block`` and, with an index, ``_pivot``. Blocks from ``total`` on repeat the
+    first ``total`` ones for the rows that are known.
+    """
+
+    rows: DataFrame
+    total: int
+    known: str | None = None
+    index: MetricIndex | None = None
+    reach: np.ndarray | None = None
+
+    def spread(self) -> DataFrame:
+        """Each row once for every task it takes part in: (_block, _bi, _bj)."""
+        fresh = F.lit(True) if self.known is None else ~F.col(self.known)
+        placed = self.rows.withColumn("_block", F.when(fresh, F.col("_block")).otherwise(F.col("_block") + self.total))
+        if self.index is None:
+            others = F.sequence(F.lit(0), F.lit(self.total - 1))
+            met = placed.withColumn("_other", F.explode(others))
+        else:
+            met = placed.join(F.broadcast(self._partners()), "_bin").withColumn("_other", F.explode(F.sequence("_first", F.col("_first") + F.col("_parts") - 1)))
+            met = met.drop("_bin", "_first", "_parts")
+        if self.known is not None:
+            # Known rows meet new ones only; new rows meet both.
+            sides = F.when(fresh, F.array(F.lit(0), F.lit(self.total))).otherwise(F.array(F.lit(0)))
+            met = met.withColumn("_side", F.explode(sides)).withColumn("_other", F.col("_other") + F.col("_side")).drop("_side")
+        return met.select("*", F.least("_block", "_other").alias("_bi"), F.greatest("_block", "_other").alias("_bj")).drop("_other")
+
+    def _partners(self) -> DataFrame:
+        """(_bin, _first, _parts): the blocks of the bins within reach of a bin. One row per pair of bins, 1024 by 1024 at most."""
+        first = self.index.first_blocks()
+        pairs = self.index.bin_pairs(self.reach)
+        rows = pa.table(
+            {
+                "_bin": pa.array([i for i, _ in pairs], pa.int32()),
+                "_first": pa.array([int(first[j]) for _, j in pairs], pa.int32()),
+                "_parts": pa.array([int(self.index.parts[j]) for _, j in pairs], pa.int32()),
+            }
+        )
+        return self.rows.sparkSession.createDataFrame(rows)
+
+    def tasks(self) -> int:
+        n = self.total * (2 if self.known else 1)
+        return n * (n + 1) // 2
+
+
+def make_blocks(rows: DataFrame, key: str, n: int, block_rows: int, index_rows: int, angle: float, blocks: int | None = None, known: str | None = None) -> Blocks:
+    """Blocks of ``n`` rows (with ``vec``) for a join within ``angle``; ``blocks`` asks for so many by hash."""
+    if blocks or n <= index_rows:
+        total = blocks or block_count(n, block_rows, rows.sparkSession.sparkContext.defaultParallelism)
+        return Blocks(rows.withColumn("_block", block_of(F.col(key), total)), total, known)
+    placed, index = build_metric_index(rows, key, n, block_rows)
+    return Blocks(with_blocks(placed, key, index), index.blocks, known, index, index.reach(angle))
+
+
+def with_blocks(placed: DataFrame, key: str, index: MetricIndex) -> DataFrame:
+    """Rows that know their ``_pivot`` with the ``_bin`` of that pivot and their ``_block`` in it."""
+    first = index.first_blocks()
+    bins = pa.table(
+        {
+            "_pivot": pa.array(range(len(index.bins)), pa.int32()),
+            "_bin": pa.array(index.bins, pa.int32()),
+            "_begin": pa.array(first[index.bins], pa.int32()),
+            "_cut": pa.array(index.parts[index.bins], pa.int32()),
+        }
     )
-    tasks = blocks * (blocks + 1) // 2
+    named = placed.join(F.broadcast(placed.sparkSession.createDataFrame(bins)), "_pivot")
+    part = F.pmod(F.xxhash64(key), F.col("_cut")).cast("int")
+    return named.withColumn("_block", F.col("_begin") + part).drop("_begin", "_cut")
+
+
+def self_grid(blocks: Blocks, kernel: Kernel, schema: str) -> DataFrame:
+    """Run ``kernel(left, right, same, segments)`` on each pair of blocks that meet."""
+    reach = None if blocks.reach is None else blocks.rows.sparkSession.sparkContext.broadcast(blocks.reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
+        if reach is not None:
+            table = table.sort_by("_pivot")
         block = table["_block"].to_numpy()
         bi, bj = table["_bi"][0].as_py(), table["_bj"][0].as_py()
         same = bi == bj
         left = table if same else table.filter(pa.array(block == bi))
         right = table if same else table.filter(pa.array(block == bj))
-        yield from kernel(left, right, same)
-
-    placed_pairs = spread.repartition(_width(rows, tasks), "_bi", "_bj").drop("_other")
-    return placed_pairs.groupBy("_bi", "_bj").applyInArrow(run, schema)
-
-
-def cross_grid(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_blocks: int, right_blocks: int, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Run ``kernel(left, right)`` on each pair of a left block and a right block."""
-    l = left.withColumn("_bi", block_of(F.col(left_key), left_blocks)).withColumn(
-        "_bj", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
-    )
-    r = right.withColumn("_bj", block_of(F.col(right_key), right_blocks)).withColumn(
-        "_bi", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
-    )
-    width = _width(left, left_blocks * right_blocks)
-    l = l.repartition(width, "_bi", "_bj").groupBy("_bi", "_bj")
-    r = r.repartition(width, "_bi", "_bj").groupBy("_bi", "_bj")
-    return l.cogroup(r).applyInArrow(kernel, schema)
+        if not (left.num_rows and right.num_rows):
+            return
+        segments = Segments(left.num_rows, right.num_rows)
+        if reach is not None:
+            segments = Segments(left.num_rows, right.num_rows, left["_pivot"].to_numpy(), right["_pivot"].to_numpy(), reach.value)
+        yield from kernel(left, right, same, segments)
+
+    dealt = blocks.spread().repartition(_width(blocks.rows, blocks.tasks()), "_bi", "_bj")
+    return dealt.groupBy("_bi", "_bj").applyInArrow(run, schema)
 
 
 def _width(df: DataFrame, tasks: int) -> int:

@@ -1,55 +1,85 @@
-"""Connected components of an edge table: alternating large-star and small-star steps
-(Kiveris et al., Connected Components in MapReduce and Beyond, 2014), finished by pointer
-jumping once every node has a single parent."""
+"""Connected components of an edge table: every edge partition shrinks to a forest before
+anything is shuffled, then alternating large-star and small-star steps (Kiveris et al.,
+Connected Components in MapReduce and Beyond, 2014) join the forests."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storygraph.operators.vector_blocks import Forest
 from storygraph.session import materialize
 
+CHUNK = 1 << 20  # edges contracted at a time, which bounds the memory of a task
+# Forests of at most so many edges, counted while written, are joined by one last pass of the same kind.
+LAST = 500_000
+
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100, last: int = LAST) -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
-    Nodes without an edge do not appear. A step takes the minimum per node as a
-    combining aggregate and joins it back, so the star around a hot centre is
-    never one group in one task; every step is written out, which cuts the lineage and
-    keeps its two readers from computing it twice.
+    Nodes without an edge do not appear. Each partition of edges is first replaced by its
+    spanning stars, at most one edge per node. A step takes the minimum per node as a
+    combining aggregate and joins it back, so the star around a hot centre is never one group
+    in one task; steps are written out, which cuts the lineage, and the end is seen from a
+    digest of the edges taken while they are written.
     """
-    current = _written(_clean(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    current, seen = _written(contracted(pairs))
     for _ in range(max_rounds):
-        parents, deep = _shape(current)
-        if parents <= 1 and not deep:
+        if seen["rows"] <= last:
+            # Forests of a proven size: one task sees them all, and its stars are the components.
+            current = contracted(current.coalesce(1), max(last, 1))
+            break
+        before = seen
+        stars, _ = _written(contracted(_large_star(current)))
+        current, seen = _written(contracted(_small_star(stars)).distinct())
+        if seen == before:
             break
-        current = _written(_jump(current) if parents <= 1 else _small_star(_written(_large_star(current))))
     else:
         raise RuntimeError(f"no stable components after {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _shape(edges: DataFrame) -> tuple[int, int]:
-    """Most smaller neighbours of any node, and whether one of those has a smaller neighbour itself.
+def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) of the same components: from each node of a chunk to the smallest one it reaches within the chunk."""
 
-    One and no: each component is a star around its smallest node.
-    """
-    up = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    down = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-    ends = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    row = ends.agg(F.max("up").alias("up"), F.max(F.least("up", "down")).alias("deep")).first()
-    return row.up or 0, row.deep or 0
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    schema = edges.schema
+    return edges.filter("u <> v").mapInArrow(shrink, schema)
 
 
-def _jump(edges: DataFrame) -> DataFrame:
-    """In a forest of parent links, link each node to its parent's parent."""
-    parent = edges.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    return edges.join(parent, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+def stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    u, v = (pa.concat_arrays([b.column(i) for b in batches]) for i in (0, 1))
+    names = pa.concat_arrays([u, v]).unique()
+    names = names.take(pc.array_sort_indices(names))
+    i, j = (pc.index_in(c, value_set=names).to_numpy().astype(np.int64) for c in (u, v))
+    forest = Forest(len(names))
+    forest.add(i, j)
+    child = np.flatnonzero(forest.root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(child)), names.take(pa.array(forest.root[child]))], ["u", "v"])
 
 
-def _written(edges: DataFrame) -> DataFrame:
-    return materialize(edges)[0]
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    digest = F.xxhash64("u", "v")
+    return materialize(edges, a=F.bit_xor(digest), b=F.bit_xor(F.xxhash64(digest, "v")))
 
 
 def _clean(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Similarity self-join and density clustering on cosine distance."""
+"""Similarity self-join and density clustering on cosine distance, in one go or as rows come in."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.vectors import usable
-from storygraph.operators.block_join import block_count, matrix_of, self_grid
+from storygraph.operators.block_join import Blocks, make_blocks, matrix_of, self_grid
 from storygraph.operators.components import connected_components
-from storygraph.operators.vector_blocks import Forest, exact_dots, similar_tiles
+from storygraph.operators.vector_blocks import Forest, Segments, exact_dots, similar_tiles
 from storygraph.params import Params
 from storygraph.session import materialize
 
@@ -20,29 +22,30 @@ from storygraph.session import materialize
 ROUNDING = 1e-12
 
 
-def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, int]:
+def distinct_vectors(df: DataFrame, id_col: str, vec_col: str, known: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Collapse equal vectors: (nodes, rows, number of nodes).
 
     ``nodes`` (vec_key, node, copies, vec) holds one row per different vector,
     named by its smallest id; ``rows`` (id, vec_key) leads back to the input.
     Vectors without direction are left out. A group of copies, however large, is
-    a combining aggregate here and a single row in the quadratic part.
+    a combining aggregate here and a single row in the quadratic part. With ``known`` a
+    node has a column of that name, true if all of its rows are known.
     """
-    rows = df.filter(usable(F.col(vec_col))).select(
-        F.col(id_col).alias("id"),
-        F.col(vec_col).cast("array<float>").alias("vec"),
-    )
+    kept = [] if known is None else [F.col(known)]
+    rows = df.filter(usable(F.col(vec_col))).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), *kept)
     # Two 64-bit hashes under different seeds, cheaper to shuffle and compare than the vector.
     key = F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))
-    rows = rows.select("id", key.cast("struct<a:bigint,b:bigint>").alias("vec_key"), "vec")
+    rows = rows.withColumn("vec_key", key.cast("struct<a:bigint,b:bigint>"))
+    every = [] if known is None else [F.min(known).alias(known)]
     nodes, seen = materialize(
-        rows.groupBy("vec_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+        rows.groupBy("vec_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), *every)
     )
-    return nodes, rows.drop("vec"), seen["rows"]
+    return nodes, rows.select("id", "vec_key"), seen["rows"]
 
 
-def _blocks(df: DataFrame, rows: int, params: Params, blocks: int | None) -> int:
-    return blocks or block_count(rows, params.block_rows, df.sparkSession.sparkContext.defaultParallelism)
+def _blocks(nodes: DataFrame, n: int, eps: float, params: Params, blocks: int | None, known: str | None = None) -> Blocks:
+    angle = math.acos(max(-1.0, min(1.0, 1.0 - eps - ROUNDING)))
+    return make_blocks(nodes, "node", n, params.block_rows, params.index_rows, angle, blocks, known)
 
 
 def eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float, params: Params = Params(), blocks: int | None = None) -> DataFrame:
@@ -55,9 +58,9 @@ def eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float, params: Param
     id_type = nodes.schema["node"].dataType.simpleString()
     bar = 1.0 - eps - ROUNDING
 
-    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+    def kernel(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
         a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
-        for i, j in similar_tiles(a, b, bar, same):
+        for i, j in similar_tiles(a, b, bar, same, segments):
             yield pa.RecordBatch.from_arrays(
                 [
                     left["node"].take(pa.array(i)).combine_chunks(),
@@ -70,7 +73,7 @@ def eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float, params: Param
             )
 
     schema = f"a {id_type}, b {id_type}, a_copies bigint, b_copies bigint, similarity double"
-    pairs = self_grid(nodes.drop("vec_key"), "node", _blocks(df, n, params, blocks), kernel, schema)
+    pairs = self_grid(_blocks(nodes.drop("vec_key"), n, eps, params, blocks), kernel, schema)
     swap = F.col("a") > F.col("b")
     return pairs.select(
         F.least("a", "b").alias("left_id"),
@@ -97,32 +100,85 @@ def dbscan(
     eps-graph; otherwise one pass counts neighbours and a second one links.
     """
     nodes, rows, n = distinct_vectors(df, id_col, vec_col)
-    count = _blocks(df, n, params, blocks)
-    id_type = nodes.schema["node"].dataType.simpleString()
+    placed = _blocks(nodes, n, eps, params, blocks)
     bar = 1.0 - eps - ROUNDING
-    slim = nodes.drop("vec_key")
     if min_samples <= 2:
-        links = self_grid(slim.drop("copies"), "node", count, _forest_kernel(bar), f"src {id_type}, dst {id_type}")
-        parts = connected_components(links)
-        labelled = (
-            nodes.select("vec_key", "node", "copies")
-            .join(parts, "node", "left")
-            .withColumn("label", F.coalesce("component", F.when(F.col("copies") >= min_samples, F.col("node"))))
-        )
+        labelled = _by_components(nodes, placed, bar, min_samples)
     else:
-        labelled = _general(nodes, count, bar, min_samples, id_type)
+        labelled, _, _ = _general(nodes, placed, bar, min_samples)
+    return _labels(df, id_col, vec_col, rows, labelled)
+
+
+def _labels(df: DataFrame, id_col: str, vec_col: str, rows: DataFrame, labelled: DataFrame) -> DataFrame:
     clustered = labelled.filter("label is not null").select("vec_key", "label")
     found = rows.join(clustered, "vec_key", "left").select(F.col("id").alias(id_col), "label")
-    unusable = df.filter(~usable(F.col(vec_col))).select(id_col, F.lit(None).cast(id_type).alias("label"))
+    unusable = df.filter(~usable(F.col(vec_col))).select(id_col, F.lit(None).cast(labelled.schema["label"].dataType).alias("label"))
     return found.unionByName(unusable)
 
 
+@dataclass
+class Density:
+    """What an incremental clustering knows of the rows so far.
+
+    ``points``: id, vec, weight (rows within eps, itself included), core, label. ``links``: a, b,
+    the pairs of ids within eps of which at least one is no core point; as such a row has
+    fewer than min_samples neighbours, there are fewer than that many for each of them.
+    ``compared`` rows took part in the last search, ``fresh`` of them were new.
+    """
+
+    points: DataFrame
+    links: DataFrame
+    fresh: int = 0
+    compared: int = 0
+
+
+def empty_density(like: DataFrame, id_col: str) -> Density:
+    spark, kind = like.sparkSession, like.schema[id_col].dataType.simpleString()
+    points = spark.createDataFrame([], f"id {kind}, vec array<float>, weight bigint, core boolean, label {kind}")
+    return Density(points, spark.createDataFrame([], f"a {kind}, b {kind}"))
+
+
+def grow(state: Density, rows: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int, params: Params = Params(), blocks: int | None = None) -> Density:
+    """The state after more rows: the same labels as ``dbscan`` over all rows at once.
+
+    Only pairs with a new row are searched. A stored row's neighbours are on record as far as
+    they can matter: their number, and which they are while it is no core point. So a row that
+    new neighbours make a core point finds its old ones there, and stored clusters come in as
+    one edge per core point. Ids are unique and new; rows without direction are left out.
+    """
+    kind = state.points.schema["id"].dataType.simpleString()
+    kept = ["id", "vec", "weight", "core", "label"]
+    new = rows.filter(usable(F.col(vec_col))).select(F.col(id_col).cast(kind).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    new = new.withColumns({"weight": F.lit(0).cast("bigint"), "core": F.lit(False), "label": F.lit(None).cast(kind)})
+    both = state.points.select(*kept).withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False)))
+    points, seen = materialize(both.withColumn("node", F.col("id")), fresh=F.count_if(~F.col("known")))
+    known = "known" if seen["rows"] > seen["fresh"] else None
+    placed = _blocks(points.select("node", "vec", "known", F.lit(1).cast("bigint").alias("copies")), seen["rows"], eps, params, blocks, known)
+    labelled, links, found = _general(
+        points.withColumns({"copies": F.lit(1).cast("bigint"), "vec_key": F.col("node")}), placed, 1.0 - eps - ROUNDING, min_samples, state.links
+    )
+    out = labelled.select(F.col("node").alias("id"), "label").join(found.select(F.col("node").alias("id"), "vec", "weight", "core"), "id")
+    out, _ = materialize(out.select(*kept))
+    return Density(out, materialize(links)[0], seen["fresh"], seen["rows"])
+
+
+def _by_components(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int) -> DataFrame:
+    """(vec_key, node, copies, label) where every neighbour of a row is in its cluster."""
+    id_type = nodes.schema["node"].dataType.simpleString()
+    links = self_grid(placed, _forest_kernel(bar), f"src {id_type}, dst {id_type}")
+    return (
+        nodes.select("vec_key", "node", "copies")
+        .join(connected_components(links), "node", "left")
+        .withColumn("label", F.coalesce("component", F.when(F.col("copies") >= min_samples, F.col("node"))))
+    )
+
+
 def _forest_kernel(bar: float):
-    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+    def kernel(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
         a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
         shift = 0 if same else len(a)
         forest = Forest(len(a) + (0 if same else len(b)))
-        for i, j in similar_tiles(a, b, bar, same):
+        for i, j in similar_tiles(a, b, bar, same, segments):
             forest.add(i, j + shift)
         ids = left["node"] if same else pa.chunked_array(left["node"].chunks + right["node"].chunks)
         child = np.flatnonzero(forest.root != np.arange(len(forest.root)))
@@ -134,46 +190,56 @@ def _forest_kernel(bar: float):
     return kernel
 
 
-def _general(nodes: DataFrame, blocks: int, bar: float, min_samples: int, id_type: str) -> DataFrame:
-    """Core test, components of the core points, then border points."""
+def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Core test, components of the core points, then border points: (labelled, links, nodes with weight and core).
 
-    def neighbours(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+    With ``stored`` links the nodes come from a state: their ``weight``, ``core`` and ``label`` are
+    what it has of them, pairs of known rows are not searched, and ``links`` are all pairs
+    of which one row at least is no core point. Otherwise ``links`` are empty.
+    """
+    id_type = nodes.schema["node"].dataType.simpleString()
+
+    def neighbours(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
         a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
         wa, wb = left["copies"].to_numpy(), right["copies"].to_numpy()
         left_sum, right_sum = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        for i, j in similar_tiles(a, b, bar, same):
+        for i, j in similar_tiles(a, b, bar, same, segments):
             np.add.at(left_sum, i, wb[j])
             np.add.at(right_sum, j, wa[i])
         sides = [(left, left_sum + right_sum)] if same else [(left, left_sum), (right, right_sum)]
         for table, sums in sides:
             hit = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays(
-                [table["node"].take(pa.array(hit)).combine_chunks(), pa.array(sums[hit])], names=["node", "weight"]
+                [table["node"].take(pa.array(hit)).combine_chunks(), pa.array(sums[hit])], names=["node", "more"]
             )
 
-    slim = nodes.drop("vec_key")
-    degree = (
-        self_grid(slim, "node", blocks, neighbours, f"node {id_type}, weight bigint")
-        .groupBy("node")
-        .agg(F.sum("weight").alias("weight"))
-    )
-    flagged, _ = materialize(
-        nodes.join(degree, "node", "left")
-        .withColumn("core", F.col("copies") + F.coalesce("weight", F.lit(0)) >= min_samples)
-        .select("vec_key", "node", "vec", "core")
-    )
+    degree = self_grid(placed, neighbours, f"node {id_type}, more bigint").groupBy("node").agg(F.sum("more").alias("more"))
+    # A stored weight holds the row itself already.
+    own = F.col("copies") if stored is None else F.greatest("weight", "copies")
+    weighed = placed.rows.drop("copies", "vec_key").join(degree, "node", "left")
+    if stored is not None:
+        weighed = weighed.join(nodes.select("node", "weight", F.col("core").alias("was_core"), "label"), "node")
+    weighed = weighed.join(nodes.select("node", "vec_key", "copies"), "node")
+    weighed = weighed.withColumn("weight", own + F.coalesce("more", F.lit(0))).drop("more", "copies")
+    flagged, _ = materialize(weighed.withColumn("core", F.col("weight") >= min_samples))
+    incremental = stored is not None
 
-    def links(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+    def links(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
         a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
         shift = 0 if same else len(a)
         ids = left["node"] if same else pa.chunked_array(left["node"].chunks + right["node"].chunks)
         core = left["core"].to_numpy() if same else np.concatenate([left["core"].to_numpy(), right["core"].to_numpy()])
         forest = Forest(len(core))
         touching: set[tuple[int, int]] = set()
-        for i, j in similar_tiles(a, b, bar, same):
+        open_pairs: list[np.ndarray] = []
+        for i, j in similar_tiles(a, b, bar, same, segments):
             j = j + shift
             inner = core[i] & core[j]
             forest.add(i[inner], j[inner])
+            if incremental:
+                # Kept as they are: each row that is no core point has fewer than min_samples of them.
+                open_pairs.append(np.stack([i[~inner], j[~inner]], axis=1))
+                continue
             edge = core[i] != core[j]
             border = np.where(core[i[edge]], j[edge], i[edge])
             centre = np.where(core[i[edge]], i[edge], j[edge])
@@ -182,6 +248,7 @@ def _general(nodes: DataFrame, blocks: int, bar: float, min_samples: int, id_typ
             touching.update(map(tuple, seen.tolist()))
         child = np.flatnonzero(forest.root != np.arange(len(forest.root)))
         near = np.array(sorted({(p, int(forest.root[c])) for p, c in touching}), dtype=np.int64).reshape(-1, 2)
+        near = np.concatenate([near, *open_pairs])
         src = np.concatenate([child, near[:, 0]])
         dst = np.concatenate([forest.root[child], near[:, 1]])
         yield pa.RecordBatch.from_arrays(
@@ -190,21 +257,37 @@ def _general(nodes: DataFrame, blocks: int, bar: float, min_samples: int, id_typ
                 ids.take(pa.array(dst)).combine_chunks(),
                 pa.array(np.arange(len(src)) >= len(child)),
             ],
-            names=["src", "dst", "border"],
+            names=["src", "dst", "loose"],
         )
 
-    schema = f"src {id_type}, dst {id_type}, border boolean"
-    found, _ = materialize(self_grid(flagged.drop("vec_key"), "node", blocks, links, schema))
-    parts = connected_components(found.filter("not border"))
+    schema = f"src {id_type}, dst {id_type}, loose boolean"
+    slim = flagged.select("node", "vec", "core", *[c for c in ("known", "_block", "_bin", "_pivot") if c in flagged.columns])
+    again = Blocks(slim, placed.total, placed.known, placed.index, placed.reach)
+    found, _ = materialize(self_grid(again, links, schema))
+    inner, loose = found.filter("not loose").select("src", "dst"), found.filter("loose").select("src", "dst")
+    if incremental:
+        cores_only = flagged.select("node", "core")
+        both = loose.unionByName(stored.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        both = both.join(cores_only.select(F.col("node").alias("src"), F.col("core").alias("c")), "src")
+        both, _ = materialize(both.join(cores_only.select(F.col("node").alias("dst"), F.col("core").alias("d")), "dst"))
+        # Stored clusters: each of their cores, and the one that names them.
+        stars = flagged.filter("was_core").select(F.col("node").alias("src"), F.col("label").alias("dst"))
+        inner = inner.unionByName(stars).unionByName(both.filter("c and d").select("src", "dst"))
+        left_open = both.filter("not (c and d)").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        border = both.filter("c <> d").select(F.expr("if(c, dst, src)").alias("src"), F.expr("if(c, src, dst)").alias("dst"))
+    else:
+        left_open = loose.limit(0).toDF("a", "b")
+        border = loose
+    parts = connected_components(inner)
     cores = (
         flagged.filter("core")
         .join(parts, "node", "left")
         .select("node", F.coalesce("component", "node").alias("label"))
     )
     borders = (
-        found.filter("border")
-        .join(cores.withColumnRenamed("node", "dst"), "dst")
+        border.join(cores.withColumnRenamed("node", "dst"), "dst")
         .groupBy(F.col("src").alias("node"))
         .agg(F.min("label").alias("label"))
     )
-    return flagged.select("vec_key", "node").join(cores.unionByName(borders), "node", "left")
+    labelled = flagged.select("vec_key", "node").join(cores.unionByName(borders), "node", "left")
+    return labelled, left_open, flagged

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storygraph.functions.vectors import usable
-from storygraph.operators.block_join import block_count, cross_grid, matrix_of
+from storygraph.operators.block_join import block_of, matrix_of, with_blocks
+from storygraph.operators.metric_index import SLACK, MetricIndex, build_metric_index
 from storygraph.operators.vector_blocks import best_match, to_matrix
 from storygraph.params import Params
+from storygraph.session import materialize
 
 
 def nearest_join(
@@ -29,8 +32,9 @@ def nearest_join(
     ``clusters`` holds cluster_id, cluster_embedding, last_updated. Of equally
     similar clusters the one updated least recently wins, then the smallest id.
     Cluster vectors within ``params.broadcast_bytes`` are broadcast and the
-    articles stream past them without a shuffle; more than that are met block
-    by block. ``mode`` forces "broadcast" or "blocks".
+    articles stream past them without a shuffle; more than that are put into
+    neighbourhoods of pivots, met in the order of what they can hold at best and left out
+    once that is less than what an article has found. ``mode`` forces "broadcast" or "blocks".
     """
     base = articles.filter(usable(F.col(vec_col))).select(key, F.col(vec_col).cast("array<float>").alias("vec"))
     state = clusters.filter(usable(F.col("cluster_embedding"))).select(
@@ -87,29 +91,75 @@ def _against_broadcast(base: DataFrame, state: DataFrame, key: str) -> DataFrame
 
 
 def _against_blocks(base: DataFrame, state: DataFrame, key: str, n_clusters: int, params: Params) -> DataFrame:
-    parallelism = base.sparkSession.sparkContext.defaultParallelism
-    right_blocks = block_count(n_clusters, params.block_rows, 1)
-    left_blocks = block_count(base.count(), params.block_rows, parallelism)
-    key_type = base.schema[key].dataType.simpleString()
-    id_type = state.schema["cluster_id"].dataType.simpleString()
+    """Every article meets the neighbourhood of clusters that can be nearest, then those that can still beat what it found there."""
+    placed, index = build_metric_index(state, "cluster_id", n_clusters, params.block_rows)
+    clusters = with_blocks(placed, "cluster_id", index).select("cluster_id", "vec", "last_updated", "_block")
+    clusters, _ = materialize(clusters)
+    base, seen = materialize(base)
+    parts = max(1, math.ceil(seen["rows"] / params.block_rows))
+    first, _ = materialize(_best(_matched(_asked(base, key, index), clusters, key, parts), key))
+    rest = _matched(_asked(base.join(first.select(key, "similarity"), key), key, index), clusters, key, parts)
+    best = _best(first.unionByName(rest), key)
+    return best.select(key, "best_id", "similarity")
+
+
+def _asked(base: DataFrame, key: str, index: MetricIndex) -> DataFrame:
+    """(key, vec, _block): the blocks that each article has to meet.
+
+    Without ``similarity`` the bin that may hold the nearest cluster of all; with it, the best
+    found there, all other bins that may hold one as near.
+    """
+    shared = base.sparkSession.sparkContext.broadcast(index)
+    again = "similarity" in base.columns
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, cut = shared.value.first_blocks(), shared.value.parts
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            least = shared.value.bin_angles(to_matrix(batch.column("vec")))
+            nearest = least.argmin(axis=1)
+            if again:
+                found = np.arccos(np.clip(batch.column("similarity").to_numpy(), -1.0, 1.0))
+                open_bins = least <= found[:, None] + SLACK
+                open_bins[np.arange(len(nearest)), nearest] = False
+                row, which = np.nonzero(open_bins)
+            else:
+                row, which = np.arange(len(nearest)), nearest
+            block = np.repeat(begin[which], cut[which])
+            block = block + np.arange(len(block)) - np.repeat(np.cumsum(cut[which]) - cut[which], cut[which])
+            take = pa.array(np.repeat(row, cut[which]))
+            for at in range(0, len(take), 4096):
+                part = take.slice(at, 4096)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(part), batch.column("vec").take(part), pa.array(block[at : at + 4096].astype(np.int32))], names=[key, "vec", "_block"]
+                )
+
+    return base.mapInArrow(bins, T.StructType([base.schema[key], base.schema["vec"], T.StructField("_block", T.IntegerType())]))
+
+
+def _matched(asked: DataFrame, clusters: DataFrame, key: str, parts: int) -> DataFrame:
+    """(key, best_id, similarity, last_updated) of the best cluster in each block that an article meets."""
+    key_type = asked.schema[key].dataType.simpleString()
+    id_type = clusters.schema["cluster_id"].dataType.simpleString()
+    names = [key, "best_id", "similarity", "last_updated"]
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         right = _ordered(right)
-        names = ["key", "best_id", "similarity", "last_updated"]
         if left.num_rows == 0 or right.num_rows == 0:
             empty = [left[key], right["cluster_id"], pa.array([], pa.float64()), right["last_updated"]]
             return pa.Table.from_arrays([c.slice(0, 0) for c in empty], names=names)
         arg, best = best_match(matrix_of(left, "vec"), matrix_of(right, "vec"))
         take = pa.array(np.asarray(arg))
-        return pa.Table.from_arrays(
-            [left[key], right["cluster_id"].take(take), pa.array(best), right["last_updated"].take(take)], names=names
-        )
+        return pa.Table.from_arrays([left[key], right["cluster_id"].take(take), pa.array(best), right["last_updated"].take(take)], names=names)
 
-    schema = f"key {key_type}, best_id {id_type}, similarity double, last_updated bigint"
-    tops = cross_grid(base, state, key, "cluster_id", left_blocks, right_blocks, kernel, schema)
-    order = Window.partitionBy("key").orderBy(F.desc("similarity"), "last_updated", "best_id")
-    return (
-        tops.withColumn("rank", F.row_number().over(order))
-        .filter("rank = 1")
-        .select(F.col("key").alias(key), "best_id", "similarity")
-    )
+    # Articles are cut by hash, so a block that many of them are near to is met in several tasks.
+    left = asked.withColumn("_part", block_of(F.col(key), parts)).groupBy("_part", "_block")
+    right = clusters.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("_part", "_block")
+    return left.cogroup(right).applyInArrow(kernel, f"{key} {key_type}, best_id {id_type}, similarity double, last_updated bigint")
+
+
+def _best(found: DataFrame, key: str) -> DataFrame:
+    order = F.struct((-F.col("similarity")).alias("s"), "last_updated", "best_id")
+    best = found.groupBy(key).agg(F.min(order).alias("b"))
+    return best.select(key, "b.best_id", (-F.col("b.s")).alias("similarity"), "b.last_updated")

@@ -42,8 +42,29 @@ def exact_dots(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray
     return out
 
 
+class Segments:
+    """Rows of two blocks in runs of one pivot and at most ``TILE`` rows, and which runs can hold a match."""
+
+    def __init__(self, left: int, right: int, left_pivots: np.ndarray | None = None, right_pivots: np.ndarray | None = None, reach: np.ndarray | None = None):
+        self.left, self.right, self.reach = _runs(left, left_pivots), _runs(right, right_pivots), reach
+
+    def pairs(self, same: bool) -> Iterator[tuple[int, int, int, int]]:
+        for k, (a, b, p) in enumerate(self.left):
+            for c, d, q in self.right[k if same else 0 :]:
+                if self.reach is None or self.reach[p, q]:
+                    yield a, b, c, d
+
+
+def _runs(n: int, pivots: np.ndarray | None) -> list[tuple[int, int, int]]:
+    starts = [0] if pivots is None else np.flatnonzero(np.r_[True, pivots[1:] != pivots[:-1]]).tolist()
+    out = []
+    for a, b in zip(starts, [*starts[1:], n], strict=True):
+        out += [(s, min(s + TILE, b), 0 if pivots is None else int(pivots[a])) for s in range(a, b, TILE)]
+    return out
+
+
 def similar_tiles(
-    left: np.ndarray, right: np.ndarray, min_similarity: float, same: bool
+    left: np.ndarray, right: np.ndarray, min_similarity: float, same: bool, segments: Segments | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows at least ``min_similarity`` apart, one tile at a time.
 
@@ -51,23 +72,22 @@ def similar_tiles(
     """
     left32, right32 = left.astype(np.float32), right.astype(np.float32)
     doubt = margin(left.shape[1])
-    for r in range(0, len(left), TILE):
-        for c in range(r if same else 0, len(right), TILE):
-            sims = left32[r : r + TILE] @ right32[c : c + TILE].T
-            i, j = np.nonzero(sims >= min_similarity - doubt)
-            if same and r == c:
-                upper = i < j
-                i, j = i[upper], j[upper]
-            if len(i) == 0:
-                continue
-            close = np.flatnonzero(sims[i, j] < min_similarity + doubt)
-            i, j = i + r, j + c
-            if len(close):
-                keep = np.ones(len(i), dtype=bool)
-                keep[close] = exact_dots(left, right, i[close], j[close]) >= min_similarity
-                i, j = i[keep], j[keep]
-            if len(i):
-                yield i, j
+    for r, r_end, c, c_end in (segments or Segments(len(left), len(right))).pairs(same):
+        sims = left32[r:r_end] @ right32[c:c_end].T
+        i, j = np.nonzero(sims >= min_similarity - doubt)
+        if same and r == c:
+            upper = i < j
+            i, j = i[upper], j[upper]
+        if len(i) == 0:
+            continue
+        close = np.flatnonzero(sims[i, j] < min_similarity + doubt)
+        i, j = i + r, j + c
+        if len(close):
+            keep = np.ones(len(i), dtype=bool)
+            keep[close] = exact_dots(left, right, i[close], j[close]) >= min_similarity
+            i, j = i[keep], j[keep]
+        if len(i):
+            yield i, j
 
 
 def best_match(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

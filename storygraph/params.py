@@ -28,5 +28,7 @@ class Params:
     broadcast_bytes: int = 64 << 20
     # Most rows of one vector block; bounds the memory of one join task.
     block_rows: int = 32768
+    # Vectors joined with each other are put into neighbourhoods of pivots from so many on.
+    index_rows: int = 16384
     # Most characters in one row of concatenated cluster text.
     text_part_chars: int = 4 << 20

@@ -75,13 +75,13 @@ def test_pairs_do_not_depend_on_blocks(spark):
 
 def test_dense_group_gives_a_forest_not_all_pairs(spark):
     """A third of the rows within eps of each other: at most one edge per row leaves a task."""
-    from storygraph.operators.block_join import self_grid
+    from storygraph.operators.block_join import make_blocks, self_grid
     from storygraph.operators.dbscan import _forest_kernel
 
     rng = np.random.default_rng(1)
     data = np.concatenate([np.ones((300, 8)) + rng.normal(scale=0.01, size=(300, 8)), rng.normal(size=(600, 8))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "node bigint, vec array<float>")
-    edges = self_grid(df, "node", 3, _forest_kernel(0.8), "src bigint, dst bigint")
+    edges = self_grid(make_blocks(df, "node", 900, 300, 1000, 0.6, blocks=3), _forest_kernel(0.8), "src bigint, dst bigint")
     assert edges.count() <= 3 * 900
     assert connected_components(edges).filter("node < 300").select("component").distinct().count() == 1
 
@@ -96,9 +96,111 @@ def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(100 + i, 1000) for i in range(50)]
     edges = spark.createDataFrame(path + star + [(7, 7)], "src bigint, dst bigint").orderBy(F.rand(3))
-    got = {r.node: r.component for r in connected_components(edges).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 150), 1000]}
-    assert connected_components(edges.filter("false")).isEmpty()
+    for last in (1000, 0):  # finished by one pass over the forests, and by steps alone
+        got = {r.node: r.component for r in connected_components(edges, last=last).collect()}
+        assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 150), 1000]}
+        assert connected_components(edges.filter("false"), last=last).isEmpty()
+
+
+def test_components_of_random_edges_in_small_chunks(spark, monkeypatch):
+    from storygraph.operators import components
+
+    monkeypatch.setattr(components.contracted, "__defaults__", (7,))
+    draw = np.random.default_rng(2)
+    pairs = [(f"n{a:03d}", f"n{b:03d}") for a, b in draw.integers(0, 400, size=(330, 2)).tolist()]
+    root = {n: n for p in pairs for n in p if p[0] != p[1]}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(5)
+    assert {r.node: r.component for r in connected_components(edges, last=0).collect()} == {n: find(n) for n in root}
+
+
+def clustered(n_centres, each, width, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_centres, width))
+    data = np.repeat(centres, each, axis=0) + rng.normal(scale=spread, size=(n_centres * each, width))
+    return data.astype(np.float32)
+
+
+def vectors(spark, data, start=0):
+    return spark.createDataFrame([(start + i, v.tolist()) for i, v in enumerate(data)], SCHEMA)
+
+
+INDEXED = Params(index_rows=0, block_rows=64)
+
+
+@pytest.mark.parametrize("min_samples", [2, 4])
+def test_metric_index_gives_the_labels_of_brute_force(spark, min_samples):
+    data = np.concatenate([clustered(20, 12, 8, 3, 0.25), clustered(1, 150, 8, 4, 0.01)])
+    got = labels(dbscan(vectors(spark, data), "id", "vec", 0.05, min_samples, INDEXED))
+    assert got == brute_dbscan(data.astype(np.float64), 0.05, min_samples)
+
+
+def test_metric_index_gives_all_pairs(spark):
+    df = vectors(spark, clustered(15, 10, 6, 9, 0.2))
+    want, got = ({(r.left_id, r.right_id) for r in eps_join(df, "id", "vec", 0.1, p).collect()} for p in (Params(), INDEXED))
+    assert want == got and want
+
+
+def test_metric_index_skips_most_pairs_of_clustered_vectors(spark):
+    from storygraph.operators.block_join import make_blocks
+
+    data = clustered(40, 25, 32, 6)
+    nodes = vectors(spark, data).withColumnRenamed("id", "node")
+    placed = make_blocks(nodes, "node", 1000, 100, 0, math.acos(0.9))
+    assert placed.index.counts.sum() == 1000
+    assert placed.index.compared(placed.reach) < 1000 * 999 / 2 / 4
+    assert placed.spread().count() < 1000 * placed.total / 2
+
+
+@pytest.mark.parametrize("min_samples, params", [(2, Params()), (3, Params()), (4, INDEXED), (1, Params())])
+def test_batches_give_the_labels_of_one_run(spark, min_samples, params):
+    from storygraph.operators.dbscan import empty_density, grow
+
+    data = np.concatenate([clustered(10, 9, 5, 11, 0.3), clustered(1, 8, 5, 12, 0.0)])
+    order = np.random.default_rng(1).permutation(len(data))
+    whole = vectors(spark, data)
+    state = empty_density(whole, "id")
+    at = 0
+    for size in (40, 1, 30, len(data) - 71):
+        ids = order[at : at + size].tolist()
+        state = grow(state, whole.filter(F.col("id").isin(ids)), "id", "vec", 0.06, min_samples, params)
+        at += size
+        assert (state.fresh, state.compared) == (size, at)
+        part = {i: v for i, v in enumerate(data) if i in set(order[:at].tolist())}
+        want = brute_dbscan(np.array(list(part.values()), np.float64), 0.06, min_samples)
+        names = list(part)
+        assert labels(state.points) == {names[i]: None if c is None else names[c] for i, c in want.items()}
+    open_rows = {r.id for r in state.points.filter("not core").collect()}
+    assert all(r.a in open_rows or r.b in open_rows for r in state.links.collect())
+    assert labels(grow(state, whole.limit(0), "id", "vec", 0.06, min_samples, params).points) == labels(state.points)
+
+
+def test_articles_meet_few_blocks_of_clustered_clusters(spark):
+    from storygraph.operators.metric_index import build_metric_index
+    from storygraph.operators.nearest import _asked, assign_to_clusters
+
+    data = clustered(30, 10, 16, 8)
+    rows = [(f"c{i:03d}", v.tolist(), i % 3) for i, v in enumerate(data)]
+    clusters = spark.createDataFrame(rows, CLUSTERS)
+    articles = vectors(spark, clustered(30, 10, 16, 8)[::3] + np.float32(0.01))
+    params = Params(block_rows=20)
+    got = [
+        {r.id: (r.cluster_id, round(r.similarity, 9)) for r in assign_to_clusters(articles, clusters, "id", "vec", 0.5, params, m).collect()}
+        for m in ("broadcast", "blocks")
+    ]
+    assert got[0] == got[1] and len(got[0]) == 100
+    _, index = build_metric_index(clusters.select("cluster_id", F.col("cluster_embedding").alias("vec")), "cluster_id", 300, 20)
+    again = articles.withColumn("similarity", F.lit(0.99))
+    assert _asked(articles, "id", index).count() + _asked(again, "id", index).count() < 100 * index.blocks / 2
 
 
 CLUSTERS = "cluster_id string, cluster_embedding array<float>, last_updated bigint"
