@@ -80,6 +80,11 @@ class Blocks:
         )
         return self.rows.sparkSession.createDataFrame(rows)
 
+    def with_columns(self, more: DataFrame, key: str) -> Blocks:
+        """The same blocks with columns looked up by ``key``."""
+        slim = self.rows.select(key, "vec", *[c for c in (self.known, "_block", "_bin", "_pivot") if c in self.rows.columns])
+        return Blocks(slim.join(more, key), self.total, self.known, self.index, self.reach)
+
     def tasks(self) -> int:
         n = self.total * (2 if self.known else 1)
         return n * (n + 1) // 2

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.vectors import usable
@@ -22,27 +22,30 @@ from storygraph.session import materialize
 ROUNDING = 1e-12
 
 
-def distinct_vectors(df: DataFrame, id_col: str, vec_col: str, known: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, int]:
     """Collapse equal vectors: (nodes, rows, number of nodes).
 
     ``nodes`` (vec_key, node, copies, vec) holds one row per different vector,
     named by its smallest id; ``rows`` (id, vec_key) leads back to the input.
     Vectors without direction are left out. A group of copies, however large, is
-    a combining aggregate here and a single row in the quadratic part. With ``known`` a
-    node has a column of that name, true if all of its rows are known.
+    a combining aggregate here and a single row in the quadratic part.
     """
-    kept = [] if known is None else [F.col(known)]
-    rows = df.filter(usable(F.col(vec_col))).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), *kept)
-    # Two 64-bit hashes under different seeds, cheaper to shuffle and compare than the vector.
-    key = F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))
-    rows = rows.withColumn("vec_key", key.cast("struct<a:bigint,b:bigint>"))
-    every = [] if known is None else [F.min(known).alias(known)]
+    rows = _usable_rows(df, id_col, vec_col).withColumn("vec_key", _vec_key())
     nodes, seen = materialize(
-        rows.groupBy("vec_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), *every)
+        rows.groupBy("vec_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     )
     return nodes, rows.select("id", "vec_key"), seen["rows"]
 
 
+def _usable_rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.filter(usable(F.col(vec_col))).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+
+
+def _vec_key() -> Column:
+    """Two 64-bit hashes under different seeds, cheaper to shuffle and compare than the vector."""
+    return F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec")).cast("struct<a:bigint,b:bigint>")
+
+
 def _blocks(nodes: DataFrame, n: int, eps: float, params: Params, blocks: int | None, known: str | None = None) -> Blocks:
     angle = math.acos(max(-1.0, min(1.0, 1.0 - eps - ROUNDING)))
     return make_blocks(nodes, "node", n, params.block_rows, params.index_rows, angle, blocks, known)
@@ -105,7 +108,7 @@ def dbscan(
     if min_samples <= 2:
         labelled = _by_components(nodes, placed, bar, min_samples)
     else:
-        labelled, _, _ = _general(nodes, placed, bar, min_samples)
+        labelled, _ = _general(nodes, placed, bar, min_samples)
     return _labels(df, id_col, vec_col, rows, labelled)
 
 
@@ -141,36 +144,71 @@ def empty_density(like: DataFrame, id_col: str) -> Density:
 def grow(state: Density, rows: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int, params: Params = Params(), blocks: int | None = None) -> Density:
     """The state after more rows: the same labels as ``dbscan`` over all rows at once.
 
-    Only pairs with a new row are searched. A stored row's neighbours are on record as far as
-    they can matter: their number, and which they are while it is no core point. So a row that
-    new neighbours make a core point finds its old ones there, and stored clusters come in as
-    one edge per core point. Ids are unique and new; rows without direction are left out.
+    Only pairs with a new vector are searched. A stored row's neighbours are on record as far
+    as they can matter: their number, and which they are while it is no core point. So a row
+    that new neighbours make a core point finds its old ones there, and stored clusters come
+    in as one edge per core point. Ids are unique and new; rows without direction are left out.
     """
     kind = state.points.schema["id"].dataType.simpleString()
-    kept = ["id", "vec", "weight", "core", "label"]
-    new = rows.filter(usable(F.col(vec_col))).select(F.col(id_col).cast(kind).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    new = new.withColumns({"weight": F.lit(0).cast("bigint"), "core": F.lit(False), "label": F.lit(None).cast(kind)})
-    both = state.points.select(*kept).withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False)))
-    points, seen = materialize(both.withColumn("node", F.col("id")), fresh=F.count_if(~F.col("known")))
-    known = "known" if seen["rows"] > seen["fresh"] else None
-    placed = _blocks(points.select("node", "vec", "known", F.lit(1).cast("bigint").alias("copies")), seen["rows"], eps, params, blocks, known)
-    labelled, links, found = _general(
-        points.withColumns({"copies": F.lit(1).cast("bigint"), "vec_key": F.col("node")}), placed, 1.0 - eps - ROUNDING, min_samples, state.links
+    new = _usable_rows(rows, id_col, vec_col).withColumn("id", F.col("id").cast(kind))
+    new = new.withColumns({"weight": F.lit(0).cast("bigint"), "core": F.lit(False), "label": F.lit(None).cast(kind), "known": F.lit(False)})
+    both = state.points.select("id", "vec", "weight", "core", "label").withColumn("known", F.lit(True)).unionByName(new)
+    both = both.withColumn("vec_key", _vec_key())
+    # Equal vectors are one node. One that is known keeps its name, which clusters refer to.
+    first = F.coalesce(F.min(F.when(F.col("known"), F.col("id"))), F.min("id"))
+    nodes, seen = materialize(
+        both.groupBy("vec_key").agg(
+            first.alias("node"),
+            F.min("id").alias("low"),
+            F.count(F.lit(1)).alias("copies"),
+            F.count_if(~F.col("known")).alias("added"),
+            F.first("vec").alias("vec"),
+            F.min("known").alias("known"),
+            F.max("weight").alias("weight"),
+            F.max("core").alias("was_core"),
+            F.max("label").alias("label"),
+        ),
+        known=F.count_if(F.col("known")),
+        fresh=F.sum("added"),
+        all=F.sum("copies"),
     )
-    out = labelled.select(F.col("node").alias("id"), "label").join(found.select(F.col("node").alias("id"), "vec", "weight", "core"), "id")
-    out, _ = materialize(out.select(*kept))
-    return Density(out, materialize(links)[0], seen["fresh"], seen["rows"])
+    named = both.select("id", "vec_key").join(nodes.select("vec_key", "node"), "vec_key").select("id", "node")
+    known = "known" if seen["known"] else None
+    placed = _blocks(nodes.select("node", "vec", "known", "copies", "added"), seen["rows"], eps, params, blocks, known)
+    bar = 1.0 - eps - ROUNDING
+    if min_samples <= 2:
+        found = _by_components(nodes, placed, bar, min_samples)
+        found = found.withColumns({"core": F.col("label").isNotNull(), "weight": F.greatest("weight", "copies")})
+        links = state.links.limit(0)
+    else:
+        ends = state.links.join(named.toDF("a", "src"), "a").join(named.toDF("b", "dst"), "b").filter("src <> dst")
+        found, links = _general(nodes, placed, bar, min_samples, ends.select("src", "dst").distinct())
+        across = links.join(named.toDF("a", "src"), "src").join(named.toDF("b", "dst"), "dst").select("a", "b")
+        # Equal vectors that are no core points are fewer than min_samples.
+        alike = named.join(found.filter("not core and copies > 1").select("node"), "node")
+        alike = alike.toDF("node", "a").join(alike.toDF("node", "b"), "node").filter("a < b").select("a", "b")
+        links, _ = materialize(across.unionByName(alike))
+    out = both.select("id", "vec", "vec_key").join(found.select("vec_key", "weight", "core", "label"), "vec_key")
+    out, _ = materialize(out.select("id", "vec", "weight", "core", "label"))
+    return Density(out, links, seen["fresh"] or 0, seen["all"] or 0)
 
 
 def _by_components(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int) -> DataFrame:
-    """(vec_key, node, copies, label) where every neighbour of a row is in its cluster."""
+    """``nodes`` with their label, where every neighbour of a row is in its cluster."""
     id_type = nodes.schema["node"].dataType.simpleString()
     links = self_grid(placed, _forest_kernel(bar), f"src {id_type}, dst {id_type}")
-    return (
-        nodes.select("vec_key", "node", "copies")
-        .join(connected_components(links), "node", "left")
-        .withColumn("label", F.coalesce("component", F.when(F.col("copies") >= min_samples, F.col("node"))))
-    )
+    if "label" in nodes.columns:
+        links = links.unionByName(nodes.filter("known").select(F.col("node").alias("src"), F.col("label").alias("dst")).filter("dst is not null"))
+    parts = nodes.drop("label").join(connected_components(links), "node", "left")
+    labelled = parts.withColumn("label", F.coalesce("component", F.when(F.col("copies") >= min_samples, F.col("node")))).drop("component")
+    return _lowest(labelled) if "low" in nodes.columns else labelled
+
+
+def _lowest(labelled: DataFrame) -> DataFrame:
+    """Clusters named by the smallest id of their core points instead of the smallest name of a node."""
+    labelled, _ = materialize(labelled)
+    names = labelled.filter("label is not null").groupBy("label").agg(F.min("low").alias("lowest"))
+    return labelled.join(names, "label", "left").drop("label").withColumnRenamed("lowest", "label")
 
 
 def _forest_kernel(bar: float):
@@ -190,22 +228,24 @@ def _forest_kernel(bar: float):
     return kernel
 
 
-def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Core test, components of the core points, then border points: (labelled, links, nodes with weight and core).
+def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Core test, components of the core points, then border points: (nodes with weight, core and label, links).
 
-    With ``stored`` links the nodes come from a state: their ``weight``, ``core`` and ``label`` are
-    what it has of them, pairs of known rows are not searched, and ``links`` are all pairs
-    of which one row at least is no core point. Otherwise ``links`` are empty.
+    With ``stored`` links (src, dst) the nodes come from a state: pairs of known ones are not
+    searched, and ``links`` (src, dst) are all pairs of which one row at least is no core
+    point. Otherwise ``links`` are empty.
     """
     id_type = nodes.schema["node"].dataType.simpleString()
+    incremental = stored is not None
 
     def neighbours(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
         a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
-        wa, wb = left["copies"].to_numpy(), right["copies"].to_numpy()
+        # What is known counts its old neighbours already, so it gains only what is added.
+        from_left, from_right = (t["added" if incremental and o["known"][0].as_py() else "copies"].to_numpy() for t, o in ((left, right), (right, left)))
         left_sum, right_sum = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         for i, j in similar_tiles(a, b, bar, same, segments):
-            np.add.at(left_sum, i, wb[j])
-            np.add.at(right_sum, j, wa[i])
+            np.add.at(left_sum, i, from_right[j])
+            np.add.at(right_sum, j, from_left[i])
         sides = [(left, left_sum + right_sum)] if same else [(left, left_sum), (right, right_sum)]
         for table, sums in sides:
             hit = np.flatnonzero(sums)
@@ -214,15 +254,9 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
             )
 
     degree = self_grid(placed, neighbours, f"node {id_type}, more bigint").groupBy("node").agg(F.sum("more").alias("more"))
-    # A stored weight holds the row itself already.
-    own = F.col("copies") if stored is None else F.greatest("weight", "copies")
-    weighed = placed.rows.drop("copies", "vec_key").join(degree, "node", "left")
-    if stored is not None:
-        weighed = weighed.join(nodes.select("node", "weight", F.col("core").alias("was_core"), "label"), "node")
-    weighed = weighed.join(nodes.select("node", "vec_key", "copies"), "node")
-    weighed = weighed.withColumn("weight", own + F.coalesce("more", F.lit(0))).drop("more", "copies")
+    own = F.when(F.col("known"), F.col("weight")).otherwise(F.col("copies")) if incremental else F.col("copies")
+    weighed = nodes.join(degree, "node", "left").withColumn("weight", own + F.coalesce("more", F.lit(0))).drop("more")
     flagged, _ = materialize(weighed.withColumn("core", F.col("weight") >= min_samples))
-    incremental = stored is not None
 
     def links(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
         a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
@@ -260,34 +294,28 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
             names=["src", "dst", "loose"],
         )
 
-    schema = f"src {id_type}, dst {id_type}, loose boolean"
-    slim = flagged.select("node", "vec", "core", *[c for c in ("known", "_block", "_bin", "_pivot") if c in flagged.columns])
-    again = Blocks(slim, placed.total, placed.known, placed.index, placed.reach)
-    found, _ = materialize(self_grid(again, links, schema))
+    again = placed.with_columns(flagged.select("node", "core"), "node")
+    found, _ = materialize(self_grid(again, links, f"src {id_type}, dst {id_type}, loose boolean"))
     inner, loose = found.filter("not loose").select("src", "dst"), found.filter("loose").select("src", "dst")
     if incremental:
         cores_only = flagged.select("node", "core")
-        both = loose.unionByName(stored.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        both = both.join(cores_only.select(F.col("node").alias("src"), F.col("core").alias("c")), "src")
-        both, _ = materialize(both.join(cores_only.select(F.col("node").alias("dst"), F.col("core").alias("d")), "dst"))
-        # Stored clusters: each of their cores, and the one that names them.
+        both = loose.unionByName(stored).distinct()
+        both = both.join(cores_only.toDF("src", "c"), "src").join(cores_only.toDF("dst", "d"), "dst")
+        both, _ = materialize(both.select("src", "dst", "c", "d"))
+        # Stored clusters: each of their core points, and the one that names them.
         stars = flagged.filter("was_core").select(F.col("node").alias("src"), F.col("label").alias("dst"))
         inner = inner.unionByName(stars).unionByName(both.filter("c and d").select("src", "dst"))
-        left_open = both.filter("not (c and d)").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        left_open = both.filter("not (c and d)").select("src", "dst")
         border = both.filter("c <> d").select(F.expr("if(c, dst, src)").alias("src"), F.expr("if(c, src, dst)").alias("dst"))
     else:
-        left_open = loose.limit(0).toDF("a", "b")
-        border = loose
+        left_open, border = loose.limit(0), loose
+    flagged = flagged.drop("label")
     parts = connected_components(inner)
-    cores = (
-        flagged.filter("core")
-        .join(parts, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("label"))
-    )
+    cores = flagged.filter("core").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    cores = (_lowest(cores) if "low" in cores.columns else cores).select("node", "label")
     borders = (
         border.join(cores.withColumnRenamed("node", "dst"), "dst")
         .groupBy(F.col("src").alias("node"))
         .agg(F.min("label").alias("label"))
     )
-    labelled = flagged.select("vec_key", "node").join(cores.unionByName(borders), "node", "left")
-    return labelled, left_open, flagged
+    return flagged.join(cores.unionByName(borders), "node", "left"), left_open

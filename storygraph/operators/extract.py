@@ -263,22 +263,30 @@ def requests(listing: DataFrame) -> DataFrame:
 
 
 def newest_pages(pages: DataFrame) -> DataFrame:
-    """(url, html) with one page per URL: the newest fetch, in a stable order where fetches tell nothing apart."""
+    """(url, html) with one page per URL: the newest fetch, in a stable order where fetches tell nothing apart.
+
+    Only a digest of the HTML is sorted and compared; the page itself is taken along for the
+    newest key of a task.
+    """
     order = [F.col(c) for c in ("fetched_at", "page_id") if c in pages.columns]
-    return pages.filter("html is not null").groupBy("url").agg(F.max(F.struct(*order, "html")).alias("newest")).select("url", "newest.html")
+    rank = F.struct(*order, F.xxhash64("html"))
+    return pages.filter("html is not null").groupBy("url").agg(F.max_by("html", rank).alias("html"))
 
 
-def requested_records(asked: DataFrame, pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
+def requested_records(asked: DataFrame, pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES, n_asked: int | None = None) -> DataFrame:
     """Article rows of the requests whose page is there: listing metadata joined with what the page holds.
 
     The site is that of the listing, wherever the page lies. The raw pages meet the wanted URLs
     first, so only those are parsed, once each. Up to ``BROADCAST_URLS`` of them go to the
-    pages; beyond that the pages are shuffled.
+    pages; beyond that the pages are shuffled. ``n_asked`` is their number where ``asked`` is
+    a written table; else they are written here.
     """
-    asked, seen = materialize(asked)
+    if n_asked is None:
+        asked, seen = materialize(asked)
+        n_asked = seen["rows"]
     urls = asked.select("source", F.col("request_url").alias("url")).distinct()
     known = urls.select("url").distinct()
-    wanted = pages.join(F.broadcast(known) if seen["rows"] <= BROADCAST_URLS else known, "url", "left_semi")
+    wanted = pages.join(F.broadcast(known) if n_asked <= BROADCAST_URLS else known, "url", "left_semi")
     found = extract_articles(newest_pages(wanted).join(urls, "url"), profiles)
     return asked.join(found.withColumnRenamed("url", "request_url"), ["source", "request_url"]).select(
         "source",

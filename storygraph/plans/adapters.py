@@ -60,6 +60,27 @@ def documents_as_articles(spark: SparkSession, sf_dir: str, read=table) -> DataF
     )
 
 
+def vector_articles(vectors: DataFrame) -> DataFrame:
+    """Articles around given vectors, named by their id, all published at the start of the last day."""
+    none = F.lit(None).cast("string")
+    name = F.col("vec_id").cast("string")
+    return vectors.select(
+        "vec_id",
+        F.lit("vectors").alias("source"),
+        name.alias("article_id"),
+        F.concat(F.lit("Vector "), name).alias("article_title"),
+        F.concat(F.lit("https://site.example/v/"), name).alias("article_url"),
+        none.alias("article_thumbnail"),
+        none.alias("article_image"),
+        F.array(F.struct(F.lit("paragraph").alias("type"), name.alias("content"), none.alias("content_caption"), none.alias("src"))).alias("article_content"),
+        F.lit(AS_OF).cast("bigint").alias("article_published_date"),
+        F.col("label").cast("string").alias("article_category"),
+        none.alias("article_summary"),
+        F.col("embedding").cast("array<float>").alias("article_embeddings"),
+        none.alias("cluster_id"),
+    )
+
+
 def with_summary(articles: DataFrame) -> DataFrame:
     """Articles with the built-in summary where the text is long enough."""
     body = paragraphs(F.col("article_content"))

@@ -13,7 +13,7 @@ from storygraph.functions.text import article_text, paragraphs, short_text, toke
 from storygraph.functions.urls import absolute_url, resolve_url, source_name, strip_quotes, style_url, url_category
 from storygraph.functions.vectors import cosine_similarity
 from storygraph.operators import clusters as C
-from storygraph.operators.dbscan import dbscan, eps_join
+from storygraph.operators.dbscan import dbscan, empty_density, eps_join, grow
 from storygraph.operators.embed import embed_articles, fill_embeddings, hashed_vectors
 from storygraph.operators.extract import article_records, extract_articles, listing_rows, shred_listings
 from storygraph.operators.extract import extract_listing as listed_articles
@@ -36,7 +36,7 @@ from storygraph.plans.cluster import ClusterRun, cluster_run
 from storygraph.plans.ingest import enrich, ingest_listing, stored_form
 from storygraph.session import materialize, prepare, scratch_path
 from storygraph.sources.tables import Store
-from storygraph.streaming.jobs import ledger_stream, running_stats
+from storygraph.streaming.jobs import cluster_stream, ledger_stream, running_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -395,6 +395,27 @@ def dbscan_core_border(spark, sf_dir):
     return labels.select("vec_id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 
+@query("dbscan_batches")
+def dbscan_batches(spark, sf_dir):
+    """Vectors in three batches, each compared with what came before it: the labels of one run over all."""
+    return _grown(spark, sf_dir, 2)
+
+
+@query("dbscan_batches_core_border")
+def dbscan_batches_core_border(spark, sf_dir):
+    return _grown(spark, sf_dir, 3)
+
+
+def _grown(spark, sf_dir, min_samples) -> DataFrame:
+    vectors = A.table(spark, sf_dir, "embeddings")
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(3))
+    state = empty_density(vectors, "vec_id")
+    for k in range(3):
+        state = grow(state, vectors.filter(part == k), "vec_id", "embedding", EPS, min_samples)
+    labels = state.points.select(F.col("id").alias("vec_id"), "label")
+    return vectors.select("vec_id").join(labels, "vec_id", "left").select("vec_id", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
+
+
 @query("cluster_labels")
 def cluster_labels(spark, sf_dir):
     vectors = A.table(spark, sf_dir, "embeddings")
@@ -740,11 +761,16 @@ def ingest_run(spark, sf_dir):
 
 
 def _streamed_feed(spark, sf_dir) -> DataFrame:
-    """Events in four files, each with rows of all days: most rows of the later ones come late."""
+    """Events in four parts, each with rows of all days: most rows of the later ones come late.
+
+    Each part is written by as many tasks as read it; the stream takes a quarter of the files at a time.
+    """
     events, folder = A.table(spark, sf_dir, "events"), scratch_path(spark)
+    part = F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(4))
     for k in range(4):
-        events.filter(F.col("event_id") % 4 == 3 - k).coalesce(1).write.mode("append").parquet(folder)
-    return A.feed_columns(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        events.filter(part == 3 - k).write.mode("append").parquet(folder)
+    files = len(spark.read.schema(events.schema).parquet(folder).inputFiles())
+    return A.feed_columns(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, -(-files // 4))).parquet(folder))
 
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
@@ -771,3 +797,25 @@ def stream_stats(spark, sf_dir):
     """Running counters; the newest value of each is the largest."""
     rows = _drain(running_stats(_streamed_feed(spark, sf_dir)), "update")
     return rows.groupBy("source", "metric").agg(F.max("value").alias("value"))
+
+
+@query("cluster_stream_ticks")
+def cluster_stream_ticks(spark, sf_dir):
+    """Two ticks of the periodic run: vectors of even ids are stored before the first, all others before the second.
+
+    No article is near enough to a cluster to be assigned, so both runs group: the second one
+    what is new and what the first left as noise.
+    """
+    vectors = A.table(spark, sf_dir, "embeddings")
+    stored = A.vector_articles(vectors)
+    store, ticks, state = Store(spark, scratch_path(spark)), scratch_path(spark), scratch_path(spark)
+    params = Params(assign_threshold=2.0, eps=EPS, embed_dim=64)
+    for batch in (0, 1):
+        store.open_run("ingest", batch, A.AS_OF)
+        store.add_articles(stored.filter(F.pmod("vec_id", F.lit(2)) == batch).drop("vec_id"), batch)
+        store.close_run("ingest", batch)
+        spark.range(1).write.mode("append").parquet(ticks)
+        pace = spark.readStream.schema("id long").parquet(ticks)
+        at = A.AS_OF + 10 * batch
+        cluster_stream(pace, store, state, params, clock=lambda at=at: at, once=True).awaitTermination()
+    return store.members().select(F.col("article_id").cast("long").alias("vec_id"), "cluster_id", "added_at")

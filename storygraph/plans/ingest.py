@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.dates import utc_day
+from storygraph.functions.urls import source_name
 from storygraph.operators.embed import embed_articles
 from storygraph.operators.extract import extract_listing, requested_records, requests
 from storygraph.operators.ledger import first_requests, ledger_of_day, ledger_rows, listing_quota, unseen_urls
@@ -87,22 +88,33 @@ def ingest_listing(
     """The same from listing entries that are already there.
 
     ``waiting`` are requests of earlier runs: they meet the pages of this one, without a place
-    in the quota, and an entry that waits already takes no place either.
+    in the quota, and an entry that waits already takes no place either. Names of sources are
+    brought into their plain form (``source_name``) first, in the listing and the profiles.
     """
+    profiles = plain_profiles(profiles)
+    listing = listing.withColumn("source", source_name(F.col("source")))
     if waiting is not None:
         listing = listing.join(waiting.select(REQUEST_KEY).distinct(), REQUEST_KEY, "left_anti").select(listing.columns)
     followed = requests(to_follow(listing, ledger, as_of, params)).withColumn("asked_at", F.lit(as_of).cast("bigint"))
     asked = followed.select(REQUESTS.fieldNames())
     if waiting is not None:
         asked = asked.unionByName(waiting.select(REQUESTS.fieldNames()))
-    asked, _ = materialize(asked)
-    records = requested_records(asked, pages, profiles)
+    asked, seen = materialize(asked)
+    records = requested_records(asked, pages, profiles, seen["rows"])
     stored = stored_form(enrich(valid_articles(records), models, params), as_of)
     come = pages.filter("html is not null").select(F.col("url").alias("request_url")).distinct()
     still = asked.filter(F.col("asked_at") >= as_of - params.request_days * DAY_S).join(come, "request_url", "left_anti")
     return with_side_tables(stored, rejected_articles(records), as_of, still.select(REQUESTS.fieldNames()))
 
 
+def plain_profiles(profiles: Sequence[SiteProfile]) -> list[SiteProfile]:
+    """The profiles under the plain form of their names, which must differ."""
+    plain = [replace(p, source=p.source.lower().split("_")[0]) for p in profiles]
+    if len({p.source for p in plain}) < len(plain):
+        raise ValueError("two profiles share the plain form of their name")
+    return plain
+
+
 def with_side_tables(stored: DataFrame, rejected: DataFrame, as_of: int, waiting: DataFrame) -> Ingested:
     seen = stored.select(
         "source", F.col("article_category").alias("category"), F.col("article_url").alias("url"), F.lit(as_of).cast("bigint").alias("ts_s")
@@ -124,10 +136,11 @@ def ingest_batch(
     with scratch(store.spark):
         waiting = store.requests(before=batch, since=as_of - params.request_days * DAY_S)
         run = ingest_run(pages, store.ledger(before=batch, since=as_of - params.dedup_days * DAY_S), as_of, params, models, profiles, waiting)
-        store.add_articles(run.articles, batch)
-        store.add_requests(run.waiting, batch, as_of)
-        # Ledger and counters come from the stored rows: pages are not parsed again.
-        side = with_side_tables(store.articles_of(batch), run.rejected, as_of, run.waiting)
+        # Written once apart: pages are not parsed again for ledger and counters, and no stored folder is listed.
+        articles, _ = materialize(run.articles)
+        store.add_articles(articles, batch)
+        store.add_requests(run.waiting, batch)
+        side = with_side_tables(articles, run.rejected, as_of, run.waiting)
         store.add_ledger(side.ledger, batch)
         store.add_stats(side.stats, batch)
     store.close_run("ingest", batch)

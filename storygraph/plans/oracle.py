@@ -427,3 +427,22 @@ ORACLE["stored_articles"] = ORACLE["articles_with_cluster"]
 ORACLE["stored_members"] = f"WITH {ART} SELECT cluster_id, source, article_id, published AS added_at FROM members"
 ORACLE["stored_counters"] = ORACLE["article_stats"]
 ORACLE["stored_ledger"] = ORACLE["daily_url_dedup"]
+ORACLE["dbscan_batches"] = ORACLE["dbscan_labels"]
+ORACLE["dbscan_batches_core_border"] = ORACLE["dbscan_core_border"]
+
+
+def _grouped(tag: str, rows: str, at: int) -> str:
+    """Clusters of two and more among some of the vectors, named by the first member (as text) and the time."""
+    return f"""
+d{tag} AS (SELECT v, min(vec_id::VARCHAR) AS id, count(*) AS copies FROM ({rows}) GROUP BY v),
+x{tag} AS (SELECT a.id AS a, b.id AS b FROM d{tag} a JOIN d{tag} b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.4),
+r{tag} AS (SELECT id, id AS root FROM d{tag} UNION SELECT x{tag}.b, r{tag}.root FROM r{tag} JOIN x{tag} ON x{tag}.a = r{tag}.id),
+n{tag} AS (SELECT id, root, sum(copies) OVER (PARTITION BY root) AS n FROM (SELECT id, min(root) AS root FROM r{tag} GROUP BY id) JOIN d{tag} USING (id)),
+g{tag} AS (SELECT q.vec_id, sha256(root || '#{at}') AS cluster_id, {at}::BIGINT AS added_at
+           FROM ({rows}) q JOIN d{tag} ON d{tag}.v = q.v JOIN n{tag} ON n{tag}.id = d{tag}.id WHERE n >= 2)"""
+
+
+ORACLE["cluster_stream_ticks"] = f"""
+WITH RECURSIVE {EMB}, {_grouped("0", "SELECT * FROM e WHERE vec_id % 2 = 0", AS_OF)},
+{_grouped("1", "SELECT * FROM e WHERE vec_id NOT IN (SELECT vec_id FROM g0)", AS_OF + 10)}
+SELECT * FROM g0 UNION ALL SELECT * FROM g1"""

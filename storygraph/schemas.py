@@ -74,3 +74,7 @@ CLUSTERS = _struct(
 CLUSTER_MEMBERS = _struct(cluster_id=STRING, source=STRING, article_id=STRING, added_at=LONG)
 
 ASSIGNMENTS = _struct(source=STRING, article_id=STRING, cluster_id=STRING)
+
+# Articles that a cluster run left as noise, with those of the same kind that lie within eps of
+# them, and the settings under which that holds.
+OPEN = _struct(article_id=STRING, neighbours=T.ArrayType(STRING), settings=STRING)

@@ -10,11 +10,13 @@ its own files; nothing is applied twice, and no big table is ever rewritten.
     cluster_members  day (of addition) / batch
     ledger           day / batch
     stats            batch                          deltas, summed when read
-    requests         day / batch                    what a batch leaves waiting for its page
+    requests         batch                          what a batch leaves waiting for its page
+    open             batch                          what a cluster batch leaves as noise
     runs             batch                          time a batch stands for; finished ones in blocks of 1,000
 
-A read of the days since some time lists the folders of those days only, so a run costs the
-same however many batches lie behind it.
+A read of the days since some time lists the folders of those days only, and what the last
+finished batch left behind is read by its name, so a run costs the same however many batches
+lie behind it.
 """
 
 from __future__ import annotations
@@ -100,10 +102,6 @@ class Store:
         """Articles as stored up to ingest batch ``upto``, pruned to publication days from ``since`` on."""
         return self._read("articles", schemas.ARTICLES, upto + 1, since)
 
-    def articles_of(self, batch: int) -> DataFrame:
-        """The articles one batch stored."""
-        return self._read("articles", schemas.ARTICLES, None).filter(F.col("batch") == batch)
-
     def clusters(self, before: int | None = None, since: int | None = None) -> DataFrame:
         """Newest row of each cluster; ``since`` prunes to clusters updated from that time on."""
         rows = self._read("clusters", schemas.CLUSTERS, before, since)
@@ -120,11 +118,25 @@ class Store:
     def ledger(self, before: int | None = None, since: int | None = None) -> DataFrame:
         return self._read("ledger", schemas.LEDGER, before, since).select(schemas.LEDGER.fieldNames())
 
+    def _left_by(self, table: str, kind: str, schema: T.StructType, before: int) -> tuple[DataFrame, int]:
+        """What the last finished batch before ``before`` left, and its number; only its folder is opened."""
+        batch = self.last_finished(kind, before)
+        name = f"{table}/batch={batch}"
+        if batch < 0 or not self._exists(name):
+            return self.spark.createDataFrame([], schema), -1
+        return self.spark.read.schema(schema).parquet(self._path(name)), batch
+
     def requests(self, before: int, since: int) -> DataFrame:
-        """What the last batch before ``before`` left waiting; each batch carries on what still waits."""
-        rows = self._read("requests", schemas.REQUESTS, before, since)
-        last = rows.agg(F.max("batch").alias("batch"))
-        return rows.join(F.broadcast(last), "batch").filter("source is not null").select(schemas.REQUESTS.fieldNames())
+        """Requests from ``since`` on that the last batch before ``before`` left waiting; each batch carries on what still waits."""
+        rows, _ = self._left_by("requests", "ingest", schemas.REQUESTS, before)
+        return rows.filter(F.col("asked_at") >= since)
+
+    def open_noise(self, before: int, settings: str) -> tuple[DataFrame | None, int]:
+        """The noise of the last cluster batch before ``before`` and the time it stood for; none if it ran under other settings."""
+        rows, batch = self._left_by("open", "cluster", schemas.OPEN, before)
+        if batch < 0 or not rows.filter(F.col("settings") != settings).isEmpty():
+            return None, 0
+        return rows, self.open_run("cluster", batch, 0)[0]
 
     def stats(self, before: int | None = None) -> DataFrame:
         deltas = self._read("stats", schemas.STATS, before)
@@ -165,10 +177,11 @@ class Store:
     def add_ledger(self, rows: DataFrame, batch: int) -> None:
         self._write(rows.select("source", "category", "url", "day"), "ledger", batch, F.col("day"))
 
-    def add_requests(self, waiting: DataFrame, batch: int, as_of: int) -> None:
-        """Written with one empty row, so that a batch that leaves nothing open is seen to."""
-        mark = self.spark.createDataFrame([(None,) * len(schemas.REQUESTS)], schemas.REQUESTS)
-        self._write(waiting.unionByName(mark), "requests", batch, utc_day(F.lit(as_of).cast("bigint")))
+    def add_requests(self, waiting: DataFrame, batch: int) -> None:
+        waiting.select(schemas.REQUESTS.fieldNames()).write.mode("overwrite").parquet(self._path(f"requests/batch={batch}"))
+
+    def add_open_noise(self, noise: DataFrame, batch: int) -> None:
+        noise.select(schemas.OPEN.fieldNames()).write.mode("overwrite").parquet(self._path(f"open/batch={batch}"))
 
     def add_stats(self, delta: DataFrame, batch: int) -> None:
         self._write(delta, "stats", batch, None)
@@ -196,11 +209,13 @@ class Store:
         done = self.spark.createDataFrame([(batch,)], "number bigint")
         done.coalesce(1).write.mode("overwrite").parquet(self._path(f"runs/kind={kind}_done/block={batch // BATCHES}/batch={batch}"))
 
-    def last_finished(self, kind: str) -> int:
-        """The largest number among the finished batches, -1 if there is none; only names are read."""
+    def last_finished(self, kind: str, before: int | None = None) -> int:
+        """The largest number among the finished batches (before ``before``), -1 if there is none; only names are read."""
         root = f"runs/kind={kind}_done"
         for block in sorted(self._numbers(root, "block"), reverse=True):
+            if before is not None and block > (before - 1) // BATCHES:
+                continue
             for batch in sorted(self._numbers(f"{root}/block={block}", "batch"), reverse=True):
-                if self._exists(f"{root}/block={block}/batch={batch}/_SUCCESS"):
+                if (before is None or batch < before) and self._exists(f"{root}/block={block}/batch={batch}/_SUCCESS"):
                     return batch
         return -1

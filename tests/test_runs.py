@@ -57,7 +57,7 @@ def test_runs_assign_group_and_retry_noise(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     save(store, start(spark), 0)
     first = cluster_batch(store, 0, NOW, DIM)
-    assert first == {"found_new": 3, "found_clusters": 0, "assigned": 0, "unassigned": 3, "new_clusters": 1}
+    assert first == {"found_new": 3, "found_clusters": 0, "assigned": 0, "unassigned": 3, "new_clusters": 1, "searched": 3, "known": 0}
     taken = {r.article_id: r.cluster_id for r in store.articles().collect()}
     assert taken["a1"] == taken["a2"] is not None and taken["a3"] is None and taken["a4"] is None
 
@@ -66,7 +66,7 @@ def test_runs_assign_group_and_retry_noise(spark, tmp_path):
     save(store, articles(spark, more), 1)
     params = Params(embed_dim=64, update_text="full")
     second = cluster_batch(store, 1, NOW + 10, params)
-    assert second == {"found_new": 3, "found_clusters": 1, "assigned": 1, "unassigned": 2, "new_clusters": 1}
+    assert second == {"found_new": 3, "found_clusters": 1, "assigned": 1, "unassigned": 2, "new_clusters": 1, "searched": 2, "known": 1}
     before = state(store)
     assert [c[0] for c in before[0]] == [2, 3] and len(before[1]) == 5
 

@@ -175,9 +175,9 @@ def test_batches_give_the_labels_of_one_run(spark, min_samples, params):
         state = grow(state, whole.filter(F.col("id").isin(ids)), "id", "vec", 0.06, min_samples, params)
         at += size
         assert (state.fresh, state.compared) == (size, at)
-        part = {i: v for i, v in enumerate(data) if i in set(order[:at].tolist())}
-        want = brute_dbscan(np.array(list(part.values()), np.float64), 0.06, min_samples)
+        part = {i: data[i] for i in sorted(order[:at].tolist())}
         names = list(part)
+        want = brute_dbscan(np.array([part[i] for i in names], np.float64), 0.06, min_samples)
         assert labels(state.points) == {names[i]: None if c is None else names[c] for i, c in want.items()}
     open_rows = {r.id for r in state.points.filter("not core").collect()}
     assert all(r.a in open_rows or r.b in open_rows for r in state.links.collect())
