@@ -49,6 +49,27 @@ def test_exact_duplicates_do_not_depend_on_the_tree(spark, runs, fan_in):
     assert sum(r.kept for r in rows) == 37
 
 
+def test_runs_are_merged_in_order(spark):
+    from storygraph.llm.exact_dedup import merged
+
+    rows = [(r, d % 3, bytes([d]), 1, 5, None if r == 0 else 10 * r + d, 1 + r) for r in range(4) for d in range(6)]
+    runs = spark.createDataFrame(rows, "run int, slice int, digest binary, n_bytes int, second long, keep_id long, n long")
+    halves = merged(runs.withColumn("run", F.floor(F.col("run") / 2).cast("int")), F.col("keep_id").asc_nulls_last())
+    plan = halves._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [run") == 1 and "Window" in plan and "Aggregate" not in plan
+    got = {(r.run, bytes(r.digest)[0]): (r.keep_id, r.n) for r in halves.collect()}
+    assert got == {(h, d): (10 + d if h == 0 else 20 + d, 3 if h == 0 else 7) for h in (0, 1) for d in range(6)}
+    # Entries that agree in the digest alone are not one.
+    odd = runs.withColumn("run", F.lit(0)).withColumn("n_bytes", F.col("n").cast("int"))
+    assert merged(odd, F.col("keep_id").asc_nulls_last()).count() == 24
+
+
+def test_a_row_repeated_many_times(spark):
+    docs = spark.range(3500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rows = exact_duplicates(docs).collect()
+    assert len(rows) == 3500 and {r.group_size for r in rows} == {3500} and sum(r.kept for r in rows) == 1
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     assert exact_duplicates(docs).count() == 0
