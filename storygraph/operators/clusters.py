@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storygraph.functions.text import paragraphs, refresh_text, short_text, token_count
+from storygraph.functions.text import paragraphs, refresh_text, short_text, token_count, truncate_tokens
 from storygraph.functions.vectors import let, unit_vector
 from storygraph.operators.embed import embed_text, text_counts
-from storygraph.operators.models import EmbedFn, Models, SummaryFn
+from storygraph.operators.models import WINDOW_TOKENS, EmbedFn, Models, SummaryFn
 from storygraph.operators.summarize import best_sentences, key_order, parse_summary, sentences_of, summarize_text
 from storygraph.params import Params
 from storygraph.session import materialize
@@ -255,14 +255,56 @@ def extend_clusters(clusters: DataFrame, additions: DataFrame, as_of: int, param
     )
 
 
-def embed_clusters(members: DataFrame, fn: EmbedFn, update_text: str, params: Params = Params()) -> DataFrame:
+def text_windows(passages: DataFrame, window: int) -> DataFrame:
+    """(cluster_id, window, tokens, text): cluster texts in windows of ``window`` blank-separated tokens.
+
+    ``passages`` holds cluster_id, added_at, article_id and passage. The text of a cluster is its
+    passages in the order of addition, then id, joined by blank lines; every token has its place
+    in it, and a passage that reaches over the end of a window is cut there. Rows are dealt by
+    ranges of that order: the places come from sums per cluster and range, so a cluster that
+    holds most rows is many ranges, and where they are cut does not show in the result.
+    """
+    order = ["added_at", "article_id"]
+    rows = passages.select("cluster_id", *order, F.coalesce("passage", F.lit("")).alias("passage"))
+    rows = rows.withColumn("n", token_count(F.col("passage")).cast("bigint"))
+    dealt, _ = materialize(rows.repartitionByRange("cluster_id", *order).withColumn("_range", F.spark_partition_id()))
+    # As many rows as there are ranges that hold some of a cluster.
+    sums = dealt.groupBy("cluster_id", "_range").agg(F.sum("n").alias("sum"))
+    earlier = Window.partitionBy("cluster_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("cluster_id", "_range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"), F.sum("sum").over(Window.partitionBy("cluster_id")).alias("total"))
+    inside = Window.partitionBy("cluster_id", "_range").orderBy(*order, "passage").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, ["cluster_id", "_range"])
+    placed = placed.withColumn("start", F.col("before") + F.col("inside"))
+    size = F.lit(window).cast("bigint")
+    last = F.greatest(F.floor((F.col("total") - 1) / size), F.lit(0))
+    first, final = F.least(F.floor(F.col("start") / size), last), F.least(F.floor((F.col("start") + F.greatest("n", F.lit(1)) - 1) / size), last)
+    each = placed.select("cluster_id", *order, "passage", "n", "start", F.explode(F.sequence(first, final)).alias("window"))
+    begin = F.greatest(F.col("window") * size - F.col("start"), F.lit(0))
+    end = F.least((F.col("window") + 1) * size - F.col("start"), F.col("n"))
+    tokens = F.regexp_extract_all("passage", F.lit(r"(?:^\s+)?\S+\s*"), F.lit(0))
+    cut = F.array_join(F.slice(tokens, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")), "")
+    whole = (begin == 0) & (end == F.col("n"))
+    pieces = each.select("cluster_id", "window", *order, F.greatest(end - begin, F.lit(0)).alias("n"), F.when(whole, F.col("passage")).otherwise(cut).alias("piece"))
+    ordered = F.sort_array(F.collect_list(F.struct(*order, "piece")))
+    return pieces.groupBy("cluster_id", "window").agg(
+        F.sum("n").alias("tokens"), F.array_join(F.transform(ordered, lambda m: m["piece"]), "\n\n").alias("text")
+    )
+
+
+def _passages(members: DataFrame, passage: Column) -> DataFrame:
+    """Members without a time of addition count as added together."""
+    added = F.col("added_at") if "added_at" in members.columns else F.lit(0).cast("bigint")
+    return members.select("cluster_id", added.alias("added_at"), "article_id", passage.alias("passage"))
+
+
+def embed_clusters(members: DataFrame, fn: EmbedFn, update_text: str, params: Params = Params(), window: int = WINDOW_TOKENS) -> DataFrame:
     """(cluster_id, cluster_embedding): the model's vector of the joined member texts.
 
-    A text too long for one part gets the mean of its parts' vectors, weighted by length.
+    A text of more tokens than the model's window gets the mean of its windows' vectors, weighted by tokens.
     """
     passage = embedding_passage(F.col("article_title"), F.col("article_summary"), F.col("article_content"), update_text)
-    texts = cluster_text(members.select("cluster_id", "article_id", passage.alias("passage")), params)
-    parts = texts.select("cluster_id", F.length("text").alias("size"), embed_text(F.col("text"), fn, params).alias("vector"))
+    texts = text_windows(_passages(members, passage), window)
+    parts = texts.select("cluster_id", F.greatest("tokens", F.lit(1)).alias("size"), embed_text(F.col("text"), fn, params).alias("vector"))
     summed = (
         parts.select("cluster_id", "size", F.posexplode_outer("vector").alias("pos", "x"))
         .filter("pos is not null")
@@ -273,34 +315,31 @@ def embed_clusters(members: DataFrame, fn: EmbedFn, update_text: str, params: Pa
     return summed.groupBy("cluster_id").agg(F.transform(ordered, lambda e: e["x"]).alias("cluster_embedding"))
 
 
-def summarize_clusters(members: DataFrame, fn: SummaryFn, params: Params = Params(), max_levels: int = 20) -> DataFrame:
+def summarize_clusters(members: DataFrame, fn: SummaryFn, params: Params = Params(), window: int = WINDOW_TOKENS) -> DataFrame:
     """(cluster_id, cluster_title, cluster_content) by the model from the joined member texts.
 
-    Where a text has several parts, the answers to the parts become the text of
-    the next level until one part is left.
+    Where a text has several windows, the answers to them, in their order and each up to half
+    a window, become the text of the next level. So there are at most half as many windows
+    on every level, until one is left.
     """
-    passage = summary_passage(F.col("article_title"), F.col("article_content"))
-    passages = members.select("cluster_id", "article_id", passage.alias("passage"))
+    if window < 2:
+        raise ValueError("a window holds two tokens at least")
+    passages = _passages(members, summary_passage(F.col("article_title"), F.col("article_content")))
     done = None
-    for _ in range(max_levels):
-        texts = cluster_text(passages, params)
+    while True:
+        texts = text_windows(passages, window)
         answers, seen = materialize(
-            texts.select("cluster_id", "part", parse_summary(summarize_text(F.col("text"), fn)).alias("answer")).select(
-                "cluster_id", "part", "answer.*"
-            ),
-            later=F.max("part"),
+            texts.select("cluster_id", "window", parse_summary(summarize_text(F.col("text"), fn)).alias("answer")).select("cluster_id", "window", "answer.*"),
+            later=F.max("window"),
         )
-        parts = answers.groupBy("cluster_id").agg((F.max("part") + 1).alias("parts"))
-        level = answers.join(parts, "cluster_id")
-        single = level.filter("parts = 1").select("cluster_id", "cluster_title", "cluster_content")
+        sizes = answers.groupBy("cluster_id").agg(F.max("window").alias("later"))
+        level = answers.join(sizes, "cluster_id")
+        single = level.filter("later = 0").select("cluster_id", "cluster_title", "cluster_content")
         done = single if done is None else done.unionByName(single)
         if not seen["later"]:
             return done
-        # A digest that keeps the order of the parts, as article ids do.
-        spot = F.lpad(F.hex(F.shiftleft("part", 32) / F.col("parts")), 8, "0")
-        text = F.concat_ws("\n", "cluster_title", "cluster_content")
-        passages = level.filter("parts > 1").select("cluster_id", spot.alias("article_id"), text.alias("passage"))
-    raise RuntimeError(f"cluster texts do not shrink to one part in {max_levels} levels")
+        text = truncate_tokens(F.concat_ws("\n", "cluster_title", "cluster_content"), window // 2)
+        passages = level.filter("later > 0").select("cluster_id", F.col("window").alias("added_at"), F.lit("").alias("article_id"), text.alias("passage"))
 
 
 def apply_models(changed: DataFrame, members: DataFrame, models: Models, update_text: str, params: Params = Params()) -> DataFrame:
@@ -310,11 +349,11 @@ def apply_models(changed: DataFrame, members: DataFrame, models: Models, update_
     """
     out = changed
     if models.embed is not None:
-        vectors = embed_clusters(members, models.embed, update_text, params)
+        vectors = embed_clusters(members, models.embed, update_text, params, models.window_tokens)
         out = out.drop("cluster_embedding").join(vectors, "cluster_id", "left")
     if models.summarize_cluster is not None:
         names = ("cluster_title", "cluster_content")
-        told = summarize_clusters(members, models.summarize_cluster, params)
+        told = summarize_clusters(members, models.summarize_cluster, params, models.window_tokens)
         told = told.select("cluster_id", *[F.col(n).alias(f"_{n}") for n in names])
         out = out.join(told, "cluster_id", "left")
         for n in names:

@@ -8,6 +8,8 @@ from typing import Protocol
 
 import pandas as pd
 
+WINDOW_TOKENS = 1 << 20  # blank-separated tokens of a cluster text that a model gets at a time, if it states no other number
+
 EmbedFn = Callable[[pd.Series], pd.Series]  # batch of texts -> batch of vectors
 SummaryFn = Callable[[pd.Series], Iterable[str | None]]  # batch of texts -> batch of summaries
 
@@ -41,4 +43,5 @@ class Models:
     embed: EmbedFn | None = None  # articles and clusters
     summarize: SummaryFn | None = None  # article text -> summary
     summarize_cluster: SummaryFn | None = None  # cluster text -> JSON with cluster_title and cluster_content
+    window_tokens: int = WINDOW_TOKENS  # tokens of a cluster text that the models read at a time
     tokenizer: Tokenizer | None = None  # blank-separated words if there is none

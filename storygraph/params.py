@@ -30,5 +30,5 @@ class Params:
     block_rows: int = 32768
     # Vectors joined with each other are put into neighbourhoods of pivots from so many on.
     index_rows: int = 16384
-    # Most characters in one row of concatenated cluster text.
+    # Most characters in one row of ``cluster_text``; models get their own windows of it instead.
     text_part_chars: int = 4 << 20

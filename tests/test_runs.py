@@ -328,16 +328,48 @@ def test_own_models_make_cluster_vectors_and_summaries_from_all_members(spark, t
     assert second.cluster_embedding == pytest.approx(letters(pd.Series([joined]))[0])
 
 
-def test_long_cluster_texts_are_summarised_level_by_level(spark):
+def numbered(spark, n, words):
+    """Members of one cluster, in an order of addition that is not that of their ids."""
+    rows = [article(f"{(i * 37) % 64:02x}", f"T{i}", text(" ".join(f"w{i}.{k}" for k in range(words)))) for i in range(n)]
+    df = articles(spark, rows).drop("cluster_id").withColumn("cluster_id", F.lit("k"))
+    return df.withColumn("added_at", F.expr("cast(substr(article_title, 2) as bigint)"))
+
+
+def test_windows_are_those_of_the_whole_text(spark):
+    df = numbered(spark, 30, 7)
+    passages = df.select("cluster_id", "added_at", "article_id", F.concat(F.lit(" T  "), F.col("article_content")[0]["content"]).alias("passage"))
+    passages = passages.unionByName(passages.limit(1).select(F.lit("one").alias("cluster_id"), "added_at", "article_id", F.lit("").alias("passage")))
+    whole = "\n\n".join(r.passage for r in passages.filter("cluster_id = 'k'").orderBy("added_at").collect())
+    for window in (1000, 13, 2):
+        for width in ("1", "4"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            rows = C.text_windows(passages.repartition(5), window).collect()
+            mine = sorted((r.window, r.tokens, r.text) for r in rows if r.cluster_id == "k")
+            tokens = whole.split()
+            assert [t.split() for _, _, t in mine] == [tokens[i : i + window] for i in range(0, len(tokens), window)]
+            assert [n for _, n, _ in mine] == [len(t.split()) for _, _, t in mine]
+            assert [(r.window, r.text) for r in rows if r.cluster_id == "one"] == [(0, "")]
+            assert window < 1000 or mine[0][2] == whole
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_cluster_models_do_not_depend_on_how_texts_are_stored(spark):
     import json
 
     def tell(cluster_texts):
-        return [json.dumps({"cluster_title": "t", "cluster_content": str(len(t) // 100)}) for t in cluster_texts]
-
-    ids = [f"{i * 2**26:08x}" + "0" * 56 for i in range(60)]
-    df = articles(spark, [article(i, "T", text("w " * 50)) for i in ids]).drop("cluster_id").withColumn("cluster_id", F.lit("k"))
-    small = articles(spark, [article("0" * 64, "T", text("w"))]).drop("cluster_id").withColumn("cluster_id", F.lit("one"))
-    got = C.summarize_clusters(df.unionByName(small), tell, Params(text_part_chars=600)).collect()
-    assert sorted((r.cluster_id, r.cluster_title) for r in got) == [("k", "t"), ("one", "t")]
-    vectors = C.embed_clusters(df, letters, "full", Params(text_part_chars=600)).first()
-    assert len(vectors.cluster_embedding) == 5
+        # An answer as long as its text: levels shrink all the same.
+        return [json.dumps({"cluster_title": t.split()[0], "cluster_content": t}) for t in cluster_texts]
+
+    df = numbered(spark, 40, 11)
+    small = articles(spark, [article("0" * 64, "T", text("w"))]).drop("cluster_id").withColumn("cluster_id", F.lit("one")).withColumn("added_at", F.lit(1).cast("bigint"))
+    both = df.unionByName(small)
+    for window in (50, 13):
+        results = []
+        for chars in (1000, 4 << 20):
+            params = Params(text_part_chars=chars)
+            told = sorted(map(tuple, C.summarize_clusters(both, tell, params, window).collect()))
+            vectors = sorted((r.cluster_id, tuple(r.cluster_embedding)) for r in C.embed_clusters(both, letters, "full", params, window).collect())
+            results.append((told, vectors))
+        assert results[0] == results[1]
+        assert [t[0] for t in results[0][0]] == ["k", "one"] == [v[0] for v in results[0][1]]
+        assert results[0][0][0][1] == "Title:"
