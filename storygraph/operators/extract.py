@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from storygraph.functions.dates import parse_day_month_year, parse_iso, parse_named_month
 from storygraph.functions.text import join_text_nodes
 from storygraph.functions.urls import absolute_url, resolve_url, strip_quotes, style_url, url_category
-from storygraph.operators.markup import Page, compile_selector, pick, read_page, select
+from storygraph.operators.markup import Matcher, Matches, Page, compile_selector, read_page
 from storygraph.operators.profiles import PROFILES, BlockRule, SiteProfile
 from storygraph.schemas import BLOCK
 from storygraph.session import materialize
@@ -59,32 +59,37 @@ def _by_source(profiles: Sequence[SiteProfile], make: Callable[[SiteProfile], Co
     return chosen
 
 
-def _compile(spec: tuple[str, str] | None):
-    return None if spec is None else (compile_selector(spec[0]), spec[1])
+class _Picks:
+    """The selectors of a site under their names, compiled into one matcher, and what to take of the elements they match."""
 
+    def __init__(self, specs: dict[str, tuple[str, str] | None], roots: dict[str, str | None]):
+        self.what = {n: s[1] for n, s in specs.items() if s is not None}
+        texts = {n: s[0] for n, s in specs.items() if s is not None and s[1] != "own texts"} | {n: t for n, t in roots.items() if t}
+        self.matcher = Matcher({n: compile_selector(t) for n, t in texts.items()})
 
-def _take(page: Page, spec, root: int = 0) -> list[str]:
-    if spec is None:
-        return []
-    if spec[1] == "own texts":
-        return page.text[page.text_from[root] : page.text_to[root]] if page.tag else []
-    return pick(page, spec[0], spec[1], root)
+    def read(self, html: str) -> Matches:
+        return self.matcher.run(read_page(html))
+
+    def take(self, found: Matches, name: str, root: int = 0) -> list[str]:
+        what, page = self.what.get(name), found.page
+        if what is None:
+            return []
+        if what == "own texts":
+            return page.text[page.text_from[root] : page.text_to[root]] if page.tag else []
+        return found.pick(name, what, root)
 
 
 def shred_listings(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
     """(url, source, fetched_at, cards): the picked strings of every card of a listing page."""
-    plans = {
-        p.source: (compile_selector(p.card), {n: _compile(getattr(p, n)) for n in CARD_PICKS}) for p in profiles
-    }
+    plans = {p.source: _Picks({n: getattr(p, n) for n in CARD_PICKS}, {"card": p.card}) for p in profiles}
 
     def cards_of(source: str, html: str) -> list[dict]:
-        card, specs = plans[source]
-        page = read_page(html)
-        style = specs["image_style"]
+        picks = plans[source]
+        found = picks.read(html)
+        styled = "image_style" in picks.what
         return [
-            {n: _take(page, s, root) for n, s in specs.items()}
-            | {"styled": bool(style and select(page, style[0], root))}
-            for root in select(page, card)
+            {n: picks.take(found, n, root) for n in CARD_PICKS} | {"styled": styled and bool(found.select("image_style", root))}
+            for root in found.select("card")
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +105,9 @@ def shred_listings(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFra
 def shred_articles(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
     """(url, source, elements, page picks): the picked strings of every article page."""
     plans = {
-        p.source: (
-            compile_selector(p.content),
-            {n: _compile(p.element_picks.get(n)) for n in ELEMENT_PICKS},
-            {n: _compile(getattr(p, n)) for n in PAGE_PICKS},
-            p.gallery_root and compile_selector(p.gallery_root),
+        p.source: _Picks(
+            {f"in {n}": p.element_picks.get(n) for n in ELEMENT_PICKS} | {n: getattr(p, n) for n in PAGE_PICKS},
+            {"content": p.content, "gallery_root": p.gallery_root},
         )
         for p in profiles
     }
@@ -117,17 +120,17 @@ def shred_articles(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFra
         return next((page.attrs[n]["class"] for n in inside if page.tag[n] == "div" and "class" in page.attrs[n]), None)
 
     def article_of(source: str, html: str) -> tuple[list[dict], dict]:
-        content, specs, page_specs, gallery_root = plans[source]
-        page = read_page(html)
+        picks = plans[source]
+        found = picks.read(html)
         elements = [
-            {"tag": page.tag[root], "class": class_of(page, root)} | {n: _take(page, s, root) for n, s in specs.items()}
-            for root in select(page, content)
+            {"tag": found.page.tag[root], "class": class_of(found.page, root)} | {n: picks.take(found, f"in {n}", root) for n in ELEMENT_PICKS}
+            for root in found.select("content")
         ]
-        picks = {n: _take(page, s) for n, s in page_specs.items()}
-        if gallery_root:
-            first = select(page, gallery_root)[:1]
-            picks["gallery"] = _take(page, page_specs["gallery"], first[0]) if first else []
-        return elements, picks
+        taken = {n: picks.take(found, n) for n in PAGE_PICKS}
+        if "gallery_root" in found.found:
+            first = found.select("gallery_root")[:1]
+            taken["gallery"] = picks.take(found, "gallery", first[0]) if first else []
+        return elements, taken
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ Selectors know tag, ``#id``, ``.class``, descendant and child steps, and comma l
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -139,44 +140,95 @@ def compile_selector(text: str) -> list[list[tuple[bool, str, str, frozenset[str
     return out
 
 
-def _fits(page: Page, node: int, step) -> bool:
-    _, tag, ident, classes = step
-    if tag and page.tag[node] != tag:
-        return False
-    attrs = page.attrs[node]
-    return (not ident or attrs.get("id") == ident) and (not classes or classes <= set(attrs.get("class", "").split()))
-
-
-def _matches(page: Page, node: int, steps, root: int) -> bool:
-    if not _fits(page, node, steps[0]):
-        return False
-    if len(steps) == 1:
-        return True
-    up = page.parent[node]
-    while up >= 0 and up >= root:
-        if _matches(page, up, steps[1:], root):
-            return True
-        if steps[0][0]:
-            return False
-        up = page.parent[up]
-    return False
-
-
-def select(page: Page, selector, root: int = 0) -> list[int]:
-    """Matching elements in document order, ``root`` itself included."""
-    if not page.tag:
-        return []
-    last = page.last[root] if root else len(page.tag) - 1
-    return [n for n in range(root, last + 1) if any(_matches(page, n, steps, root) for steps in selector)]
-
-
-def pick(page: Page, selector, what: str, root: int = 0) -> list[str]:
-    """Strings of the matching elements: ``@name`` attributes, own ``text`` nodes, or ``texts`` of all depths."""
-    nodes = select(page, selector, root)
-    if what.startswith("@"):
-        return [page.attrs[n][what[1:]] for n in nodes if what[1:] in page.attrs[n]]
-    if what == "text":
-        chosen = set(nodes)
-        lo, hi = (page.text_from[root], page.text_to[root]) if root else (0, len(page.text))
-        return [t for owner, t in zip(page.text_owner[lo:hi], page.text[lo:hi]) if owner in chosen]
-    return [t for n in nodes for t in page.text[page.text_from[n] : page.text_to[n]]]
+Selector = list[list[tuple[bool, str, str, frozenset[str]]]]
+
+
+@dataclass(frozen=True)
+class State:
+    """One step of a selector: the element it stands for, and the step around it (-1 for the outermost)."""
+
+    tag: str
+    ident: str
+    classes: frozenset[str]
+    outer: int
+    child: bool
+    ends: tuple[str, ...]
+
+    def fits(self, attrs: dict[str, str]) -> bool:
+        return (not self.ident or attrs.get("id") == self.ident) and (not self.classes or self.classes <= set(attrs.get("class", "").split()))
+
+
+class Matcher:
+    """All selectors of a site as one automaton, run once over the elements of a page.
+
+    A state holds, for each open element, where the chain of elements that led to it begins: of
+    several chains the innermost beginning, as that one lies within every element that any
+    other lies in. So one walk answers each selector below every element at once: an
+    element matches below ``root`` if its chain begins there.
+    """
+
+    def __init__(self, selectors: dict[str, Selector]):
+        self.names = list(selectors)
+        self.by_tag: dict[str, list[int]] = {}
+        self.states: list[State] = []
+        for name, alternatives in selectors.items():
+            for steps in alternatives:
+                outer = -1
+                for k in range(len(steps) - 1, -1, -1):
+                    child, tag, ident, classes = steps[k]
+                    self.by_tag.setdefault(tag, []).append(len(self.states))
+                    self.states.append(State(tag, ident, classes, outer, child, (name,) if k == 0 else ()))
+                    outer = len(self.states) - 1
+
+    def run(self, page: Page) -> Matches:
+        found: dict[str, dict[int, int]] = {name: {} for name in self.names}
+        here: list[dict[int, int]] = []  # by element: states it is the last step of
+        above: list[dict[int, int]] = []  # and those it or an element around it is
+        none: dict[int, int] = {}
+        any_tag = self.by_tag.get("", [])
+        for node, tag in enumerate(page.tag):
+            up = page.parent[node]
+            parent, around = (here[up], above[up]) if up >= 0 else (none, none)
+            own: dict[int, int] = {}
+            for k in [*self.by_tag.get(tag, ()), *any_tag]:
+                state = self.states[k]
+                begin = node if state.outer < 0 else (parent if state.child else around).get(state.outer, -1)
+                if begin >= 0 and state.fits(page.attrs[node]):
+                    own[k] = begin
+                    for name in state.ends:
+                        found[name][node] = max(begin, found[name].get(node, -1))
+            here.append(own or none)
+            above.append({**around, **{k: max(b, around.get(k, -1)) for k, b in own.items()}} if own else around)
+        return Matches(page, {name: (list(nodes), list(nodes.values())) for name, nodes in found.items()})
+
+
+@dataclass(frozen=True)
+class Matches:
+    """What the selectors match on a page: elements in document order, and where the chain of each begins."""
+
+    page: Page
+    found: dict[str, tuple[list[int], list[int]]]
+
+    def select(self, name: str, root: int = 0) -> list[int]:
+        """Matching elements in document order, ``root`` itself included."""
+        nodes, begins = self.found[name]
+        if not root:
+            return nodes
+        a, b = bisect_left(nodes, root), bisect_right(nodes, self.page.last[root])
+        return [n for n, begin in zip(nodes[a:b], begins[a:b], strict=True) if begin >= root]
+
+    def pick(self, name: str, what: str, root: int = 0) -> list[str]:
+        """Strings of the matching elements: ``@name`` attributes, own ``text`` nodes, or ``texts`` of all depths."""
+        page, nodes = self.page, self.select(name, root)
+        if what.startswith("@"):
+            return [page.attrs[n][what[1:]] for n in nodes if what[1:] in page.attrs[n]]
+        if what == "text":
+            chosen = set(nodes)
+            lo, hi = (page.text_from[root], page.text_to[root]) if root else (0, len(page.text))
+            return [t for owner, t in zip(page.text_owner[lo:hi], page.text[lo:hi]) if owner in chosen]
+        return [t for n in nodes for t in page.text[page.text_from[n] : page.text_to[n]]]
+
+
+def select(page: Page, selector: Selector, root: int = 0) -> list[int]:
+    """Elements that one selector matches."""
+    return Matcher({"": selector}).run(page).select("", root)

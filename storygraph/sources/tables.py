@@ -14,6 +14,10 @@ its own files; nothing is applied twice, and no big table is ever rewritten.
     open             batch                          what a cluster batch leaves as noise
     runs             batch                          time a batch stands for; finished ones in blocks of 1,000
 
+The batches of a closed day can be folded into one folder (``fold``), of clusters only the newest
+row of each; reads take it from there, with the same result, and ``drop_folded`` removes what it
+replaces. So years of runs are a folder a day.
+
 A read of the days since some time lists the folders of those days only, and what the last
 finished batch left behind is read by its name, so a run costs the same however many batches
 lie behind it.
@@ -67,17 +71,33 @@ class Store:
     def _read(self, table: str, schema: T.StructType, before: int | None, since: int | None = None) -> DataFrame:
         """Rows of the batches before ``before``, and of the days from that of ``since`` (epoch) on."""
         parts = [T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())]
-        full = T.StructType(schema.fields + [f for f in parts if f.name not in schema.fieldNames()])
-        root = self._path(table)
-        if since is None:
+        extra = [f for f in parts if f.name not in schema.fieldNames()]
+        full = T.StructType(schema.fields + extra)
+        root, first = self._path(table), None if since is None else since - since % DAY_S
+        folded = {d: n for d, n in self._folded(table).items() if first is None or d >= first}
+        if first is None and not folded:
             paths = [root] if self._exists(table) else []
         else:
-            paths = [f"{root}/day={d}" for d in self._numbers(table, "day") if d >= since - since % DAY_S]
-        if not paths:
-            return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).option("basePath", root).parquet(*paths)
+            paths = [f"{root}/day={d}" for d in self._numbers(table, "day") if (first is None or d >= first) and d not in folded]
+            # What a day got after it was folded.
+            paths += [f"{root}/day={d}/batch={b}" for d, n in folded.items() for b in self._numbers(f"{table}/day={d}", "batch") if b > n]
+        rows = self.spark.read.schema(full).option("basePath", root).parquet(*paths) if paths else self.spark.createDataFrame([], full)
+        if folded:
+            # A folded row keeps the number of its batch.
+            kept = T.StructType(schema.fields + extra)
+            names = [self._path(f"folded/{table}/day={d}/upto={n}") for d, n in folded.items()]
+            rows = rows.unionByName(self.spark.read.schema(kept).parquet(*names).select(full.fieldNames()))
         return rows if before is None else rows.filter(F.col("batch") < before)
 
+    def _folded(self, table: str) -> dict[int, int]:
+        """Folded days of a table, and the last batch in each."""
+        out = {}
+        for day in self._numbers(f"folded/{table}", "day"):
+            done = [n for n in self._numbers(f"folded/{table}/day={day}", "upto") if self._exists(f"folded/{table}/day={day}/upto={n}/_SUCCESS")]
+            if done:
+                out[day] = max(done)
+        return out
+
     def articles(self, before: int | None = None, since: int | None = None) -> DataFrame:
         """Articles with their cluster. ``since`` (epoch) prunes to publication days from then on."""
         rows = self._read("articles", schemas.ARTICLES, before, since)
@@ -186,6 +206,46 @@ class Store:
     def add_stats(self, delta: DataFrame, batch: int) -> None:
         self._write(delta, "stats", batch, None)
 
+    # -- upkeep ----------------------------------------------------------------
+
+    def fold(self, table: str, closed_before: int, finished: int) -> list[int]:
+        """Fold the days of ``table`` before that of ``closed_before`` (epoch), each into one folder; gives the days.
+
+        Only batches up to ``finished``, the last that is known to be done, take part. A run in
+        between reads either form: the folded one counts once it is written whole, and the
+        batches stay until ``drop_folded``. Done again, a day is folded only if it got more.
+        """
+        schema = {"articles": schemas.ARTICLES, "assignments": schemas.ASSIGNMENTS, "clusters": schemas.CLUSTERS}
+        schema |= {"cluster_members": schemas.CLUSTER_MEMBERS, "ledger": schemas.LEDGER}
+        made = []
+        for day in sorted(d for d in self._numbers(table, "day") if d < closed_before - closed_before % DAY_S):
+            batches = [b for b in self._numbers(f"{table}/day={day}", "batch") if b <= finished]
+            before = self._folded(table).get(day, -1)
+            if not batches or max(batches) <= before:
+                continue
+            rows = self._read(table, schema[table], max(batches) + 1, day).filter(F.col("day") == day)
+            if table == "clusters":
+                newest = rows.groupBy("cluster_id").agg(F.max("batch").alias("batch"))
+                rows = rows.join(newest, ["cluster_id", "batch"], "left_semi")
+            rows.hint("rebalance").write.mode("overwrite").parquet(self._path(f"folded/{table}/day={day}/upto={max(batches)}"))
+            made.append(day)
+        return made
+
+    def drop_folded(self, table: str) -> int:
+        """Remove batches that a folded day holds, and older folds of a day; gives the number of folders.
+
+        To be called when no run started before the fold is still at work.
+        """
+        gone = 0
+        for day, upto in self._folded(table).items():
+            names = [f"{table}/day={day}/batch={b}" for b in self._numbers(f"{table}/day={day}", "batch") if b <= upto]
+            names += [f"folded/{table}/day={day}/upto={n}" for n in self._numbers(f"folded/{table}/day={day}", "upto") if n < upto]
+            for name in names:
+                files, path = self._folder(name)
+                files.delete(path, True)
+                gone += 1
+        return gone
+
     # -- runs ------------------------------------------------------------------
 
     def _run_path(self, kind: str, batch: int) -> str:

@@ -1,5 +1,8 @@
+import random
+import time
+
 from storygraph.operators.extract import article_records, extract_articles, extract_listing
-from storygraph.operators.markup import compile_selector, read_page, select
+from storygraph.operators.markup import Matcher, compile_selector, read_page, select
 from storygraph.schemas import PAGES as SCHEMA
 from tests.fixtures import PAGES
 
@@ -78,3 +81,60 @@ def test_unclosed_paragraphs_end_at_the_next_one():
     page = read_page("<article><p><b>one<br><p>two</p><script>var t='</p><p>';</script></article><p>out")
     assert len(select(page, compile_selector("article p"))) == 2
     assert len(select(page, compile_selector("article > p, p"))) == 3
+
+
+def brute_select(page, selector, root):
+    """Every element against every step, outwards."""
+
+    def fits(node, step):
+        _, tag, ident, classes = step
+        attrs = page.attrs[node]
+        return (not tag or page.tag[node] == tag) and (not ident or attrs.get("id") == ident) and (not classes or classes <= set(attrs.get("class", "").split()))
+
+    def matches(node, steps):
+        if not fits(node, steps[0]) or len(steps) == 1:
+            return fits(node, steps[0])
+        up = page.parent[node]
+        while up >= root:
+            if matches(up, steps[1:]):
+                return True
+            if steps[0][0]:
+                return False
+            up = page.parent[up]
+        return False
+
+    last = page.last[root] if root else len(page.tag) - 1
+    return [n for n in range(root, last + 1) if any(matches(n, steps) for steps in selector)]
+
+
+def random_page(draw, pieces):
+    tags = ["div", "p", "a", "span", "li", "ul"]
+    return "".join(
+        draw.choice([f"<{t} class='{draw.choice(['x', 'y', 'x y'])}' id='{draw.choice('mn')}'>", f"</{t}>", "text"]) for t in (draw.choice(tags) for _ in range(pieces))
+    )
+
+
+def test_one_walk_answers_every_selector_below_every_element():
+    draw = random.Random(1)
+    for _ in range(200):
+        page = read_page(random_page(draw, draw.randint(1, 40)))
+        texts = [
+            ", ".join(draw.choice([" ", " > "]).join(draw.choices(["div", "p", "a", ".x", "#m", "span.y", "*", "li"], k=draw.randint(1, 3))) for _ in range(draw.randint(1, 2)))
+            for _ in range(5)
+        ]
+        selectors = {t: compile_selector(t) for t in texts}
+        found = Matcher(selectors).run(page)
+        for root in range(len(page.tag)):
+            assert {t: found.select(t, root) for t in texts} == {t: brute_select(page, s, root) for t, s in selectors.items()}
+
+
+def test_a_larger_page_takes_time_in_proportion():
+    matcher = Matcher({str(k): compile_selector(f"div.x p, ul > li a, .c{k} span") for k in range(12)})
+    times = []
+    for n in (4000, 40000):
+        page = read_page("<div class='x'>" + "<ul><li><a>t</a></li></ul><p class='c3'><span>u</span></p>" * (n // 5))
+        start = time.process_time()
+        found = matcher.run(page)
+        times.append(time.process_time() - start)
+        assert len(found.select("3")) == 3 * (n // 5)
+    assert times[1] < 30 * times[0]

@@ -291,6 +291,37 @@ def test_last_finished_batch_is_the_largest_that_was_written_whole(spark, tmp_pa
     assert store.last_finished("ingest") == 1000
 
 
+def cluster_row(name, batch, at):
+    return (name, f"{name} {batch}", None, [1.0], at, batch, 1, "a", [], [1])
+
+
+def test_folded_days_read_the_same(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    old, new = NOW - 3 * DAY_S, NOW
+    for batch, (at, names) in enumerate([(old, "ab"), (old + 1, "bc"), (old + 2, "c"), (new, "ad")]):
+        store.add_clusters(spark.createDataFrame([cluster_row(n, batch, at) for n in names], CLUSTERS), batch)
+        store.add_ledger(spark.createDataFrame([("s", "c", f"u{batch}", at - at % DAY_S)], "source string, category string, url string, day bigint"), batch)
+
+    def seen():
+        reads = [sorted((r.cluster_id, r.cluster_title) for r in store.clusters(before, since).collect()) for before in (3, 4, None) for since in (None, old, new)]
+        return reads, [sorted(r.url for r in store.ledger(before, since).collect()) for before in (None, 3) for since in (None, old, new)]
+
+    first = seen()
+    # The last batch of the old day is not known to be done yet.
+    assert store.fold("clusters", NOW, 1) == [old - old % DAY_S] and store.fold("ledger", NOW, 1)
+    assert seen() == first
+    assert store.fold("clusters", NOW, 3) == store.fold("ledger", NOW, 3) == [old - old % DAY_S]
+    assert seen() == first and store.fold("clusters", NOW, 3) == []
+    assert store.drop_folded("clusters") == 4 and store.drop_folded("ledger") == 4 and store.drop_folded("clusters") == 0
+    assert seen() == first
+    # One folder is left of the day, however many batches there were; a late batch of it counts all the same.
+    assert len(list((tmp_path / "folded/clusters").glob("day=*/upto=*"))) == 1 and not list((tmp_path / f"clusters/day={old - old % DAY_S}").glob("batch=*"))
+    store.add_clusters(spark.createDataFrame([cluster_row("b", 4, old + 9)], CLUSTERS), 4)
+    assert {r.cluster_id: r.cluster_title for r in store.clusters().collect()}["b"] == "b 4"
+    assert store.fold("clusters", NOW, 4) == [old - old % DAY_S]
+    assert {r.cluster_id: r.cluster_title for r in store.clusters().collect()}["b"] == "b 4"
+
+
 def letter_model():
     """A model of its own: counts of a few letters, so the dimension differs from the built-in one."""
 
