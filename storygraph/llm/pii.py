@@ -1,25 +1,29 @@
-"""Personal data, and the words around it that give it away.
-
-E-mail, IP, card and phone numbers are the protected entities. A term in a document with an
-entity reveals it as far as knowing the term makes the entity likely: over the corpus, the
-pointwise mutual information of term and entity, as a share of the entity's own information
-(after Sanchez and Batet's information-theoretic sanitisation). A term that reveals more than
-the threshold is generalised, one that gives the entity away all but fully is removed, both
-wherever the term stands, also in documents without the entity.
+"""Personal data, and the words of documents that give it away.
+
+E-mail, IP, card and phone numbers are the protected entities. A term reveals an entity as far
+as knowing the term makes the entity likely: over the corpus, the pointwise mutual information
+of term and entity, as a share of the entity's own information (after Sanchez and Batet's
+information-theoretic sanitisation). What meets by chance reveals nothing, so a pair counts
+only if documents with both are too many for independence, by a log-likelihood ratio test that
+allows for the number of pairs looked at. A term that reveals more than the threshold is
+generalised, one that gives the entity away all but fully is removed, both wherever the term
+stands, also in documents without the entity.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +31,10 @@ from storygraph.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+# A match begins with a whole run of digits, whatever stood before; so no run is read twice.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -41,7 +47,8 @@ ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 ARROW_PLACES = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 BROADCAST_TERMS = 200_000
 FLUSH = 200_000
-DOUBT = 0.22  # a pair seen in n rows counts as n / (n + DOUBT) of its disclosure
+LEAST_DOCS = 3  # documents with both that a pair needs
+DOUBT = 0.05  # chance that any pair of the corpus passes the test without cause
 
 
 def luhn(digits: str) -> bool:
@@ -56,13 +63,28 @@ def _octets(m: re.Match) -> bool:
     return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Where an address stands: from each @ to the left over its class, to the right by the pattern. Linear in the text."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = end + len(text[end:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            end = domain.end()
+            yield start, end
+        else:
+            # No address reaches over this sign.
+            end = at + 1
+        at = text.find("@", end)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) of the entities of a text, per kind leftmost and not overlapping, in the order of kinds, then start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span(), m[0]) for m in EMAIL.finditer(text)]
+        out += [("email", a, b, text[a:b]) for a, b in emails(text)]
     numbers = [m for m in CARD.finditer(text)]
-    if numbers or "." in text:
+    if "." in text:
         out += [("ip", *m.span(), m[0]) for m in IP.finditer(text) if _octets(m)]
     for m in numbers:
         if m.end() - m.start() >= 13:
@@ -98,100 +120,107 @@ def terms_of(text: str, spans: list[tuple[str, int, int, str]]) -> Iterator[tupl
 def distinct_terms(text: str, spans: list[tuple[str, int, int, str]]) -> set[str]:
     if spans:
         return {t for t, _, _ in terms_of(text, spans)}
-    return {w.strip(EDGES).lower() for w in TERM.findall(text)} - {""}
+    # Lower-cased as a whole; only the white space of ASCII parts words.
+    words = set(text.lower().encode("utf-8", "surrogatepass").split())
+    return {w.decode("utf-8", "surrogatepass").strip(EDGES) for w in words} - {""}
+
+
+def _with_entities(docs: DataFrame, text_col: str) -> DataFrame:
+    """(entities, terms) of the rows that hold an entity, each once per row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entities, terms = [], []
+            for text in batch.column(0).to_pylist():
+                spans = base_spans(text) if text else []
+                if spans:
+                    entities.append(sorted({entity_key(k, v) for k, _, _, v in spans}))
+                    terms.append(list(distinct_terms(text, spans)))
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
+
+    return docs.select(F.col(text_col)).mapInArrow(scan, "entities array<string>, terms array<string>")
 
 
-def _counted(docs: DataFrame, text_col: str, keys: Callable[[str], Iterable[tuple]], schema: pa.Schema) -> DataFrame:
-    """Rows of ``docs`` with each of the keys that a text has once, added up before they leave a task as far as they fit."""
+def _rows_with(docs: DataFrame, text_col: str, terms: DataFrame, n: int) -> DataFrame:
+    """(term, n_term): the rows of ``docs`` that hold each of ``n`` terms. Few are looked up, more are thinned out and joined."""
+    few = n <= BROADCAST_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(set(terms.toArrow()["term"].to_pylist()) if few else _bits(terms, n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        known, seen = shared.value, Counter()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = list(zip(*seen, strict=True)) or [()] * (len(schema) - 1)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(names, schema, strict=False)), pa.array(list(seen.values()), pa.int64())], schema=schema)
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n"])
             seen.clear()
+            return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(keys(text or ""))
+                if text:
+                    here = distinct_terms(text, base_spans(text))
+                    seen.update(here & known if few else [t for t in here if _in_bits(known, t)])
                 if len(seen) > FLUSH:
-                    yield from flush()
-        yield from flush()
+                    yield flush()
+        yield flush()
+
+    counted = docs.select(F.col(text_col)).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return counted if few else counted.join(terms, "term", "left_semi")
+
 
-    types = ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'long'}" for f in schema)
-    return docs.select(F.col(text_col)).mapInArrow(count, types).groupBy(*schema.names[:-1]).agg(F.sum("n").alias("n"))
+def _ratio(a: Column, row: Column, column: Column, n: Column) -> Column:
+    """The log-likelihood ratio (G squared) of a two by two table, from one cell, its margins and the total."""
 
+    def cell(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-def _often(counted: DataFrame, most: int) -> tuple[dict[str, int], int]:
-    """Counts of the keys from a count on that at most ``most`` keys reach, and what all others have at most."""
-    level = F.floor(F.log2("n") * 8)
-    steps = sorted(((r.level, r.keys, r.top) for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("top")).collect()), reverse=True)
-    cut, total, rest = None, 0, 0
-    for step, n, top in steps:
-        if (total := total + n) > most:
-            rest = top
-            break
-        cut = step
-    if cut is None:
-        return {}, rest
-    table = counted.filter(level >= F.lit(cut)).select("key", "n").toArrow()
-    return dict(zip(table["key"].to_pylist(), table["n"].to_pylist(), strict=True)), rest
+    cells = ((a, row, column), (row - a, row, n - column), (column - a, n - row, column), (n - row - column + a, n - row, n - column))
+    return F.lit(2.0) * reduce(Column.__add__, [cell(seen, r * c / n) for seen, r, c in cells])
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", min_docs: int = 1, least: float = 0.0) -> DataFrame:
-    """(entity, term, disclosure) of terms that share at least ``min_docs`` rows with an entity, from ``least`` on.
+def disclosures(docs: DataFrame, text_col: str = "text", min_docs: int = LEAST_DOCS, least: float = 0.0) -> DataFrame:
+    """(entity, term, disclosure) of terms that reveal an entity, from ``least`` on.
 
     disclosure = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), all counted in whole rows: 1 if the
-    term occurs nowhere but beside the entity. Few rows are weak evidence: the value is
-    multiplied by n(e,t) / (n(e,t) + DOUBT), so a pair seen once reaches 0.82, one seen twice 0.9.
-    As n(e,t) is n(e) at most, a term with n(t) > n(e)^least N^(1 - least) cannot reach ``least``;
-    such pairs are left out where they would arise, as far as the counts are among the
-    largest ones, which are broadcast. So common terms do not meet every entity.
+    term occurs nowhere but beside the entity. A pair needs ``min_docs`` rows with both, and
+    a log-likelihood ratio against independence beyond 2 log(pairs / DOUBT): any rare word
+    meets the entities of its one row, so a single meeting is no evidence. Only rows with an
+    entity are asked for pairs, and only terms of pairs seen often enough are counted in the
+    whole corpus.
     """
-
-    def keys(text: str) -> Iterator[tuple[str, str]]:
-        spans = base_spans(text)
-        yield "rows", ""
-        yield from (("term", t) for t in distinct_terms(text, spans))
-        yield from (("entity", e) for e in {entity_key(k, v) for k, _, _, v in spans})
-
-    counted, _ = materialize(_counted(docs, text_col, keys, pa.schema([("of", pa.string()), ("key", pa.string()), ("n", pa.int64())])))
-    head = counted.filter(F.col("of") == "rows").first()
-    n_rows = head.n if head else 0
-    n_term, n_entity = (counted.filter(F.col("of") == of).select("key", "n") for of in ("term", "entity"))
-    known = docs.sparkSession.sparkContext.broadcast((_often(n_term, BROADCAST_TERMS), _often(n_entity, BROADCAST_TERMS)))
-
-    def pairs(text: str) -> Iterator[tuple[str, str]]:
-        spans = base_spans(text)
-        if spans:
-            (terms, _), (entities, rest) = known.value
-            counts = [(t, terms.get(t, 0)) for t in distinct_terms(text, spans)]
-            for e in {entity_key(k, v) for k, _, _, v in spans}:
-                most = 1.000001 * entities.get(e, rest) ** least * n_rows ** (1 - least)
-                yield from ((e, t) for t, n in counts if n <= most)
-
-    together = _counted(docs, text_col, pairs, pa.schema([("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
-    told = together.filter(F.col("n") >= min_docs).withColumnRenamed("n", "n_both")
-    told = told.join(n_entity.toDF("entity", "n_entity"), "entity").join(n_term.toDF("term", "n_term"), "term")
-    info = F.log(F.lit(float(n_rows)) / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * F.lit(float(n_rows)) / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(info > 0, mutual / info).otherwise(0.0) * F.col("n_both") / (F.col("n_both") + F.lit(DOUBT))
-    return told.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= least)
+    held, _ = materialize(_with_entities(docs, text_col))
+    n_rows = docs.count()
+    n_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    often, _ = materialize(n_entity.filter(F.col("n_entity") >= min_docs))
+    each = held.select(F.explode("entities").alias("entity"), "terms").join(often, "entity")
+    pairs = each.select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"))
+    # All pairs looked at count for the test, the others can be left out.
+    told, seen = materialize(pairs.select("*", F.lit(1).alias("one")), pairs=F.sum("one"))
+    told = told.filter(F.col("n_both") >= min_docs).drop("one")
+    terms, wanted = materialize(told.select("term").distinct())
+    if not wanted["rows"]:
+        return told.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
+    told = told.join(_rows_with(docs, text_col, terms, wanted["rows"]), "term")
+    n = F.lit(float(n_rows))
+    real = _ratio(F.col("n_both").cast("double"), F.col("n_entity").cast("double"), F.col("n_term").cast("double"), n) > 2 * math.log((seen["pairs"] or 1) / DOUBT)
+    more = F.col("n_both") * n > F.col("n_entity") * F.col("n_term")
+    info = F.log(n / F.col("n_entity"))
+    mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
+    share = F.when(info > 0, mutual / info).otherwise(0.0)
+    return told.filter(real & more).select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= least)
 
 
 def sanitisation_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_docs: int = 1,
+    min_docs: int = LEAST_DOCS,
     generalise_at: float = 0.6,
     remove_at: float = 0.9,
 ) -> DataFrame:
     """(id, spans, terms) for every row of ``docs``.
 
     ``spans`` are the entities (kind, start, end, value); ``terms`` are further spans of kind
-    ``generalise`` or ``remove``, for all words of the corpus that disclose at least that share
+    ``generalise`` or ``remove``, in the order of kind and start, for all words of the corpus that disclose at least that share
     of any entity. A null text counts as empty, repeated rows each have their own spans, other
     columns play no part. Telling terms are broadcast while they are few, else joined.
     """
@@ -213,11 +242,13 @@ def sanitisation_spans(
             for text in batch.column(1).to_pylist():
                 found = base_spans(text) if text else []
                 spans.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in found])
-                places = terms_of(text or "", found)
-                if few and not found and known.keys().isdisjoint(distinct_terms(text or "", found)):
+                if few and (not known or known.keys().isdisjoint(distinct_terms(text or "", found))):
                     terms.append([])
-                elif few:
-                    terms.append([{"kind": known[t], "start": s, "end": e, "value": t} for t, s, e in places if t in known])
+                    continue
+                places = terms_of(text or "", found)
+                if few:
+                    marked = [(known[t], s, e, t) for t, s, e in places if t in known]
+                    terms.append([dict(zip(("kind", "start", "end", "value"), m, strict=True)) for m in sorted(marked)])
                 else:
                     terms.append([{"term": t, "start": s, "end": e} for t, s, e in places if _in_bits(known, t)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, ARROW_SPANS), pa.array(terms, ARROW_SPANS if few else ARROW_PLACES)], ["id", "spans", "terms"])
@@ -228,7 +259,7 @@ def sanitisation_spans(
         return found.select(F.col("id").alias(id_col), "spans", "terms")
     found, _ = materialize(found.select(F.monotonically_increasing_id().alias("row"), "id", "spans", "terms"))
     marked = found.select("row", F.explode("terms").alias("t")).select("row", "t.*").join(told, "term")
-    per_row = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", F.col("term").alias("value")))).alias("t"))
+    per_row = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", F.col("term").alias("value")))).alias("t"))
     terms = F.transform(F.coalesce("t", F.array()), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     return found.select("row", "id", "spans").join(per_row, "row", "left").select(F.col("id").alias(id_col), "spans", terms.alias("terms"))
 

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storygraph.llm import lattice, pii
 from storygraph.llm.lm_score import lm_scores
@@ -79,11 +80,68 @@ def test_telling_terms_are_marked_wherever_they_stand(spark, monkeypatch, most):
     assert all(t.value == "zacharias" for r in by.values() for t in r.terms) and not by[20].terms
 
 
-def test_entities_of_a_single_document_are_sanitised_too(spark):
+def test_a_chance_meeting_reveals_nothing(spark):
     rows = [(1, "Zacharias said hello to all, zach@x.org"), (2, "hello to Quirinus and all q@y.org"), (3, "Quirinus said q@y.org")]
-    rows += [(10 + i, "hello to all and said") for i in range(200)]
+    rows += [(4 + i, f"said Maxentius, m@z.org number {i}") for i in range(4)] + [(10 + i, "hello to all and said") for i in range(200)]
     by = {r.doc_id: [(t.kind, t.value) for t in r.terms] for r in sanitisation_spans(table(spark, rows)).collect()}
-    assert by[1] == [("generalise", "zacharias")] and by[2] == by[3] == [("remove", "quirinus")] and by[10] == []
+    assert by[1] == by[2] == by[3] == by[10] == [] and by[4] == by[7] == [("remove", "maxentius"), ("remove", "number")]
+
+
+def test_documents_without_an_entity_or_a_telling_term_stay_as_they_are(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r for r in sanitisation_spans(docs).collect()}
+    clean = [r for r in found.values() if not r.spans]
+    assert len(clean) > 900 and sum(bool(r.terms) for r in clean) <= len(clean) // 100
+    told = spark.createDataFrame([(10**6 + i, f"Aurelianus wrote {i} times from aur@x.org") for i in range(6)] + [(10**6 + 9, "no word of Aurelianus since")], "doc_id long, text string")
+    marked = {r.doc_id: [t.value for t in r.terms] for r in sanitisation_spans(docs.unionByName(told)).collect()}
+    assert "aurelianus" in marked[10**6] and marked[10**6 + 9] == ["aurelianus"]
+
+
+def brute_disclosures(texts, min_docs):
+    entities = [{pii.entity_key(k, v) for k, _, _, v in plain_base(t)} for t in texts]
+    terms = [{w for w, _, _ in pii.terms_of(t, plain_base(t))} for t in texts]
+    n = len(texts)
+    n_e, n_t = Counter(e for s in entities for e in s), Counter(t for s in terms for t in s)
+    both = Counter((e, t) for s, ws in zip(entities, terms, strict=True) for e in s for t in ws if n_e[e] >= min_docs)
+    out = {}
+    for (e, t), a in both.items():
+        table = {(1, 1): a, (1, 0): n_e[e] - a, (0, 1): n_t[t] - a, (0, 0): n - n_e[e] - n_t[t] + a}
+        margin = {(0, 1): n_e[e], (0, 0): n - n_e[e], (1, 1): n_t[t], (1, 0): n - n_t[t]}
+        g = 2 * sum(x * math.log(x * n / (margin[0, i] * margin[1, j])) for (i, j), x in table.items() if x)
+        if a >= min_docs and g > 2 * math.log(len(both) / pii.DOUBT) and a * n > n_e[e] * n_t[t]:
+            out[e, t] = math.log(a * n / (n_e[e] * n_t[t])) / math.log(n / n_e[e])
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_disclosures_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(pii, "FLUSH", 5)
+    draw = random.Random(8)
+    names = [f"name{i}" for i in range(12)]
+    texts = []
+    for _ in range(250):
+        i = draw.randrange(12)
+        words = draw.choices(["the", "Of,", "and", "(was)"], k=6) + draw.choices(names, k=draw.randint(0, 2)) + [names[i]]
+        texts.append(" ".join(words + [f"user{i}@x.org", "+49 170 1234567"][: draw.randint(0, 2)]))
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(table(spark, list(enumerate(texts)))).collect()}
+    assert got == pytest.approx(brute_disclosures(texts, pii.LEAST_DOCS)) and got
+
+
+def test_long_tokens_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for text in ("1" * 10**6, "@ " + "a" * 10**6, "a" * 10**6 + "@", "a@" * 500_000, "1." * 500_000, "+1" + "(" * 10**6, "1 " * 500_000, "a@b." * 250_000, "1.1.1" + "1" * 10**6):
+        base_spans(text)
+    assert time.process_time() - start < 10
+
+
+def test_addresses_are_those_of_the_pattern():
+    draw = random.Random(3)
+    for _ in range(4000):
+        text = "".join(draw.choice("a1.@@-_ %é+") for _ in range(draw.randint(0, 30)))
+        assert [(k, a, b, v) for k, a, b, v in base_spans(text) if k in ("email", "ip")] == [x for x in plain_base(text) if x[0] in ("email", "ip")]
 
 
 def test_many_candidate_terms_are_joined_with_the_same_result(spark, monkeypatch):
@@ -212,6 +270,25 @@ def test_lattice_sums_over_all_segmentations():
         assert counts[piece] == pytest.approx(slope, rel=1e-3)
 
 
+def test_scores_are_those_of_all_segmentations_of_whole_documents(spark, monkeypatch):
+    import storygraph.llm.lm_score as L
+
+    voc = small_vocabulary()
+    monkeypatch.setattr(L.lattice, "load_vocabulary", lambda path: voc)
+    rows = [(i, "the abab ñthe " * (i % 3) + "ab a") for i in range(40)] + [(50, None), (51, "unseen tthhee")]
+    words, seen = L.count_words(table(spark, rows), "text", F.lit(True))
+    fitted = L.fit_pieces(words, voc)
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    expected = lattice.expected_counts(list(counts), np.array(list(counts.values()), float), voc) + L.PRIOR * np.exp(voc.scores)
+    assert np.exp(fitted.scores) == pytest.approx(expected / expected.sum())
+    monkeypatch.setattr(L, "fold", lambda key, folds: F.lit(1))
+    stop = (len(rows) + 1) / (seen["tokens"] + 2)
+    for r in lm_scores(table(spark, rows)).collect():
+        tokens = (dict(rows)[r.doc_id] or "").split()
+        want = math.log10(stop) + sum(math.log10((1 - stop) * brute_probability(w, fitted)) for w in tokens)
+        assert r.score == pytest.approx(want)
+
+
 @pytest.mark.parametrize("most", [200_000, 5])
 def test_scores_of_whole_texts(spark, monkeypatch, most):
     import storygraph.llm.lm_score as L
@@ -245,3 +322,54 @@ def test_scores_without_training_rows(spark):
     rows = lm_scores(docs).collect()
     assert [r.train_tokens for r in rows] == [0, 0] and all(r.held_out and r.n_known == 0 and r.score < 0 for r in rows)
     assert lm_scores(docs.limit(0)).count() == 0
+
+
+def brute_layers(text):
+    """Every plain secret of a text, by the patterns alone."""
+    rules = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), lambda m: len(m[2]) >= 8),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    )
+    return sorted((m.start(), k, m.end()) for k, p, ok in rules for m in p.finditer(text) if ok(m))
+
+
+def test_plain_secrets_equal_the_patterns(spark):
+    draw = random.Random(6)
+    parts = ["password", "SECRET", "token", "api_key", "apikey", "passwd", '"', "'", " ", ":", "=", "AKIA", "ABC123", "deadbeef" * 4, "hunter2hunter2", ".", "é", "\n", "ſecret", "0" * 31]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(1500)]
+    by = {r.doc_id: r.findings for r in scan_secrets(table(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert sorted((f.start, f.kind, f.end) for f in by[i] if f.layers == "") == brute_layers(text)
+
+
+def test_large_data_is_scanned_in_pieces_to_its_end(monkeypatch):
+    import storygraph.llm.secret_scan as S
+
+    lines = [f"line {i}, nothing here\n" for i in range(4000)]
+    for i in (0, 1777, 3999):
+        lines[i] = f"(password=hunter2hunter{i}) "
+    body = "".join(lines).encode()
+    nested = b64(gzip.compress(b64(gzip.compress(b"," + body)).encode()))
+    texts = [f"x {b64(pack(body))} y" for pack in (gzip.compress, zlib.compress, bz2.compress, lambda b: gzip.compress(b[:50000]) + gzip.compress(b[50000:]))]
+    texts += [f"x {b64(gzip.compress(gzip.compress(body)))} y", f"x {nested} y"]
+
+    def nested_findings(t):
+        return [f for f in S.scan_text(t) if f["layers"]]
+
+    large = [nested_findings(t) for t in texts]
+    assert all([f["value"] for f in found] == [f"password=hunter2hunter{i}" for i in (0, 1777, 3999)] for found in large)
+    monkeypatch.setattr(S, "MAX_LAYER", 5000)
+    monkeypatch.setattr(S, "STEP", 700)
+    monkeypatch.setattr(S, "OVERLAP", 400)
+    # The last one is a run of base64 that is larger than a piece itself.
+    assert [nested_findings(t) for t in texts[:-1]] == large[:-1]
+
+
+def test_a_short_text_that_unpacks_to_two_hundred_megabytes():
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    block = b"nothing, " * (1 << 17)
+    parts = [packer.compress(block) for _ in range(180)] + [packer.compress(b"token: abcdefghij "), packer.flush()]
+    text = b64(b"".join(parts))
+    assert len(text) < 2 << 20
+    assert [(f["kind"], f["layers"], f["value"]) for f in scan_text(text)] == [("assign", "base64.gzip", "token: abcdefghij")]
