@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 START = "▁"  # stands for the space before a word, as in the vocabulary
 BYTE_PIECES = 256
+CHARACTERS = 0x110000
 
 
 @dataclass(frozen=True)
@@ -21,6 +23,14 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.scores)
 
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, children, pieces): a key is a node and the next character, the root is node 0; pieces by node, -1 for none."""
+        number = {name: i for i, name in enumerate(self.ids, start=1)}
+        keys = np.array([number.get(name[:-1], 0) * CHARACTERS + ord(name[-1]) for name in self.ids], np.int64)
+        order = np.argsort(keys)
+        return keys[order], order + 1, np.array([-1, *self.ids.values()], np.int64)
+
 
 def load_vocabulary(path: str) -> Vocabulary:
     """Pieces and scores of a SentencePiece file, read where the driver runs.
@@ -61,32 +71,36 @@ class Lattices:
     extra: list[tuple[int, list[int]]]  # (edge, bytes) of characters without a piece
 
 
-def build(words: list[str], ids: dict[str, int]) -> Lattices:
-    src, dst, piece, first, extra = [], [], [], [0], []
-    base = 0
-    get = ids.get
-    for word in words:
-        text = START + word
-        n = len(text)
-        for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                found = get(text[i:j])
-                if found is None:
-                    break
-                if found >= 0:
-                    single |= j == i + 1
-                    src.append(base + i)
-                    dst.append(base + j)
-                    piece.append(found)
-            if not single:
-                extra.append((len(src), list(text[i].encode("utf-8", "surrogatepass"))))
-                src.append(base + i)
-                dst.append(base + i + 1)
-                piece.append(-1)
-        base += n + 1
-        first.append(base)
-    return Lattices(np.array(first), np.array(src, np.int64), np.array(dst, np.int64), np.array(piece, np.int64), extra)
+def build(words: list[str], vocabulary: Vocabulary) -> Lattices:
+    """All words go down the trie of pieces together, from each of their places, one character a step."""
+    keys, children, pieces = vocabulary.trie
+    codes = np.frombuffer("".join([START + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    end = np.cumsum(sizes)[word] if len(words) else np.empty(0, np.int64)
+    # A word of n characters has n + 1 places.
+    place = np.arange(len(codes)) + word
+    begin, at, node = np.arange(len(codes)), np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    src, dst, piece = [], [], []
+    alone = np.zeros(len(codes), bool)
+    while len(begin) and len(keys):
+        key = node * CHARACTERS + codes[at]
+        found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        good = keys[found] == key
+        begin, at, node = begin[good], at[good], children[found[good]]
+        hit = pieces[node] >= 0
+        src.append(place[begin[hit]])
+        dst.append(place[at[hit]] + 1)
+        piece.append(pieces[node[hit]])
+        alone[begin[hit & (at == begin)]] = True
+        at = at + 1
+        more = at < end[begin]
+        begin, at, node = begin[more], at[more], node[more]
+    bare = np.flatnonzero(~alone)
+    known = sum(map(len, src))
+    extra = [(known + k, list(chr(c).encode("utf-8", "surrogatepass"))) for k, c in enumerate(codes[bare].tolist())]
+    src, dst, piece = (np.concatenate([*x, y]).astype(np.int64) for x, y in ((src, place[bare]), (dst, place[bare] + 1), (piece, np.full(len(bare), -1))))
+    return Lattices(np.r_[0, np.cumsum(sizes + 1)], src, dst, piece, extra)
 
 
 def _weights(lat: Lattices, scores: np.ndarray) -> np.ndarray:
@@ -127,7 +141,7 @@ def log_likelihoods(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     """Natural log of each word's probability, summed over all its segmentations."""
     if not words:
         return np.zeros(0)
-    lat = build(words, vocabulary.ids)
+    lat = build(words, vocabulary)
     return _forward(lat, _weights(lat, vocabulary.scores))[lat.first[1:] - 1]
 
 
@@ -136,7 +150,7 @@ def expected_counts(words: list[str], counts: np.ndarray, vocabulary: Vocabulary
     out = np.zeros(vocabulary.size)
     if not words:
         return out
-    lat = build(words, vocabulary.ids)
+    lat = build(words, vocabulary)
     weights = _weights(lat, vocabulary.scores)
     ahead, behind = _forward(lat, weights), _backward(lat, weights)
     word_of = np.searchsorted(lat.first, lat.src, side="right") - 1

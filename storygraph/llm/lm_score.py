@@ -1,13 +1,13 @@
 """Language-model scores by subword lattices.
 
-A public vocabulary gives the pieces and their first weights. A word's probability is the sum
-over all its segmentations into pieces, by the forward recursion in log space; the weights
-are fitted to the distinct words of the training rows by expectation maximisation, starting
-from and held near the given ones. A word of the training rows is itself one more segment:
-it has its discounted relative frequency, and the discounted mass goes to the lattice of
-pieces, which so carries rare and unseen words. Words are counted over the whole corpus,
-without a limit: the most frequent ones are broadcast, up to a fixed number, and all other
-words of a document meet their scores in a join.
+A public vocabulary gives the pieces and their weights. The probability of a word is the sum
+over all its segmentations into pieces, by the forward recursion in log space, and that of a
+document the product over its words and its end: the marginal over all segmentations of the
+whole text, as no piece reaches over a blank. The given weights are fitted to the training
+rows by one round of expectation maximisation, every word counting as often as it occurs;
+documents end as often as they do there. Words are counted over the whole corpus, without a
+limit: the most frequent ones are broadcast, up to a fixed number, and all other words of a
+document meet their scores in a join.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from storygraph.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 END = " "  # the end of a document; no word holds a space
-DISCOUNT = 0.75
 PRIOR = 1000.0  # occurrences that the given weights count for
-ROUNDS = 2
+ROUNDS = 1
 FREQUENT = 200_000  # words that are broadcast at most
 FLUSH = 200_000
 CHUNK = 20_000
@@ -37,7 +36,7 @@ LN10 = float(np.log(10.0))
 
 
 def count_words(docs: DataFrame, text_col: str, training) -> tuple[DataFrame, dict]:
-    """(word, c) of all words, c counted in training rows only, and the sums: tokens, types."""
+    """(word, c) of all words, c counted in training rows only, and the sums: tokens, types, ends."""
     rows = docs.select(training.alias("training"), docs[text_col].alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +65,13 @@ def count_words(docs: DataFrame, text_col: str, training) -> tuple[DataFrame, di
         yield from flush()
 
     counted = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    return materialize(counted, tokens=F.sum("c"), types=F.count_if(F.col("c") > 0))
+    return materialize(counted, tokens=F.sum("c"), types=F.count_if(F.col("c") > 0), ends=F.sum(F.when(F.col("word") == END, F.col("c"))))
 
 
 def fit_pieces(words: DataFrame, start: lattice.Vocabulary, rounds: int = ROUNDS, prior: float = PRIOR) -> lattice.Vocabulary:
-    """Piece weights fitted to the distinct training words, each counted once."""
+    """Piece weights fitted to the training words, each as often as it occurs."""
     sc = words.sparkSession.sparkContext
-    types = words.filter((F.col("c") > 0) & (F.col("word") != END)).select("word")
+    types = words.filter((F.col("c") > 0) & (F.col("word") != END)).select("word", F.col("c").cast("double").alias("c"))
     current = start
     for _ in range(rounds):
         shared = sc.broadcast(current)
@@ -80,10 +79,9 @@ def fit_pieces(words: DataFrame, start: lattice.Vocabulary, rounds: int = ROUNDS
         def expect(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shared.value.size)
             for batch in batches:
-                names = batch.column(0).to_pylist()
+                names, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 for at in range(0, len(names), CHUNK):
-                    part = names[at : at + CHUNK]
-                    total += lattice.expected_counts(part, np.ones(len(part)), shared.value)
+                    total += lattice.expected_counts(names[at : at + CHUNK], c[at : at + CHUNK], shared.value)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
@@ -96,21 +94,18 @@ def fit_pieces(words: DataFrame, start: lattice.Vocabulary, rounds: int = ROUNDS
     return current
 
 
-def word_scores(words: DataFrame, pieces: lattice.Vocabulary, n: int, v: int) -> DataFrame:
-    """(word, c, known, base, score) of every word, logarithms to base 10."""
+def word_scores(words: DataFrame, pieces: lattice.Vocabulary, n: int, v: int, ends: int) -> DataFrame:
+    """(word, c, known, base, score) of every word, logarithms to base 10; ``ends`` of the n training tokens are ends."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
-    spared = min(1.0, DISCOUNT * v / n) if n else 1.0
+    stop = end_probability(n, ends)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, c = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
             inside = np.concatenate([lattice.log_likelihoods(names[at : at + CHUNK], shared.value) for at in range(0, len(names), CHUNK)])
-            # The end of a document has no pieces.
-            inside = np.where(np.array(names, dtype=object) == END, -np.inf, inside) + np.log(spared)
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - DISCOUNT, 0.0) / max(n, 1))
-            total = np.maximum(np.logaddexp(whole, inside), -1e9) / LN10
+            # The end of a document has no pieces; a word comes where the document does not end.
+            total = np.where(np.array(names, dtype=object) == END, np.log(stop), inside + np.log1p(-stop)) / LN10
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(total)],
                 ["word", "c", "known", "base", "score"],
@@ -119,6 +114,11 @@ def word_scores(words: DataFrame, pieces: lattice.Vocabulary, n: int, v: int) ->
     return words.mapInArrow(score, "word string, c long, known long, base double, score double")
 
 
+def end_probability(n: int, ends: int) -> float:
+    """How likely a token is the end of its document, by the training rows with one of each kind added."""
+    return (ends + 1) / (n + 2)
+
+
 def frequent_words(scored: DataFrame, most: int = FREQUENT) -> dict[str, tuple[int, float, float]]:
     """The words from a count on that at most ``most`` words reach; the rest is left to the join."""
     level = F.floor(F.log2(F.col("c")) * 8)
@@ -140,17 +140,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     Rows whose fold is 0 are held out, all others train; a null id trains. Tokens are the
     words and one end; a null text counts as empty and has the end alone. Repeated rows
     train as often as they occur and each have their scores. ``score`` is the log10
-    probability of the text, summed over all segmentations; ``base_score`` that of smoothed
-    word frequencies. Other columns play no part; an empty table gives an empty result.
+    probability of the text, summed over all segmentations of all words, known or not;
+    ``base_score`` that of smoothed word frequencies. Other columns play no part; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     held_out = fold(docs[id_col], folds) == 0
     words, seen = count_words(docs, text_col, ~held_out)
     n, v = seen["tokens"] or 0, seen["types"] or 0
     pieces = fit_pieces(words, lattice.load_vocabulary(vocabulary))
-    scored, _ = materialize(word_scores(words, pieces, n, v))
-    known_end = spark.createDataFrame([(END,)], "word string").join(scored, "word", "left").first()
-    end = (known_end.known or 0, known_end.base, known_end.score) if known_end.base is not None else (0, float(np.log10(0.1 / (n + 0.1 * (v + 1)))), float(np.log10(0.5)))
+    ends = seen["ends"] or 0
+    scored, _ = materialize(word_scores(words, pieces, n, v, ends))
+    end = (int(ends > 0), float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1)))), float(np.log10(end_probability(n, ends))))
     shared = spark.sparkContext.broadcast(frequent_words(scored))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), held_out.alias("held_out"), docs[text_col].alias("text"))
