@@ -139,6 +139,28 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixed(docs, size, key).columns == docs.columns
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_odd_rows_are_mixed(spark, monkeypatch, few):
+    from storygraph.llm import mixing
+
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    docs = table(spark, [*ODD, (11, "w " * 50000, None), (12, "a b", "c"), (12, "a b", "c")])
+    size, key = word_count(F.col("text")), [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))]
+    rows = with_copies(docs, size, key, into="drawn").select("doc_id", "text", "source", "drawn.*").collect()
+    sizes = Counter()
+    for r in rows:
+        assert r.size == len((r.text or "").split()) and 0 <= r.copies <= 2
+        sizes[r.source] += r.size
+    assert len(rows) == len(ODD) + 3
+    targets = brute_targets(dict(sizes))
+    assert {(r.source, r.source_size) for r in rows} == set(sizes.items())
+    assert {r.source: r.target for r in rows} == pytest.approx(targets)
+    # Repeated rows are drawn alike; null and empty texts have no size and meet any target.
+    assert len({r.copies for r in rows if r.doc_id == 12}) == 1
+    again = Counter((r.doc_id, r.text, r.source) for r in mixed(docs, size, key).collect())
+    assert again == Counter(k for r in rows for k in [(r.doc_id, r.text, r.source)] * r.copies)
+
+
 WORDS = [f"w{i}" for i in range(400)]
 
 

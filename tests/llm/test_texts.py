@@ -372,4 +372,4 @@ def test_a_short_text_that_unpacks_to_two_hundred_megabytes():
     parts = [packer.compress(block) for _ in range(180)] + [packer.compress(b"token: abcdefghij "), packer.flush()]
     text = b64(b"".join(parts))
     assert len(text) < 2 << 20
-    assert [(f["kind"], f["layers"], f["value"]) for f in scan_text(text)] == [("assign", "base64.gzip", "token: abcdefghij")]
+    assert [f["value"] for f in scan_text(text) if f["layers"] == "base64.gzip"] == ["token: abcdefghij"]
