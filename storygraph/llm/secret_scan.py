@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import html
 import lzma
 import re
@@ -20,7 +21,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -47,7 +48,11 @@ PACKED = re.compile(r"H4sI|Qlpo|/Td6WF|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
 NOT_TEXT = re.compile(r"[^\t\n\r\x20-\x7e\x80-\U0010ffff]")
 SOME_TEXT = re.compile(rb"[\t\n\r\x20-\x7e]{14}")  # no secret and nothing that encodes one is shorter
 TO_STANDARD = str.maketrans("-_", "+/")
-MAX_LAYER = 64 << 20  # unpacked bytes of one layer; a larger one is reported as `unread`
+MAX_LAYER = 64 << 20  # unpacked bytes worked on at a time; larger data is scanned in pieces
+STEP = 1 << 20
+# Characters that no secret and nothing that encodes one can hold: where pieces are cut.
+STOP = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f!$()*,<>?@\[\]^`|~\x7f]")
+OVERLAP = 1 << 20  # of pieces without any of these
 
 FINDINGS = T.ArrayType(
     T.StructType(
@@ -94,10 +99,6 @@ class Layer(NamedTuple):
         return self.range if self.origin is None else located(self.origin, start, end)
 
 
-class Oversized(Exception):
-    pass
-
-
 def base_matches(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the plain secrets of a text, per kind leftmost and not overlapping."""
     found = []
@@ -114,9 +115,17 @@ def scan_text(text: str) -> list[dict]:
     found: dict[tuple, dict] = {}
     times: Counter = Counter()  # how often each is in one layer
     first = Layer(text, (), None, (0, len(text)))
-    work, seen = [first], {(first.text, first.range)}
+    # Depth first, each layer made when its turn comes: pieces of large data are not held together.
+    work, seen = [iter((first,))], set()
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        name = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.range)
+        if name in seen:
+            continue
+        seen.add(name)
         hits = base_matches(layer.text)
         path = ".".join(layer.names)
         here: Counter = Counter()
@@ -130,10 +139,7 @@ def scan_text(text: str) -> list[dict]:
             found.setdefault(key, {"kind": kind, "layers": path, "start": at[0], "end": at[1], "value": value})
         for key, n in here.items():
             times[key] = max(times[key], n)
-        for inner in _decoded(layer, frozenset(hits), found):
-            if (inner.text, inner.range) not in seen:
-                seen.add((inner.text, inner.range))
-                work.append(inner)
+        work.append(_decoded(layer, frozenset(hits)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(_narrowest(found, times), key=lambda f: (f["start"], order.get(f["kind"], 9), f["layers"], f["end"], f["value"]))
 
@@ -146,20 +152,14 @@ def _narrowest(found: dict[tuple, dict], times: Counter) -> Iterator[dict]:
     for keys in equal.values():
         ends: list[int] = []  # of those given out, which start no earlier
         for key in sorted(keys, key=lambda k: (-k[0], k[3])):
-            if bisect_right(ends, key[3]) < max(times[key], 1) or found[key]["kind"] == "unread":
+            if bisect_right(ends, key[3]) < max(times[key], 1):
                 insort(ends, key[3])
                 yield found[key]
 
 
-def _decoded(layer: Layer, hits: frozenset, found: dict) -> Iterator[Layer]:
+def _decoded(layer: Layer, hits: frozenset) -> Iterator[Layer]:
     text = layer.text
-    # The whole layer, as a secret may be part escaped and part not, and each token, as a match of the whole may begin before one of its own.
-    if "%" in text and PERCENT.search(text):
-        for span in ((0, len(text)), *(m.span() for m in ESCAPED.finditer(text))):
-            yield _respelled(layer, span, PERCENT, "url", lambda s: bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace"), hits)
-    if ("\\" in text or "&" in text) and UNICODE.search(text):
-        for span in ((0, len(text)), *(m.span() for m in UNICODE_TOKEN.finditer(text) if UNICODE.search(m[0]))):
-            yield _respelled(layer, span, UNICODE, "unicode", _character, hits)
+    # What is read as it stands comes first, so that nothing is named after a decoding it did not need.
     opened: set[int] = set()  # where a stream begins that is read already
     if "\n" in text:
         for m in WRAPPED.finditer(text):
@@ -168,12 +168,19 @@ def _decoded(layer: Layer, hits: frozenset, found: dict) -> Iterator[Layer]:
                 end = gap.start() if gap else m.end()
                 parts.append((at, end))
                 at = gap.end() if gap else end
-            yield from _unbased(layer, parts, opened, found)
+            yield from _unbased(layer, parts, opened)
     for m in BASE64.finditer(text):
-        yield from _unbased(layer, [m.span()], opened, found)
+        yield from _unbased(layer, [m.span()], opened)
+    # Each token, as a match of the whole layer may begin before one of its own; then the whole, as a secret may be part escaped and part not.
+    if ("\\" in text or "&" in text) and UNICODE.search(text):
+        for span in (*(m.span() for m in UNICODE_TOKEN.finditer(text) if UNICODE.search(m[0])), (0, len(text))):
+            yield _respelled(layer, span, UNICODE, "unicode", _character, hits)
+    if "%" in text and PERCENT.search(text):
+        for span in (*(m.span() for m in ESCAPED.finditer(text)), (0, len(text))):
+            yield _respelled(layer, span, PERCENT, "url", lambda s: bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace"), hits)
 
 
-def _unbased(layer: Layer, parts: list[tuple[int, int]], opened: set[int], found: dict) -> Iterator[Layer]:
+def _unbased(layer: Layer, parts: list[tuple[int, int]], opened: set[int]) -> Iterator[Layer]:
     """What a run of base64 may stand for, given as the parts of its lines.
 
     A run that is text as a whole is taken as that. Else it may begin before its base64 or end
@@ -205,14 +212,7 @@ def _unbased(layer: Layer, parts: list[tuple[int, int]], opened: set[int], found
         start = at(m.start())
         if start in opened or not _opens(base[m.start() : m.start() + 4096]):
             continue
-        try:
-            names, body = _unpacked(_plain_bytes(base[m.start() :]))
-        except Oversized:
-            span = layer.place(start, end)
-            found.setdefault((span[0], "unread", "", span[1]), {"kind": "unread", "layers": "base64", "start": span[0], "end": span[1], "value": ""})
-            opened.add(start)
-            continue
-        if names:
+        for names, body in _unpacked(_plain_bytes(base[m.start() :])):
             opened.add(start)
             yield inner(body, start, end, tuple(names))
     body = _plain_bytes(base)
@@ -295,37 +295,92 @@ def _opens(base: str) -> bool:
     return False
 
 
-def _unpacked(body: bytes) -> tuple[list[str], bytes]:
-    """Undo compression, layer by layer, as long as the bytes begin like a compressed stream."""
+def _unpacked(body: bytes) -> Iterator[tuple[list[str], bytes]]:
+    """Compression undone, layer by layer, as long as the bytes begin like a compressed stream: the names and the data, in pieces if it is large."""
     names: list[str] = []
     seen = set()
-    while body not in seen:
-        seen.add(body)
+    parts: Iterator[bytes] = iter((body,))
+    while True:
+        first, second = next(parts, b""), next(parts, None)
+        if second is None:
+            if first in seen:  # it unpacks to itself
+                break
+            seen.add(first)
+        parts = chain((first,), () if second is None else (second,), parts)
         for name, magic, opener in PACKERS:
-            if body.startswith(magic):
-                inner = _inflate(opener, magic, body)
-                if inner is not None:
-                    names.append(name)
-                    body = inner
+            if first.startswith(magic):
+                inner = _inflated(opener, magic, iter((first,)) if second is None else parts)
+                begin = next(inner, None)
+                if begin is not None:
+                    names, parts = [*names, name], chain((begin,), inner)
                     break
-    return names, body
+        else:
+            break
+    if names:
+        for piece in _cut(parts) if second is not None else (first,):
+            yield names, piece
 
 
-def _inflate(opener, magic: bytes, body: bytes) -> bytes | None:
-    """All members of a stream up to the first that cannot be read; None if that is the first one."""
-    parts, size = [], 0
-    while body.startswith(magic):
-        stream = opener()
-        try:
-            parts.append(stream.decompress(body, MAX_LAYER + 1 - size))
-        except BROKEN:
-            break
-        size += len(parts[-1])
-        if size > MAX_LAYER:
-            raise Oversized
-        # Null bytes may stand between members.
-        body = stream.unused_data.lstrip(b"\0")
-    return b"".join(parts) if parts else None
+def _inflated(opener, magic: bytes, chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """All members of a stream up to the first that cannot be read, ``MAX_LAYER`` bytes at a time; nothing if that is the first one."""
+    done: list[bytes] = []  # of whole members
+    held: list[bytes] = []  # of the one that is read
+    stream, rest, sure, ended = None, b"", False, False
+    try:
+        for data in chunks:
+            data, rest = rest + data, b""
+            while data:
+                if stream is None:
+                    # Null bytes may stand between members.
+                    data = data.lstrip(b"\0") if done or sure else data
+                    if len(data) < len(magic):
+                        rest = data
+                        break
+                    if not data.startswith(magic):
+                        ended = True
+                        break
+                    stream = opener()
+                for out in _read(stream, data):
+                    held.append(out)
+                    if sum(map(len, held)) + sum(map(len, done)) >= MAX_LAYER:
+                        yield b"".join([*done, *held])
+                        done, held, sure = [], [], True
+                data = b""
+                if stream.eof:
+                    data, stream = stream.unused_data, None
+                    done, held = [*done, *held], []
+            if ended:
+                break
+    except BROKEN:
+        held = []
+    if done or held:
+        yield b"".join([*done, *held])
+
+
+def _read(stream, data: bytes) -> Iterator[bytes]:
+    """What one decompressor makes of its input, a step at a time."""
+    out = stream.decompress(data, STEP)
+    while True:
+        yield out
+        tail = getattr(stream, "unconsumed_tail", None)
+        if stream.eof or (stream.needs_input if tail is None else not tail):
+            return
+        out = stream.decompress(b"" if tail is None else tail, STEP)
+
+
+def _cut(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The parts cut anew where nothing that is looked for goes on; if there is no such place, with an overlap."""
+    held = b""
+    for part in parts:
+        held += part
+        if len(held) < MAX_LAYER:
+            continue
+        stops = [m.end() for m in STOP.finditer(held, max(0, len(held) - OVERLAP))]
+        at = stops[-1] if stops else len(held)
+        yield held[:at]
+        held = held[at if stops else max(0, len(held) - OVERLAP) :]
+    if held:
+        yield held
 
 
 BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
@@ -343,7 +398,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A finding is (kind, layers, start, end, value): ``layers`` is empty for plain ones,
     else the decodings from the outside in, such as ``base64.gzip``; start and end are code
     points of the text. A null or empty text has none, repeated rows each have their own.
-    Compressed data of more than 64 MB unpacked is reported with kind ``unread``.
+    Data of more than 64 MB unpacked is scanned in pieces of that size, cut at characters that end
+    any match. Only what goes on for more than such a piece without one of these is cut inside: a
+    match is then given in parts, a run of base64 read from its first 64 MB.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType
