@@ -7,7 +7,8 @@ material. So rare and new forms of an expression are judged by the stem they beg
 where neither class knows anything the difference is zero. A document is compared by the
 difference of its two log-likelihoods, normalised by length: as a whole, in its
 most suspicious passage and in its most suspicious word. A logistic function, fitted to
-labelled documents that the models have not seen, turns these into a probability.
+labelled documents that the models have not seen, turns these into a probability. Of two
+labels for one id the larger counts.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ ORDER = 6
 DISCOUNT = 0.75
 PARTS = 3  # of the sample, each measured by models of the others
 PASSAGE = 20  # words
-FLOOR = -0.02  # toxic documents are ordinary ones but for a few words, so no word speaks against toxicity by more
+FLOOR = -0.02  # toxic documents are ordinary ones but for a few words, so in what is told no word speaks against toxicity by more
 SAMPLE = 2000  # labelled documents of each class that are learned from at most
 CACHE = 200_000
 OPEN, CLOSE = "\x02", "\x03"
-FEATURES = ("document", "evidence", "passage", "word", "length")
+FEATURES = ("document", "told", "evidence", "passage", "word", "length")
 
 
 def grams(word: str) -> list[str]:
@@ -121,20 +122,25 @@ class WordRatios(dict):
             value += context.get(g[:-1], 0.0) if known is None else known
         if len(self) >= CACHE:
             self.clear()
-        self[word] = value = max(value, FLOOR)
+        self[word] = value
         return value
 
 
 def features(text: str | None, ratios: WordRatios) -> list[float]:
-    """The length-normalised ratios of a whole text, in the order of ``FEATURES``."""
+    """The length-normalised ratios of a whole text, in the order of ``FEATURES``.
+
+    ``document`` is the difference of the two log-likelihoods as it is; in the others a word
+    counts at least ``FLOOR``, so that a long ordinary text does not hide a toxic passage.
+    """
     words = words_of(text)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    each = np.fromiter(map(ratios.__getitem__, words), float, n)
+    whole = np.fromiter(map(ratios.__getitem__, words), float, n)
+    each = np.maximum(whole, FLOOR)
     sums = np.concatenate([[0.0], np.cumsum(each)])
     passage = (sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE if n > PASSAGE else sums[-1] / max(n, PASSAGE / 2)
-    return [sums[-1] / n, sums[-1] / np.sqrt(n), float(passage), float(each.max()), float(np.log1p(n))]
+    return [float(whole.sum()) / n, sums[-1] / n, sums[-1] / np.sqrt(n), float(passage), float(each.max()), float(np.log1p(n))]
 
 
 @dataclass(frozen=True)
