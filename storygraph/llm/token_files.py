@@ -34,6 +34,7 @@ from storygraph.session import scratch_path
 HEADER = "<8sQQII"
 MAGIC = b"ids-pfr1"
 FILE_IDS = 1 << 23  # a file is closed with the document that reaches so many ids
+BATCH_IDS = 1 << 20  # ids given out together when files are read, more only for one long document
 BROADCAST_FILES = 200_000
 HELD = 800_000  # pieces that a worker remembers
 LONG = 256  # longer ones are not remembered
@@ -227,13 +228,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 names, named, sizes, ids = file_rows(image.as_py())
                 ends = np.cumsum(sizes)
                 offsets = np.concatenate([[0], ends * 4])
-                for a in range(0, len(names), 1024):
-                    b = min(a + 1024, len(names))
+                a = 0
+                while a < len(names):
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + BATCH_IDS)))
                     body = ids[(ends[a] - sizes[a]) : ends[b - 1]].astype("<u4").tobytes()
                     each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((offsets[a : b + 1] - offsets[a]).astype(np.int64)), pa.py_buffer(body)])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[a:b], mask=~named[a:b]), pa.array(begin + ends[a:b] - sizes[a:b]), pa.array(sizes[a:b]), each.cast(pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
+                    a = b
 
     return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
