@@ -33,7 +33,7 @@ from storygraph.session import scratch_path
 
 HEADER = "<8sQQII"
 MAGIC = b"ids-pfr1"
-FILE_IDS = 1 << 23  # a file is closed with the document that reaches so many ids
+FILE_IDS = 1 << 22  # a file is closed with the document that reaches so many ids
 BATCH_IDS = 1 << 20  # ids given out together when files are read, more only for one long document
 BROADCAST_FILES = 200_000
 HELD = 800_000  # pieces that a worker remembers
