@@ -25,7 +25,7 @@ from storygraph.llm.columns import fresh
 from storygraph.session import materialize
 
 BLOCK_DOCS = 2048
-GROUP_TERMS = 500_000  # terms of questions answered together, which are broadcast
+GROUP_TERMS = 100_000  # terms of questions answered together, which are broadcast
 TOP = 50
 BOUNDS = 2_000_000  # of blocks and questions held at a time
 # A term is a run of ASCII letters and digits and of all other characters beyond ASCII; A-Z are lower-cased.
@@ -209,7 +209,7 @@ def _answered(index: DataFrame, questions: Questions, k: int, id_type: str) -> D
                 for q in np.flatnonzero(bounds).tolist():
                     ours = held[q]
                     ours.append((int(bounds[q]), row["block"], row["size"]))
-                    if len(ours) > 4 * k:
+                    if len(ours) > 2 * k:
                         held[q] = _enough(ours, k)
         out = [(q, *x) for q, ours in enumerate(held) for x in _enough(ours, k)]
         columns = zip(*out, strict=True) if out else [()] * 4
