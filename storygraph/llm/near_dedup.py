@@ -30,6 +30,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 ORDERED = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 SMALL_GROUP = 48  # groups up to so many fingerprints compare all pairs at once, larger ones grow a forest
 LARGE_GROUP = 20_000  # larger groups are cut into blocks that meet pairwise
+BROADCAST_KEYS = 300_000  # rows to drop whose keys are broadcast
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -201,7 +202,9 @@ def link_fingerprints(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame
         if n:
             yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    distinct = fps.select("fp").distinct()
+    # Each fingerprint becomes 119 keys, so the few bytes of them are dealt to all tasks first.
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").distinct().repartition(width, "fp")
     keys = distinct.mapInArrow(keyed, "key long, fp long")
     dealt = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     found, seen = materialize(dealt.mapInArrow(linked, "u long, v long, key long"), over=F.count("key"))
@@ -250,13 +253,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, columns unchanged."""
-    marked = near_duplicates(docs, id_col, text_col, **options).filter("kept")
-    kept = marked.groupBy(F.col(id_col).alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count(F.lit(1)).alias("n"))
-    keep, seen = materialize(kept, most=F.max("n"))
+    """``docs`` with one row of each group of near duplicates, columns unchanged.
+
+    The keys of the rows to drop are broadcast while they are counted few, so texts are not
+    shuffled; beyond that the rows meet them in a join. Rows equal in id and text are one.
+    """
+    marked = near_duplicates(docs, id_col, text_col, **options)
+    counted = marked.groupBy(F.col(id_col).alias("_its_id"), F.col("digest").alias("_its_digest")).agg(F.count(F.lit(1)).alias("n"), F.first("kept").alias("kept"))
+    keys, seen = materialize(counted, most=F.max(F.when(F.col("kept"), F.col("n"))), dropped=F.count_if(~F.col("kept")))
+    dropped = keys.filter("not kept").select("_its_id", "_its_digest")
+    if seen["dropped"] <= BROADCAST_KEYS:
+        dropped = F.broadcast(dropped)
     digest = fresh("_digest", docs.columns)
     keyed = docs.withColumn(digest, F.md5(F.coalesce(docs[text_col], F.lit(""))))
-    left = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_kept_id"]) & (keyed[digest] == keep["_kept_digest"]), "left_semi")
+    left = keyed.join(dropped, keyed[id_col].eqNullSafe(dropped["_its_id"]) & (keyed[digest] == dropped["_its_digest"]), "left_anti")
     if (seen["most"] or 0) > 1:
         left = left.dropDuplicates([id_col, digest])
     return left.select(*docs.columns)
