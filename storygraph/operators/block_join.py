@@ -21,9 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.operators.metric_index import MetricIndex, build_metric_index
-from storygraph.operators.vector_blocks import Segments, to_matrix
-
-Kernel = Callable[[pa.Table, pa.Table, bool, Segments], Iterator[pa.RecordBatch]]
+from storygraph.operators.vector_blocks import Segments, Vectors
 
 
 def block_count(rows: int, block_rows: int, parallelism: int) -> int:
@@ -115,24 +113,51 @@ def with_blocks(placed: DataFrame, key: str, index: MetricIndex) -> DataFrame:
     return named.withColumn("_block", F.col("_begin") + part).drop("_begin", "_cut")
 
 
+@dataclass
+class Side:
+    """One block of a task: its vectors, and the other columns of its rows in the same order."""
+
+    columns: pa.Table
+    vectors: Vectors
+
+    def __getitem__(self, name: str) -> pa.ChunkedArray:
+        return self.columns[name]
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+
+Kernel = Callable[[Side, Side, bool, Segments], Iterator[pa.RecordBatch]]
+
+
+def _sides(table: pa.Table, pairs_of_pivots: bool) -> tuple[Side, Side, bool] | None:
+    """The two blocks of a group of ``self_grid``, sorted by pivot, as copies: what Spark sent can go."""
+    block = table["_block"].to_numpy()
+    ends = (table["_bi"][0].as_py(), table["_bj"][0].as_py())
+    same = ends[0] == ends[1]
+    sides = []
+    for end in ends[: 1 if same else 2]:
+        at = np.flatnonzero(block == end)
+        if not len(at):
+            return None
+        if pairs_of_pivots:
+            at = at[np.argsort(table["_pivot"].to_numpy()[at], kind="stable")]
+        sides.append(Side(table.drop_columns("vec").take(pa.array(at)), Vectors.of(table["vec"], at)))
+    return sides[0], sides[-1], same
+
+
 def self_grid(blocks: Blocks, kernel: Kernel, schema: str) -> DataFrame:
     """Run ``kernel(left, right, same, segments)`` on each pair of blocks that meet."""
     reach = None if blocks.reach is None else blocks.rows.sparkSession.sparkContext.broadcast(blocks.reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if reach is not None:
-            table = table.sort_by("_pivot")
-        block = table["_block"].to_numpy()
-        bi, bj = table["_bi"][0].as_py(), table["_bj"][0].as_py()
-        same = bi == bj
-        left = table if same else table.filter(pa.array(block == bi))
-        right = table if same else table.filter(pa.array(block == bj))
-        if not (left.num_rows and right.num_rows):
+        met = _sides(pa.Table.from_batches(list(batches)), reach is not None)
+        if met is None:
             return
-        segments = Segments(left.num_rows, right.num_rows)
+        left, right, same = met
+        segments = Segments(len(left), len(right))
         if reach is not None:
-            segments = Segments(left.num_rows, right.num_rows, left["_pivot"].to_numpy(), right["_pivot"].to_numpy(), reach.value)
+            segments = Segments(len(left), len(right), left["_pivot"].to_numpy(), right["_pivot"].to_numpy(), reach.value)
         yield from kernel(left, right, same, segments)
 
     dealt = blocks.spread().repartition(_width(blocks.rows, blocks.tasks()), "_bi", "_bj")
@@ -142,7 +167,3 @@ def self_grid(blocks: Blocks, kernel: Kernel, schema: str) -> DataFrame:
 def _width(df: DataFrame, tasks: int) -> int:
     """Shuffle width for ``tasks`` equal groups: spread them, but stay within what a driver tracks well."""
     return int(min(max(tasks, 1) * 2, max(df.sparkSession.sparkContext.defaultParallelism * 8, 2000)))
-
-
-def matrix_of(table: pa.Table, column: str) -> np.ndarray:
-    return to_matrix(table[column])

@@ -4,6 +4,7 @@ Connected Components in MapReduce and Beyond, 2014) join the forests."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from storygraph.operators.vector_blocks import Forest
 from storygraph.session import materialize
 
-CHUNK = 1 << 20  # edges contracted at a time, which bounds the memory of a task
+# Edges contracted at a time, or so many bytes of them, which bounds the memory of a task.
+CHUNK = 1 << 20
+CHUNK_BYTES = 64 << 20
 # Forests of at most so many edges, counted while written, are joined by one last pass of the same kind.
 LAST = 500_000
 
@@ -34,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if seen["rows"] <= last:
             # Forests of a proven size: one task sees them all, and its stars are the components.
-            current = contracted(current.coalesce(1), max(last, 1))
+            current = contracted(current.coalesce(1), max(last, 1), chunk_bytes=math.inf)
             break
         before = seen
         stars, _ = _written(contracted(_large_star(current)))
@@ -47,18 +50,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def contracted(edges: DataFrame, chunk: int = CHUNK, *, chunk_bytes: float = CHUNK_BYTES) -> DataFrame:
     """Edges (u, v) of the same components: from each node of a chunk to the smallest one it reaches within the chunk."""
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = size = 0
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
-            if n >= chunk:
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= chunk or size >= chunk_bytes:
                 yield stars(held)
-                held, n = [], 0
+                held, n, size = [], 0, 0
         if n:
             yield stars(held)
 

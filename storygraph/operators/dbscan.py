@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.vectors import usable
-from storygraph.operators.block_join import Blocks, make_blocks, matrix_of, self_grid
+from storygraph.operators.block_join import Blocks, Side, make_blocks, self_grid
 from storygraph.operators.components import connected_components
 from storygraph.operators.vector_blocks import Forest, Segments, exact_dots, similar_tiles
 from storygraph.params import Params
@@ -61,8 +61,8 @@ def eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float, params: Param
     id_type = nodes.schema["node"].dataType.simpleString()
     bar = 1.0 - eps - ROUNDING
 
-    def kernel(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
-        a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
+    def kernel(left: Side, right: Side, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
+        a, b = left.vectors, right.vectors
         for i, j in similar_tiles(a, b, bar, same, segments):
             yield pa.RecordBatch.from_arrays(
                 [
@@ -212,8 +212,8 @@ def _lowest(labelled: DataFrame) -> DataFrame:
 
 
 def _forest_kernel(bar: float):
-    def kernel(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
-        a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
+    def kernel(left: Side, right: Side, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
+        a, b = left.vectors, right.vectors
         shift = 0 if same else len(a)
         forest = Forest(len(a) + (0 if same else len(b)))
         for i, j in similar_tiles(a, b, bar, same, segments):
@@ -238,8 +238,8 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
     id_type = nodes.schema["node"].dataType.simpleString()
     incremental = stored is not None
 
-    def neighbours(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
-        a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
+    def neighbours(left: Side, right: Side, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
+        a, b = left.vectors, right.vectors
         # What is known counts its old neighbours already, so it gains only what is added.
         from_left, from_right = (t["added" if incremental and o["known"][0].as_py() else "copies"].to_numpy() for t, o in ((left, right), (right, left)))
         left_sum, right_sum = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -258,8 +258,8 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
     weighed = nodes.join(degree, "node", "left").withColumn("weight", own + F.coalesce("more", F.lit(0))).drop("more")
     flagged, _ = materialize(weighed.withColumn("core", F.col("weight") >= min_samples))
 
-    def links(left: pa.Table, right: pa.Table, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
-        a, b = matrix_of(left, "vec"), matrix_of(right, "vec")
+    def links(left: Side, right: Side, same: bool, segments: Segments) -> Iterator[pa.RecordBatch]:
+        a, b = left.vectors, right.vectors
         shift = 0 if same else len(a)
         ids = left["node"] if same else pa.chunked_array(left["node"].chunks + right["node"].chunks)
         core = left["core"].to_numpy() if same else np.concatenate([left["core"].to_numpy(), right["core"].to_numpy()])

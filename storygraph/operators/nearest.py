@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storygraph.functions.vectors import usable
-from storygraph.operators.block_join import block_of, matrix_of, with_blocks
+from storygraph.operators.block_join import block_of, with_blocks
 from storygraph.operators.metric_index import SLACK, MetricIndex, build_metric_index
-from storygraph.operators.vector_blocks import best_match, to_matrix
+from storygraph.operators.vector_blocks import Vectors, best_match, to_matrix
 from storygraph.params import Params
 from storygraph.session import materialize
 
@@ -66,23 +67,27 @@ def assign_to_clusters(
     return best.select(key, F.when(near, F.col("best_id")).alias("cluster_id"), "similarity")
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by([("last_updated", "ascending"), ("cluster_id", "ascending")])
+def _order(table: pa.Table) -> np.ndarray:
+    """Clusters by last update, then id: the first of equally near ones counts."""
+    keys = [("last_updated", "ascending"), ("cluster_id", "ascending")]
+    return pc.sort_indices(table.select(["last_updated", "cluster_id"]), sort_keys=keys).to_numpy()
 
 
 def _against_broadcast(base: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    table = _ordered(state.toArrow())
-    shared = base.sparkSession.sparkContext.broadcast((to_matrix(table["vec"]), table["cluster_id"].combine_chunks()))
+    table = state.toArrow()
+    order = _order(table)
+    ids = table["cluster_id"].take(pa.array(order)).combine_chunks()
+    shared = base.sparkSession.sparkContext.broadcast((Vectors.of(table["vec"], order), ids))
     out = T.StructType(
         [base.schema[key], T.StructField("best_id", state.schema["cluster_id"].dataType), T.StructField("similarity", T.DoubleType())]
     )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, ids = shared.value
+        vectors, ids = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            arg, best = best_match(to_matrix(batch.column("vec")), matrix)
+            arg, best = best_match(Vectors.of(batch.column("vec")), vectors)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), ids.take(pa.array(arg)), pa.array(best)], names=[key, "best_id", "similarity"]
             )
@@ -145,12 +150,12 @@ def _matched(asked: DataFrame, clusters: DataFrame, key: str, parts: int) -> Dat
     names = [key, "best_id", "similarity", "last_updated"]
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = _ordered(right)
         if left.num_rows == 0 or right.num_rows == 0:
             empty = [left[key], right["cluster_id"], pa.array([], pa.float64()), right["last_updated"]]
             return pa.Table.from_arrays([c.slice(0, 0) for c in empty], names=names)
-        arg, best = best_match(matrix_of(left, "vec"), matrix_of(right, "vec"))
-        take = pa.array(np.asarray(arg))
+        order = _order(right)
+        arg, best = best_match(Vectors.of(left["vec"]), Vectors.of(right["vec"], order))
+        take = pa.array(order[arg])
         return pa.Table.from_arrays([left[key], right["cluster_id"].take(take), pa.array(best), right["last_updated"].take(take)], names=names)
 
     # Articles are cut by hash, so a block that many of them are near to is met in several tasks.

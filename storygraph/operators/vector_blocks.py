@@ -1,18 +1,21 @@
 """NumPy kernels that run inside a Spark task on one bounded block of vectors.
 
-A block is a unit-length float32 matrix. Products are taken in float32; whatever
-lies within ``margin`` of a decision is decided again in float64, so results are
-those of float64 arithmetic at float32 speed.
+A block is held in float32 only: as it came and scaled to unit length. Products are taken in
+float32; whatever lies within ``margin`` of a decision is decided again in float64, for the
+rows concerned alone, so results are those of float64 arithmetic at float32 speed and memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
 TILE = 2048
+# Components put into float64 at a time.
+EXACT = 1 << 20
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -29,16 +32,77 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+class Vectors:
+    """The rows of a block. A matrix without ``norms`` holds unit rows already."""
+
+    def __init__(self, raw: np.ndarray, norms: np.ndarray | None = None):
+        self.raw, self.norms = raw, norms
+
+    @staticmethod
+    def of(column: pa.Array | pa.ChunkedArray, order: np.ndarray | None = None) -> Vectors:
+        """Rows of a list column, those at ``order`` in this order or all; one copy at most."""
+        chunks = [c for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
+        if not chunks:
+            return Vectors(np.zeros((0, 0), np.float32), np.zeros(0))
+        width = len(chunks[0][0])
+        parts = []
+        for chunk in chunks:
+            if not (np.diff(chunk.offsets.to_numpy()) == width).all():
+                raise ValueError("vectors of unequal length in one column")
+            parts.append(chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), width))
+        if order is None:
+            raw = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        else:
+            raw = np.empty((len(order), width), parts[0].dtype)
+            start = 0
+            for part in parts:
+                here = np.flatnonzero((order >= start) & (order < start + len(part)))
+                raw[here] = part[order[here] - start]
+                start += len(part)
+        step = max(1, EXACT // max(width, 1))
+        norms = [np.linalg.norm(raw[s : s + step].astype(np.float64), axis=1) for s in range(0, len(raw), step)]
+        return Vectors(raw, np.concatenate(norms) if norms else np.zeros(0))
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    @property
+    def width(self) -> int:
+        return self.raw.shape[1]
+
+    def exact(self, at: slice | np.ndarray) -> np.ndarray:
+        """Unit rows in float64."""
+        rows = self.raw[at].astype(np.float64)
+        if self.norms is not None:
+            rows /= self.norms[at][:, None]
+        return rows
+
+    @cached_property
+    def unit(self) -> np.ndarray:
+        """All unit rows in float32."""
+        out = np.empty(self.raw.shape, np.float32)
+        step = max(1, EXACT // max(self.width, 1))
+        for s in range(0, len(out), step):
+            out[s : s + step] = self.exact(slice(s, s + step))
+        return out
+
+
+def _vectors(rows: Vectors | np.ndarray) -> Vectors:
+    return rows if isinstance(rows, Vectors) else Vectors(rows)
+
+
 def margin(width: int) -> float:
     """Twice the error bound of a float32 product of unit vectors: one rounding per component, and those of the inputs."""
     return 2 * (width + 4) * 2.0**-24
 
 
-def exact_dots(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def exact_dots(left: Vectors | np.ndarray, right: Vectors | np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    left, right = _vectors(left), _vectors(right)
     out = np.empty(len(i))
-    for s in range(0, len(i), 65536):
-        part = slice(s, s + 65536)
-        out[part] = np.einsum("nd,nd->n", left[i[part]], right[j[part]])
+    step = max(1, EXACT // max(left.width, 1))
+    for s in range(0, len(i), step):
+        part = slice(s, s + step)
+        out[part] = np.einsum("nd,nd->n", left.exact(i[part]), right.exact(j[part]))
     return out
 
 
@@ -64,14 +128,15 @@ def _runs(n: int, pivots: np.ndarray | None) -> list[tuple[int, int, int]]:
 
 
 def similar_tiles(
-    left: np.ndarray, right: np.ndarray, min_similarity: float, same: bool, segments: Segments | None = None
+    left: Vectors | np.ndarray, right: Vectors | np.ndarray, min_similarity: float, same: bool, segments: Segments | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows at least ``min_similarity`` apart, one tile at a time.
 
     With ``same`` the two sides are one block and only i < j is given.
     """
-    left32, right32 = left.astype(np.float32), right.astype(np.float32)
-    doubt = margin(left.shape[1])
+    left, right = _vectors(left), _vectors(right)
+    left32, right32 = left.unit, right.unit
+    doubt = margin(left.width)
     for r, r_end, c, c_end in (segments or Segments(len(left), len(right))).pairs(same):
         sims = left32[r:r_end] @ right32[c:c_end].T
         i, j = np.nonzero(sims >= min_similarity - doubt)
@@ -90,16 +155,17 @@ def similar_tiles(
             yield i, j
 
 
-def best_match(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best_match(left: Vectors | np.ndarray, right: Vectors | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each left row the most similar right row (the first of equals) and its similarity."""
+    left, right = _vectors(left), _vectors(right)
     best = np.full(len(left), -np.inf)
     arg = np.full(len(left), -1, dtype=np.int64)
-    left32, right32 = left.astype(np.float32), right.astype(np.float32)
+    right32 = right.unit
     for r in range(0, len(left), TILE):
-        rows = left32[r : r + TILE]
+        rows = left.exact(slice(r, r + TILE)).astype(np.float32)
         for c in range(0, len(right), TILE):
             sims = rows @ right32[c : c + TILE].T
-            bar = np.maximum(sims.max(axis=1), best[r : r + TILE]) - margin(left.shape[1])
+            bar = np.maximum(sims.max(axis=1), best[r : r + TILE]) - margin(left.width)
             i, j = np.nonzero(sims >= bar[:, None])
             if len(i) == 0:
                 continue
