@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from storygraph.schemas import BLOCK
 from storygraph.session import materialize
 
 BROADCAST_URLS = 200_000
+# Bytes of HTML parsed at a time.
+PARSED = 1 << 20
 
 CARD_PICKS = ("link", "title", "image", "image_style")
 ELEMENT_PICKS = ("text", "iframe", "image", "caption", "video")
@@ -79,6 +83,16 @@ class _Picks:
         return found.pick(name, what, root)
 
 
+def in_pieces(batch: pa.RecordBatch, most: int = PARSED) -> Iterator[pa.RecordBatch]:
+    """A batch of pages in pieces of about ``most`` bytes of HTML: what is picked out of a page takes several times its room until it is Arrow again."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.binary_length(batch.column("html")).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.r_[True, np.diff(ends // most) > 0]).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def shred_listings(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFrame:
     """(url, source, fetched_at, cards): the picked strings of every card of a listing page."""
     plans = {p.source: _Picks({n: getattr(p, n) for n in CARD_PICKS}, {"card": p.card}) for p in profiles}
@@ -93,7 +107,7 @@ def shred_listings(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFra
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in in_pieces(whole)):
             sources, html = batch.column("source").to_pylist(), batch.column("html").to_pylist()
             cards = pa.array([cards_of(s, h) for s, h in zip(sources, html)], type=_CARDS)
             kept = [batch.column(n) for n in ("url", "source", "fetched_at")]
@@ -133,7 +147,7 @@ def shred_articles(pages: DataFrame, profiles: Sequence[SiteProfile]) -> DataFra
         return elements, taken
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in in_pieces(whole)):
             sources, html = batch.column("source").to_pylist(), batch.column("html").to_pylist()
             found = [article_of(s, h) for s, h in zip(sources, html)]
             arrays = [batch.column("url"), batch.column("source"), pa.array([e for e, _ in found], type=_ELEMENTS)]

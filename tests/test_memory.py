@@ -54,3 +54,13 @@ def test_a_block_is_held_in_float32_alone():
     assert not out["same"] and (left % 2 == 0).all() and (np.diff(left % 7) >= 0).all() and len(left) + len(out["right"]) == 8192
     unit = raw[left].astype(np.float64)
     assert (out["left"].vectors.exact(slice(None)) == unit / np.linalg.norm(unit, axis=1, keepdims=True)).all()
+
+
+def test_pages_are_parsed_in_pieces():
+    from storygraph.operators.extract import in_pieces
+
+    html = ["x" * n for n in (3, 50, 1, 1, 0, 200, 7)]
+    batch = pa.RecordBatch.from_pydict({"url": [str(k) for k in range(7)], "html": html})
+    pieces = list(in_pieces(batch, 20))
+    assert [p.column("html").to_pylist() for p in pieces] == [html[:1], html[1:5], html[5:6], html[6:]]
+    assert len(list(in_pieces(batch))) == 1 and not list(in_pieces(batch.slice(0, 0)))
