@@ -9,8 +9,8 @@ texts of older members again.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,13 @@ from storygraph.functions.text import article_text, short_text, truncate_tokens
 from storygraph.operators.models import EmbedFn, Tokenizer
 from storygraph.params import Params
 
-BLANK = re.compile(r"[ \t\n\r\f\v]+")
+# Characters of texts whose grams are hashed together, and grams in one go.
+GROUP_CHARS, GRAMS = 1 << 20, 16384
+
+# The constants of MD5.
+SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+TURNS = np.array([7, 12, 17, 22, 5, 9, 14, 20, 4, 11, 16, 23, 6, 10, 15, 21], np.uint32).reshape(4, 4)
+BLOCK, MOST = 64, 55  # bytes of a block, and those a text of one block may have
 
 
 def ngram_counts(text: str, dim: int) -> np.ndarray:
@@ -31,14 +37,79 @@ def ngram_counts(text: str, dim: int) -> np.ndarray:
     ``h % dim`` and the sign is + where ``h // dim`` is even, ``h`` being the first
     8 hex digits of the MD5 of the gram.
     """
-    hashes = []
-    for passage in text.lower().split("\n\n"):
-        words = [w for w in BLANK.split(passage) if w]
-        grams = words if len(words) < 3 else map(" ".join, zip(words, words[1:], words[2:]))
-        hashes.extend(hashlib.md5(g.encode()).digest()[:4] for g in grams)
-    h = np.frombuffer(b"".join(hashes), dtype=">u4").astype(np.int64)
-    sign = 1 - 2 * ((h // dim) % 2)
-    return np.bincount(h % dim, weights=sign, minlength=dim).astype(np.int64)
+    return next(counts_of([text], dim))
+
+
+def counts_of(texts: Sequence[str], dim: int) -> Iterator[np.ndarray]:
+    """``ngram_counts`` of each text. Texts are taken together up to ``GROUP_CHARS``, as NumPy is fast on many grams only."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        if size and (size + len(text) > GROUP_CHARS or (k - begin) * dim >= GROUP_CHARS):
+            yield from _counted(texts[begin:k], dim)
+            begin, size = k, 0
+        size += max(len(text), 1)
+    if begin < len(texts):
+        yield from _counted(texts[begin:], dim)
+
+
+def _counted(texts: Sequence[str], dim: int) -> np.ndarray:
+    passages, words, owner = [], [], []
+    for k, text in enumerate(texts):
+        for passage in text.lower().split("\n\n"):
+            # Blanks are those of ASCII.
+            if found := passage.encode().split():
+                passages.append(b" ".join(found))
+                words.append(len(found))
+                owner.append(k)
+    data = np.frombuffer(b" ".join([*passages, bytes(BLOCK)]), np.uint8)
+    total = np.zeros(len(texts) * dim)
+    ends = np.flatnonzero(data == 32)
+    n, owner = np.array(words, np.int64), np.array(owner, np.int64)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(ends))  # words up to the end of the passage, this one included
+    short = np.repeat(n < 3, n)
+    first = np.flatnonzero(short | (left >= 3))
+    last = ends[np.where(short[first], first, first + 2)]
+    start, of = np.r_[0, ends[:-1] + 1][first] if len(ends) else first, np.repeat(owner, n)[first]
+    for s in range(0, len(first), GRAMS):
+        part = slice(s, s + GRAMS)
+        h = _md5_heads(data, start[part], last[part]).astype(np.int64)
+        total += np.bincount(of[part] * dim + h % dim, weights=1 - 2 * ((h // dim) % 2), minlength=len(total))
+    return total.astype(np.int64).reshape(len(texts), dim)
+
+
+def _md5_heads(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 8 hex digits of the MD5 of each stretch of ``data``, as numbers.
+
+    ``hashlib`` takes a call for each gram, which was most of the time of an embedding; here the
+    steps run over many grams at once. Stretches of more than one block are left to it.
+    ``data`` goes on for a block at least after the last of them.
+    """
+    size = end - start
+    blocks = np.lib.stride_tricks.sliding_window_view(data, BLOCK)[start]
+    blocks[np.arange(BLOCK) >= size[:, None]] = 0
+    fits = size <= MOST
+    blocks[np.flatnonzero(fits), size[fits]] = 0x80
+    m = np.ascontiguousarray(blocks.view("<u4").astype(np.uint32).T)
+    m[14] = size * 8
+    a, b, c, d = (np.full(len(size), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += SINES[i]
+        f += m[g]
+        turn = TURNS[i // 16, i % 4]
+        a, d, c, b = d, c, b, b + ((f << turn) | (f >> (np.uint32(32) - turn)))
+    heads = (a + np.uint32(0x67452301)).byteswap()
+    for k in np.flatnonzero(~fits):
+        heads[k] = int.from_bytes(hashlib.md5(data[start[k] : end[k]].tobytes()).digest()[:4], "big")
+    return heads
 
 
 def text_counts(text: Column, dim: int) -> Column:
@@ -47,11 +118,12 @@ def text_counts(text: Column, dim: int) -> Column:
     @F.pandas_udf("pos array<int>, n array<bigint>")
     def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            all_of = [None if t is None else ngram_counts(t, dim) for t in batch]
-            at = [None if c is None else np.flatnonzero(c).astype(np.int32) for c in all_of]
-            yield pd.DataFrame(
-                {"pos": pd.Series(at, dtype=object), "n": pd.Series([None if c is None else c[i] for c, i in zip(all_of, at)], dtype=object)}
-            )
+            at, n = np.full((2, len(batch)), None, dtype=object)
+            given = np.flatnonzero(batch.notna())
+            for k, found in zip(given, counts_of(batch.iloc[given].tolist(), dim), strict=True):
+                at[k] = np.flatnonzero(found).astype(np.int32)
+                n[k] = found[at[k]]
+            yield pd.DataFrame({"pos": pd.Series(at), "n": pd.Series(n)})
 
     return counts(text)
 
@@ -60,12 +132,12 @@ def hashed_vectors(dim: int) -> EmbedFn:
     """The built-in model as a batch function."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        def one(text: str):
-            counts = ngram_counts(text, dim).astype(np.float64)
+        def one(found: np.ndarray):
+            counts = found.astype(np.float64)
             length = np.linalg.norm(counts)
             return (counts / length if length else counts).astype(np.float32)
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+        return pd.Series([one(c) for c in counts_of(texts.tolist(), dim)], dtype=object)
 
     return embed
 

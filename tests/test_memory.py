@@ -64,3 +64,28 @@ def test_pages_are_parsed_in_pieces():
     pieces = list(in_pieces(batch, 20))
     assert [p.column("html").to_pylist() for p in pieces] == [html[:1], html[1:5], html[5:6], html[6:]]
     assert len(list(in_pieces(batch))) == 1 and not list(in_pieces(batch.slice(0, 0)))
+
+
+def test_grams_of_many_texts_are_hashed_together(monkeypatch):
+    from storygraph.operators import embed
+
+    def plain(text, dim):
+        out = np.zeros(dim, np.int64)
+        for passage in text.lower().split("\n\n"):
+            words = passage.encode().split()
+            for gram in words if len(words) < 3 else map(b" ".join, zip(words, words[1:], words[2:])):
+                h = int(hashlib.md5(gram).hexdigest()[:8], 16)
+                out[h % dim] += 1 - 2 * (h // dim % 2)
+        return out
+
+    texts = ["", "A", "a  b\n\nc", " \n\n\n", "x" * 53 + " y", "x" * 54 + " y", "é" * 30 + " B c Ä\x0b\x0cq\x1cr \x85 s", "a b c d e f\n\n g h", "z " * 500]
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(embed, "GROUP_CHARS", most)
+        monkeypatch.setattr(embed, "GRAMS", 7 if most == 3 else 16384)
+        got = list(embed.counts_of(texts, 32))
+        assert len(got) == len(texts) and all((g == plain(t, 32)).all() for g, t in zip(got, texts, strict=True))
+    # One call of the digest for each gram was most of the time of an embedding.
+    calls = []
+    monkeypatch.setattr(embed.hashlib, "md5", lambda b: calls.append(b))
+    embed.ngram_counts("some words that are short enough " * 50, 64)
+    assert not calls
