@@ -93,7 +93,9 @@ def make_blocks(rows: DataFrame, key: str, n: int, block_rows: int, index_rows:
     if blocks or n <= index_rows:
         total = blocks or block_count(n, block_rows, rows.sparkSession.sparkContext.defaultParallelism)
         return Blocks(rows.withColumn("_block", block_of(F.col(key), total)), total, known)
-    placed, index = build_metric_index(rows, key, n, block_rows)
+    # No larger than leaves each core a pair of blocks.
+    busy = block_count(n, block_rows, rows.sparkSession.sparkContext.defaultParallelism)
+    placed, index = build_metric_index(rows, key, n, min(block_rows, math.ceil(n / busy)))
     return Blocks(with_blocks(placed, key, index), index.blocks, known, index, index.reach(angle))
 
 
@@ -166,4 +168,4 @@ def self_grid(blocks: Blocks, kernel: Kernel, schema: str) -> DataFrame:
 
 def _width(df: DataFrame, tasks: int) -> int:
     """Shuffle width for ``tasks`` equal groups: spread them, but stay within what a driver tracks well."""
-    return int(min(max(tasks, 1) * 2, max(df.sparkSession.sparkContext.defaultParallelism * 8, 2000)))
+    return int(min(max(tasks, 1) * 4, max(df.sparkSession.sparkContext.defaultParallelism * 8, 2000)))

@@ -216,7 +216,7 @@ def _forest_kernel(bar: float):
         a, b = left.vectors, right.vectors
         shift = 0 if same else len(a)
         forest = Forest(len(a) + (0 if same else len(b)))
-        for i, j in similar_tiles(a, b, bar, same, segments):
+        for i, j in similar_tiles(a, b, bar, same, segments, forest.joined(shift)):
             forest.add(i, j + shift)
         ids = left["node"] if same else pa.chunked_array(left["node"].chunks + right["node"].chunks)
         child = np.flatnonzero(forest.root != np.arange(len(forest.root)))
@@ -231,6 +231,8 @@ def _forest_kernel(bar: float):
 def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Core test, components of the core points, then border points: (nodes with weight, core and label, links).
 
+    Without a state the weight of a core point is a lower bound of its neighbours.
+
     With ``stored`` links (src, dst) the nodes come from a state: pairs of known ones are not
     searched, and ``links`` (src, dst) are all pairs of which one row at least is no core
     point. Otherwise ``links`` are empty.
@@ -243,7 +245,16 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
         # What is known counts its old neighbours already, so it gains only what is added.
         from_left, from_right = (t["added" if incremental and o["known"][0].as_py() else "copies"].to_numpy() for t, o in ((left, right), (right, left)))
         left_sum, right_sum = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        for i, j in similar_tiles(a, b, bar, same, segments):
+
+        def cores(r: int, r_end: int, c: int, c_end: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows found to be core points: how many more neighbours they have does not matter."""
+            found = []
+            for side, sums, other, s in ((left, left_sum, right_sum, slice(r, r_end)), (right, right_sum, left_sum, slice(c, c_end))):
+                found.append(side["copies"].to_numpy()[s] + sums[s] + (other[s] if same else 0) >= min_samples)
+            return found[0], found[1]
+
+        # A state keeps the number of all neighbours.
+        for i, j in similar_tiles(a, b, bar, same, segments, None if incremental else cores):
             np.add.at(left_sum, i, from_right[j])
             np.add.at(right_sum, j, from_left[i])
         sides = [(left, left_sum + right_sum)] if same else [(left, left_sum), (right, right_sum)]
@@ -266,7 +277,7 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
         forest = Forest(len(core))
         touching: set[tuple[int, int]] = set()
         open_pairs: list[np.ndarray] = []
-        for i, j in similar_tiles(a, b, bar, same, segments):
+        for i, j in similar_tiles(a, b, bar, same, segments, forest.joined(shift, core)):
             j = j + shift
             inner = core[i] & core[j]
             forest.add(i[inner], j[inner])

@@ -7,7 +7,7 @@ rows concerned alone, so results are those of float64 arithmetic at float32 spee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -113,10 +113,37 @@ class Segments:
         self.left, self.right, self.reach = _runs(left, left_pivots), _runs(right, right_pivots), reach
 
     def pairs(self, same: bool) -> Iterator[tuple[int, int, int, int]]:
-        for k, (a, b, p) in enumerate(self.left):
-            for c, d, q in self.right[k if same else 0 :]:
-                if self.reach is None or self.reach[p, q]:
+        """Tiles that cover all pairs of runs in reach. Neighbouring runs go together up to ``TILE`` rows, on the
+        left those that reach the same, as many small tiles cost more than their products."""
+        k = 0
+        while k < len(self.left):
+            near = self._near(k)
+            a, b, _ = self.left[k]
+            k += 1
+            while k < len(self.left) and self.left[k][1] - a <= TILE and (self._near(k) == near).all():
+                b = self.left[k][1]
+                k += 1
+            if same:
+                yield a, b, a, b
+            c = d = -1
+            for at in range(k if same else 0, len(self.right)):
+                begin, end, _ = self.right[at]
+                if not near[at]:
+                    continue
+                if begin == d and end - c <= TILE:
+                    d = end
+                    continue
+                if c >= 0:
                     yield a, b, c, d
+                c, d = begin, end
+            if c >= 0:
+                yield a, b, c, d
+
+    def _near(self, k: int) -> np.ndarray:
+        """Which runs on the right the run ``k`` on the left reaches."""
+        if self.reach is None:
+            return np.ones(len(self.right), bool)
+        return self.reach[self.left[k][2], [q for _, _, q in self.right]]
 
 
 def _runs(n: int, pivots: np.ndarray | None) -> list[tuple[int, int, int]]:
@@ -127,32 +154,55 @@ def _runs(n: int, pivots: np.ndarray | None) -> list[tuple[int, int, int]]:
     return out
 
 
+# Of the rows r to r_end on the left and c to c_end on the right: two masks.
+Settled = Callable[[int, int, int, int], tuple[np.ndarray, np.ndarray]]
+
+
 def similar_tiles(
-    left: Vectors | np.ndarray, right: Vectors | np.ndarray, min_similarity: float, same: bool, segments: Segments | None = None
+    left: Vectors | np.ndarray,
+    right: Vectors | np.ndarray,
+    min_similarity: float,
+    same: bool,
+    segments: Segments | None = None,
+    settled: Settled | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows at least ``min_similarity`` apart, one tile at a time.
 
-    With ``same`` the two sides are one block and only i < j is given.
+    With ``same`` the two sides are one block and only i < j is given. ``settled`` is asked before each
+    tile, knowing what was given so far, which of its rows need not meet one another any more;
+    pairs of which one row at least is not settled are all given.
     """
     left, right = _vectors(left), _vectors(right)
     left32, right32 = left.unit, right.unit
     doubt = margin(left.width)
     for r, r_end, c, c_end in (segments or Segments(len(left), len(right))).pairs(same):
-        sims = left32[r:r_end] @ right32[c:c_end].T
-        i, j = np.nonzero(sims >= min_similarity - doubt)
-        if same and r == c:
-            upper = i < j
-            i, j = i[upper], j[upper]
-        if len(i) == 0:
-            continue
-        close = np.flatnonzero(sims[i, j] < min_similarity + doubt)
-        i, j = i + r, j + c
-        if len(close):
-            keep = np.ones(len(i), dtype=bool)
-            keep[close] = exact_dots(left, right, i[close], j[close]) >= min_similarity
-            i, j = i[keep], j[keep]
-        if len(i):
-            yield i, j
+        parts = [(slice(r, r_end), slice(c, c_end))]
+        if settled is not None:
+            done_left, done_right = settled(r, r_end, c, c_end)
+            if done_left.all() and done_right.all():
+                continue
+            if not (same and r == c) and done_left.mean() + done_right.mean() > 1:
+                open_left, open_right = np.flatnonzero(~done_left) + r, np.flatnonzero(~done_right) + c
+                parts = [(open_left, slice(c, c_end)), (np.flatnonzero(done_left) + r, open_right)]
+        for rows, columns in parts:
+            a, b = left32[rows], right32[columns]
+            if not (len(a) and len(b)):
+                continue
+            sims = a @ b.T
+            i, j = np.nonzero(sims >= min_similarity - doubt)
+            if same and r == c:
+                upper = i < j
+                i, j = i[upper], j[upper]
+            if len(i) == 0:
+                continue
+            close = np.flatnonzero(sims[i, j] < min_similarity + doubt)
+            i, j = (at.start + k if isinstance(at, slice) else at[k] for at, k in ((rows, i), (columns, j)))
+            if len(close):
+                keep = np.ones(len(i), dtype=bool)
+                keep[close] = exact_dots(left, right, i[close], j[close]) >= min_similarity
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield i, j
 
 
 def best_match(left: Vectors | np.ndarray, right: Vectors | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,3 +248,20 @@ class Forest:
                 if (shorter == self.root).all():
                     break
                 self.root = shorter
+
+    def joined(self, shift: int, among: np.ndarray | None = None) -> Settled:
+        """Rows that are in one part already, the most frequent one of the left tile; those not ``among`` never are.
+
+        ``shift`` is where the right rows begin.
+        """
+
+        def settled(r: int, r_end: int, c: int, c_end: int) -> tuple[np.ndarray, np.ndarray]:
+            sides = slice(r, r_end), slice(c + shift, c_end + shift)
+            free = [np.ones(s.stop - s.start, bool) if among is None else among[s] for s in sides]
+            roots, count = np.unique(self.root[sides[0]][free[0]], return_counts=True)
+            if not len(roots):
+                return ~np.ones(r_end - r, bool), ~np.ones(c_end - c, bool)
+            part = roots[count.argmax()]
+            return tuple((self.root[s] == part) & f for s, f in zip(sides, free, strict=True))
+
+        return settled

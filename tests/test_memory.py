@@ -56,6 +56,44 @@ def test_a_block_is_held_in_float32_alone():
     assert (out["left"].vectors.exact(slice(None)) == unit / np.linalg.norm(unit, axis=1, keepdims=True)).all()
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_rows_joined_already_are_not_compared_again(monkeypatch, same):
+    monkeypatch.setattr(V, "TILE", 16)
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([[5, 0, 0] + rng.normal(size=(150, 3)), rng.normal(size=(60, 3)), [[0, 0, 1.0]] * 3])
+    rows = rng.permutation(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    a, b = (rows, rows) if same else (rows[:100], rows[100:])
+    near = np.triu(rows @ rows.T >= 0.99, 1)
+    if not same:
+        near[:100, :100] = near[100:, 100:] = False
+    whole, forest = V.Forest(len(rows)), V.Forest(len(rows))
+    whole.add(*np.nonzero(near))
+    shift, given = 0 if same else 100, 0
+    for i, j in V.similar_tiles(a, b, 0.99, same, settled=forest.joined(shift)):
+        given += len(i)
+        forest.add(i, j + shift)
+    assert (forest.root == whole.root).all()
+    assert given < near.sum()
+    # Rows left out of it meet all others.
+    among, seen = rng.random(len(rows)) < 0.7, set()
+    forest = V.Forest(len(rows))
+    for i, j in V.similar_tiles(a, b, 0.99, same, settled=forest.joined(shift, among)):
+        seen |= set(zip(i.tolist(), (j + shift).tolist(), strict=True))
+        inner = among[i] & among[j + shift]
+        forest.add(i[inner], j[inner] + shift)
+    assert {(x, y) for x, y in zip(*np.nonzero(near), strict=True) if not (among[x] and among[y])} <= seen
+
+
+@pytest.mark.parametrize("min_samples, blocks", [(2, 1), (3, 1), (5, 2)])
+def test_dense_rows_over_several_tiles_with_strays(spark, min_samples, blocks):
+    rng = np.random.default_rng(5)
+    dense = np.ones((4000, 8)) + rng.normal(scale=0.2, size=(4000, 8))
+    data = rng.permutation(np.concatenate([dense, rng.normal(size=(700, 8))])).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], SCHEMA)
+    got = labels(dbscan(df, "id", "vec", 0.05, min_samples, blocks=blocks))
+    assert got == brute_dbscan(data.astype(np.float64), 0.05, min_samples)
+
+
 def test_pages_are_parsed_in_pieces():
     from storygraph.operators.extract import in_pieces
 
@@ -89,3 +127,22 @@ def test_grams_of_many_texts_are_hashed_together(monkeypatch):
     monkeypatch.setattr(embed.hashlib, "md5", lambda b: calls.append(b))
     embed.ngram_counts("some words that are short enough " * 50, 64)
     assert not calls
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_neighbouring_runs_are_met_in_one_tile(same):
+    rng = np.random.default_rng(6)
+    left = np.sort(rng.integers(0, 60, 5000))
+    right = left if same else np.sort(rng.integers(0, 60, 3000))
+    apart = np.abs(np.arange(60)[:, None] - np.arange(60))
+    for reach in (apart >= 0, apart <= 3):
+        met = np.zeros((len(left), len(right)), bool)
+        tiles = list(V.Segments(len(left), len(right), left, right, reach).pairs(same))
+        for a, b, c, d in tiles:
+            assert b - a <= V.TILE and d - c <= V.TILE and (not same or (a, b) == (c, d) or b <= c)
+            assert not met[a:b, c:d].any()
+            met[a:b, c:d] = True
+        wanted = reach[np.ix_(left, right)]
+        assert (met | ~(np.triu(wanted) if same else wanted)).all()
+        # One tile for each pair of pivots were 1,830 and more.
+        assert len(tiles) <= (20 if apart[reach].max() > 3 else 140)
