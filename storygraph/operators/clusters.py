@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storygraph.functions.text import paragraphs, refresh_text, short_text, token_count, truncate_tokens
 from storygraph.functions.vectors import let, unit_vector
-from storygraph.operators.embed import embed_text, text_counts
+from storygraph.operators.embed import counts_of, embed_text
 from storygraph.operators.models import WINDOW_TOKENS, EmbedFn, Models, SummaryFn
 from storygraph.operators.summarize import best_sentences, key_order, parse_summary, sentences_of, summarize_text
 from storygraph.params import Params
 from storygraph.session import materialize
 
 MEMBER_KEY = ["source", "article_id"]
+# Rows whose counts are whole arrays at a time.
+KEYS = 1024
 
 
 def new_cluster_id(first_member: Column, as_of: int) -> Column:
@@ -85,26 +94,85 @@ def cluster_text(passages: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-def sum_counts(rows: DataFrame, keys: list[str], counts: str) -> DataFrame:
-    """Sum of ``text_counts`` per key and bucket, combined before the shuffle."""
-    each = F.explode(F.arrays_zip(F.col(counts)["pos"], F.col(counts)["n"])).alias("_e")
-    return (
-        rows.select(*keys, each)
-        .select(*keys, F.col("_e.pos").alias("_pos"), F.col("_e.n").alias("_n"))
-        .groupBy(*keys, "_pos")
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_n"))).alias("_by_pos"))
-    )
-
+def sum_counts(rows: DataFrame, keys: list[str], passage: str, dim: int, forms: int = 1) -> DataFrame:
+    """(keys, sums): the counts of the passages of a key as an array of ``forms * dim`` sums; a key without any has no row.
 
-def dense(by_pos: Column, dim: int) -> Column:
-    """Map bucket -> count as an array of fixed length."""
-    zero = F.lit(0).cast("bigint")
-    return let(
-        by_pos,
-        lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), zero)),
-    )
+    With several forms a column ``form`` tells which stretch of the array a row counts for. What
+    travels is the buckets that have a count: rows of a key that meet in a batch are added up before
+    the shuffle, in the process that counts them, and the rest by a pass over rows sorted by key,
+    which holds one sum between batches.
+    """
+    given = rows.select(*keys, (F.col("form") if forms > 1 else F.lit(0)).cast("int").alias("_form"), F.col(passage).alias("_passage"))
+    width = forms * dim
+    key_types = [rows.schema[k] for k in keys]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("_passage")))
+            if not batch.num_rows:
+                continue
+            first, row = np.unique(_codes(batch, keys), return_index=True, return_inverse=True)[1:]
+            # A stretch of keys at a time bounds what is held as whole arrays.
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(0, len(first) + KEYS, KEYS))
+            for k, (begin, end) in enumerate(pairwise(ends.tolist())):
+                some = order[begin:end]
+                names = batch.select(keys).take(pa.array(first[k * KEYS : (k + 1) * KEYS]))
+                sums, told = np.zeros((names.num_rows, width), np.int64), np.zeros((names.num_rows, width), bool)
+                of = batch.select(["_form", "_passage"]).take(pa.array(some))
+                form, texts = of.column("_form").to_pylist(), of.column("_passage").to_pylist()
+                for at, f, found in zip((row[some] - k * KEYS).tolist(), form, counts_of(texts, dim), strict=True):
+                    sums[at, f * dim : (f + 1) * dim] += found
+                    told[at, f * dim : (f + 1) * dim] |= found != 0
+                at, pos = np.nonzero(told)
+                each = told.sum(axis=1)
+                listed = [pa.ListArray.from_arrays(np.r_[0, np.cumsum(each)].astype(np.int32), pa.array(v)) for v in (pos.astype(np.int32), sums[at, pos])]
+                yield pa.RecordBatch.from_arrays([*names.columns, *listed], [*keys, "_pos", "_n"]).filter(pa.array(each > 0))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for whole in batches:
+            for s in range(0, whole.num_rows, KEYS):
+                batch = whole.slice(s, KEYS)
+                codes = _codes(batch, keys)
+                new = np.r_[True, codes[1:] != codes[:-1]]
+                names = batch.select(keys).take(pa.array(np.flatnonzero(new)))
+                sums = _added(batch, np.cumsum(new) - 1, names.num_rows, width)
+                if held is not None:
+                    if names.slice(0, 1).equals(held[0]):
+                        sums[0] += held[1][0]
+                    else:
+                        yield listed(*held)
+                held = names.slice(names.num_rows - 1), sums[-1:]
+                if names.num_rows > 1:
+                    yield listed(names.slice(0, names.num_rows - 1), sums[:-1])
+        if held is not None:
+            yield listed(*held)
+
+    def listed(names: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+        ends = np.arange(0, sums.size + 1, width, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([*names.columns, pa.ListArray.from_arrays(ends, pa.array(sums.reshape(-1)))], [*keys, "sums"])
+
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    met = given.mapInArrow(counted, T.StructType([*key_types, T.StructField("_pos", ints), T.StructField("_n", longs)]))
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(total, T.StructType([*key_types, T.StructField("sums", longs)]))
+
+
+def _codes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """A number for each row, the same for equal keys."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for key in keys:
+        named = batch.column(key).dictionary_encode()
+        codes = codes * (len(named.dictionary) + 1) + named.indices.fill_null(len(named.dictionary)).to_numpy()
+    return codes
+
+
+def _added(batch: pa.RecordBatch, row: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """The counts of a batch added up to ``rows`` arrays, each row to the one at ``row``."""
+    at = np.repeat(row, pc.list_value_length(batch.column("_pos")).to_numpy()) * width + batch.column("_pos").flatten().to_numpy()
+    sums = np.zeros(rows * width, np.int64)
+    np.add.at(sums, at, batch.column("_n").flatten().to_numpy())
+    return sums.reshape(rows, width)
 
 
 def add_counts(a: Column, b: Column) -> Column:
@@ -114,9 +182,8 @@ def add_counts(a: Column, b: Column) -> Column:
 
 def cluster_features(members: DataFrame, dim: int, passage: Column) -> DataFrame:
     """(cluster_id, counts) of the joined member passages."""
-    counted = members.select("cluster_id", text_counts(passage, dim).alias("counts"))
-    sums = sum_counts(counted, ["cluster_id"], "counts")
-    return sums.select("cluster_id", dense(F.col("_by_pos"), dim).alias("counts"))
+    passages = members.select("cluster_id", passage.alias("passage"))
+    return sum_counts(passages, ["cluster_id"], "passage", dim).withColumnRenamed("sums", "counts")
 
 
 def cluster_embedding(members: DataFrame, params: Params = Params(), update_text: str = "full") -> DataFrame:
@@ -184,22 +251,14 @@ def build_clusters(members: DataFrame, as_of: int, params: Params = Params(), st
     title, summary, content = F.col("article_title"), F.col("article_summary"), F.col("article_content")
     kept_form = params.update_text
     kept = embedding_passage(title, summary, content, kept_form)
-    counted = members.select("cluster_id", F.lit("kept").alias("form"), kept.alias("passage"))
     differs = stage == "create" and kept_form != "full"
-    if differs:
-        full = embedding_passage(title, summary, content)
-        forms = F.explode(F.array(F.struct(F.lit("kept").alias("form"), kept.alias("passage")), F.struct(F.lit("full").alias("form"), full.alias("passage"))))
-        counted = members.select("cluster_id", forms.alias("_f")).select("cluster_id", "_f.*")
-    counted = counted.select("cluster_id", "form", text_counts(F.col("passage"), params.embed_dim).alias("counts"))
-    sums = sum_counts(counted, ["cluster_id", "form"], "counts")
-
-    def counts_of(form: str) -> Column:
-        # A form whose counts are all zero has no row here: that is the zero vector.
-        by_pos = F.first(F.when(F.col("form") == form, F.col("_by_pos")), ignorenulls=True)
-        return dense(F.coalesce(by_pos, F.map_from_entries(F.array().cast("array<struct<_pos:int,_n:bigint>>"))), params.embed_dim)
-
-    vectors = sums.groupBy("cluster_id").agg(
-        counts_of("kept").alias("text_counts"), counts_of("full" if differs else "kept").alias("_embed")
+    forms = [kept, embedding_passage(title, summary, content)] if differs else [kept]
+    each = F.posexplode(F.array(*forms)).alias("form", "passage")
+    sums = sum_counts(members.select("cluster_id", each), ["cluster_id"], "passage", params.embed_dim, len(forms))
+    vectors = sums.select(
+        "cluster_id",
+        F.slice("sums", 1, params.embed_dim).alias("text_counts"),
+        F.slice("sums", params.embed_dim * (len(forms) - 1) + 1, params.embed_dim).alias("_embed"),
     )
     return (
         cluster_summary(members, params)

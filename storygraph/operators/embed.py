@@ -112,22 +112,6 @@ def _md5_heads(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return heads
 
 
-def text_counts(text: Column, dim: int) -> Column:
-    """Buckets of a text column that have a count, and these counts; NULL text gives two NULLs."""
-
-    @F.pandas_udf("pos array<int>, n array<bigint>")
-    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            at, n = np.full((2, len(batch)), None, dtype=object)
-            given = np.flatnonzero(batch.notna())
-            for k, found in zip(given, counts_of(batch.iloc[given].tolist(), dim), strict=True):
-                at[k] = np.flatnonzero(found).astype(np.int32)
-                n[k] = found[at[k]]
-            yield pd.DataFrame({"pos": pd.Series(at), "n": pd.Series(n)})
-
-    return counts(text)
-
-
 def hashed_vectors(dim: int) -> EmbedFn:
     """The built-in model as a batch function."""
 

@@ -19,6 +19,9 @@ from storygraph.operators.vector_blocks import Vectors, best_match, to_matrix
 from storygraph.params import Params
 from storygraph.session import materialize
 
+# Parts of the articles that meet blocks of clusters at a time.
+WAVE = 8
+
 
 def nearest_join(
     articles: DataFrame,
@@ -96,16 +99,27 @@ def _against_broadcast(base: DataFrame, state: DataFrame, key: str) -> DataFrame
 
 
 def _against_blocks(base: DataFrame, state: DataFrame, key: str, n_clusters: int, params: Params) -> DataFrame:
-    """Every article meets the neighbourhood of clusters that can be nearest, then those that can still beat what it found there."""
+    """Every article meets the neighbourhood of clusters that can be nearest, then those that can still beat what it found there.
+
+    Each part of the articles takes a copy of the clusters, so parts go through in waves and what one has dealt out is gone before the next.
+    """
     placed, index = build_metric_index(state, "cluster_id", n_clusters, params.block_rows)
     clusters = with_blocks(placed, "cluster_id", index).select("cluster_id", "vec", "last_updated", "_block")
     clusters, _ = materialize(clusters)
     base, seen = materialize(base)
     parts = max(1, math.ceil(seen["rows"] / params.block_rows))
-    first, _ = materialize(_best(_matched(_asked(base, key, index), clusters, key, parts), key))
-    rest = _matched(_asked(base.join(first.select(key, "similarity"), key), key, index), clusters, key, parts)
-    best = _best(first.unionByName(rest), key)
-    return best.select(key, "best_id", "similarity")
+    done = None
+    for begin in range(0, parts, WAVE):
+        end = min(begin + WAVE, parts)
+        some = base.filter(block_of(F.col(key), parts).between(begin, end - 1))
+        met = clusters.withColumn("_part", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))))
+        first, _ = materialize(_best(_matched(_asked(some, key, index), met, key, parts), key))
+        rest = _matched(_asked(some.join(first.select(key, "similarity"), key), key, index), met, key, parts)
+        best = _best(first.unionByName(rest), key).select(key, "best_id", "similarity")
+        if parts > WAVE:
+            best, _ = materialize(best)
+        done = best if done is None else done.unionByName(best)
+    return done
 
 
 def _asked(base: DataFrame, key: str, index: MetricIndex) -> DataFrame:
@@ -137,14 +151,19 @@ def _asked(base: DataFrame, key: str, index: MetricIndex) -> DataFrame:
             for at in range(0, len(take), 4096):
                 part = take.slice(at, 4096)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).take(part), batch.column("vec").take(part), pa.array(block[at : at + 4096].astype(np.int32))], names=[key, "vec", "_block"]
+                    [*(batch.column(n).take(part) for n in names), pa.array(block[at : at + 4096].astype(np.int32))], names=[*names, "_block"]
                 )
 
-    return base.mapInArrow(bins, T.StructType([base.schema[key], base.schema["vec"], T.StructField("_block", T.IntegerType())]))
+    names = [key, "vec", "similarity"] if again else [key, "vec"]
+    return base.mapInArrow(bins, T.StructType([*(base.schema[n] for n in names), T.StructField("_block", T.IntegerType())]))
 
 
 def _matched(asked: DataFrame, clusters: DataFrame, key: str, parts: int) -> DataFrame:
-    """(key, best_id, similarity, last_updated) of the best cluster in each block that an article meets."""
+    """(key, best_id, similarity, last_updated) of the best cluster in each block that an article meets.
+
+    ``clusters`` are there once for each ``_part`` of the articles. With ``similarity`` only what is as near as that counts.
+    """
+    again = "similarity" in asked.columns
     key_type = asked.schema[key].dataType.simpleString()
     id_type = clusters.schema["cluster_id"].dataType.simpleString()
     names = [key, "best_id", "similarity", "last_updated"]
@@ -154,14 +173,14 @@ def _matched(asked: DataFrame, clusters: DataFrame, key: str, parts: int) -> Dat
             empty = [left[key], right["cluster_id"], pa.array([], pa.float64()), right["last_updated"]]
             return pa.Table.from_arrays([c.slice(0, 0) for c in empty], names=names)
         order = _order(right)
-        arg, best = best_match(Vectors.of(left["vec"]), Vectors.of(right["vec"], order))
-        take = pa.array(order[arg])
-        return pa.Table.from_arrays([left[key], right["cluster_id"].take(take), pa.array(best), right["last_updated"].take(take)], names=names)
+        arg, best = best_match(Vectors.of(left["vec"]), Vectors.of(right["vec"], order), left["similarity"].to_numpy() if again else None)
+        at = np.flatnonzero(arg >= 0)
+        take = pa.array(order[arg[at]])
+        return pa.Table.from_arrays([left[key].take(pa.array(at)), right["cluster_id"].take(take), pa.array(best[at]), right["last_updated"].take(take)], names=names)
 
     # Articles are cut by hash, so a block that many of them are near to is met in several tasks.
     left = asked.withColumn("_part", block_of(F.col(key), parts)).groupBy("_part", "_block")
-    right = clusters.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("_part", "_block")
-    return left.cogroup(right).applyInArrow(kernel, f"{key} {key_type}, best_id {id_type}, similarity double, last_updated bigint")
+    return left.cogroup(clusters.groupBy("_part", "_block")).applyInArrow(kernel, f"{key} {key_type}, best_id {id_type}, similarity double, last_updated bigint")
 
 
 def _best(found: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import paragraphs, strip, token_count, tokens
+from storygraph.functions.vectors import let
 from storygraph.operators.models import SummaryFn, Tokenizer
 from storygraph.params import Params
 
@@ -25,8 +26,8 @@ def lead_sentences(text: Column, n: int = LEAD_SENTENCES) -> Column:
 
 def key_order(sentence: Column) -> Column:
     """Sorts sentences by what they tell: different words less repeated ones, most first; equals by their text."""
-    words = tokens(sentence)
-    return F.struct((F.size(words) - 2 * F.size(F.array_distinct(words))).alias("place"), sentence.alias("sentence"))
+    place = let(tokens(sentence), lambda words: F.size(words) - 2 * F.size(F.array_distinct(words)))
+    return F.struct(place.alias("place"), sentence.alias("sentence"))
 
 
 def best_sentences(sentences: Column, n: int) -> Column:

@@ -8,7 +8,7 @@ rows concerned alone, so results are those of float64 arithmetic at float32 spee
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cache, cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ class Vectors:
 
     def __init__(self, raw: np.ndarray, norms: np.ndarray | None = None):
         self.raw, self.norms = raw, norms
+        self._tails: dict[int, np.ndarray] = {}
 
     @staticmethod
     def of(column: pa.Array | pa.ChunkedArray, order: np.ndarray | None = None) -> Vectors:
@@ -79,7 +80,9 @@ class Vectors:
 
     @cached_property
     def unit(self) -> np.ndarray:
-        """All unit rows in float32."""
+        """All unit rows in float32; the rows as they came where those are no farther from it than ``margin`` leaves room for."""
+        if self.raw.dtype == np.float32 and (self.norms is None or (np.abs(self.norms - 1) <= margin(self.width) / 8).all()):
+            return self.raw
         out = np.empty(self.raw.shape, np.float32)
         step = max(1, EXACT // max(self.width, 1))
         for s in range(0, len(out), step):
@@ -87,6 +90,71 @@ class Vectors:
         return out
 
 
+    def tails(self, k: int) -> np.ndarray:
+        """Of every unit row the length of what comes after its first ``k`` components."""
+        if k not in self._tails:
+            step = max(1, EXACT // max(self.width, 1))
+            self._tails[k] = np.concatenate([tail_lengths(self.unit[s : s + step], k) for s in range(0, len(self), step)] or [np.zeros(0, np.float32)])
+        return self._tails[k]
+
+
+def tail_lengths(rows: np.ndarray, k: int) -> np.ndarray:
+    """Rounded up."""
+    rest = rows[:, k:].astype(np.float64)
+    return (np.sqrt(np.einsum("nd,nd->n", rest, rest)) * (1 + 1e-6)).astype(np.float32)
+
+
+def heads(width: int) -> list[int]:
+    """Numbers of leading components by which pairs may be told apart before whole products are taken."""
+    return [width // 8, width // 4, 3 * width // 8, width // 2] if width >= 64 else []
+
+
+def head_for(width: int, bars: np.ndarray) -> np.ndarray:
+    """For each similarity the place in ``heads`` of the fewest components that mostly tell rows apart which do not reach it, or their number."""
+    return np.searchsorted(heads(width), width * (1.12 - bars))
+
+
+# Lengths of the tails of some rows, by the number of components before them.
+Tails = Callable[[int], np.ndarray]
+
+
+class Bounded:
+    """Pairs that may reach a similarity, by products of heads.
+
+    A product is at most that of the heads plus that of the lengths of the tails (Cauchy and
+    Schwarz). Where that leaves too many pairs open, more components are taken in the end.
+    """
+
+    def __init__(self, width: int):
+        self.heads = heads(width)
+        self.tries, self.misses = [0] * len(self.heads), [0] * len(self.heads)
+
+    def pairs(self, level: int, left: np.ndarray, left_tails: Tails, right: np.ndarray, right_tails: Tails, bar: np.ndarray | float) -> tuple[np.ndarray, ...] | None:
+        """(i, j, product in float32) of all pairs that reach ``bar``, one for all or a column; None where whole products are cheaper."""
+        while level < len(self.heads) and self.misses[level] > 2 and 2 * self.misses[level] > self.tries[level]:
+            level += 1
+        if level == len(self.heads):
+            return None
+        k = self.heads[level]
+        self.tries[level] += 1
+        most = np.c_[left[:, :k], left_tails(k)] @ np.c_[right[:, :k], right_tails(k)].T
+        i, j = at_least(most, bar)
+        if len(i) * 256 > most.size:
+            self.misses[level] += 1
+            return None
+        sims = np.empty(len(i), np.float32)
+        step = max(1, EXACT // left.shape[1])
+        for s in range(0, len(i), step):
+            sims[s : s + step] = np.einsum("nd,nd->n", left[i[s : s + step]], right[j[s : s + step]])
+        keep = sims >= (bar[i, 0] if isinstance(bar, np.ndarray) else bar)
+        return i[keep], j[keep], sims[keep]
+
+
+def at_least(sims: np.ndarray, bar: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Where a matrix reaches ``bar``. NumPy searches a flat mask several times faster than one of two dimensions."""
+    return np.divmod(np.flatnonzero(sims >= bar), max(sims.shape[1], 1))
+
+
 def _vectors(rows: Vectors | np.ndarray) -> Vectors:
     return rows if isinstance(rows, Vectors) else Vectors(rows)
 
@@ -175,6 +243,7 @@ def similar_tiles(
     left, right = _vectors(left), _vectors(right)
     left32, right32 = left.unit, right.unit
     doubt = margin(left.width)
+    head, bounded = int(head_for(left.width, min_similarity)), Bounded(left.width)
     for r, r_end, c, c_end in (segments or Segments(len(left), len(right))).pairs(same):
         parts = [(slice(r, r_end), slice(c, c_end))]
         if settled is not None:
@@ -188,14 +257,19 @@ def similar_tiles(
             a, b = left32[rows], right32[columns]
             if not (len(a) and len(b)):
                 continue
-            sims = a @ b.T
-            i, j = np.nonzero(sims >= min_similarity - doubt)
+            found = bounded.pairs(head, a, lambda k, at=rows: left.tails(k)[at], b, lambda k, at=columns: right.tails(k)[at], min_similarity - doubt)
+            if found is None:
+                whole = a @ b.T
+                i, j = at_least(whole, min_similarity - doubt)
+                found = i, j, whole[i, j]
+                del whole
+            i, j, sims = found
             if same and r == c:
                 upper = i < j
-                i, j = i[upper], j[upper]
+                i, j, sims = i[upper], j[upper], sims[upper]
             if len(i) == 0:
                 continue
-            close = np.flatnonzero(sims[i, j] < min_similarity + doubt)
+            close = np.flatnonzero(sims < min_similarity + doubt)
             i, j = (at.start + k if isinstance(at, slice) else at[k] for at, k in ((rows, i), (columns, j)))
             if len(close):
                 keep = np.ones(len(i), dtype=bool)
@@ -205,30 +279,72 @@ def similar_tiles(
                 yield i, j
 
 
-def best_match(left: Vectors | np.ndarray, right: Vectors | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each left row the most similar right row (the first of equals) and its similarity."""
+def best_match(left: Vectors | np.ndarray, right: Vectors | np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each left row the most similar right row (the first of equals) and its similarity.
+
+    ``floor`` is a similarity per left row that it has found elsewhere: a row without any that is as near gets -1.
+    Without it the right rows are gone through by their heads first, and what each left row has in
+    the most likely one is a floor: rows that have a near match need not meet the others in full.
+    """
     left, right = _vectors(left), _vectors(right)
     best = np.full(len(left), -np.inf)
     arg = np.full(len(left), -1, dtype=np.int64)
-    right32 = right.unit
+    right32, doubt, bounded = right.unit, margin(left.width), Bounded(left.width)
     for r in range(0, len(left), TILE):
         rows = left.exact(slice(r, r + TILE)).astype(np.float32)
+        tails = cache(partial(tail_lengths, rows))
+        bar = _likely(left, right, rows, r) if floor is None else floor[r : r + TILE].astype(np.float64)
         for c in range(0, len(right), TILE):
-            sims = rows @ right32[c : c + TILE].T
-            bar = np.maximum(sims.max(axis=1), best[r : r + TILE]) - margin(left.width)
-            i, j = np.nonzero(sims >= bar[:, None])
-            if len(i) == 0:
-                continue
-            exact = exact_dots(left, right, i + r, j + c)
-            order = np.lexsort((j, -exact, i))
-            first = order[np.unique(i[order], return_index=True)[1]]
-            at = i[first] + r
-            better = exact[first] > best[at]
-            best[at[better]] = exact[first][better]
-            arg[at[better]] = j[first][better] + c
+            levels = head_for(left.width, bar)
+            for level in np.unique(levels).tolist():
+                some = np.flatnonzero(levels == level)
+                a, b = (rows if len(some) == len(rows) else rows[some]), right32[c : c + TILE]
+                low = (bar[some] - doubt).astype(np.float32)[:, None]
+                found = bounded.pairs(level, a, lambda k: tails(k)[some], b, lambda k: right.tails(k)[c : c + TILE], low)
+                if found is None:
+                    whole = a @ b.T
+                    top = whole.max(axis=1)
+                    hit = np.flatnonzero(top >= bar[some] - doubt)
+                    i, j = at_least(whole[hit], (top[hit] - doubt)[:, None])
+                    i = hit[i]
+                    found = i, j, whole[i, j]
+                    del whole
+                i, j, sims = found
+                top = bar[some]
+                np.maximum.at(top, i, sims)
+                near = sims >= top[i] - doubt
+                i, j = some[i[near]], j[near]
+                if len(i) == 0:
+                    continue
+                exact = exact_dots(left, right, i + r, j + c)
+                order = np.lexsort((j, -exact, i))
+                first = order[np.unique(i[order], return_index=True)[1]]
+                at = i[first] + r
+                better = exact[first] > best[at]
+                best[at[better]] = exact[first][better]
+                arg[at[better]] = j[first][better] + c
+            bar = np.maximum(bar, best[r : r + TILE])
+    if floor is not None:
+        arg[best < floor] = -1
     return arg, best
 
 
+def _likely(left: Vectors, right: Vectors, rows: np.ndarray, r: int) -> np.ndarray:
+    """For each of ``rows``, those from ``r`` on, its similarity to the right row that by their heads may be the nearest."""
+    k = left.width // 8
+    if left.width < 64 or len(right) <= 2 * TILE:
+        return np.full(len(rows), -np.inf)
+    lead, which = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+    own = np.c_[rows[:, :k], tail_lengths(rows, k)]
+    for c in range(0, len(right), TILE):
+        most = own @ np.c_[right.unit[c : c + TILE, :k], right.tails(k)[c : c + TILE]].T
+        at = most.argmax(axis=1)
+        top = most[np.arange(len(at)), at]
+        better = top > lead
+        lead[better], which[better] = top[better], at[better] + c
+    return exact_dots(left, right, np.arange(len(rows)) + r, which)
+
+
 class Forest:
     """Smallest reachable index per row, kept while pairs stream in."""
 

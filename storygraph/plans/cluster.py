@@ -20,6 +20,9 @@ from storygraph.params import Params
 from storygraph.session import materialize, scratch
 from storygraph.sources.tables import Store
 
+# Articles that join a cluster are looked up by a broadcast of hashes of their ids up to so many.
+BROADCAST_IDS = 500_000
+
 
 @dataclass
 class ClusterRun:
@@ -88,7 +91,7 @@ def cluster_run(
         near = near.unionByName(assigned_to(vectors.filter("known"), state.filter(F.col("last_updated") >= open_since)))
     near, _ = materialize(near)
     taken = near.filter("cluster_id is not null")
-    rest = vectors.select("article_id", "article_embeddings", "known").join(taken, "article_id", "left_anti")
+    rest, _ = materialize(vectors.select("article_id", "article_embeddings", "known").join(taken.select("article_id"), "article_id", "left_anti"))
     links = None
     if seen["known"] or params.min_samples > 2:
         density = grow(_stored_density(rest, open_noise), rest.filter("not known"), "article_id", "article_embeddings", params.eps, params.min_samples, params)
@@ -120,11 +123,16 @@ def cluster_run(
     texts = pending.select("source", "article_id", "article_title", "article_summary", "article_content")
 
     def build() -> DataFrame:
-        joining, _ = materialize(
-            decisions.filter("cluster_id is not null")
-            .select("cluster_id", "source", "article_id", "stage")
-            .join(_one_per_article(texts), ["source", "article_id"])
-        )
+        clustered, found = materialize(decisions.filter("cluster_id is not null").select("cluster_id", "source", "article_id", "stage"))
+        # Only texts that are needed are dealt out, once, by the key that both steps share.
+        if found["rows"] <= BROADCAST_IDS:
+            # Other articles with the same hash drop out in the join.
+            wanted = F.broadcast(clustered.select(F.xxhash64("article_id").alias("_hash")))
+            needed = texts.withColumn("_hash", F.xxhash64("article_id")).join(wanted, "_hash", "left_semi")
+        else:
+            needed = texts.join(clustered.select("article_id"), "article_id", "left_semi")
+        one = _one_per_article(needed.select(texts.columns)).withColumnRenamed("source", "_source")
+        joining, _ = materialize(clustered.join(one, "article_id").filter("source = _source").drop("_source"))
         assigned, grouped = joining.filter("stage = 'assigned'"), joining.filter("stage = 'grouped'")
         grown = extend_clusters(state, assigned, as_of, params)
         fresh = build_clusters(grouped, as_of, params)

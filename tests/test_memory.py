@@ -4,9 +4,11 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from storygraph.operators import vector_blocks as V
 from storygraph.operators.dbscan import dbscan
+from storygraph.params import Params
 from test_vectors import SCHEMA, brute_dbscan, labels
 
 
@@ -146,3 +148,74 @@ def test_neighbouring_runs_are_met_in_one_tile(same):
         assert (met | ~(np.triu(wanted) if same else wanted)).all()
         # One tile for each pair of pivots were 1,830 and more.
         assert len(tiles) <= (20 if apart[reach].max() > 3 else 140)
+
+
+def test_products_of_heads_decide_most_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 128)).astype(np.float32)
+    rows = np.concatenate([base, base[:200] + rng.normal(scale=0.2, size=(200, 128)).astype(np.float32), base[:50]])
+    rows = rows[rng.permutation(len(rows))]
+    unit = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    a, b = V.Vectors(rows, np.linalg.norm(rows.astype(np.float64), axis=1)), V.Vectors(unit)
+    monkeypatch.setattr(V, "TILE", 256)
+    whole, plain = [], V.at_least
+    monkeypatch.setattr(V, "at_least", lambda sims, bar: (whole.append(sims.shape), plain(sims, bar))[1])
+    undecided, pairs = [], V.Bounded.pairs
+    monkeypatch.setattr(V.Bounded, "pairs", lambda *x: (found := pairs(*x), undecided.append(found is None))[0])
+    near = np.triu(unit @ unit.T >= 0.8, 1)
+    got = {(x, y) for i, j in V.similar_tiles(a, a, 0.8, True) for x, y in zip(i.tolist(), j.tolist())}
+    assert got == set(zip(*(k.tolist() for k in np.nonzero(near)))) and len(got) >= 200
+    assert np.mean(undecided) < 0.2
+    # The nearest of all: the first of equal ones, wherever rows begin.
+    for left, right in ((a, b), (b, a)):
+        sims = unit @ unit[::-1].T
+        flipped = V.Vectors(right.raw[::-1].copy(), None if right.norms is None else right.norms[::-1].copy())
+        arg, best = V.best_match(left, flipped)
+        assert np.allclose(best, sims.max(axis=1)) and (sims[np.arange(len(arg)), arg] >= sims.max(axis=1) - 1e-12).all()
+        floor = np.where(np.arange(len(arg)) % 2, best, best + 0.01)
+        again, best_again = V.best_match(left, flipped, floor)
+        assert (again == np.where(np.arange(len(arg)) % 2, arg, -1)).all() and (best_again[1::2] == best[1::2]).all()
+
+
+def test_counts_of_a_cluster_are_added_before_they_are_dealt(spark):
+    from storygraph.operators import clusters as C
+    from storygraph.operators.embed import ngram_counts
+
+    texts = ["a b c d", "b c d e", "", None, "x y", "c d e f g", "a b c d", "  ", "q"]
+    rows = [(None if k % 5 == 4 else f"c{k % 5}", k % 2, texts[k % 9]) for k in range(400)] + [("empty", 0, ""), ("null", 1, None)]
+    df = spark.createDataFrame(rows, "cluster_id string, form int, passage string").repartition(3)
+    wanted = {}
+    for key, form, text in rows:
+        if text is not None and (found := ngram_counts(text, 16)).any():
+            wanted.setdefault(key, np.zeros(32, np.int64))[16 * form : 16 * form + 16] += found
+    records = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("7", "4096"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            sums = C.sum_counts(df, ["cluster_id"], "passage", 16, 2)
+            got = sums.collect()
+            assert len(got) == len(wanted) and {r.cluster_id: r.sums for r in got} == {k: v.tolist() for k, v in wanted.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    # A row for each bucket of each member was dealt out.
+    assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_the_articles_meet_clusters_in_waves(spark, monkeypatch):
+    from storygraph.operators import nearest as N
+
+    monkeypatch.setattr(N, "WAVE", 2)
+    rng = np.random.default_rng(9)
+    vec = rng.normal(size=(400, 64))
+    # Copies of cluster vectors, and clusters that are equally near.
+    left = np.concatenate([vec[:100], rng.normal(size=(100, 64))]).astype(np.float32)
+    right = np.concatenate([vec, vec[:40]]).astype(np.float32)
+    articles = spark.createDataFrame([(f"a{k}", v.tolist()) for k, v in enumerate(left)], "id string, v array<float>")
+    clusters = spark.createDataFrame([(f"c{k}", v.tolist(), 1000 - k) for k, v in enumerate(right)], "cluster_id string, cluster_embedding array<float>, last_updated bigint")
+    made, plain = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df: (made.append(1), plain(df))[1])
+    found = [sorted(map(tuple, N.nearest_join(articles, clusters, "id", "v", Params(block_rows=40), mode).collect())) for mode in ("broadcast", "blocks")]
+    assert [r[:2] for r in found[0]] == [r[:2] for r in found[1]] and np.allclose([r[2] for r in found[0]], [r[2] for r in found[1]])
+    assert {r[0]: r[1] for r in found[1]}["a3"] == "c403"
+    # Five parts are three waves of two tables each; all parts' copies of the clusters were on disk at once.
+    assert len(made) == 2 + 3 * 2
