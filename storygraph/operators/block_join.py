@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 
 from storygraph.operators.metric_index import MetricIndex, build_metric_index
 from storygraph.operators.vector_blocks import Segments, Vectors
+from storygraph.session import materialize
+
+# Copies of the rows that are dealt out at a time where many blocks meet.
+COPIES = 8
 
 
 def block_count(rows: int, block_rows: int, parallelism: int) -> int:
@@ -83,6 +88,17 @@ class Blocks:
         slim = self.rows.select(key, "vec", *[c for c in (self.known, "_block", "_bin", "_pivot") if c in self.rows.columns])
         return Blocks(slim.join(more, key), self.total, self.known, self.index, self.reach)
 
+    def turns(self) -> list[tuple[int, int]]:
+        """Ranges of left blocks whose pairs hold about ``COPIES`` copies of the rows, if all blocks meet."""
+        n = self.total * (2 if self.known else 1)
+        out, first, copies = [], 0, 0.0
+        for block in range(n):
+            copies += 2 * (n - block) / n
+            if copies >= COPIES or block == n - 1:
+                out.append((first, block))
+                first, copies = block + 1, 0.0
+        return out
+
     def tasks(self) -> int:
         n = self.total * (2 if self.known else 1)
         return n * (n + 1) // 2
@@ -148,22 +164,36 @@ def _sides(table: pa.Table, pairs_of_pivots: bool) -> tuple[Side, Side, bool] |
     return sides[0], sides[-1], same
 
 
-def self_grid(blocks: Blocks, kernel: Kernel, schema: str) -> DataFrame:
-    """Run ``kernel(left, right, same, segments)`` on each pair of blocks that meet."""
+def self_grid(blocks: Blocks, kernel: Kernel, schema: str, waves: bool = False) -> DataFrame:
+    """Run ``kernel(left, right, same, segments)`` on each pair of blocks that meet.
+
+    A row is dealt out once for each block that its own one meets. ``waves``, for kernels that return
+    little: pairs of blocks go through in turns of about ``COPIES`` copies of the rows, each written
+    out, and what one has dealt out is gone before the next.
+    """
     reach = None if blocks.reach is None else blocks.rows.sparkSession.sparkContext.broadcast(blocks.reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _sides(pa.Table.from_batches(list(batches)), reach is not None)
         if met is None:
             return
+        # What Spark sent is copied: its memory goes back to the system, not to a pool that an idle process keeps.
+        pa.default_memory_pool().release_unused()
         left, right, same = met
         segments = Segments(len(left), len(right))
         if reach is not None:
             segments = Segments(len(left), len(right), left["_pivot"].to_numpy(), right["_pivot"].to_numpy(), reach.value)
         yield from kernel(left, right, same, segments)
 
-    dealt = blocks.spread().repartition(_width(blocks.rows, blocks.tasks()), "_bi", "_bj")
-    return dealt.groupBy("_bi", "_bj").applyInArrow(run, schema)
+    def met(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(_width(blocks.rows, blocks.tasks()), "_bi", "_bj")
+        return dealt.groupBy("_bi", "_bj").applyInArrow(run, schema)
+
+    turns = blocks.turns() if waves else []
+    if len(turns) < 2:
+        return met(blocks.spread())
+    done = [materialize(met(blocks.spread().filter(F.col("_bi").between(first, last))))[0] for first, last in turns]
+    return reduce(DataFrame.unionByName, done)
 
 
 def _width(df: DataFrame, tasks: int) -> int:

@@ -196,7 +196,8 @@ def grow(state: Density, rows: DataFrame, id_col: str, vec_col: str, eps: float,
 def _by_components(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int) -> DataFrame:
     """``nodes`` with their label, where every neighbour of a row is in its cluster."""
     id_type = nodes.schema["node"].dataType.simpleString()
-    links = self_grid(placed, _forest_kernel(bar), f"src {id_type}, dst {id_type}")
+    # Written out, so that a task of it does not hold a second Python process for the components.
+    links, _ = materialize(self_grid(placed, _forest_kernel(bar), f"src {id_type}, dst {id_type}", waves=True))
     if "label" in nodes.columns:
         links = links.unionByName(nodes.filter("known").select(F.col("node").alias("src"), F.col("label").alias("dst")).filter("dst is not null"))
     parts = nodes.drop("label").join(connected_components(links), "node", "left")
@@ -264,7 +265,7 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
                 [table["node"].take(pa.array(hit)).combine_chunks(), pa.array(sums[hit])], names=["node", "more"]
             )
 
-    degree = self_grid(placed, neighbours, f"node {id_type}, more bigint").groupBy("node").agg(F.sum("more").alias("more"))
+    degree = self_grid(placed, neighbours, f"node {id_type}, more bigint", waves=True).groupBy("node").agg(F.sum("more").alias("more"))
     own = F.when(F.col("known"), F.col("weight")).otherwise(F.col("copies")) if incremental else F.col("copies")
     weighed = nodes.join(degree, "node", "left").withColumn("weight", own + F.coalesce("more", F.lit(0))).drop("more")
     flagged, _ = materialize(weighed.withColumn("core", F.col("weight") >= min_samples))
@@ -306,7 +307,7 @@ def _general(nodes: DataFrame, placed: Blocks, bar: float, min_samples: int, sto
         )
 
     again = placed.with_columns(flagged.select("node", "core"), "node")
-    found, _ = materialize(self_grid(again, links, f"src {id_type}, dst {id_type}, loose boolean"))
+    found, _ = materialize(self_grid(again, links, f"src {id_type}, dst {id_type}, loose boolean", waves=True))
     inner, loose = found.filter("not loose").select("src", "dst"), found.filter("loose").select("src", "dst")
     if incremental:
         cores_only = flagged.select("node", "core")

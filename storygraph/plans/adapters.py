@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from storygraph.functions.dates import MONTHS_SQ
 from storygraph.functions.text import paragraphs, token_count
+from storygraph.functions.vectors import let
 from storygraph.operators.profiles import PROFILES, BlockRule, SiteProfile
 from storygraph.operators.summarize import lead_sentences
 from storygraph.params import DAY_S, Params
+from storygraph.session import materialize
 
 START = 1704067200  # 2024-01-01
 AS_OF = 1706659200  # 2024-01-31
@@ -83,24 +85,29 @@ def vector_articles(vectors: DataFrame) -> DataFrame:
 
 def with_summary(articles: DataFrame) -> DataFrame:
     """Articles with the built-in summary where the text is long enough."""
-    body = paragraphs(F.col("article_content"))
-    return articles.withColumn(
-        "article_summary", F.when(token_count(body) > Params().summary_min_tokens, lead_sentences(body))
-    )
+    summary = let(paragraphs(F.col("article_content")), lambda body: F.when(token_count(body) > Params().summary_min_tokens, lead_sentences(body)))
+    return articles.withColumn("article_summary", summary)
 
 
 def copy_members(articles: DataFrame) -> DataFrame:
     """Cluster members: all articles of a text that occurs at least twice, under its digest."""
-    twice = articles.groupBy("copy_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("copy_id")
-    return articles.join(twice, "copy_id", "left_semi").select(
+    return articles.join(repeated_copies(articles), "copy_id", "left_semi").select(
         F.col("copy_id").alias("cluster_id"), "source", "article_id", F.col("article_published_date").alias("added_at")
     )
 
 
 def copy_member_articles(articles: DataFrame) -> DataFrame:
     """The same with titles and texts."""
-    twice = articles.groupBy("copy_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("copy_id")
-    return articles.join(twice, "copy_id", "left_semi").withColumn("cluster_id", F.col("copy_id"))
+    return articles.join(repeated_copies(articles), "copy_id", "left_semi").withColumn("cluster_id", F.col("copy_id"))
+
+
+def repeated_copies(articles: DataFrame) -> DataFrame:
+    """(copy_id) of the texts that occur at least twice.
+
+    Written out first: where they are few, Spark sees it and broadcasts them, instead of dealing all texts by their digest.
+    """
+    twice, _ = materialize(articles.groupBy("copy_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("copy_id"))
+    return twice
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

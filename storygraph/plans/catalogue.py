@@ -581,7 +581,9 @@ def _run(spark, sf_dir, copies: int = 1) -> ClusterRun:
     """History: copies published before the cut. Run: everything published since, at the default thresholds."""
     articles, _ = materialize(embed_articles(A.with_summary(_spread_articles(spark, sf_dir))))
     old = articles.filter(F.col("article_published_date") < A.CUT)
-    clusters, _ = materialize(C.build_clusters(A.copy_member_articles(old), A.HISTORY_AT))
+    # Read three times, so the look-up of the copies is written out.
+    members, _ = materialize(A.copy_member_articles(old).select("cluster_id", "article_id", "article_title", "article_summary", "article_content"))
+    clusters, _ = materialize(C.build_clusters(members, A.HISTORY_AT))
     stored = articles.drop("doc_id", "copy_id")
     for _ in range(copies - 1):
         stored = stored.unionByName(articles.drop("doc_id", "copy_id"))
